@@ -113,3 +113,16 @@ class Windows:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def keep_rows(docs: DataFrame, decide) -> DataFrame:
+    """The rows that a task's decider keeps, all columns unchanged. ``decide()`` is
+    called once in each task and gives a function from record batches to masks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps = decide()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part.filter(pa.array(keeps(part), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

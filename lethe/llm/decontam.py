@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Windows, slices, texts, word_hashes
+from .common import Windows, keep_rows, slices, texts, word_hashes
 
 #: Lower-cases A-Z; what is neither a letter, a digit nor outside ASCII parts words.
 _FOLD = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -97,20 +97,24 @@ def _scan(index):
     return run
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, width: int = 10, broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """Words of documents that a benchmark window covers: doc_id, n_words, spans
-    (word offsets, end exclusive) and items (ids, sorted as strings)."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _indexes(benchmark: DataFrame, width: int, broadcast_bytes: int) -> list:
+    """Broadcast indexes, each of at most about ``broadcast_bytes`` of benchmark text."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").distinct()
     size = items.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     parts = -(-size // broadcast_bytes) or 1
-    found = []
+    out = []
     for k in range(parts):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else items
-        index = spark.sparkContext.broadcast(_Index([(r[0], r[1].encode() if r[1] else None) for r in own.toLocalIterator()], width))
-        found.append(docs.mapInArrow(_scan(index), _FOUND))
-    if parts == 1:
+        out.append(benchmark.sparkSession.sparkContext.broadcast(_Index([(r[0], r[1].encode() if r[1] else None) for r in own.toLocalIterator()], width)))
+    return out
+
+
+def contaminated_spans(docs: DataFrame, benchmark: DataFrame, width: int = 10, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """Words of documents that a benchmark window covers: doc_id, n_words, spans
+    (word offsets, end exclusive) and items (ids, sorted as strings)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = [docs.mapInArrow(_scan(index), _FOUND) for index in _indexes(benchmark, width, broadcast_bytes)]
+    if len(found) == 1:
         return found[0]
     all_found = found[0]
     for f in found[1:]:
@@ -128,3 +132,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, **more
     found = contaminated_spans(docs, benchmark, width, **more)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """The documents in which no benchmark window occurs, with all their columns."""
+    for index in _indexes(benchmark, width, broadcast_bytes):
+        docs = keep_rows(docs, lambda index=index: lambda part: [not index.value.scan(item_words(t))[1] for t in texts(part.column("text"))])
+    return docs

@@ -114,3 +114,14 @@ def exact_groups(docs: DataFrame, print_bits: int = 64) -> DataFrame:
     several = groups.where("group_size > 1")
     out = lists.join(several, "ids", "left")
     return out.select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("keep_id") == F.col("doc_id"), F.lit(True)).alias("kept"), "text_sha256")
+
+
+def drop_copies(docs: DataFrame, **more) -> DataFrame:
+    """One document of each group of equal texts, with all its columns."""
+    found = exact_groups(docs, **more)
+    found = materialise(found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "copies")
+    left = docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti")
+    twice = found.where("kept and n > 1").select("doc_id")
+    if not twice.isEmpty():  # repeated rows of one document
+        left = left.join(twice, "doc_id", "left_anti").unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return left.select(*docs.columns)

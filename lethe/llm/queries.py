@@ -12,23 +12,46 @@ from .chat import chat_digests
 from .common import table
 from .decontam import contamination
 from .exact import exact_groups
+from .pii import surrogate_texts
+from .quality import quality_scores
 from .sharding import jump_shards
 from .simhash import simhash_components
+from .spm import encode_documents
 from .substring import duplicate_spans
+from .toxicity import toxicity_scores
+
+#: For the registered query only; real keys are the caller's.
+DEMO_KEY = b"lethe demonstration key"
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_spans(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogate_texts(table(spark, sf_dir, "documents"), DEMO_KEY)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -44,7 +67,7 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op4_exact_dedup, op6_decontamination, op8_chat_format, op9_simhash, op10_jump_sharding)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_quality, op4_exact_dedup, op5_pii_surrogates, op6_decontamination, op7_sentencepiece, op8_chat_format, op9_simhash, op10_jump_sharding)}
 
 _ESCAPED = "replace({0}, '\\', '\\\\')"
 for _c in ("<|", "<s>", "</s>", "[INST]", "[/INST]"):
