@@ -64,7 +64,7 @@ def redact_target(table: DataFrame, hit: DataFrame, target: Target, schema: str,
 
 def delete_target(table: DataFrame, hit: DataFrame, primary_key: tuple[str, ...]) -> DataFrame:
     """The table without the hit rows."""
-    return table.join(hit.select(*primary_key).distinct(), list(primary_key), "left_anti")
+    return table.join(hit.select(*primary_key).distinct(), list(primary_key), "left_anti").select(*table.columns)
 
 
 def satellite_rows(table: DataFrame, lookup: str, roots: DataFrame, root_column: str, tenant: bool = False) -> DataFrame:
