@@ -39,6 +39,13 @@ class Registry:
 
         return put
 
+    def part(self, of: str, **names: list[str]) -> None:
+        """Register some columns of a query under names of their own: the operators
+        that a query over several at once holds."""
+        for name, columns in names.items():
+            self.queries[name] = lambda spark, sf_dir, columns=tuple(columns): self.queries[of](spark, sf_dir).select(*columns)
+            self.sql[name] = f"SELECT {', '.join(columns)} FROM ({self.sql[of]}) part"
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

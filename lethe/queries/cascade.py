@@ -347,4 +347,7 @@ def leak_invariants(spark, sf_dir):
     return leaks({"customer": (own, F.col("c_name").startswith("Customer#")), "orders": (orders, F.col("o_orderpriority") != "[REDACTED]")})
 
 
+R.part("mask_values", mask_value=["c_custkey", "hashed", "masked", "nulled"])
+R.part("user_hash_pseudonym", user_hash=["c_custkey", "user_hash"], pseudonym=["c_custkey", "pseudonym"])
+R.part("blob_mask_refs", blob_mask=["c_custkey", "masked"])
 QUERIES, SQL = R.queries, R.sql

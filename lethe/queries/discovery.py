@@ -71,6 +71,11 @@ def text_pii_scan_conversations(spark, sf_dir):
     return ops.text_pii_scan(load(spark, sf_dir, "conversations"), "conv_id", "text")
 
 
+@R.add(f"SELECT signature, CAST(sum(n) AS BIGINT) AS n, count(*) AS documents FROM ({_scan_sql('documents', 'doc_id')}) s GROUP BY 1")
+def content_signatures(spark, sf_dir):
+    return text_pii_scan(spark, sf_dir).groupBy("signature").agg(F.sum("n").alias("n"), F.count("*").alias("documents"))
+
+
 #: Values of each kind, right and wrong, made from order keys.
 _K = "lpad(CAST({0} AS STRING), 8, '0')"
 _VALUES = {
@@ -181,4 +186,6 @@ def object_sample(spark, sf_dir):
 
 
 R.queries |= {f.__name__: f for f in (column_sample, object_sample)}
+R.part("validate_checksums", validate_aadhaar=["o_orderkey", "aadhaar"], validate_luhn=["o_orderkey", "luhn"], validate_pan=["o_orderkey", "pan"], validate_gstin=["o_orderkey", "gstin"], validate_ipv6=["o_orderkey", "ipv6"])
+R.part("metadata_score", metadata_best_score=["table_name", "column_name", "score"])
 QUERIES, SQL = R.queries, R.sql

@@ -398,4 +398,24 @@ def dimension_joins(spark, sf_dir):
     return e.join(c, F.col("c_custkey") == F.col("user_id")).join(n, F.col("n_nationkey") == F.col("c_nationkey")).join(r, F.col("r_regionkey") == F.col("n_regionkey")).select("event_id", "n_name", "r_name")
 
 
+R.part("materialize_due", due_topk=["job_id", "client_id", "task_type", "due_at"], due_join=["job_id", "task_type"])
+
+
+@R.add("SELECT o_custkey AS subject_id, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+def duplicate_ids(spark, sf_dir):
+    """Ids that a purge batch holds more than once: an error of the batch."""
+    return load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("subject_id")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+@R.add("SELECT user_id FROM (SELECT DISTINCT user_id FROM events) e EXCEPT SELECT o_custkey FROM orders")
+def missing_set(spark, sf_dir):
+    """Expected minus found, as sets."""
+    return load(spark, sf_dir, "events").select("user_id").subtract(load(spark, sf_dir, "orders").select("o_custkey"))
+
+
+@R.add(f"SELECT job_id, 'https://t.example/' || CAST(client_id AS VARCHAR) AS url FROM {_JOBS} j WHERE status = 'SHREDDED' AND client_id <> 4")
+def completion_targets(spark, sf_dir):
+    return completion_notices(spark, sf_dir).where(F.col("url").startswith("https://t."))
+
+
 QUERIES, SQL = R.queries, R.sql

@@ -151,4 +151,9 @@ def blob_receipt_summary(spark, sf_dir):
     return receipt_summary(load(spark, sf_dir, "events").withColumn("receipts", F.array(one(F.col("user_id")), one(F.lit(1)), one(F.lit(2)))))
 
 
+R.part("sha256_hmac_hex", sha256_hex=["event_id", "sha"], hmac_sha256_hex=["event_id", "mac"])
+R.part("uuids", uuid_v5=["c_custkey", "v5"], deterministic_uuid=["c_custkey", "det"])
+R.part("normalize_subject", opaque_id_check=["event_id", "opaque"])
+R.part("guards", payload_size_guard=["event_id", "too_large"], schedule_guard=["event_id", "schedule_ok"], envelope_guard=["event_id", "envelope"])
+R.part("dates_iso_due", iso_timestamp=["o_orderkey", "iso"], due_at=["o_orderkey", "due_at"])
 QUERIES, SQL = R.queries, R.sql

@@ -113,4 +113,8 @@ def dependency_count(spark, sf_dir):
     return graph.fk_closure(_edges(spark), "region").where("depth > 0").agg(F.count_distinct("table_name").alias("n"))
 
 
+R.part("fk_edges", fk_align=["constraint_name", "child_columns", "parent_columns"])
+R.part("fk_closure", fk_recursive=["table_name", "constraint_name", "depth"])
+R.part("dependency_tree", shortest_depth=["table_name", "depth"])
+R.part("config_compat", compat_anti=["code", "detail"])
 QUERIES, SQL = R.queries, R.sql
