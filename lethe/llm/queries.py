@@ -73,7 +73,53 @@ _ESCAPED = "replace({0}, '\\', '\\\\')"
 for _c in ("<|", "<s>", "</s>", "[INST]", "[/INST]"):
     _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\\{_c[1:]}')"
 
+#: The table of the reflected CRC-32 polynomial, as a SQL list.
+_CRC = []
+for _n in range(256):
+    for _ in range(8):
+        _n = _n >> 1 ^ (0xEDB88320 if _n & 1 else 0)
+    _CRC.append(_n)
+_SHARD = """(SELECT doc_id, max(b) AS shard FROM (WITH RECURSIVE j AS (
+        SELECT doc_id, CAST(CASE WHEN doc_id < 0 THEN doc_id + 18446744073709551616 ELSE doc_id END AS HUGEINT) AS k, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS nxt FROM documents
+        UNION ALL SELECT doc_id, k2, nxt, CAST(floor((nxt + 1) * (CAST(2147483648.0 AS DOUBLE) / ((k2 // 8589934592) + 1))) AS BIGINT)
+        FROM (SELECT *, (k * 2862933555777941757 + 1) % 18446744073709551616 AS k2 FROM j WHERE nxt < {0}) n)
+        SELECT * FROM j) x GROUP BY 1)"""
+
+
+
+def _crc_sql(hexed: str) -> str:
+    """CRC-32 of a text from its hex digits, byte by byte."""
+    digit = lambda k: f"strpos('0123456789ABCDEF', substr(b, {k}, 1))"
+    bytes_ = f"list_transform(regexp_extract_all({hexed}, '..'), lambda b: CAST({digit(1)} * 16 + {digit(2)} - 17 AS BIGINT))"
+    table_ = "[" + ", ".join(map(str, _CRC)) + "]"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes_}), lambda c, x: xor(c >> 8, CAST({table_}[(xor(c, x) & 255) + 1] AS BIGINT))), 4294967295)"
+
+
 ORACLE_SQL = {
+    "op10_jump_sharding": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, hex(coalesce(text, '')) AS h, hex(CAST(doc_id AS VARCHAR)) AS ih FROM documents),
+        r AS (SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS size, {_crc_sql('h')} AS text_crc32, {_crc_sql('ih')} % 4096 AS block FROM d)
+        SELECT r.doc_id, size, text_crc32, 'key' AS law, CAST(s.shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY s.shard ORDER BY block, r.doc_id) - 1 AS slot, CAST(g.shard AS INTEGER) AS grown_shard
+        FROM r JOIN {_SHARD.format(16)} s ON s.doc_id = r.doc_id JOIN {_SHARD.format(17)} g ON g.doc_id = r.doc_id""",
+    "op2_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        win AS (SELECT doc_id, i, sha256(array_to_string(ws[i:i + 19], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w) t),
+        dup AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS n FROM win) t WHERE n > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM dup),
+        every AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM every ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+        FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id""",
+    "op6_decontamination": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+        bw AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS k FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS i FROM (SELECT *, least(10, len(ws)) AS n FROM b WHERE len(ws) > 0) x) y),
+        dw AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS k FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) m WHERE len(ws) >= n) y),
+        hit AS (SELECT doc_id, n, i, item_id FROM dw JOIN bw USING (n, k)),
+        words AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hit) t GROUP BY 1),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) t GROUP BY 1)
+        SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id""",
     "op4_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,

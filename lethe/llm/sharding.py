@@ -64,7 +64,7 @@ def jump_shards(docs: DataFrame, shards: int = 16, blocks: int = 4096) -> DataFr
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = rows.select("*", jump_hash("doc_id", shards).alias("shard"), jump_hash("doc_id", shards + 1).alias("grown_shard"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
+    rows = rows.select("*", jump_hash("doc_id", shards).alias("shard"), jump_hash("doc_id", shards + 1).alias("grown_shard"), (F.crc32(F.coalesce(F.col("doc_id"), F.lit(0)).cast("string")) % blocks).alias("block"))
     counts = rows.groupBy("shard", "block").count()
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
