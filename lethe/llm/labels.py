@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, broadcast_rows: in
     """doc_id, text and y (0.0 or 1.0) of the rows that may be learned from.
 
     The label table is counted; up to ``broadcast_rows`` rows it is broadcast (at
-    most some 30 MB) so that texts don't move, and beyond that the join shuffles.
+    most some 60 MB) so that texts don't move, and beyond that the join shuffles.
     Rows without a label, or labelled otherwise than 0 or 1, are left out.
     """
     own = labels.where(F.col(target).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max(target).cast("double").alias("y"))
@@ -22,9 +23,22 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, broadcast_rows: in
     return docs.select("doc_id", "text").where(~held_out()).join(own, "doc_id")
 
 
-def bounded_sample(rows: DataFrame, limit: int) -> list:
-    """At most ``limit`` rows, the same ones in every run."""
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
+def bounded_sample(rows: DataFrame, n: int, limit: int) -> pa.Table:
+    """At most ``limit`` of ``n`` rows, the same ones in every run. A share of the
+    hashes is taken first, so that no task sends ``limit`` rows. As Arrow, so that
+    the driver holds arrays and not an object for each number."""
+    share = min(1 << 30, int(1.2 * limit / max(n, 1) * (1 << 30)) + 1)
+    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share) if n > limit else rows
+    return some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).toArrow()
+
+
+def lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """A list column as views of its values."""
+    out = []
+    for chunk in column.chunks:
+        values, ends = chunk.values.to_numpy(zero_copy_only=False), chunk.offsets.to_numpy()
+        out += [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40) -> np.ndarray:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, keep_rows, materialise, mix, slices, texts
-from .labels import bounded_sample, labelled, logistic, sigmoid
+from .labels import bounded_sample, labelled, lists, logistic, sigmoid
 
 _EDGES = re.compile(rb"^([^0-9A-Za-z\x80-\xff]*)(.*?)([^0-9A-Za-z\x80-\xff]*)$", re.S)
 _SAME = np.uint64(0x5D)
@@ -128,7 +128,7 @@ def _extract(bits: int, orders: int, words: bool):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", bits: int = 18, orders: int = 3, words: bool = True, sample: int = 12_000, smooth: float = 1.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", bits: int = 18, orders: int = 3, words: bool = True, sample: int = 8_000, smooth: float = 1.0) -> Model:
     rows = materialise(labelled(docs, labels, target).mapInArrow(_extract(bits, orders, words), "doc_id long, y double, places array<int>"), "features")
     n, ones = rows.agg(F.count("*"), F.sum("y")).first()
     none = np.zeros(1 << bits)
@@ -143,10 +143,10 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", bits: int =
     every[at] += found.column("all").to_numpy()
     scale = np.log(one / (ones + 2 * smooth)) - np.log((every - one) / (n - ones + 2 * smooth))
     scale[every == 2 * smooth] = 0
-    taken = bounded_sample(rows, sample)
-    places = [np.array(r.places, np.int32) for r in taken]
-    y = np.array([2 * r.y - 1 for r in taken])
-    aside = np.arange(len(taken)) % 4 == 0
+    taken = bounded_sample(rows, n, sample)
+    places = lists(taken.column("places"))
+    y = 2 * taken.column("y").to_numpy() - 1
+    aside = np.arange(len(places)) % 4 == 0
     learn = np.flatnonzero(~aside)
     w, bias = descend([places[i] for i in learn], y[learn], scale)
     model = Model(w, scale, bias, 1.0, 0.0)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, materialise, slices
-from .labels import bounded_sample, labelled, logistic, sigmoid
+from .labels import bounded_sample, labelled, lists, logistic, sigmoid
 
 #: Letters of other scripts that look like Latin ones, in two aligned rows.
 _LOOKS = "абвгеіјкмнорстухѕһԁԛԝαβγεικνορτυχωѵ"
@@ -45,17 +45,17 @@ _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "
 _HIDDEN = "­​‌‍⁠﻿"
 
 _TABLE = {ord(a): b for a, b in zip(_LOOKS, _LATIN, strict=True)} | {ord(c): None for c in _HIDDEN} | {i: chr(i - 0xFEE0) for i in range(0xFF01, 0xFF5F)}
-_WORDS = re.compile(r"[^\W_]+(?:[@$]+[^\W_]+)*")
+_WORDS = re.compile(r"[@$]*[^\W_]+(?:[@$]+[^\W_]+)*")
 _DIGIT = re.compile(r"[0-9@$]")
 
 
 def folded(text: str | None) -> list[str]:
-    """The words of a text, folded. Words of digits only are left out."""
+    """The words of a text, folded. Words without a letter are left out."""
     text = unicodedata.normalize("NFC", (text or "").lower()).translate(_TABLE)
     out = []
     for w in _WORDS.findall(text):
         if _DIGIT.search(w):
-            if w.isdigit():
+            if not any(map(str.isalpha, w)):
                 continue
             w = "".join(_LEET.get(c, c) for c in w)
         out.append(w)
@@ -179,8 +179,8 @@ def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic", terms: int
     clean = pairs.where((F.col("one") == 0) & (F.col("every") >= support)).orderBy(F.desc("every"), "a", "b").limit(terms).collect()
     lexicon = Lexicon(lexicon.terms, given | {(r.a, r.b) for r in clean})
     shared = spark.sparkContext.broadcast(lexicon)
-    taken = bounded_sample(rows.mapInArrow(_traits(shared, "y"), "doc_id long, y double, traits array<double>"), sample)
-    lexicon.curve = logistic(np.array([r.traits for r in taken]), np.array([r.y for r in taken]))
+    taken = bounded_sample(rows.mapInArrow(_traits(shared, "y"), "doc_id long, y double, traits array<double>"), n, sample)
+    lexicon.curve = logistic(np.array(lists(taken.column("traits"))), taken.column("y").to_numpy())
     return lexicon
 
 
