@@ -115,6 +115,14 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def by_id(docs: DataFrame, ids: DataFrame, how: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """A semi or anti join of documents with written ids (doc_id). The ids are
+    counted: up to ``broadcast_rows`` (some 60 MB) they are broadcast, so that texts
+    don't move; beyond that both sides are shuffled."""
+    ids = F.broadcast(ids) if ids.count() <= broadcast_rows else ids.hint("merge")
+    return docs.join(ids, "doc_id", how).select(*docs.columns)
+
+
 def keep_rows(docs: DataFrame, decide) -> DataFrame:
     """The rows that a task's decider keeps, all columns unchanged. ``decide()`` is
     called once in each task and gives a function from record batches to masks."""

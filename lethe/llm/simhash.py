@@ -29,19 +29,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release, slices, texts
+from .common import by_id, materialise, mix, release, slices, texts
 
 
-def simhash(text: bytes | None, shingle: int) -> int:
-    """A bit is set if it is in more than half of the shingles' hashes."""
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle, repeats included."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     k = min(shingle, len(words))
     starts = [0, *accumulate(len(w) + 1 for w in words)]
     one = xxhash.xxh64_intdigest
-    h = np.array([one(joined[s : e - 1], 42) for s, e in zip(starts, starts[k:], strict=False)], np.uint64)
+    return np.array([one(joined[s : e - 1], 42) for s, e in zip(starts, starts[k:], strict=False)], np.uint64)
+
+
+def vote(h: np.ndarray) -> int:
+    """A bit is set if it is in more than half of the hashes."""
     votes = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         votes += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -52,7 +56,7 @@ def _prints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found = np.array([simhash(t, shingle) for t in texts(part.column("text"))], np.uint64)
+                found = np.array([vote(shingle_hashes(t, shingle)) for t in texts(part.column("text"))], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "print"])
 
     return run
@@ -111,16 +115,78 @@ def simhash_components(docs: DataFrame, shingle: int = 3, distance: int = 3) ->
     """doc_id, fingerprint (16 hex digits) and component_id, the least doc_id that
     links of at most ``distance`` differing bits reach, for every row."""
     prints = materialise(fingerprints(docs, shingle), "prints")
-    points = prints.groupBy("print").agg(F.min("doc_id").alias("node"))
+    points = materialise(prints.groupBy("print").agg(F.min("doc_id").alias("node")), "points")
     found = components(links(points, distance))
-    points = points.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
+    # written, so that both sides of the last join are dealt for it and a large group can be split
+    points = materialise(points.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component_id")), "points")
     text = F.lower(F.lpad(F.hex("print"), 16, "0"))
     return prints.join(points, "print").select("doc_id", text.alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, distance: int = 3) -> DataFrame:
-    """The document of smallest doc_id of each component, with all its columns.
-    Three bits of 64 stand for an estimated similarity of 0.98."""
-    found = simhash_components(docs, shingle, distance)
+def _views(shingle: int, views: int):
+    """The fingerprint of each text, and for each view the one of the three distinct
+    shingles that come first in the view's order (the majority of their bits)."""
+    salts = mix(np.arange(views, dtype=np.uint64))
+
+    def keys(h: np.ndarray) -> list[int]:
+        if not len(h):
+            return []
+        own = np.unique(h)
+        first = np.partition(mix(np.resize(own, max(3, len(own))) ^ salts[:, None]), 2, axis=1)[:, :3]
+        a, b, c = first.T
+        return mix(((a & b) | (a & c) | (b & c)) ^ salts).view(np.int64).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                hashes = [shingle_hashes(t, shingle) for t in texts(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array([vote(h) for h in hashes], np.uint64).view(np.int64)), pa.array([keys(h) for h in hashes], pa.list_(pa.int64()))], names=["doc_id", "print", "keys"])
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                own = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+    return run
+
+
+def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 3, views: int = 12) -> DataFrame:
+    """doc_id and component_id (its least doc_id) over links between documents whose
+    shingle sets have a Jaccard similarity of ``similarity`` or more.
+
+    Candidates come from fingerprints. Three bits of the whole text's fingerprint
+    stand for a similarity of 0.98 and miss most pairs at 0.8, so each text also has
+    fingerprints of ``views`` min-wise samples of three shingles: two texts of
+    similarity s agree in one with a chance of about s**3. Texts that agree are each
+    compared with one of them, another for each view; all pairs of a group never are.
+    Every candidate is verified by the exact similarity.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints = materialise(docs.mapInArrow(_views(shingle, views), "doc_id long, print long, keys array<long>"), "views")
+    points = materialise(prints.groupBy("print").agg(F.min("doc_id").alias("node")), "points")
+    whole = links(points, distance).unionAll(prints.select(F.col("doc_id").alias("u"), "print").join(points, "print").select("u", F.col("node").alias("v")))
+    seen = prints.select("doc_id", F.posexplode("keys").alias("view", "key"))
+    chosen = seen.groupBy("view", "key").agg(F.min_by("doc_id", F.xxhash64("doc_id", "view")).alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = whole.unionAll(seen.join(chosen, ["view", "key"]).select(F.col("doc_id").alias("u"), "v"))
+    pairs = materialise(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
+    nodes = materialise(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "nodes")
+    sets = materialise(by_id(docs, nodes, "left_semi").mapInArrow(_sets(shingle), "doc_id long, shingles array<long>"), "sets")
+    side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"{name}_set"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    common = F.size(F.array_intersect("u_set", "v_set"))
+    # by counts, so that no rounding decides: common / (all - common) >= similarity
+    near = both.where(common * (1 + similarity) >= (F.size("u_set") + F.size("v_set")) * similarity - 1e-9)
+    found = components(near.select("u", "v"))
+    return prints.select("doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, **more) -> DataFrame:
+    """The document of smallest doc_id of each component, with all its columns."""
+    found = similar_components(docs, **more)
     dropped = materialise(found.where("doc_id <> component_id").select("doc_id"), "near")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return by_id(docs, dropped, "left_anti")
