@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +37,30 @@ def chain_finalize(pending: DataFrame, tails: DataFrame | None = None) -> DataFr
     return chains.select("chain", F.explode(F.aggregate("entries", empty, step)).alias("e")).select("chain", "e.*")
 
 
+def _hash_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Hash rows that come sorted by chain and order; only the last hash is held."""
+    chain, last = None, GENESIS
+    for rows in batches:
+        before, now = [], []
+        for c, tail, payload, key in zip(rows["chain"], rows["tail"], rows["payload"], rows["key"], strict=True):
+            if chain is None or c != chain:
+                chain, last = c, tail
+            before.append(last)
+            last = hashlib.sha256(f"{last}{payload}{key}".encode()).hexdigest()
+            now.append(last)
+        yield pd.DataFrame({"chain": rows["chain"], "id": rows["id"], "previous_hash": before, "current_hash": now})
+
+
+def chain_finalize_long(pending: DataFrame, tails: DataFrame | None = None) -> DataFrame:
+    """``chain_finalize`` for chains of any length: a chain's rows are sorted in one
+    partition (with spill) and hashed as they stream by, none gathered in a row.
+    Chain and id must be integers."""
+    rows = pending.select("chain", "created_at", "id", "payload", "key")
+    rows = rows.join(tails.select("chain", "tail"), "chain", "left").withColumn("tail", F.coalesce("tail", F.lit(GENESIS))) if tails is not None else rows.withColumn("tail", F.lit(GENESIS))
+    ordered = rows.repartition("chain").sortWithinPartitions("chain", "created_at", "id")
+    return ordered.select("chain", "id", "tail", "payload", "key").mapInPandas(_hash_on, "chain long, id long, previous_hash string, current_hash string")
+
+
 def chain_head(ledger: DataFrame) -> DataFrame:
     """The last hash of each chain, heartbeats aside."""
     return ledger.where("event_type <> 'HEARTBEAT'").groupBy("chain").agg(F.max_by("current_hash", "seq").alias("head"))

@@ -19,8 +19,8 @@ def task_latency_p95(tasks: DataFrame) -> DataFrame:
     """Exact 95th percentile of milliseconds from creation to completion, for each
     task type and (null) for all."""
     ms = (F.unix_micros(F.col("completed_at").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))) / 1000
-    tasks.where("completed_at is not null").withColumn("ms", ms).createOrReplaceTempView("_lethe_tasks")
-    return tasks.sparkSession.sql("SELECT task_type, percentile_cont(0.95) WITHIN GROUP (ORDER BY ms) AS p95_ms FROM _lethe_tasks GROUP BY GROUPING SETS ((task_type), ())")
+    done = tasks.where("completed_at is not null").withColumn("ms", ms)
+    return tasks.sparkSession.sql("SELECT task_type, percentile_cont(0.95) WITHIN GROUP (ORDER BY ms) AS p95_ms FROM {done} GROUP BY GROUPING SETS ((task_type), ())", done=done)
 
 
 def lifecycle_throughput(jobs: DataFrame, seconds: float) -> DataFrame:

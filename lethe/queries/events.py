@@ -44,6 +44,11 @@ def chain_finalize(spark, sf_dir):
     return ledger.chain_finalize(_pending(spark, sf_dir))
 
 
+@R.add(_CHAIN.replace("@", "") + " SELECT chain, id, previous_hash, current_hash FROM c")
+def chain_finalize_long(spark, sf_dir):
+    return ledger.chain_finalize_long(_pending(spark, sf_dir))
+
+
 _QUIET = _CHAIN.replace("@", " WHERE event_type <> 'error'")
 
 
