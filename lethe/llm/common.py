@@ -38,6 +38,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_written: list[str] = []
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the intermediate tables that this process has written. Results that
+    were not written themselves can't be read any more."""
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
@@ -47,6 +59,7 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    _written.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, slices, texts
+from .common import by_id, materialise, mix, slices, texts
 
 _GEAR = mix(np.arange(256, dtype=np.uint64)).astype(np.uint32)
 _SPACE = b" \t\n\v\f\r"
@@ -111,7 +111,8 @@ def exact_groups(docs: DataFrame, print_bits: int = 64) -> DataFrame:
         lists = lists.withColumn("ids", F.coalesce("ids", F.array().cast(dict(sure.dtypes)["ids"])))
     lists = lists.select("doc_id", "text_sha256", "ids")
     groups = lists.groupBy("ids").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    several = groups.where("group_size > 1")
+    # written, so that both sides of the join are dealt for it and a large group can be split
+    several = materialise(groups.where("group_size > 1"), "groups")
     out = lists.join(several, "ids", "left")
     return out.select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("keep_id") == F.col("doc_id"), F.lit(True)).alias("kept"), "text_sha256")
 
@@ -120,8 +121,8 @@ def drop_copies(docs: DataFrame, **more) -> DataFrame:
     """One document of each group of equal texts, with all its columns."""
     found = exact_groups(docs, **more)
     found = materialise(found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "copies")
-    left = docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti")
+    left = by_id(docs, found.where("not kept").select("doc_id"), "left_anti")
     twice = found.where("kept and n > 1").select("doc_id")
     if not twice.isEmpty():  # repeated rows of one document
-        left = left.join(twice, "doc_id", "left_anti").unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return left.select(*docs.columns)
+        left = by_id(left, twice, "left_anti").unionByName(by_id(left, twice, "left_semi").dropDuplicates(["doc_id"]))
+    return left

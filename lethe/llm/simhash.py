@@ -171,7 +171,7 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     points = materialise(prints.groupBy("print").agg(F.min("doc_id").alias("node")), "points")
     whole = links(points, distance).unionAll(prints.select(F.col("doc_id").alias("u"), "print").join(points, "print").select("u", F.col("node").alias("v")))
     seen = prints.select("doc_id", F.posexplode("keys").alias("view", "key"))
-    chosen = seen.groupBy("view", "key").agg(F.min_by("doc_id", F.xxhash64("doc_id", "view")).alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
+    chosen = materialise(seen.groupBy("view", "key").agg(F.min_by("doc_id", F.xxhash64("doc_id", "view")).alias("v"), F.count("*").alias("n")).where("n > 1").drop("n"), "chosen")
     pairs = whole.unionAll(seen.join(chosen, ["view", "key"]).select(F.col("doc_id").alias("u"), "v"))
     pairs = materialise(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
     nodes = materialise(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "nodes")

@@ -104,3 +104,15 @@ def test_similar_components(spark, similarity):
     want = jaccard_roots(texts, similarity)
     assert sum(got[i] == want[i] for i in texts) >= 0.95 * len(texts)
     assert all(want[i] == want[got[i]] for i in texts), "only linked documents are joined"
+
+
+def test_sweep(spark, tmp_path):
+    from pathlib import Path
+
+    from lethe.llm import common
+
+    df = common.materialise(spark.range(3), "three")
+    at = Path(common._written[-1])
+    assert df.count() == 3 and at.exists()
+    common.sweep(spark)
+    assert not at.exists()
