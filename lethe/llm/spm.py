@@ -20,8 +20,10 @@ are encoded each; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +51,9 @@ class Vocabulary:
 
         model = proto.ModelProto()
         with open(model_file, "rb") as f:
-            model.ParseFromString(f.read())
+            raw = f.read()
+        model.ParseFromString(raw)
+        self.digest = hashlib.sha256(raw).hexdigest()
         norm = model.normalizer_spec
         if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
             raise NotImplementedError("only models that don't change their input are supported")
@@ -69,7 +73,7 @@ class Vocabulary:
             raise NotImplementedError("pieces that cross words")
         self.longest = max(map(len, self.ids))
         self.known = {c for n in self.ids for c in n}
-        self.beside = {n[i : i + 2] for n in self.ids for i in range(len(n) - 1)}
+        self.beside = np.unique(np.array([ord(n[i]) << 32 | ord(n[i + 1]) for n in self.ids for i in range(len(n) - 1)], np.int64))
         if merges and not self.known <= self.ids.keys():
             raise NotImplementedError("letters of pieces that are no pieces")
         if merges:
@@ -150,69 +154,115 @@ class Vocabulary:
 class Encoder:
     """Encodes texts; units seen before are remembered, up to a bound."""
 
-    def __init__(self, vocabulary: Vocabulary, remember: int = 400_000):
-        self.v, self.seen, self.remember = vocabulary, {}, remember
+    def __init__(self, vocabulary: Vocabulary, remember: int = 150_000):
+        self.v, self.remember = vocabulary, remember
+        self.seen: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        # pairs of pieces that were decided before: one place for each hash
+        self.pair, self.follows = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
+
+    def _may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) * len(self.v.scores) + b
+        at = (mix(key.view(np.uint64)) >> np.uint64(44)).astype(np.int64)
+        out = self.follows[at]
+        new = np.flatnonzero(self.pair[at] != key)
+        if len(new):
+            own, first, back = np.unique(key[new], return_index=True, return_inverse=True)
+            found = self.v.may_follow(a[new[first]], b[new[first]])
+            out[new] = found[back]
+            self.pair[at[new[first]]], self.follows[at[new[first]]] = own, found
+        return out
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def packed(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as 32-bit integers."""
         cut = []
         for t in texts:
             t = (t or "").replace(" ", _SPACE)
             cut.append(_UNIT.findall((_SPACE if self.v.prefix and t else "") + t))
         if len(self.seen) > self.remember:
             self.seen.clear()
-        self._learn({u for units in cut for u in units if u not in self.seen})
-        out = []
-        for units in cut:
-            ids: list[int] = []
-            for u in units:
-                ids += self.seen[u]
-            out.append(ids)
-        return out
+            self.parts.clear()
+        known = self.seen
+        self._learn(list(set(chain.from_iterable(cut)).difference(known)))
+        return [b"".join(map(known.__getitem__, units)) for units in cut]
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        return [np.frombuffer(p, np.int32).tolist() for p in self.packed(texts)]
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join([self.v.said[i] for i in ids]).decode("utf-8", "replace").replace(_SPACE, " ")
+        text = b"".join(map(self.v.said.__getitem__, ids)).decode("utf-8", "replace").replace(_SPACE, " ")
         return text[1:] if self.v.prefix and text[:1] == " " else text
 
-    def _learn(self, units: set[str]) -> None:
+    def _learn(self, units: list[str]) -> None:
         """Cut units further where no piece can cross, and encode the distinct parts."""
-        known, beside = self.v.known, self.v.beside
-        parts: dict[str, list[str]] = {}
-        for u in units:
-            own, at = [], 0
-            for k in range(1, len(u)):
-                if u[k - 1 : k + 1] not in beside:
-                    own.append(u[at:k])
-                    at = k
-            own.append(u[at:])
-            parts[u] = own
-        ids: dict[str, list[int]] = {}
+        if not units:
+            return
+        text = "".join(units)
+        codes = _codes(text).astype(np.int64)
+        pairs = codes[:-1] << 32 | codes[1:]
+        at = np.minimum(np.searchsorted(self.v.beside, pairs), max(0, len(self.v.beside) - 1))
+        apart = np.ones(len(codes), bool)
+        apart[:-1] = self.v.beside[at] != pairs if len(self.v.beside) else True
+        last = np.cumsum([len(u) for u in units])
+        apart[last - 1] = True
+        ends = np.flatnonzero(apart) + 1
+        parts = [text[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+        self._encode_parts(set(parts).difference(self.parts))
+        known = self.parts
+        done = np.searchsorted(ends, last, side="right").tolist()
+        for u, a, b in zip(units, [0, *done], done, strict=False):
+            self.seen[u] = known[parts[a]] if b - a == 1 else b"".join(map(known.__getitem__, parts[a:b]))
+
+    def _encode_parts(self, parts: set[str]) -> None:
+        known = self.v.known
         sizes: dict[int, list[str]] = {}
-        for p in {p for own in parts.values() for p in own}:
+        for p in parts:
             if len(p) == 1 and p not in known:
                 raw = [self.v.bytes.get(b) for b in p.encode("utf-8", "surrogatepass")]
-                ids[p] = raw if None not in raw else [self.v.unknown]
+                self.parts[p] = np.array(raw if None not in raw else [self.v.unknown], np.int32).tobytes()
             else:
                 sizes.setdefault(len(p), []).append(p)
         for size, words in sizes.items():
             room = max(1, (1 << 18) // size)
             for at in range(0, len(words), room):
-                ids.update(zip(words[at : at + room], self.viterbi(words[at : at + room]), strict=True))
-        for u, own in parts.items():
-            self.seen[u] = [i for p in own for i in ids[p]]
+                some = words[at : at + room]
+                self.parts.update(zip(some, self._packed_words(some), strict=True))
+
+    def _packed_words(self, words: list[str]) -> list[bytes]:
+        """Words of one length: their ids, laid out from the right by the backpointers."""
+        last, back = self._search(words)
+        n, size = len(words), len(words[0])
+        out = np.empty((n, size), np.int32)
+        ends, rows, filled = np.full(n, size), np.arange(n), np.zeros(n, np.int64)
+        while len(rows := rows[ends[rows] > 0]):
+            filled[rows] += 1
+            out[rows, size - filled[rows]] = last[rows, ends[rows]]
+            ends[rows] -= back[rows, ends[rows]]
+        raw = out.tobytes()
+        return [raw[4 * (k * size + size - f) : 4 * (k + 1) * size] for k, f in enumerate(filled.tolist())]
 
     def viterbi(self, words: list[str]) -> list[list[int]]:
         """Ids of words of one length, all of known letters."""
+        return [np.frombuffer(p, np.int32).tolist() for p in self._packed_words(words)]
+
+    def _search(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each word and end position: the last piece of its best path, and that
+        piece's length."""
         v, n, size = self.v, len(words), len(words[0])
         codes = np.stack([_codes(w) for w in words])
         probed = {}
-        for k, (keys, ids, spelt) in v.keys.items():
-            if k <= size:
-                h = v.hashes(codes, k)
+        one = mix(codes.astype(np.uint64))
+        h = np.zeros((n, size + 1), np.uint64)
+        for k in range(1, min(size, v.longest) + 1):
+            h = h[:, :-1] * _P + one[:, k - 1 :]
+            if k in v.keys:
+                keys, ids, spelt = v.keys[k]
                 at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                hit = keys[at] == h
-                for i in range(k):
-                    hit &= spelt[at, i] == codes[:, i : i + h.shape[1]]
-                probed[k] = np.where(hit, ids[at], -1)
+                row, start = np.nonzero(keys[at] == h)
+                found = at[row, start]
+                same = (spelt[found] == codes[row[:, None], start[:, None] + np.arange(k)]).all(axis=1)
+                probed[k] = np.full(h.shape, -1, np.int32)
+                probed[k][row[same], start[same]] = ids[found[same]]
         best = np.full((n, size + 1), -np.inf)
         best[:, 0] = 0
         last, back = np.full((n, size + 1), -1, np.int32), np.zeros((n, size + 1), np.int32)
@@ -224,7 +274,7 @@ class Encoder:
                 rows = np.flatnonzero((piece >= 0) & (before > -np.inf))
                 if v.merges:
                     if end > k and len(rows):
-                        rows = rows[v.may_follow(last[rows, end - k], piece[rows])]
+                        rows = rows[self._may_follow(last[rows, end - k], piece[rows])]
                     value[row, rows] = 0
                 else:
                     value[row, rows] = before[rows] + v.scores[piece[rows]]
@@ -232,28 +282,32 @@ class Encoder:
             best[:, end] = value[top, np.arange(n)]
             back[:, end] = np.array(sizes)[top]
             last[:, end] = np.stack([probed[k][:, end - k] for k in sizes])[top, np.arange(n)]
-        out: list[list[int]] = []
-        ends = np.full(n, size)
-        chosen = [[] for _ in range(n)]
-        rows = np.arange(n)
-        while len(rows := rows[ends[rows] > 0]):
-            for r, i in zip(rows.tolist(), last[rows, ends[rows]].tolist(), strict=True):
-                chosen[r].append(i)
-            ends[rows] -= back[rows, ends[rows]]
-        for c in chosen:
-            out.append(c[::-1])
-        return out
+        return last, back
+
+
+_held: dict[str, Encoder] = {}
+
+
+def _encoder(shared) -> Encoder:
+    """One encoder for each worker process, so that tasks share what it remembers."""
+    v = shared.value
+    if v.digest not in _held:
+        _held.clear()
+        _held[v.digest] = Encoder(v)
+    return _held[v.digest]
 
 
 def _encode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = _encoder(shared)
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 4 << 20):
                 own = part.column("text").to_pylist()
-                ids = encoder.encode(own)
-                same = [encoder.decode(i) == (t or "") for i, t in zip(ids, own, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], names=["doc_id", "n_tokens", "ids", "restored"])
+                packed = encoder.packed(own)
+                ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
+                ids = np.frombuffer(b"".join(packed), np.int32)
+                same = [encoder.decode(ids[a:b].tolist()) == (t or "") for a, b, t in zip(ends, ends[1:], own, strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "restored"])
 
     return run
 
@@ -275,7 +329,7 @@ def encode_documents(docs: DataFrame, model_file: str | None = None) -> DataFram
 
 def _decode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = _encoder(shared)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([None if i is None else encoder.decode(i) for i in batch.column("ids").to_pylist()], pa.string())], names=["doc_id", "text"])
 
