@@ -26,7 +26,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_id, materialise, mix, release, slices, texts
@@ -164,7 +164,8 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     fingerprints of ``views`` min-wise samples of three shingles: two texts of
     similarity s agree in one with a chance of about s**3. Texts that agree are each
     compared with one of them, another for each view; all pairs of a group never are.
-    Every candidate is verified by the exact similarity.
+    Groups of three or more that this leaves in parts are then joined exactly, all
+    at once (``_across``). Every candidate is verified by the exact similarity.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prints = materialise(docs.mapInArrow(_views(shingle, views), "doc_id long, print long, keys array<long>"), "views")
@@ -173,16 +174,58 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     seen = prints.select("doc_id", F.posexplode("keys").alias("view", "key"))
     chosen = materialise(seen.groupBy("view", "key").agg(F.min_by("doc_id", F.xxhash64("doc_id", "view")).alias("v"), F.count("*").alias("n")).where("n > 1").drop("n"), "chosen")
     pairs = whole.unionAll(seen.join(chosen, ["view", "key"]).select(F.col("doc_id").alias("u"), "v"))
-    pairs = materialise(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
+    pairs = materialise(_ordered(pairs), "pairs")
     nodes = materialise(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "nodes")
     sets = materialise(by_id(docs, nodes, "left_semi").mapInArrow(_sets(shingle), "doc_id long, shingles array<long>"), "sets")
+    found = components(_verified(pairs, sets, similarity))
+    part = materialise(nodes.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("part")), "part")
+    # pairs of two that agree were compared, and larger groups of one part are joined already
+    groups = seen.unionAll(prints.select("doc_id", F.lit(-1).alias("view"), F.col("print").alias("key"))).join(part, "doc_id")
+    mixed = materialise(groups.groupBy("view", "key").agg(F.count("*").alias("n"), F.min("part").alias("a"), F.max("part").alias("b")).where("n > 2 and a < b").select("view", "key"), "mixed")
+    rest = materialise(groups.join(mixed, ["view", "key"]).select("doc_id", "part").distinct(), "rest")
+    pairs = materialise(_across(sets.join(rest, "doc_id").select("doc_id", "part", "shingles"), similarity), "pairs")
+    near = _verified(pairs, sets, similarity)
+    ends = lambda name: part.select(F.col("doc_id").alias(name), F.col("part").alias(f"{name}_part"))
+    joined = components(near.join(ends("u"), "u").join(ends("v"), "v").select(F.col("u_part").alias("u"), F.col("v_part").alias("v")))
+    found = part.join(joined, F.col("part") == F.col("node"), "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "part").alias("component"))
+    return prints.select("doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets are as similar."""
     side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"{name}_set"))
     both = pairs.join(side("u"), "u").join(side("v"), "v")
     common = F.size(F.array_intersect("u_set", "v_set"))
     # by counts, so that no rounding decides: common / (all - common) >= similarity
-    near = both.where(common * (1 + similarity) >= (F.size("u_set") + F.size("v_set")) * similarity - 1e-9)
-    found = components(near.select("u", "v"))
-    return prints.select("doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+    return both.where(common * (1 + similarity) >= (F.size("u_set") + F.size("v_set")) * similarity - 1e-9).select("u", "v")
+
+
+def _across(parts: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs (u, v) of different parts; no pair as similar is left out.
+
+    A prefix filter: shingles are put in one order, those of a single part first (no
+    pair sought shares them), then the rarest. Before their first common shingle, at
+    places i and j, two texts of a and b shingles have nothing in common, so that
+    i + j <= (a + b) * (1 - similarity) / (1 + similarity). Hence one of them has it
+    in that share of its own shingles, and either in its first 1 - similarity. Texts
+    that only share a passage have their own shingles first, so they meet nowhere.
+    Pairs inside the largest part that has a shingle are never made.
+    """
+    most = (1 - similarity) / (1 + similarity)
+    rows = parts.select("doc_id", "part", F.size("shingles").alias("size"), F.explode("shingles").alias("token"))
+    held = rows.groupBy("token", "part").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.max_by("part", F.struct("n", "part")).alias("major"), F.count("*").alias("parts"))
+    shared = materialise(held.where("parts > 1").drop("parts"), "shared")
+    own = Window.partitionBy("doc_id")
+    placed = rows.join(shared, "token").withColumn("at", F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "token")) - 1)
+    first = materialise(placed.where(F.col("at") <= F.col("size") * (1 - similarity) + 1e-6).select("token", "doc_id", "part", "size", (F.col("at") - F.col("size") * most).alias("over"), (F.col("part") == F.col("major")).alias("inside")), "first")
+    one = first.where("over <= 1e-6").select("token", F.col("doc_id").alias("u"), F.col("part").alias("u_part"), F.col("size").alias("u_size"), F.col("over").alias("u_over"), F.col("inside").alias("u_inside"))
+    fits = (F.col("u_part") != F.col("part")) & (F.col("u_over") + F.col("over") <= 1e-6) & (F.least("u_size", "size") >= F.greatest("u_size", "size") * similarity - 1e-6)
+    met = lambda a, b: a.join(b, "token").where(fits).select("u", F.col("doc_id").alias("v"))
+    return _ordered(met(one.where("not u_inside"), first).unionAll(met(one.where("u_inside"), first.where("not inside"))))
 
 
 def drop_near_copies(docs: DataFrame, **more) -> DataFrame:

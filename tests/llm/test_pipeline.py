@@ -106,6 +106,19 @@ def test_similar_components(spark, similarity):
     assert all(want[i] == want[got[i]] for i in texts), "only linked documents are joined"
 
 
+def test_similar_pairs_in_a_group_that_shares_a_passage(spark):
+    """300 texts with a similarity of 0.75 through one passage, 30 pairs of them with 0.82."""
+    passage = [f"p{i}" for i in range(244)]
+    texts = {}
+    for i in range(300):
+        pair = [f"pair{i // 2}_{k}" for k in range(13)] if i < 60 else []
+        texts[i] = " ".join(passage + pair + [f"own{i}_{k}" for k in range(40 - len(pair))])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = {i: i - i % 2 if i < 60 else i for i in texts}
+    assert jaccard_roots(texts, 0.8) == want
+    assert {x.doc_id: x.component_id for x in simhash.similar_components(docs).collect()} == want
+
+
 def test_sweep(spark, tmp_path):
     from pathlib import Path
 
