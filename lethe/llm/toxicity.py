@@ -12,9 +12,10 @@ prefixes (stems, for languages that compound), weighted by the log ratio of how
 often either class has them. Exception phrases are pairs of neighbouring words
 around a term that only occur in clean rows; more may be given.
 
-Bounds: at most ``terms`` terms and as many phrases are kept, the heaviest first; the
-curve is fitted on at most ``sample`` rows, chosen by hash of doc_id. Counts
-cover all rows that may be learned from.
+Bounds: every term and phrase that passes is kept (terms are pruned in Spark before
+they are collected; a lexicon beyond ``LARGE`` bytes is sent all the same, with a
+warning); the curve is fitted on at most ``sample`` rows, chosen by hash of doc_id.
+Counts cover all rows that may be learned from.
 
 Edge cases: null counts as empty; texts without a match get the curve's value
 for zero; without labels of both classes the lexicon is empty and all scores
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 
@@ -45,6 +47,8 @@ _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "
 _HIDDEN = "­​‌‍⁠﻿"
 
 _TABLE = {ord(a): b for a, b in zip(_LOOKS, _LATIN, strict=True)} | {ord(c): None for c in _HIDDEN} | {i: chr(i - 0xFEE0) for i in range(0xFF01, 0xFF5F)}
+#: Bytes of terms and phrases beyond which a broadcast lexicon is warned of.
+LARGE = 64 << 20
 _WORDS = re.compile(r"[@$]*[^\W_]+(?:[@$]+[^\W_]+)*")
 _DIGIT = re.compile(r"[0-9@$]")
 
@@ -160,7 +164,7 @@ def _traits(shared, extra: str):
     return run
 
 
-def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic", terms: int = 2000, support: int = 5, heaviest: float = 1.5, prefixes: tuple[int, ...] = (3, 4, 5, 6, 7), sample: int = 20_000, exceptions: tuple[str, ...] = ()) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic", support: int = 5, heaviest: float = 1.5, prefixes: tuple[int, ...] = (3, 4, 5, 6, 7), sample: int = 20_000, exceptions: tuple[str, ...] = ()) -> Lexicon:
     spark = docs.sparkSession
     rows = labelled(docs, labels, target)
     n, ones = rows.agg(F.count("*"), F.sum("y")).first()
@@ -172,12 +176,16 @@ def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic", terms: int
     counts = words.select(F.explode(cut).alias("term"), "one", "every").where("term is not null").groupBy("term").agg(F.sum("one").alias("one"), F.sum("every").alias("every"))
     smooth = 0.5
     weight = F.log((F.col("one") + smooth) / (ones + 1)) - F.log((F.col("every") - F.col("one") + smooth) / (n - ones + 1))
-    chosen = counts.select("term", "one", weight.alias("weight")).where((F.col("one") >= support) & (F.col("weight") >= heaviest)).orderBy(F.desc(F.col("weight") * F.log1p("one")), "term").limit(terms).collect()
-    lexicon = Lexicon(_pruned({r.term: (r.weight, r.one) for r in chosen}), given)
-    shared = spark.sparkContext.broadcast(lexicon)  # at most ``terms`` terms
+    passed = counts.select("term", "one", weight.alias("weight")).where((F.col("one") >= support) & (F.col("weight") >= heaviest))
+    # a term and its longer forms share their first letters, so each group is pruned on its own
+    chosen = passed.groupBy(F.substring("term", 1, 1 + min(prefixes, default=1))).applyInArrow(_pruned_group, "term string, weight double").orderBy("term").toArrow()
+    lexicon = Lexicon(dict(zip(chosen.column("term").to_pylist(), chosen.column("weight").to_pylist(), strict=True)), given)
+    _check_size(lexicon)
+    shared = spark.sparkContext.broadcast(lexicon)
     pairs = rows.mapInArrow(_count_phrases(shared), "a string, b string, one long, every long").groupBy("a", "b").agg(F.sum("one").alias("one"), F.sum("every").alias("every"))
-    clean = pairs.where((F.col("one") == 0) & (F.col("every") >= support)).orderBy(F.desc("every"), "a", "b").limit(terms).collect()
-    lexicon = Lexicon(lexicon.terms, given | {(r.a, r.b) for r in clean})
+    clean = pairs.where((F.col("one") == 0) & (F.col("every") >= support)).select("a", "b").toArrow()
+    lexicon = Lexicon(lexicon.terms, given | set(zip(clean.column("a").to_pylist(), clean.column("b").to_pylist(), strict=True)))
+    _check_size(lexicon)
     shared = spark.sparkContext.broadcast(lexicon)
     taken = bounded_sample(rows.mapInArrow(_traits(shared, "y"), "doc_id long, y double, traits array<double>"), n, sample)
     lexicon.curve = logistic(np.array(lists(taken.column("traits"))), taken.column("y").to_numpy())
@@ -200,6 +208,18 @@ def _pruned(terms: dict[str, tuple[float, int]]) -> dict[str, float]:
     return out
 
 
+def _pruned_group(rows: pa.Table) -> pa.Table:
+    terms, weights, ones = (rows.column(c).to_pylist() for c in ("term", "weight", "one"))
+    left = _pruned(dict(zip(terms, zip(weights, ones, strict=True), strict=True)))
+    return pa.table({"term": pa.array(list(left), pa.string()), "weight": pa.array(list(left.values()), pa.float64())})
+
+
+def _check_size(lexicon: Lexicon) -> None:
+    size = sum(map(len, lexicon.terms)) + sum(len(a) + len(b) for a, b in lexicon.phrases)
+    if size > LARGE:
+        warnings.warn(f"the lexicon has {len(lexicon.terms)} terms and {len(lexicon.phrases)} phrases; every worker holds them", stacklevel=3)
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, lexicon: Lexicon | None = None, **more) -> DataFrame:
     """doc_id, held_out, score (likelihood of label 1) and predicted for every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -316,6 +316,21 @@ def test_toxicity_on_held_out_rows(tables):
     assert (out.predicted == out.toxic).mean() > 0.93 and out[out.toxic == 0].predicted.mean() < 0.03
 
 
+def test_every_toxic_word_is_learned(spark):
+    """2,500 words, each in eight or more toxic rows only."""
+    r = random.Random(11)
+    words = sorted({"".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(9)) for _ in range(2500)})
+    rows = []
+    for k in range(16):
+        r.shuffle(words)
+        rows += [(" ".join(words[at : at + 50]), 1) for at in range(0, len(words), 50)]
+    rows += [(f"quite fine {k % 7}", 0) for k in range(4000)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    lexicon = toxicity.learn(docs, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int"))
+    automaton = lexicon.automaton()
+    assert len(words) == 2500 and sum(bool(lexicon.matches([w], automaton)) for w in words) == 2500
+
+
 def test_toxic_words_in_disguise():
     lexicon = toxicity.Lexicon({" idiot": 5.0, " scum ": 4.0}, {("no", "idiot")})
     automaton = lexicon.automaton()
