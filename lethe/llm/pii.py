@@ -2,7 +2,7 @@
 
 Entities are found by one pattern and replaced by keyed surrogates of their own
 kind: letters by letters of the same case and script, digits by digits, so that
-separators and length stay; addresses of networks stay valid and private ones
+separators and length stay (but for redrawn mail addresses); addresses of networks stay valid and private ones
 private; card numbers that pass the Luhn test still do; names become names of
 the same gender (by the title before them) and script.
 
@@ -10,7 +10,9 @@ A surrogate depends on the key, the kind and the normalised entity alone, so one
 entity gets one surrogate in all documents and spellings. All entities of the
 corpus are checked for collisions: where two would share a surrogate, or one
 would get what is another's real value, all but the first draw anew, until none
-is left. Only entities that drew again are joined to their documents; all other
+is left. With each draw names get a syllable and mail addresses a letter more, and
+private addresses whose range is full go to 10/8, so that large input finds free
+surrogates. Only entities that drew again are joined to their documents; all other
 surrogates are computed in place, without a shuffle of texts.
 
 Edge cases: null texts stay null; texts without entities are unchanged; repeated
@@ -104,10 +106,15 @@ def _letters(value: Column, seed: Column, hexadecimal: Column) -> Column:
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
-def _address(value: Column, seed: Column) -> Column:
+#: Draws in a private address's own range, before all of 10/8 is open to it.
+_OWN_RANGE = 8
+
+
+def _address(value: Column, seed: Column, attempt: Column) -> Column:
     part = lambda k: F.element_at(F.split(value, r"\."), k)
     free = lambda i: _draw(seed, i, 254) + 1
-    private = F.when(part(1) == "10", F.concat_ws(".", part(1), free(2), free(3), free(4))).when(value.rlike(r"^(192\.168|172\.(1[6-9]|2\d|3[01])|127\.0|169\.254)\."), F.concat_ws(".", part(1), part(2), free(3), free(4)))
+    narrow = value.rlike(r"^(192\.168|172\.(1[6-9]|2\d|3[01])|127\.0|169\.254)\.")
+    private = F.when((part(1) == "10") | (narrow & (attempt >= _OWN_RANGE)), F.concat_ws(".", F.lit("10"), free(2), free(3), free(4))).when(narrow, F.concat_ws(".", part(1), part(2), free(3), free(4)))
     first = F.element_at(F.array(*[F.lit(n) for n in range(11, 224) if n not in (127, 169, 172, 192)]), _draw(seed, 1, 209) + 1)
     return F.coalesce(private, F.concat_ws(".", first, free(2), free(3), free(4)))
 
@@ -124,21 +131,28 @@ def _pick(words: str, seed: Column, i: int) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in own]), _draw(seed, i, len(own)) + 1)
 
 
+def _more(words: str, seed: Column, n: Column) -> Column:
+    """``n`` further syllables or letters."""
+    own = F.array(*[F.lit(w) for w in words.split()])
+    drawn = lambda j: F.element_at(own, _draw(seed, F.lit(8) + j, len(words.split())) + 1)
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), drawn), "")).otherwise("")
+
+
 def surrogate(kind: Column, value: Column, attempt: Column, key: bytes) -> Column:
     """The normalised surrogate of an entity's normalised value."""
     return _let(_hmac(key, F.concat_ws("|", kind, value, attempt.cast("string"))), lambda seed: _drawn(kind, value, attempt, seed))
 
 
 def _drawn(kind: Column, value: Column, attempt: Column, seed: Column) -> Column:
-    more = F.when(attempt > 0, _pick(_SYLLABLES["latin"], seed, 9)).otherwise("")
-    out = F.when(kind == "ip", _address(value, seed)).when(kind == "card", _card(value, seed)).when(kind == "secret", _letters(value, seed, F.lit(True)))
+    # names grow by a syllable with each attempt, and mail addresses by a letter, so that no pool has an end
+    more = {script: _more(syllables, seed, attempt) for script, syllables in _SYLLABLES.items()}
+    out = F.when(kind == "ip", _address(value, seed, attempt)).when(kind == "card", _card(value, seed)).when(kind == "secret", _letters(value, seed, F.lit(True)))
     # the last label of a mail domain stays
-    out = out.when(kind == "email", F.concat(_letters(F.regexp_extract(value, r"^(.*)\.[^.]+$", 1), seed, F.lit(False)), F.regexp_extract(value, r"(\.[^.]+)$", 1)))
+    out = out.when(kind == "email", F.concat(_more(" ".join(_ALPHABETS[0]), seed, attempt), _letters(F.regexp_extract(value, r"^(.*)\.[^.]+$", 1), seed, F.lit(False)), F.regexp_extract(value, r"(\.[^.]+)$", 1)))
     for which, names in _GIVEN.items():
-        tail = F.lower(more) if which.startswith("latin") else F.when(attempt > 0, _pick(_SYLLABLES["cyrillic"], seed, 9)).otherwise("")
-        out = out.when(kind == f"given_{which}", F.lower(F.concat(_pick(names, seed, 1), tail)))
+        out = out.when(kind == f"given_{which}", F.lower(F.concat(_pick(names, seed, 1), more[which.split("_")[0]])))
     for script, syllables in _SYLLABLES.items():
-        out = out.when(kind == f"family_{script}", F.concat(*[_pick(syllables, seed, i) for i in range(1, 5)]))
+        out = out.when(kind == f"family_{script}", F.concat(*[_pick(syllables, seed, i) for i in range(1, 5)], more[script]))
     return out.otherwise(_letters(value, seed, F.lit(False)))
 
 
@@ -148,7 +162,9 @@ def _dressed(mention: Column, new: Column) -> Column:
     count = lambda s: F.length(F.regexp_replace(s, r"\D", ""))
     place = lambda i: count(F.substring(mention, F.lit(1), i + 1)) - count(mention) + F.length(new)
     digits = F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike(r"\d") & (place(i) > 0), F.substring(new, place(i), F.lit(1))).otherwise(c)), "")
-    cased = F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike(r"\p{Lu}"), F.upper(F.substring(new, i + 1, F.lit(1)))).otherwise(F.substring(new, i + 1, F.lit(1)))), "")
+    longer = F.greatest(F.length(new) - F.length(mention), F.lit(0))
+    letter = lambda i: F.substring(new, longer + i + 1, F.lit(1))
+    cased = F.concat(F.substring(new, F.lit(1), longer), F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike(r"\p{Lu}"), F.upper(letter(i))).otherwise(letter(i))), ""))
     kind = kind_of(mention)
     return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "ip", new).otherwise(cased)
 

@@ -289,6 +289,31 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(got)) == 600 and not set(got) & set(values)
 
 
+def test_surrogates_of_more_values_than_a_pool_first_has(spark):
+    """1,000 names of each kind, short and Chinese mail addresses, most of 192.168."""
+    import itertools
+
+    latin = ["".join(p) for p in itertools.product("bcdfghklmn", "aeiou", "bdfgklmnpr", "aeiou")][:1000]
+    cyrillic = ["".join(p) for p in itertools.product("бвгдзклмнп", "аеиоу", "бвгдзклмнп", "аеиоу")][:1000]
+    titles = [("Mr", latin), ("Mrs", latin), ("Dr", latin), ("г-н", cyrillic), ("г-жа", cyrillic), ("Prof", cyrillic)]
+    names = [f"{t} {w.capitalize()} {w.capitalize()}" for t, ws in titles for w in ws]
+    mails = [f"{a}@{b}.co" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"] + ["张三@例子.cn", "李四@例子.cn"]
+    rows = spark.createDataFrame(list(enumerate(names + mails)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.surrogate_texts(rows, b"k").collect()}
+    for k in range(6):
+        new = [got[i].split()[1].lower() for i in range(k * 1000, k * 1000 + 1000)]
+        assert len(set(new)) == 1000 and not set(new) & set(titles[k][1])
+    new = [got[i] for i in range(len(names), len(got))]
+    assert len(set(new)) == len(mails) and not set(new) & set(mails) and all(m.endswith((".co", ".cn")) for m in new)
+
+    values = [f"192.168.{i // 254 + 1}.{i % 254 + 1}" for i in range(33_000)]
+    held = spark.createDataFrame([("ip", v) for v in values], "kind string, value string")
+    attempt = F.coalesce("attempt", F.lit(0))
+    drawn = held.join(pii.settled(held, b"k"), ["kind", "value"], "left").select(pii.surrogate(F.col("kind"), F.col("value"), attempt, b"k").alias("new"))
+    new = {r.new for r in drawn.collect()}
+    assert len(new) == len(values) and not new & set(values) and all(n.startswith(("192.168.", "10.")) for n in new)
+
+
 def test_models_without_labels(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1, None)], "doc_id long, quality int, toxic int")
     for table in (labels, labels.limit(0)):
