@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.crypto import canonical_json, deterministic_uuid, sha256_hex
 from ..functions.text import certificate_delay_s, retry_delay_ms
@@ -158,24 +162,31 @@ def release_audit(heartbeats: DataFrame, releases: DataFrame) -> DataFrame:
     return heartbeats.join(r, "config_hash", "left").withColumn("code", code).where("code is not null").select(*heartbeats.columns, "code")
 
 
-def window_budget(events: Column, window_s: int, most: int) -> Column:
-    """Each ordered request (ts) of one key: allowed, remaining and reset_at. The
-    window opens at its first request, not at a clock mark."""
-    kind = "array<struct<ts:timestamp,allowed:boolean,remaining:int,reset_at:timestamp>>"
-    start = F.struct(F.array().cast(kind).alias("out"), F.lit(None).cast("timestamp").alias("reset"), F.lit(0).alias("n"))
-    length = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(window_s))
+def _windows(key: str, window_s: int):
+    """Requests that come sorted by key and ts, in microseconds; only the open window
+    is held. It opens at its first request, not at a clock mark."""
 
-    def step(s: Column, e: Column) -> Column:
-        fresh = s["reset"].isNull() | (e["ts"] >= s["reset"])
-        reset = F.when(fresh, e["ts"] + length).otherwise(s["reset"])
-        n = F.when(fresh, F.lit(1)).otherwise(s["n"] + 1)
-        one = F.struct(e["ts"].alias("ts"), (n <= most).alias("allowed"), F.greatest(F.lit(most) - n, F.lit(0)).alias("remaining"), reset.alias("reset_at"))
-        return F.struct(F.concat(s["out"], F.array(one)).alias("out"), reset.alias("reset"), n.alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, reset, n = object(), None, 0
+        for rows in batches:
+            resets, counts = [], []
+            for k, ts in zip(rows.column(key).to_pylist(), rows.column("ts").to_pylist(), strict=True):
+                if k != own:
+                    own, reset = k, None
+                if reset is None or (ts is not None and ts >= reset):
+                    reset, n = None if ts is None else ts + window_s * 1_000_000, 0
+                n += 1
+                resets.append(reset)
+                counts.append(n)
+            yield pa.RecordBatch.from_arrays([rows.column(key), rows.column("ts"), pa.array(counts, pa.int64()), pa.array(resets, pa.int64())], names=[key, "ts", "n", "reset"])
 
-    return F.aggregate(events, start, step)["out"]
+    return run
 
 
 def fixed_window_budget(requests: DataFrame, key: str, window_s: int, most: int) -> DataFrame:
-    """key, ts, allowed, remaining and reset_at for (key, ts)."""
-    own = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ts"))).alias("e"))
-    return own.select(key, F.explode(window_budget(F.col("e"), window_s, most)).alias("r")).select(key, "r.*")
+    """key, ts, allowed, remaining and reset_at for (key, ts). A key's requests are
+    sorted in one partition (with spill) and stream by, none gathered in a row."""
+    rows = requests.select(key, F.unix_micros(F.col("ts").cast("timestamp")).alias("ts")).repartition(key).sortWithinPartitions(key, "ts")
+    kinds = StructType([rows.schema[key], *(StructField(n, LongType()) for n in ("ts", "n", "reset"))])
+    seen = rows.mapInArrow(_windows(key, window_s), kinds)
+    return seen.select(key, F.timestamp_micros("ts").alias("ts"), (F.col("n") <= most).alias("allowed"), F.greatest(F.lit(most) - F.col("n"), F.lit(0)).cast("int").alias("remaining"), F.timestamp_micros("reset").alias("reset_at"))

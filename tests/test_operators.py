@@ -87,6 +87,27 @@ def test_chains(spark):
     assert {r.reason for r in ledger.chain_verify(torn).collect()} == {None, "previous_hash_mismatch"}
 
 
+def test_long_chain_and_window_of_one_key(spark):
+    """60,000 rows of one key, which no array should gather; and rows without payload."""
+    import hashlib
+
+    n = 60_000
+    rows = spark.range(n).select(F.lit("c").alias("chain"), F.timestamp_seconds("id").alias("created_at"), "id", F.lit("{}").alias("payload"), F.col("id").cast("string").alias("key"))
+    built = ledger.chain_finalize(rows)
+    assert "collect_list" not in built._jdf.queryExecution().toString()
+    last = "GENESIS"
+    for i in range(n):
+        last = hashlib.sha256(f"{last}{{}}{i}".encode()).hexdigest()
+    assert built.count() == n and built.where(f"id = {n - 1}").first().current_hash == last
+    budget = lifecycle.fixed_window_budget(rows.select("chain", F.col("created_at").alias("ts")), "chain", 100, 3)
+    assert "collect_list" not in budget._jdf.queryExecution().toString()
+    assert budget.count() == n and budget.where("allowed").count() == n // 100 * 3
+    gap = spark.createDataFrame([("c", 1, 1, "a", "k"), ("c", 2, 2, None, "k"), ("c", 3, 3, "b", "k")], "chain string, created_at int, id int, payload string, key string")
+    got = {r.id: (r.previous_hash, r.current_hash) for r in ledger.chain_finalize(gap, spark.createDataFrame([("c", "tail")], "chain string, tail string")).collect()}
+    first, third = (hashlib.sha256(f"tail{x}k".encode()).hexdigest() for x in "ab")
+    assert got == {1: ("tail", first), 2: (first, None), 3: ("tail", third)}
+
+
 def test_shredding_leaves_no_key(spark, tmp_path):
     store = tables.Versions(spark, str(tmp_path / "store"))
     root = spark.createDataFrame([("1", "a@x", "A"), ("2", "b@x", None)], "id string, email string, full_name string")
