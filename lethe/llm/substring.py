@@ -1,4 +1,4 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by lookup of content-defined blocks.
 
 Every text is cut at content-defined places into *reference blocks*: a block is
 a run of consecutive windows (``window`` words each) that share one anchor, the
@@ -6,12 +6,10 @@ window's least phrase of ``anchor`` words. Equal texts are cut alike wherever
 they stand, so the blocks of the whole corpus form one index, keyed by anchor
 phrase and content.
 
-A document is then factored against the index from left to right, each factor
-as long as earlier text allows. Blocks that already occurred are whole pieces
-of a factor. Factors end inside the remaining blocks; where an anchor of such a
-block is shared with other blocks, its windows are looked up one by one (the
-check at factor boundaries). A factor of at least ``window`` words is a
-duplicate span.
+There is no greedy parse into factors (reference position and length): the result
+needs only which windows repeat. Blocks that already occurred are repeated whole;
+where an anchor of another block is shared, its windows are looked up one by one.
+Runs of repeated windows are the duplicate spans.
 
 Shuffles carry hashes and positions of blocks, never windows of the whole
 corpus: a block has about eight words. All grouping is by partial aggregation,
