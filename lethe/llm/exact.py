@@ -10,8 +10,12 @@ chunks share is no identifier, and the chunks' digests take its place in every
 recipe that holds it.
 
 Edge cases: null counts as the empty text, whose recipe is empty; repeated rows
-of one doc_id with one text share one result and all count in group_size; other
-columns are ignored.
+of one doc_id with one text share one result and all count in group_size, and rows
+of one doc_id with different texts are told apart; a row without a doc_id is kept
+only where its whole group has none (``drop_copies`` leaves all such rows as they
+are); an empty table gives an empty result; other columns are ignored. Texts of any
+length are cut into chunks of at most 16 kB; a task holds one text at a time besides
+its recipe, about one per cent of it.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from .common import by_id, materialise, mix, slices, texts
 _GEAR = mix(np.arange(256, dtype=np.uint64)).astype(np.uint32)
 _SPACE = b" \t\n\v\f\r"
 _RECIPE = "doc_id long, text_sha256 string, recipe array<struct<print:long,size:int,d1:long,d2:long>>"
+_WHITE = "[\\x20\\x09-\\x0D]+"
 
 
 def one_space(text: bytes) -> bytes:
@@ -97,32 +102,37 @@ def exact_groups(docs: DataFrame, print_bits: int = 64) -> DataFrame:
     test what happens when they clash).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    recipes = materialise(docs.mapInArrow(_recipes(print_bits), _RECIPE), "recipes")
+    # rows are told apart by a number of their own, fixed by writing it
+    recipes = materialise(docs.mapInArrow(_recipes(print_bits), _RECIPE).withColumn("row", F.monotonically_increasing_id()), "recipes")
     chunks = recipes.select(F.explode("recipe").alias("c")).select("c.*")
     both = lambda c: (F.min(c) != F.max(c)).alias(f"{c}_differs")
     clashing = chunks.groupBy("print").agg(both("size"), both("d1"), both("d2")).where("size_differs or d1_differs or d2_differs").select("print")
+    clashing = materialise(clashing, "clashing")
     lists = recipes.withColumn("ids", F.transform("recipe", lambda c: c["print"]))
     if not clashing.isEmpty():
-        parts = recipes.select("doc_id", "text_sha256", F.posexplode("recipe").alias("at", "c")).select("*", F.col("c.print").alias("print"))
-        parts = parts.join(clashing.withColumn("clash", F.lit(True)), "print", "left")
-        safe = parts.withColumn("id", F.when(F.col("clash"), F.xxhash64("c.d1", "c.d2", "c.size")).otherwise(F.col("print")))
-        sure = safe.groupBy("doc_id", "text_sha256").agg(F.array_sort(F.collect_list(F.struct("at", "id", F.when(F.col("clash"), F.struct("c.d1", "c.d2")).alias("digest")))).alias("ids"))
-        lists = recipes.join(sure, ["doc_id", "text_sha256"], "left")
-        lists = lists.withColumn("ids", F.coalesce("ids", F.array().cast(dict(sure.dtypes)["ids"])))
+        held = recipes.select("row", F.posexplode("recipe").alias("at", "c")).withColumn("print", F.col("c.print")).join(clashing, "print")
+        held = held.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("c.size", "c.d1", "c.d2").alias("digest")))).alias("unsure"))
+        digest = lambda i: F.try_element_at(F.col("unsure"), i)
+        sure = F.transform("recipe", lambda c, i: F.struct(F.when(digest(i).isNull(), c["print"]).alias("print"), digest(i).alias("digest")))
+        lists = recipes.join(held, "row", "left").withColumn("ids", sure)
     lists = lists.select("doc_id", "text_sha256", "ids")
     groups = lists.groupBy("ids").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     # written, so that both sides of the join are dealt for it and a large group can be split
     several = materialise(groups.where("group_size > 1"), "groups")
     out = lists.join(several, "ids", "left")
-    return out.select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("keep_id") == F.col("doc_id"), F.lit(True)).alias("kept"), "text_sha256")
+    return out.select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("group_size").isNull() | F.equal_null("keep_id", "doc_id")).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, **more) -> DataFrame:
     """One document of each group of equal texts, with all its columns."""
-    found = exact_groups(docs, **more)
-    found = materialise(found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "copies")
-    left = by_id(docs, found.where("not kept").select("doc_id"), "left_anti")
-    twice = found.where("kept and n > 1").select("doc_id")
-    if not twice.isEmpty():  # repeated rows of one document
-        left = by_id(left, twice, "left_anti").unionByName(by_id(left, twice, "left_semi").dropDuplicates(["doc_id"]))
-    return left
+    found = materialise(exact_groups(docs, **more).where("doc_id is not null").select("doc_id", "kept", "text_sha256"), "copies")
+    ids = materialise(found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "ids")
+    left = by_id(docs, ids.where("not kept").select("doc_id"), "left_anti")
+    twice = ids.where("kept and n > 1").select("doc_id")
+    if twice.isEmpty():
+        return left
+    # repeated rows of one doc_id, each looked up by its own text
+    text = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), _WHITE, " "), 256)
+    rows = by_id(left, twice, "left_semi").withColumn("text_sha256", text).dropDuplicates(["doc_id", "text_sha256"])
+    rows = rows.join(found.where("kept").select("doc_id", "text_sha256").distinct(), ["doc_id", "text_sha256"], "left_semi").select(*docs.columns)
+    return by_id(left, twice, "left_anti").unionByName(rows)
