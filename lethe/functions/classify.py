@@ -55,12 +55,29 @@ SIGNATURES = (
     ("indian_pin_code", r"^[1-9][0-9]{5}$", 0.78, r"pincode|pin_code|postal|zip"),
 )
 PAN_STATUS = "PCHFATBLJG"
-#: The dihedral multiplication table and the permutations of the Verhoeff check.
-VERHOEFF_D = "0123456789123406789523401789563401289567401239567859876043216598710432765982104387659321049876543210"
-VERHOEFF_P = "01234567891576283094580379614289160435279453126870428657390127938064157046913258"
+#: The first permutation of the Verhoeff check; the others are its powers.
+VERHOEFF_STEP = (1, 5, 7, 6, 2, 8, 3, 0, 9, 4)
 # -----------------------------------------------------------------------------
 
 
+def _dihedral(a: int, b: int) -> int:
+    """The product of two symmetries of a pentagon: turns are 0 to 4, flips 5 to 9."""
+    turn = (a + b) % 5 if a < 5 else (a - b) % 5
+    return turn if (a < 5) == (b < 5) else turn + 5
+
+
+def _powers(step: tuple[int, ...], n: int) -> list[list[int]]:
+    out = [list(range(10))]
+    while len(out) < n:
+        out.append([step[x] for x in out[-1]])
+    return out
+
+
+#: The tables of the Verhoeff check, as digits row by row for the look-up by position.
+VERHOEFF_D = "".join(str(_dihedral(a, b)) for a in range(10) for b in range(10))
+VERHOEFF_P = "".join(str(x) for row in _powers(VERHOEFF_STEP, 8) for x in row)
+
+
 def name_score(column: Column) -> Column:
     """The best score of all patterns that a column name fits, else 0."""
     name = F.lower(column)
@@ -125,33 +142,36 @@ def valid_ipv6(value: Column) -> Column:
 _CHECKS = {"aadhaar": valid_aadhaar, "pan": valid_pan, "gstin": valid_gstin, "credit_card": valid_luhn, "ipv6": valid_ipv6}
 
 
-def signature_hits(value: Column, column_name: str = "") -> dict[str, Column]:
-    """For each signature that the column's name allows: whether a value has it."""
-    import re
-
+def signature_hits(value: Column, column_name: Column | str = "") -> dict[str, Column]:
+    """For each signature: whether a value has it. Those that need a hint ask the name
+    of the column, which may be a column itself."""
+    named = F.lower(F.lit(column_name) if isinstance(column_name, str) else column_name)
     out = {}
     for name, pattern, _, hint in SIGNATURES:
-        if hint and not re.search(hint, column_name, re.I):
-            continue
         hit = value.rlike(pattern.removesuffix("$") + r"\z")
-        out[name] = hit & _CHECKS[name](value) if name in _CHECKS else hit
+        hit = hit & _CHECKS[name](value) if name in _CHECKS else hit
+        out[name] = named.rlike(hint) & hit if hint else hit
     return out
 
 
 def candidates(value: Column) -> Column:
-    """The trimmed value and its tokens without punctuation at the edges."""
+    """The trimmed value and its tokens without punctuation at the edges, each once."""
     whole = F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
     tokens = F.transform(F.split(whole, r"(?U)\s+"), lambda t: F.regexp_replace(t, r"^[^\w+]+|\W+$", ""))
     return F.filter(F.array_distinct(F.concat(F.array(whole), tokens)), lambda t: t != "")
 
 
-def classify_leaf(value: Column, column_name: str = "") -> Column:
+#: What every signature needs: a digit, an at sign, a colon, or pairs of letters with
+#: dashes (a hardware address may have no digit).
+LIKELY = "[0-9@:]|(?:[A-Fa-f]{2}-){5}[A-Fa-f]{2}"
+
+
+def classify_leaf(value: Column, column_name: Column | str = "") -> Column:
     """Signatures that a value or one of its tokens has, in their fixed order."""
     def named(c: Column) -> Column:
         return F.filter(F.array(*[F.when(hit, F.lit(n)) for n, hit in signature_hits(c, column_name).items()]), lambda x: x.isNotNull())
 
-    # a token without a digit and without an at sign has none of the signatures but ipv6 ("::")
-    likely = F.filter(candidates(value), lambda c: c.rlike("[0-9@:]"))
+    likely = F.filter(candidates(value), lambda c: c.rlike(LIKELY))
     found = F.flatten(F.transform(likely, named))
     order = F.array(*[F.lit(n) for n, *_ in SIGNATURES])
     return F.filter(order, lambda n: F.array_contains(found, n))

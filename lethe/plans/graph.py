@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Column names that identify a subject.
 IDENTIFIER = r"^(?:user_id|account_id|customer_id|client_id|actor_id|user_uuid|member_id|subject_id|.*_user_id|target_email|user_email)$"
@@ -11,6 +14,35 @@ DELETE_ACTIONS = {"a": "NO ACTION", "r": "RESTRICT", "c": "CASCADE", "n": "SET N
 MAX_DEPTH = 32
 
 
+def found_keys(tables: dict[str, DataFrame], prefix: str = r"^[a-z]_") -> DataFrame:
+    """Foreign keys that the data of tables without declared ones bear out.
+
+    Candidates are integer columns of one name (without ``prefix``) in two tables. A
+    column is a key if it is unique and never null there; another column refers to it
+    if all its values occur in it. Of two keys with the very same values, the table of
+    the greater name refers to the other. Each column is read once and reduced to its
+    distinct values before anything is joined."""
+    import re
+    from collections import Counter
+
+    columns = [(t, f.name, re.sub(prefix, "", f.name)) for t, df in sorted(tables.items()) for f in df.schema.fields if isinstance(f.dataType, IntegralType)]
+    often = Counter(base for _, _, base in columns)
+    cells = [tables[t].groupBy(F.col(c).cast("long").alias("value")).agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), F.lit(base).alias("base"), "value", "n") for t, c, base in columns if often[base] > 1]
+    if not cells:
+        return next(iter(tables.values())).sparkSession.createDataFrame([], "constraint_name string, child_table string, child_column string, parent_table string, parent_column string")
+    values = reduce(DataFrame.unionAll, cells)
+    about = values.groupBy("table_name", "column_name").agg(F.count("value").alias("distinct"), ((F.max("n") == 1) & (F.count("value") == F.count("*"))).alias("unique"))
+    known = values.where("value is not null")
+    side = lambda names, rows: rows.select(*[F.col(a).alias(b) for a, b in zip(("table_name", "column_name", "base", "value"), names, strict=True)])
+    keys = known.join(F.broadcast(about.where("unique").select("table_name", "column_name")), ["table_name", "column_name"])  # a row for each column
+    both = side(("child_table", "child_column", "base", "value"), known).join(side(("parent_table", "parent_column", "base", "value"), keys), ["base", "value"]).where("child_table <> parent_table")
+    met = both.groupBy("child_table", "child_column", "parent_table", "parent_column").agg(F.count("*").alias("met"))
+    of = lambda name: about.select(F.col("table_name").alias(f"{name}_table"), F.col("column_name").alias(f"{name}_column"), F.col("distinct").alias(f"{name}_distinct"), F.col("unique").alias(f"{name}_unique"))
+    all_met = met.join(of("child"), ["child_table", "child_column"]).join(of("parent"), ["parent_table", "parent_column"]).where("met = child_distinct")
+    one_way = all_met.where("not (child_unique and child_distinct = parent_distinct and child_table < parent_table)")
+    return one_way.select(F.concat_ws("_", "child_table", "parent_table").alias("constraint_name"), "child_table", "child_column", "parent_table", "parent_column")
+
+
 def fk_edges(keys: DataFrame) -> DataFrame:
     """Edges from key column rows (constraint_name, child_table, child_column,
     parent_table, parent_column, position): columns as arrays, by position."""

@@ -13,16 +13,8 @@ TEXT_KEY = base64.b64encode(HMAC_KEY)
 SCHEMA = "app"
 NOW = "2026-01-01 00:00:00"
 
-#: Foreign keys between the driver's tables: name, child, columns, parent, columns, delete code.
-FOREIGN_KEYS = [
-    ("nation_region", "nation", "n_regionkey", "region", "r_regionkey", "a"),
-    ("customer_nation", "customer", "c_nationkey", "nation", "n_nationkey", "a"),
-    ("supplier_nation", "supplier", "s_nationkey", "nation", "n_nationkey", "a"),
-    ("orders_customer", "orders", "o_custkey", "customer", "c_custkey", "a"),
-    ("lineitem_orders", "lineitem", "l_orderkey", "orders", "o_orderkey", "c"),
-    ("lineitem_part", "lineitem", "l_partkey", "part", "p_partkey", "a"),
-    ("lineitem_supplier", "lineitem", "l_suppkey", "supplier", "s_suppkey", "n"),
-]
+#: What deleting a parent does, where it is not "no action" (the data can't tell): by constraint.
+DELETE_CODES = {"lineitem_orders": "c", "lineitem_supplier": "n"}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import classify
 from ..operators import discovery as ops
+from ..plans import graph
 from ..sources.catalog import column_sample as sample
 from .base import Registry, load
-from .plans import _CATALOG_SQL, _catalog, _edges, _linked
+from .plans import _CATALOG_SQL, _CLOSURE, _LINKS_SQL, _catalog, _edges, _linked, closure_sql
 
 R = Registry()
 _SCORE = "greatest(0.0, " + ", ".join(f"CASE WHEN regexp_matches(lower({{0}}), '{p}') THEN CAST({s} AS DOUBLE) ELSE 0.0 END" for p, s in classify.NAME_PATTERNS) + ")"
@@ -32,33 +33,55 @@ def scan_metadata_only(spark, sf_dir):
 _DIGITS = "regexp_replace({0}, '[^0-9]', '', 'g')"
 _ALL_SAME = "replace({0}, substr({0}, 1, 1), '') = ''"
 _LUHN = "(list_sum(list_transform(range(1, length({0}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse({0}), i, 1) AS INTEGER) ELSE CASE WHEN CAST(substr(reverse({0}), i, 1) AS INTEGER) > 4 THEN CAST(substr(reverse({0}), i, 1) AS INTEGER) * 2 - 9 ELSE CAST(substr(reverse({0}), i, 1) AS INTEGER) * 2 END END)) % 10 = 0)"
-_VERHOEFF = f"(list_reduce(list_prepend(0, range(0, 12)), lambda c, i: CAST(substr('{classify.VERHOEFF_D}', c * 10 + CAST(substr('{classify.VERHOEFF_P}', (i % 8) * 10 + CAST(substr({{0}}, 12 - i, 1) AS INTEGER) + 1, 1) AS INTEGER) + 1, 1) AS BIGINT)) = 0)"
+# Verhoeff: c * p in the dihedral group of ten, p the digit put through the permutation once for each place
+_PLACE = "list_reduce(list_prepend(CAST(substr({0}, 12 - i, 1) AS BIGINT), range(0, i % 8)), lambda p, j: [1, 5, 7, 6, 2, 8, 3, 0, 9, 4][p + 1])"
+_TURN = "(CASE WHEN c < 5 THEN c + p ELSE c - p + 10 END) % 5 + CASE WHEN (c < 5) = (p < 5) THEN 0 ELSE 5 END"
+_VERHOEFF = f"(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(0, 12), lambda i: {_PLACE})), lambda c, p: {_TURN}) = 0)"
+
+
+def _ipv6_sql(t: str) -> str:
+    """Eight groups of up to four hexadecimal digits, the last two maybe as an IPv4
+    address, with one gap of one or more groups."""
+    quad = r"((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"
+    h = f"regexp_replace({t}, ':{quad}', ':0:0')"
+    groups = f"list_filter(string_split({h}, ':'), lambda x: x <> '')"
+    gap = f"contains({h}, '::')"
+    return f"""(contains({t}, ':') AND NOT contains({h}, '.') AND list_bool_and(list_transform(list_append({groups}, '0'), lambda x: regexp_full_match(x, '[0-9A-Fa-f]{{1,4}}')))
+        AND length({groups}) {{0}} AND NOT contains({h}, ':::') AND NOT (starts_with({h}, ':') AND NOT starts_with({h}, '::')) AND NOT (ends_with({h}, ':') AND NOT ends_with({h}, '::'))
+        AND NOT contains(substr({h}, strpos({h}, '::') + 2), '::'))""".replace("{0}", f"= CASE WHEN {gap} THEN least(length({groups}), 7) ELSE 8 END")
+
+
+#: What the signatures without a hint are, in SQL of its own.
+_SHAPES = {
+    "aadhaar": r"[2-9]\d{3}[\s-]?\d{4}[\s-]?\d{4}", "pan": r"[A-Z]{3}[ABCFGHJLPT][A-Z]\d{4}[A-Z]", "gstin": r"\d\d[A-Z]{3}[ABCFGHJLPT][A-Z]\d{4}[A-Z][1-9A-Z]Z[0-9A-Z]", "credit_card": r"(\d[ -]?){13,19}",
+    "email": r"[^\s@]+@[^\s@]+\.[^\s@]+", "upi": r"[\w.-]{2,256}@[a-zA-Z]{2,64}", "ifsc": r"[A-Z]{4}0[A-Z0-9]{6}", "indian_mobile": r"((\+|00?)?91(\s*-\s*)?|0)?[6-9]\d{9}", "indian_passport": r"[A-Z]\d{7}", "voter_epic": r"[A-Z]{3}\d{7}",
+    "ipv4": r"((\d|[1-9]\d|1\d\d|2[0-4]\d|25[0-5])\.){3}(\d|[1-9]\d|1\d\d|2[0-4]\d|25[0-5])", "ipv6": None, "mac_address": r"([0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}",
+}
 
 
 def _hit_sql(name: str, t: str) -> str:
-    pattern = next(p for n, p, _, _ in classify.SIGNATURES if n == name)
-    d = _DIGITS.format(t)
-    out = f"regexp_matches({t}, '{pattern}')"
+    if name == "ipv6":
+        return _ipv6_sql(t)
+    d, out = _DIGITS.format(t), f"regexp_full_match({t}, '{_SHAPES[name]}')"
     if name == "aadhaar":
         return f"({out} AND NOT {_ALL_SAME.format(d)} AND CASE WHEN length({d}) = 12 THEN {_VERHOEFF.format(d)} ELSE false END)"
     if name == "credit_card":
-        return f"({out} AND length({d}) BETWEEN 13 AND 19 AND NOT {_ALL_SAME.format(d)} AND {_LUHN.format(d)})"
-    if name == "pan":
-        return f"({out} AND regexp_matches({t}, '^...[{classify.PAN_STATUS}]'))"
-    if name == "gstin":
-        return f"({out} AND regexp_matches({t}, '^.....[{classify.PAN_STATUS}]'))"
-    if name == "ipv6":
-        full = classify.IPV6.replace(chr(92) + "z", "$")
-        return f"({out} AND regexp_matches({t}, '{full}') AND contains({t}, ':'))"
+        return f"({out} AND NOT {_ALL_SAME.format(d)} AND CASE WHEN length({d}) BETWEEN 13 AND 19 THEN {_LUHN.format(d)} ELSE false END)"
     return out
 
 
-_FREE = [n for n, _, _, hint in classify.SIGNATURES if not hint]
+_FREE = list(_SHAPES)
+
+
+def _candidates_sql(table: str, key: str, text: str = "text") -> str:
+    """Distinct candidates of a text: itself and its tokens, without a prefilter."""
+    whole = f"regexp_replace({text}, '^\\s+|\\s+$', '', 'g')"
+    tokens = f"list_transform(string_split_regex({whole}, '\\s+'), lambda t: regexp_replace(t, '^[^0-9A-Za-z_+]+|[^0-9A-Za-z_]+$', '', 'g'))"
+    return f"(SELECT {key}, t FROM (SELECT {key}, unnest(list_distinct(list_prepend({whole}, {tokens}))) AS t FROM {table}) s WHERE t <> '')"
 
 
 def _scan_sql(table: str, key: str) -> str:
-    tokens = f"(SELECT {key}, regexp_replace(t, '^[^0-9A-Za-z_+]+|[^0-9A-Za-z_]+$', '', 'g') AS t FROM (SELECT {key}, unnest(string_split_regex(text, '\\s+')) AS t FROM {table} WHERE regexp_matches(text, '[0-9@:]')) s WHERE regexp_matches(t, '[0-9@:]'))"
-    return " UNION ALL ".join(f"SELECT {key}, '{n}' AS signature, count(*) AS n FROM {tokens} x WHERE {_hit_sql(n, 't')} GROUP BY 1" for n in _FREE)
+    return " UNION ALL ".join(f"SELECT {key}, '{n}' AS signature, count(*) AS n FROM {_candidates_sql(table, key)} x WHERE {_hit_sql(n, 't')} GROUP BY 1" for n in _FREE)
 
 
 @R.add(_scan_sql("documents", "doc_id"))
@@ -68,6 +91,7 @@ def text_pii_scan(spark, sf_dir):
 
 @R.add(_scan_sql("conversations", "conv_id"))
 def text_pii_scan_conversations(spark, sf_dir):
+    """By conversation, turn by turn."""
     return ops.text_pii_scan(load(spark, sf_dir, "conversations"), "conv_id", "text")
 
 
@@ -76,6 +100,26 @@ def content_signatures(spark, sf_dir):
     return text_pii_scan(spark, sf_dir).groupBy("signature").agg(F.sum("n").alias("n"), F.count("*").alias("documents"))
 
 
+#: Whole values with blanks and dashes, made from order keys: what only the value as a whole has, and hardware addresses without a digit.
+_SPACED = {
+    "aadhaar": "concat('2345 ', substr({k}, 1, 4), '-', substr({k}, 5, 4))", "card": "concat('4111 1111-', substr({k}, 1, 4), ' ', substr({k}, 5, 4))",
+    "mac": "translate(concat(substr({k}, 1, 2), '-AB-', substr({k}, 3, 2), '-', substr({k}, 5, 2), '-', substr({k}, 7, 2), '-FF'), '0123456789', 'ABCDEFABCD')", "mobile": "concat('+91 - 98', {k})",
+}
+
+
+def _spaced(name: str) -> str:
+    return _SPACED[name].format(k="lpad(CAST(o_orderkey AS STRING), 8, '0')")
+
+
+_SPACED_SQL = "(" + " UNION ALL ".join(f"SELECT o_orderkey, {_spaced(n)} AS text FROM orders".replace("AS STRING", "AS VARCHAR") for n in _SPACED) + ") spaced"
+
+
+@R.add(_scan_sql(_SPACED_SQL, "o_orderkey"))
+def text_pii_scan_spaced(spark, sf_dir):
+    cells = load(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.array(*[F.expr(_spaced(n)) for n in _SPACED])).alias("text"))
+    return ops.text_pii_scan(cells, "o_orderkey", "text")
+
+
 #: Values of each kind, right and wrong, made from order keys.
 _K = "lpad(CAST({0} AS STRING), 8, '0')"
 _VALUES = {
@@ -101,16 +145,22 @@ def validate_checksums(spark, sf_dir):
 
 
 def _leaf_sql() -> str:
-    t = [f"({_value(n, 'o_orderkey')})".replace("AS STRING", "AS VARCHAR") for n in ("card", "pan", "ip")]
-    hit = lambda n: " OR ".join(_hit_sql(n, x) for x in t)
-    parts = ", ".join(f"CASE WHEN {hit(n)} THEN '{n}' END" for n, p, _, h in classify.SIGNATURES if n in ("aadhaar", "pan", "gstin", "credit_card", "ipv4", "bank_account"))
-    return f"SELECT o_orderkey, concat_ws(',', {parts}) AS signatures FROM orders"
+    """Over the candidates of each note; of the hinted signatures only account numbers fit."""
+    hits = " OR ".join
+    note = f"(SELECT o_orderkey, {_NOTE} AS text FROM orders) notes".replace("AS STRING", "AS VARCHAR")
+    names = [n for n in classify_order if n in _SHAPES or n == "bank_account"]
+    flags = ", ".join(f"max(CASE WHEN {hits([_hit_sql(n, 't')]) if n in _SHAPES else 'regexp_full_match(t, ' + chr(39) + '[0-9]{9,18}' + chr(39) + ')'} THEN '{n}' END)" for n in names)
+    return f"SELECT o_orderkey, concat_ws(',', {flags}) AS signatures FROM {_candidates_sql(note, 'o_orderkey')} c GROUP BY 1"
+
+
+#: The order in which signatures are reported.
+classify_order = ["aadhaar", "pan", "gstin", "credit_card", "email", "upi", "ifsc", "indian_mobile", "indian_passport", "voter_epic", "ipv4", "ipv6", "mac_address", "bank_account"]
+_NOTE = "concat(' card: ', " + _value("card", "o_orderkey") + ", ', (', " + _value("pan", "o_orderkey") + ", ') at ', " + _value("ip", "o_orderkey") + ", ' mac ', " + _spaced("mac") + ", '; ', " + _value("ip6", "o_orderkey") + ", ' ')"
 
 
 @R.add(_leaf_sql())
 def classify_leaf(spark, sf_dir):
-    text = F.concat(F.lit(" card: "), F.expr(_value("card", "o_orderkey")), F.lit(", ("), F.expr(_value("pan", "o_orderkey")), F.lit(") at "), F.expr(_value("ip", "o_orderkey")), F.lit(" "))
-    return load(spark, sf_dir, "orders").select("o_orderkey", F.array_join(classify.classify_leaf(text, "account_note"), ",").alias("signatures"))
+    return load(spark, sf_dir, "orders").select("o_orderkey", F.array_join(classify.classify_leaf(F.expr(_NOTE), "account_note"), ",").alias("signatures"))
 
 
 @R.add("SELECT event_id, '.k' AS path, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, '.a[0].t', event_type FROM events")
@@ -126,19 +176,26 @@ def json_path_score(spark, sf_dir):
 
 
 def _people(spark, sf_dir):
-    """Customers as a people table: names, mails, account numbers, cards for some."""
+    """Customers as a people table: names, mails, account numbers, cards for some, and a
+    JSON profile whose paths and leaves tell of mail and birth dates."""
     c = F.col("c_custkey")
-    return load(spark, sf_dir, "customer").select(c.alias("id"), F.col("c_name").alias("full_name"), F.concat(F.lit("u"), c.cast("string"), F.lit("@example.com")).alias("contact"), F.expr(_value("card", "c_custkey")).alias("notes"), F.col("c_mktsegment").alias("segment"))
+    mail = F.concat(F.lit("u"), c.cast("string"), F.lit("@example.com"))
+    profile = F.concat(F.lit('{"pii": {"email": "'), mail, F.lit('"}, "tags": ['), F.when(c % 2 == 0, F.lit('{"dob": "1990-01-02"}')).otherwise(F.lit("1, null")), F.lit("]}"))
+    return load(spark, sf_dir, "customer").select(c.alias("id"), F.col("c_name").alias("full_name"), mail.alias("contact"), F.expr(_value("card", "c_custkey")).alias("notes"), F.col("c_mktsegment").alias("segment"), profile.alias("profile"))
 
 
 def _taxonomy_sql(threshold: float) -> str:
-    card = f"({_value('card', 'c_custkey')})".replace("AS STRING", "AS VARCHAR")
-    cell = f"""(SELECT 'full_name' AS column_name, false AS hit, 0.0 AS w, 0.92 AS meta, '' AS s FROM customer UNION ALL SELECT 'contact', true, 0.95, 0.0, 'email' FROM customer
-        UNION ALL SELECT 'notes', {_hit_sql('credit_card', card)}, CASE WHEN {_hit_sql('credit_card', card)} THEN 0.97 ELSE 0.0 END, 0.0, CASE WHEN {_hit_sql('credit_card', card)} THEN 'credit_card' ELSE '' END FROM customer)"""
-    return f"""SELECT 'customer' AS table_name, column_name, sample_size, matches, CAST(matches AS DOUBLE) / sample_size AS ratio, CAST(w AS DOUBLE) AS weight, CAST(meta AS DOUBLE) AS meta, CAST(confidence AS DOUBLE) AS confidence, signatures FROM (
-        SELECT column_name, count(*) AS sample_size, count(*) FILTER (hit) AS matches, max(w) AS w, max(meta) AS meta, max(s) AS signatures,
-        greatest(CASE WHEN max(meta) >= 0.75 THEN max(meta) ELSE 0.0 END, count(*) FILTER (hit) / count(*) * max(w), 0.3 * max(meta) + 0.7 * count(*) FILTER (hit) / count(*) * max(w)) AS confidence
-        FROM {cell} c GROUP BY 1) t WHERE confidence >= {threshold}"""
+    card = _hit_sql("credit_card", f"({_value('card', 'c_custkey')})".replace("AS STRING", "AS VARCHAR"))
+    mobile = _hit_sql("indian_mobile", f"({_value('card', 'c_custkey')})".replace("AS STRING", "AS VARCHAR"))
+    own = f"CASE WHEN {card} THEN ['credit_card'] ELSE [] END || CASE WHEN {mobile} THEN ['indian_mobile'] ELSE [] END"
+    cell = f"""(SELECT 'full_name' AS column_name, CAST([] AS VARCHAR[]) AS found, CAST(0.92 AS DOUBLE) AS meta FROM customer UNION ALL SELECT 'contact', ['email'], 0.0 FROM customer
+        UNION ALL SELECT 'notes', {own}, 0.0 FROM customer UNION ALL SELECT 'segment', [], 0.0 FROM customer WHERE c_mktsegment IS NOT NULL
+        UNION ALL SELECT 'profile', ['email', 'json_path:.pii.email'] || CASE WHEN c_custkey % 2 = 0 THEN ['date_of_birth', 'json_path:.tags[0].dob'] ELSE [] END, 0.92 FROM customer)"""
+    weight = "list_max(list_append(list_transform(found, lambda f: CASE f WHEN 'email' THEN 0.95 WHEN 'credit_card' THEN 0.97 WHEN 'indian_mobile' THEN 0.9 WHEN 'date_of_birth' THEN 0.82 ELSE 0.0 END), 0.0))"
+    return f"""SELECT 'customer' AS table_name, column_name, sample_size, matches, CAST(matches AS DOUBLE) / sample_size AS ratio, CAST(w AS DOUBLE) AS weight, meta, CAST(confidence AS DOUBLE) AS confidence, signatures FROM (
+        SELECT *, greatest(CASE WHEN meta >= 0.75 THEN meta ELSE 0.0 END, matches / sample_size * w, 0.3 * meta + 0.7 * (matches / sample_size * w)) AS confidence FROM (
+        SELECT column_name, count(*) AS sample_size, count(*) FILTER (len(found) > 0) AS matches, CAST(max({weight}) AS DOUBLE) AS w, max(meta) AS meta, array_to_string(list_sort(list_distinct(flatten(list(found)))), ',') AS signatures
+        FROM {cell} c GROUP BY 1) g) t WHERE confidence >= {threshold}"""
 
 
 _THRESHOLD = 0.05
@@ -147,28 +204,40 @@ _THRESHOLD = 0.05
 @R.add(_taxonomy_sql(_THRESHOLD))
 def column_taxonomy(spark, sf_dir):
     """All rows of the table as its sample (p = 100), and a low threshold."""
-    return ops.column_taxonomy(_people(spark, sf_dir), "customer", ["full_name", "contact", "notes", "segment"], _THRESHOLD)
+    return ops.column_taxonomy(_people(spark, sf_dir), "customer", ["full_name", "contact", "notes", "segment", "profile"], _THRESHOLD)
 
 
-@R.add(f"SELECT count(DISTINCT table_name) AS tables_with_pii, count(*) AS columns, count(*) FILTER (confidence >= 0.9) AS high_confidence, count(*) FILTER (confidence < 0.9) AS review_required FROM ({_taxonomy_sql(_THRESHOLD)}) f")
+@R.add(f"""SELECT count(DISTINCT table_name) AS tables_with_pii, count(*) AS columns, count(*) FILTER (confidence >= 0.9) AS high_confidence, count(*) FILTER (confidence < 0.9) AS review_required,
+    ({_CLOSURE} SELECT count(DISTINCT table_name) FROM walk) AS targets, (SELECT count(*) FROM ({_LINKS_SQL}) l) AS links FROM ({_taxonomy_sql(_THRESHOLD)}) f""")
 def findings_summary(spark, sf_dir):
-    return ops.findings_summary(column_taxonomy(spark, sf_dir))
+    edges = _edges(spark, sf_dir)
+    return ops.findings_summary(column_taxonomy(spark, sf_dir), graph.fk_closure(edges, "region"), graph.logical_link_pairs(_linked(spark, sf_dir), edges))
 
 
-@R.add("SELECT 'customer' AS table_name, 'redact' AS action, 'contact=HMAC,full_name=HMAC,notes=HMAC' AS rules")
+@R.add(f"SELECT table_name, 'redact' AS action, string_agg(column_name || '=HMAC', ',' ORDER BY column_name) AS rules FROM ({_taxonomy_sql(_THRESHOLD)}) f WHERE table_name <> 'nation' GROUP BY 1")
 def draft_rules(spark, sf_dir):
     out = ops.draft_rules(column_taxonomy(spark, sf_dir), "nation")
     return out.select("table_name", "action", F.array_join(F.transform(F.array_sort(F.map_entries("rules")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("rules"))
 
 
-@R.add("""SELECT * FROM (VALUES ('customer', CAST(NULL AS VARCHAR), 0, 'foreign_key', 'contact,full_name,notes'), ('orders', 'customer', 1, 'foreign_key', NULL), ('lineitem', 'orders', 2, 'foreign_key', NULL),
-    ('events', 'customer', 1, 'logical_link', NULL), ('conversations', 'customer', 1, 'logical_link', NULL)) t(table_name, parent_table, depth, found_by, pii_columns)""")
+_INTROSPECT_SQL = f"""WITH fk AS ({closure_sql("customer")} SELECT table_name, parent_table, CAST(min(depth) AS INTEGER) AS depth, 'foreign_key' AS found_by FROM walk GROUP BY 1, 2, constraint_name),
+    sides AS (SELECT left_table AS table_name, right_table AS parent_table, column_name FROM ({_LINKS_SQL}) l UNION ALL SELECT right_table, left_table, column_name FROM ({_LINKS_SQL}) l),
+    grafted AS (SELECT table_name, parent_table FROM (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY parent_table <> 'customer', column_name, parent_table) AS n FROM sides
+        WHERE table_name NOT IN (SELECT table_name FROM fk) AND parent_table IN (SELECT table_name FROM fk)) s WHERE n = 1),
+    every AS (SELECT * FROM fk UNION ALL SELECT table_name, parent_table, 1, 'logical_link' FROM grafted)
+    SELECT e.*, pii_columns, (SELECT sha256(string_agg(table_name || column_name || data_type, '' ORDER BY table_name, ordinal_position)) FROM (SELECT table_name, CASE WHEN column_name IN ('c_custkey', 'o_custkey', 'conv_id') THEN 'user_id' ELSE column_name END AS column_name, data_type, ordinal_position FROM {_CATALOG_SQL}) k) AS fingerprint
+    FROM every e LEFT JOIN (SELECT table_name, string_agg(column_name, ',' ORDER BY column_name) AS pii_columns FROM ({_taxonomy_sql(_THRESHOLD)}) f GROUP BY 1) p ON p.table_name = e.table_name"""
+
+
+@R.add(_INTROSPECT_SQL)
 def introspect(spark, sf_dir):
-    return ops.introspect(_linked(spark, sf_dir), _edges(spark), column_taxonomy(spark, sf_dir), "customer")
+    return ops.introspect(_linked(spark, sf_dir), _edges(spark, sf_dir), column_taxonomy(spark, sf_dir), "customer")
 
 
-@R.add("SELECT CAST(1.0 AS DOUBLE) AS precision, CAST(0.75 AS DOUBLE) AS recall, CAST(1 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS false_positives")
+@R.add(f"""SELECT hit / nullif(CAST(f AS DOUBLE), 0) AS precision, hit / CAST(4 AS DOUBLE) AS recall, 4 - hit AS missing, f - hit AS false_positives FROM (
+    SELECT count(*) FILTER (column_name IN ('full_name', 'contact', 'notes', 'address')) AS hit, count(*) AS f FROM ({_taxonomy_sql(_THRESHOLD)}) f) c""")
 def discovery_accuracy(spark, sf_dir):
+    """Against an expected list that misses one column found and has one not there."""
     expected = spark.createDataFrame([("customer", c) for c in ("full_name", "contact", "notes", "address")], "table_name string, column_name string")
     return ops.discovery_accuracy(column_taxonomy(spark, sf_dir), expected, ["table_name", "column_name"])
 

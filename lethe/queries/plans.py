@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans import graph
 from ..sources import catalog
-from .base import FOREIGN_KEYS, TABLES, Registry, load
+from .base import DELETE_CODES, TABLES, Registry, load
 
 R = Registry()
 
@@ -18,12 +18,32 @@ def _catalog(spark, sf_dir):
 _CATALOG_SQL = "(SELECT table_name, column_name, ordinal_position, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT[]' THEN 'array<float>' ELSE 'timestamp_ntz' END AS data_type FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, column_name, row_number() OVER () AS ordinal_position, column_type AS data_type FROM (DESCRIBE {t})" for t in TABLES) + ") x) c"
 
 
-def _edges(spark):
-    rows = [(n, c, [cc], p, [pc], d) for n, c, cc, p, pc, d in FOREIGN_KEYS]
+def _edges(spark, sf_dir):
+    """The keys that the tables' data bear out. A catalog has tens of them, so that the
+    driver may hold them while they are walked."""
+    found = graph.found_keys({t: load(spark, sf_dir, t) for t in TABLES}).collect()
+    rows = [(r.constraint_name, r.child_table, [r.child_column], r.parent_table, [r.parent_column], DELETE_CODES.get(r.constraint_name, "a")) for r in found]
     return spark.createDataFrame(rows, "constraint_name string, child_table string, child_columns array<string>, parent_table string, parent_columns array<string>, delete_code string")
 
 
-_EDGES = "(VALUES " + ", ".join(f"('{n}', '{c}', '{cc}', '{p}', '{pc}', '{d}')" for n, c, cc, p, pc, d in FOREIGN_KEYS) + ") e(constraint_name, child_table, child_column, parent_table, parent_column, delete_code)"
+#: Integer columns of one name in two tables or more.
+_INTEGERS = (("nation", "n_regionkey"), ("region", "r_regionkey"), ("customer", "c_nationkey"), ("nation", "n_nationkey"), ("supplier", "s_nationkey"), ("customer", "c_custkey"), ("orders", "o_custkey"), ("lineitem", "l_orderkey"), ("orders", "o_orderkey"), ("lineitem", "l_partkey"), ("part", "p_partkey"), ("lineitem", "l_suppkey"), ("supplier", "s_suppkey"), ("documents", "doc_id"), ("labels", "doc_id"))
+
+
+def _edges_sql() -> str:
+    """A test of each pair of columns: unique here, and none of the values there missing."""
+    base = lambda c: c[2:] if c[1] == "_" else c
+    tests = []
+    for child, cc in _INTEGERS:
+        for parent, pc in _INTEGERS:
+            if child != parent and base(cc) == base(pc):
+                same = f" AND NOT ((SELECT count(*) = count(DISTINCT {cc}) FROM {child}) AND NOT EXISTS (SELECT 1 FROM {parent} WHERE {pc} NOT IN (SELECT {cc} FROM {child} WHERE {cc} IS NOT NULL)))" if child < parent else ""
+                tests.append(f"SELECT '{child}_{parent}' AS constraint_name, '{child}' AS child_table, '{cc}' AS child_column, '{parent}' AS parent_table, '{pc}' AS parent_column, '{DELETE_CODES.get(f'{child}_{parent}', 'a')}' AS delete_code "
+                             f"WHERE (SELECT count(*) = count(DISTINCT {pc}) FROM {parent}) AND EXISTS (SELECT 1 FROM {child} WHERE {cc} IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM {child} WHERE {cc} NOT IN (SELECT {pc} FROM {parent})){same}")
+    return "(" + " UNION ALL ".join(tests) + ") e"
+
+
+_EDGES = _edges_sql()
 
 
 @R.add(f"SELECT 'app' AS table_schema, table_name, column_name, data_type, CAST(ordinal_position AS INTEGER) AS ordinal_position FROM {_CATALOG_SQL}")
@@ -52,31 +72,35 @@ def config_compat(spark, sf_dir):
 
 @R.add(f"SELECT constraint_name, child_table, parent_table, child_column AS child_columns, parent_column AS parent_columns FROM {_EDGES}")
 def fk_edges(spark, sf_dir):
-    """Edges whose columns the catalog has, from aligned key rows."""
+    """Edges found in the data whose columns the catalog has, from aligned key rows."""
     have = _catalog(spark, sf_dir)
-    key = _edges(spark).select("*", F.lit(1).alias("position"))
+    key = _edges(spark, sf_dir).select("*", F.lit(1).alias("position"))
     child = key.select("constraint_name", "position", "child_table", F.element_at("child_columns", 1).alias("child_column")).join(have.select(F.col("table_name").alias("child_table"), F.col("column_name").alias("child_column")), ["child_table", "child_column"])
     parent = key.select("constraint_name", "position", "parent_table", F.element_at("parent_columns", 1).alias("parent_column")).join(have.select(F.col("table_name").alias("parent_table"), F.col("column_name").alias("parent_column")), ["parent_table", "parent_column"])
     out = graph.fk_edges(graph.fk_align(child, parent))
     return out.select("constraint_name", "child_table", "parent_table", F.array_join("child_columns", ",").alias("child_columns"), F.array_join("parent_columns", ",").alias("parent_columns"))
 
 
-_CLOSURE = f"""WITH RECURSIVE walk AS (SELECT 'region' AS table_name, CAST(NULL AS VARCHAR) AS parent_table, CAST(NULL AS VARCHAR) AS constraint_name, 0 AS depth, ['region'] AS path
-    UNION ALL SELECT e.child_table, e.parent_table, e.constraint_name, w.depth + 1, list_append(w.path, e.child_table) FROM walk w JOIN {_EDGES} ON e.parent_table = w.table_name
+def closure_sql(root: str) -> str:
+    return f"""WITH RECURSIVE keys AS (SELECT * FROM {_EDGES}), walk AS (SELECT '{root}' AS table_name, CAST(NULL AS VARCHAR) AS parent_table, CAST(NULL AS VARCHAR) AS constraint_name, 0 AS depth, ['{root}'] AS path
+    UNION ALL SELECT e.child_table, e.parent_table, e.constraint_name, w.depth + 1, list_append(w.path, e.child_table) FROM walk w JOIN keys e ON e.parent_table = w.table_name
     WHERE w.depth < 32 AND NOT list_contains(w.path, e.child_table))"""
 
 
+_CLOSURE = closure_sql("region")
+
+
 @R.add(_CLOSURE + " SELECT table_name, parent_table, constraint_name, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY 1, 2, 3")
 def fk_closure(spark, sf_dir):
-    return graph.fk_closure(_edges(spark), "region")
+    return graph.fk_closure(_edges(spark, sf_dir), "region")
 
 
 @R.add(_CLOSURE + """ SELECT table_name, parent_table, CAST(depth AS INTEGER) AS depth, CASE code WHEN 'a' THEN 'NO ACTION' WHEN 'c' THEN 'CASCADE' ELSE 'SET NULL' END AS delete_action,
     CASE WHEN code <> 'a' THEN 'UNSAFE_DELETE_ACTION' END AS violation FROM (
     SELECT w.*, e2.code, row_number() OVER (PARTITION BY table_name ORDER BY depth, w.constraint_name) AS n FROM walk w
-    JOIN (SELECT constraint_name AS cn, delete_code AS code FROM """ + _EDGES + """) e2 ON e2.cn = w.constraint_name WHERE depth > 0) x WHERE n = 1""")
+    JOIN (SELECT constraint_name AS cn, delete_code AS code FROM keys) e2 ON e2.cn = w.constraint_name WHERE depth > 0) x WHERE n = 1""")
 def dependency_tree(spark, sf_dir):
-    return graph.dependency_tree(_edges(spark), "region")
+    return graph.dependency_tree(_edges(spark, sf_dir), "region")
 
 
 def _linked(spark, sf_dir):
@@ -84,10 +108,15 @@ def _linked(spark, sf_dir):
     return _catalog(spark, sf_dir).withColumn("column_name", F.when(F.col("column_name").isin("c_custkey", "o_custkey", "conv_id"), "user_id").otherwise(F.col("column_name")))
 
 
-@R.add("""SELECT 'conversations' AS left_table, 'customer' AS right_table, 'user_id' AS column_name UNION ALL SELECT 'conversations', 'events', 'user_id' UNION ALL SELECT 'conversations', 'orders', 'user_id'
-    UNION ALL SELECT 'customer', 'events', 'user_id' UNION ALL SELECT 'events', 'orders', 'user_id' UNION ALL SELECT 'customer', 'orders', 'user_id'""")
+_IDENTIFIED = f"(SELECT table_name, CASE WHEN column_name IN ('c_custkey', 'o_custkey', 'conv_id') THEN 'user_id' ELSE column_name END AS column_name FROM {_CATALOG_SQL})"
+_LINKS_SQL = f"""SELECT a.table_name AS left_table, b.table_name AS right_table, a.column_name FROM {_IDENTIFIED} a JOIN {_IDENTIFIED} b ON b.column_name = a.column_name AND a.table_name < b.table_name
+    WHERE a.column_name IN ('user_id', 'account_id', 'customer_id', 'client_id', 'actor_id', 'member_id', 'subject_id', 'target_email', 'user_email') AND NOT EXISTS (
+    SELECT 1 FROM {_EDGES} WHERE least(child_table, parent_table) = a.table_name AND greatest(child_table, parent_table) = b.table_name AND a.column_name IN (child_column, parent_column))"""
+
+
+@R.add(_LINKS_SQL)
 def logical_link_pairs(spark, sf_dir):
-    return graph.logical_link_pairs(_linked(spark, sf_dir), _edges(spark))
+    return graph.logical_link_pairs(_linked(spark, sf_dir), _edges(spark, sf_dir))
 
 
 @R.add("""SELECT 'a' AS target, 'REDACT_WITHOUT_RULES' AS code UNION ALL SELECT 'b', 'MISSING_PARENT' UNION ALL SELECT 'c', 'UNREACHABLE' UNION ALL SELECT 'd', 'UNREACHABLE'
@@ -110,7 +139,7 @@ def plan_counts(spark, sf_dir):
 
 @R.add(_CLOSURE + " SELECT count(DISTINCT table_name) AS n FROM walk WHERE depth > 0")
 def dependency_count(spark, sf_dir):
-    return graph.fk_closure(_edges(spark), "region").where("depth > 0").agg(F.count_distinct("table_name").alias("n"))
+    return graph.fk_closure(_edges(spark, sf_dir), "region").where("depth > 0").agg(F.count_distinct("table_name").alias("n"))
 
 
 R.part("fk_edges", fk_align=["constraint_name", "child_columns", "parent_columns"])
