@@ -34,19 +34,24 @@ def subject_kind(key: Column) -> Column:
     return F.when(key.startswith("email_sha256:"), "email_sha256").when(key.startswith("phone_sha256:"), "phone_sha256").otherwise("opaque")
 
 
+# --- fixed values: public address plan -----------------------------------------
 #: First octets and ranges of second octets of private and special IPv4 networks.
 _SPECIAL = ((0, None), (10, None), (127, None), (100, (64, 127)), (169, (254, 254)), (172, (16, 31)), (192, (0, 0)), (192, (168, 168)), (198, (18, 19)), (198, (51, 51)), (203, (0, 0)))
+# -------------------------------------------------------------------------------
 
 
 def special_ipv4(host: Column) -> Column:
     """Whether a host is an IPv4 literal in a private or special network."""
-    octet = lambda i: F.regexp_extract(host, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", i).try_cast("int")
-    a, b = octet(1), octet(2)
-    valid = a.isNotNull() & (F.greatest(*[octet(i) for i in range(1, 5)]) <= 255)
-    special = a >= 224
-    for first, second in _SPECIAL:
-        special |= (a == first) if second is None else (a == first) & b.between(*second)
-    return F.coalesce(valid & special, F.lit(False))
+    octets = F.transform(F.when(host.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), F.split(host, r"\.")), lambda x: x.cast("int"))
+
+    def special(o: Column) -> Column:
+        a, b = F.get(o, F.lit(0)), F.get(o, F.lit(1))
+        out = a >= 224
+        for first, second in _SPECIAL:
+            out |= (a == first) if second is None else (a == first) & b.between(*second)
+        return out & (F.array_max(o) <= 255)
+
+    return F.coalesce(F.exists(F.array(octets), special), F.lit(False))
 
 
 def special_ipv6(host: Column) -> Column:

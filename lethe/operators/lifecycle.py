@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.crypto import canonical_json, deterministic_uuid, sha256_hex
-from ..functions.text import certificate_delay_s, retry_delay_ms
+from ..functions.text import certificate_delay_s, egress_violation, retry_delay_ms
 
 #: The state from which each event is allowed, and the state it leads to.
 PREDECESSOR = {"USER_VAULTED": "EXECUTING", "USER_HARD_DELETED": "EXECUTING", "NOTIFICATION_SENT": "VAULTED", "SHRED_SUCCESS": "NOTICE_SENT"}
@@ -27,22 +27,26 @@ def transition_code(status: Column, event: Column) -> Column:
     return F.when(status.isin(*TERMINAL), "API_OUTBOX_JOB_TERMINAL").when(~F.coalesce(F.try_element_at(_map(PREDECESSOR), event) == status, F.lit(False)), "API_OUTBOX_EVENT_OUT_OF_ORDER")
 
 
-def fold_state(events: Column, start: str = "EXECUTING") -> Column:
-    """A job's state after its ordered events (event_type); refused events change
-    nothing. Returns status, applied and refused."""
-    first = F.struct(F.lit(start).alias("status"), F.lit(0).alias("applied"), F.lit(0).alias("refused"))
-
-    def step(s: Column, e: Column) -> Column:
-        fits = F.coalesce(F.try_element_at(_map(PREDECESSOR), e["event_type"]) == s["status"], F.lit(False))
-        return F.struct(F.when(fits, F.try_element_at(_map(LEADS_TO), e["event_type"])).otherwise(s["status"]).alias("status"), (s["applied"] + fits.cast("int")).alias("applied"), (s["refused"] + (~fits).cast("int")).alias("refused"))
-
-    return F.aggregate(events, first, step)
-
-
 def job_state_fold(events: DataFrame) -> DataFrame:
-    """job_id, status, applied and refused from (job_id, seq, event_type)."""
-    own = F.array_sort(F.collect_list(F.struct("seq", "event_type")))
-    return events.groupBy("job_id").agg(own.alias("e")).select("job_id", fold_state(F.col("e")).alias("s")).select("job_id", "s.*")
+    """Each job after its ordered events (job_id, seq, event_type, at, rule, notice_due,
+    shred_due): job_id, status, applied, refused, the due times and rule that the vault
+    event set, and shredded_at. Refused events change nothing.
+
+    A job goes through few states, so only events that may matter are gathered: the
+    first of each kind after the one it needs, found by windows over the job's rows; a
+    job with very many refused events costs no more memory than any other."""
+    c, w = F.col, Window.partitionBy("job_id")
+    first = lambda cond: F.min(F.when(cond, c("seq"))).over(w)
+    rows = events.withColumn("_open", first(c("event_type").isin("USER_VAULTED", "USER_HARD_DELETED")))
+    rows = rows.withColumn("_vault", F.max(F.when((c("seq") == c("_open")) & (c("event_type") == "USER_VAULTED"), c("seq"))).over(w))
+    rows = rows.withColumn("_notice", first((c("event_type") == "NOTIFICATION_SENT") & (c("seq") > c("_vault"))))
+    rows = rows.withColumn("_shred", first((c("event_type") == "SHRED_SUCCESS") & (c("seq") > c("_notice"))))
+    of = lambda name, cond: F.max(F.when(cond, c(name)))
+    is_vault, is_end = c("seq") == c("_vault"), (c("seq") == c("_shred")) | ((c("seq") == c("_open")) & c("_vault").isNull())
+    steps = lambda name: (F.max(name).isNotNull()).cast("int")
+    applied = steps("_open") + steps("_notice") + steps("_shred")
+    status = F.when(F.max("_shred").isNotNull(), "SHREDDED").when(F.max("_notice").isNotNull(), "NOTICE_SENT").when(F.max("_vault").isNotNull(), "VAULTED").when(F.max("_open").isNotNull(), "SHREDDED").otherwise("EXECUTING")
+    return rows.groupBy("job_id").agg(status.alias("status"), applied.alias("applied"), (F.count("*").cast("int") - applied).alias("refused"), of("rule", is_vault).alias("rule"), of("notice_due", is_vault).alias("notice_due"), of("shred_due", is_vault).alias("shred_due"), of("at", is_end).alias("shredded_at"))
 
 
 def envelope_code(pairs: list[tuple[Column, Column, str]]) -> Column:
@@ -98,23 +102,50 @@ def burn_in(tasks: DataFrame, needed: int = 100) -> DataFrame:
     return done.groupBy("client_id").agg(F.count("*").alias("successes"), (F.count("*") >= needed).alias("live"), F.min(F.when(F.col("n") == needed, F.col("completed_at"))).alias("live_since"))
 
 
-def create_requests(requests: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Each request by its key: created, replayed (equal body) or conflict."""
+def refusal_code(client_active: Column, live_since: Column, shadow: Column, callback_url: Column) -> Column:
+    """Null where a client may ask for an erasure, else the code of the first reason
+    against it: the client is inactive, has not finished its burn-in (and asks for more
+    than a shadow run), or names a callback that must not be called."""
+    early = live_since.isNull() & ~F.coalesce(shadow, F.lit(False))
+    return F.when(~F.coalesce(client_active, F.lit(False)), "API_CLIENT_INACTIVE").when(early, "API_BURN_IN_REQUIRED").when(callback_url.isNotNull(), egress_violation(callback_url))
+
+
+def create_requests(requests: DataFrame, jobs: DataFrame, clients: DataFrame | None = None) -> DataFrame:
+    """Each request by its key: created, replayed (equal body), conflict, or refused.
+    With ``clients`` (client_id, active, live_since), requests also have client_id,
+    shadow and callback_url, and code says why one is refused; refused requests hold no
+    key."""
+    code = F.lit(None).cast("string")
+    if clients is not None:
+        requests = requests.join(clients.select("client_id", "active", "live_since"), "client_id", "left")
+        code = refusal_code(F.col("active"), F.col("live_since"), F.col("shadow"), F.col("callback_url"))
+    requests = requests.withColumn("code", code)
     old = jobs.select("idempotency_key", F.col("body").alias("_body"))
-    first = F.first("body").over(Window.partitionBy("idempotency_key").orderBy("request_id").rowsBetween(Window.unboundedPreceding, 0))
-    n = F.row_number().over(Window.partitionBy("idempotency_key").orderBy("request_id"))
-    out = requests.withColumn("_first", first).withColumn("_n", n).join(old, "idempotency_key", "left")
+    order = Window.partitionBy("idempotency_key", F.col("code").isNull()).orderBy("request_id")
+    first = F.first("body").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    out = requests.withColumn("_first", first).withColumn("_n", F.row_number().over(order)).join(old, "idempotency_key", "left")
     held = F.coalesce(F.col("_body"), F.when(F.col("_n") > 1, F.col("_first")))
-    return out.select("request_id", "idempotency_key", F.when(held.isNull(), "created").when(held == F.col("body"), "replayed").otherwise("conflict").alias("outcome"))
+    outcome = F.when(F.col("code").isNotNull(), "refused").when(held.isNull(), "created").when(held == F.col("body"), "replayed").otherwise("conflict")
+    return out.select("request_id", "idempotency_key", outcome.alias("outcome"), *(["code"] if clients is not None else []))
+
 
+#: Distinct ids that one bulk purge may name.
+BULK_LIMIT = 10_000
 
-def bulk_purge(ids: DataFrame, jobs: DataFrame, run: str) -> DataFrame:
+
+def bulk_purge(ids: DataFrame, jobs: DataFrame, run: str, batch: str | None = None, limit: int = BULK_LIMIT) -> DataFrame:
     """Jobs for ids, with keys that the run and the id alone decide: subject_id,
-    idempotency_key and outcome (inserted or duplicate)."""
-    keyed = ids.select("subject_id", deterministic_uuid(F.concat_ws(":", F.lit(run), F.col("subject_id").cast("string"))).alias("idempotency_key"))
-    n = F.row_number().over(Window.partitionBy("idempotency_key").orderBy("subject_id"))
+    idempotency_key, outcome (inserted, duplicate or, in a ``batch`` of more distinct ids
+    than the limit, refused) and task_type (VAULT where a task is to be made)."""
+    own = [batch] if batch else []
+    keyed = ids.select(*own, "subject_id", deterministic_uuid(F.concat_ws(":", F.lit(run), F.col("subject_id").cast("string"))).alias("idempotency_key"))
+    size = keyed.groupBy(*own).agg(F.count_distinct("subject_id").alias("_size"))
+    keyed = keyed.join(size, own) if own else keyed.withColumn("_one", F.lit(1)).join(size.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    n = F.row_number().over(Window.partitionBy("idempotency_key", F.col("_size") > limit).orderBy("subject_id", *own))
     old = jobs.select("idempotency_key").distinct().withColumn("_old", F.lit(True))
-    return keyed.withColumn("_n", n).join(old, "idempotency_key", "left").select("subject_id", "idempotency_key", F.when(F.col("_old") | (F.col("_n") > 1), "duplicate").otherwise("inserted").alias("outcome"))
+    outcome = F.when(F.col("_size") > limit, "refused").when(F.col("_old") | (F.col("_n") > 1), "duplicate").otherwise("inserted")
+    out = keyed.withColumn("_n", n).join(old, "idempotency_key", "left").withColumn("outcome", outcome)
+    return out.select(*own, "subject_id", "idempotency_key", "outcome", F.when(F.col("outcome") == "inserted", "VAULT").alias("task_type"))
 
 
 def cancel_code(status: Column) -> Column:
@@ -122,6 +153,16 @@ def cancel_code(status: Column) -> Column:
     return F.when(status != "WAITING_COOLDOWN", F.concat(F.lit("API_JOB_NOT_CANCELLABLE_"), status))
 
 
+def cancel_jobs(jobs: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Jobs (job_id, status) whose cancellation is asked for, with their tasks (task_id,
+    job_id, status): job_id, task_id, code, and the states afterwards. Jobs that may be
+    cancelled are, and their open tasks fail; others keep theirs."""
+    own = tasks.select("job_id", "task_id", F.col("status").alias("_task"))
+    code = cancel_code(F.col("status"))
+    task = F.when(code.isNull() & F.col("_task").isin("QUEUED", "DISPATCHED"), "FAILED").otherwise(F.col("_task"))
+    return jobs.join(own, "job_id", "left").select("job_id", "task_id", code.alias("code"), F.when(code.isNull(), "CANCELLED").otherwise(F.col("status")).alias("status"), task.alias("task_status"))
+
+
 def certificates(events: DataFrame) -> DataFrame:
     """One for each finished job (job_id, seq, event_type, current_hash): method,
     canonical payload and its hash."""
@@ -131,6 +172,14 @@ def certificates(events: DataFrame) -> DataFrame:
     return last.select("job_id", method.alias("method"), payload.alias("payload"), sha256_hex(payload).alias("payload_hash"))
 
 
+def mint_certificates(certs: DataFrame, stored: DataFrame) -> DataFrame:
+    """New certificates against stored ones (job_id, payload_hash): minted, existing
+    (equal payload) or conflict; a stored payload is never replaced."""
+    old = stored.select("job_id", F.col("payload_hash").alias("_old"))
+    outcome = F.when(F.col("_old").isNull(), "minted").when(F.col("_old") == F.col("payload_hash"), "existing").otherwise("conflict")
+    return certs.join(old, "job_id", "left").withColumn("outcome", outcome).drop("_old")
+
+
 def certificate_ok(payload: Column, payload_hash: Column) -> Column:
     return sha256_hex(canonical_json(payload)) == payload_hash
 

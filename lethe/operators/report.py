@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,12 +15,32 @@ def group_counts(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"))
 
 
-def task_latency_p95(tasks: DataFrame) -> DataFrame:
-    """Exact 95th percentile of milliseconds from creation to completion, for each
-    task type and (null) for all."""
-    ms = (F.unix_micros(F.col("completed_at").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))) / 1000
-    done = tasks.where("completed_at is not null").withColumn("ms", ms)
-    return tasks.sparkSession.sql("SELECT task_type, percentile_cont(0.95) WITHIN GROUP (ORDER BY ms) AS p95_ms FROM {done} GROUP BY GROUPING SETS ((task_type), ())", done=done)
+def task_latency_p95(tasks: DataFrame, share: float = 0.95) -> DataFrame:
+    """Exact percentile (interpolated) of milliseconds from creation to completion, for
+    each task type and (null) for all.
+
+    By ranks: equal values are counted first, and the counts are summed up in order
+    within ranges of values, then over the ranges, so that no group of tasks is gathered
+    or sorted in one task."""
+    us = F.unix_micros(F.col("completed_at").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))
+    counts = tasks.where("completed_at is not null").select("task_type", us.alias("us")).where("us is not null").groupBy("task_type", "us").agg(F.count("*").alias("n"))
+    both = counts.select(F.col("task_type"), F.lit(False).alias("every"), "us", "n").unionAll(counts.groupBy("us").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string"), F.lit(True), "us", "n"))
+    # ranges of values that halve with their distance from zero: few, and of some thousand distinct values each at most where values are milliseconds
+    part = F.struct((F.signum("us") * F.floor(F.log2(F.abs("us") + 1))).cast("int").alias("power"), F.floor(F.col("us") / 1_000_000).alias("second"))
+    ranged = both.withColumn("part", part)
+    sizes = ranged.groupBy("every", "task_type", "part").agg(F.sum("n").alias("size"))
+    upto = F.sum("size").over(Window.partitionBy("every", "task_type").orderBy("part.second", "part.power"))
+    total = F.sum("size").over(Window.partitionBy("every", "task_type"))
+    sizes = sizes.withColumn("upto", upto).withColumn("total", total)
+    # the two ranks (from 0) that the percentile lies between
+    at = (F.col("total") - 1) * share
+    sought = sizes.select("every", "task_type", "part", (F.col("upto") - F.col("size")).alias("below"), "upto", at.alias("at")).where((F.col("below") <= F.ceil("at")) & (F.col("upto") > F.floor("at")))
+    same = F.col("l.every") == F.col("r.every")
+    inside = ranged.alias("l").join(sought.alias("r"), same & F.col("l.task_type").eqNullSafe(F.col("r.task_type")) & (F.col("l.part") == F.col("r.part"))).select("l.every", "l.task_type", "l.part", "l.us", "l.n", "r.below", "r.at")
+    last = F.col("below") + F.sum("n").over(Window.partitionBy("every", "task_type", "part").orderBy("us")) - 1
+    value = lambda rank: F.min(F.when(F.col("last") >= rank, F.col("us")))
+    out = inside.withColumn("last", last).groupBy("every", "task_type", "at").agg(value(F.floor("at")).alias("lo"), value(F.ceil("at")).alias("hi"))
+    return out.select("task_type", ((F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))) / 1000).alias("p95_ms"))
 
 
 def lifecycle_throughput(jobs: DataFrame, seconds: float) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.crypto import user_hash
 from ..functions.text import after
 
 
@@ -39,7 +40,7 @@ class Rule:
 
 def retention_pick(subjects: DataFrame, key: str, rules: list[Rule], evidence: dict[str, DataFrame], default_years: int = 0) -> DataFrame:
     """The longest rule of which a subject has evidence (the first of equals), or
-    DEFAULT: key, retention_years, rule_name."""
+    DEFAULT where none is longer than the default: key, retention_years, rule_name."""
     hits = None
     for order, rule in enumerate(rules):
         keys = evidence[rule.evidence].select(F.col(rule.column or key).alias(key))
@@ -47,7 +48,7 @@ def retention_pick(subjects: DataFrame, key: str, rules: list[Rule], evidence: d
         hits = own if hits is None else hits.unionAll(own)
     if hits is None:
         return subjects.select(key, F.lit(default_years).alias("retention_years"), F.lit("DEFAULT").alias("rule_name"))
-    best = hits.groupBy(key).agg(F.max_by(F.struct("years", "name"), F.struct("years", "rank")).alias("best"))
+    best = hits.where(F.col("years") > default_years).groupBy(key).agg(F.max_by(F.struct("years", "name"), F.struct("years", "rank")).alias("best"))
     return subjects.select(key).join(best, key, "left").select(key, F.coalesce("best.years", F.lit(default_years)).alias("retention_years"), F.coalesce("best.name", F.lit("DEFAULT")).alias("rule_name"))
 
 
@@ -67,3 +68,13 @@ def erasure_plan(requests: DataFrame, key: str, root: DataFrame, vaulted: DataFr
     holds = F.col("_b").isNotNull() if blobs is not None else F.lit(False)
     action = F.when(F.col("_v"), "already_vaulted").when(F.col("_d"), "already_hard_deleted").when(F.col("_r").isNull(), "missing").when(F.lit(dependents == 0) & ~holds, "hard_delete").otherwise("vault")
     return out.select(key, action.alias("action"))
+
+
+def plan_batch(actions: DataFrame, key: str, retention: DataFrame, now: Column, schema: str, table: str, secret: bytes, notice_hours: int = 48) -> DataFrame:
+    """The plan of a batch in full: the actions of ``erasure_plan`` with user_hash, and
+    for subjects that go to the vault retention_years, rule_name, retention_expiry and
+    notification_due_at (from ``retention_pick`` of the requested subjects)."""
+    expiry, notice = retention_window(now, F.col("retention_years"), notice_hours)
+    kept = F.col("action") == "vault"
+    out = actions.join(retention, key, "left").withColumn("retention_expiry", expiry).withColumn("notification_due_at", notice)
+    return out.select(key, "action", user_hash(schema, table, F.col(key), secret).alias("user_hash"), *[F.when(kept, F.col(c)).alias(c) for c in ("retention_years", "rule_name", "retention_expiry", "notification_due_at")])

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.crypto import decrypt, encrypt, pseudonym, random_bytes, unwrap_key, user_hash, wrap_key
-
+from ..functions.crypto import canonical_json, decrypt, encrypt, pseudonym, random_bytes, unwrap_key, user_hash, wrap_key
+from ..functions.text import iso_timestamp
 from .subjects import retention_window
 
 #: What stands in place of a ciphertext whose key is destroyed.
@@ -71,3 +71,41 @@ def phase(now: Column) -> Column:
     """A vault row's phase, from its times."""
     c = F.col
     return F.when(c("shredded_at").isNotNull(), "shredded").when(c("retention_expiry") <= now, "expired").when(c("notification_sent_at").isNotNull(), "notified").when(c("notification_due_at") <= now, "notice_due").otherwise("vaulted")
+
+
+def outbox_rows(rows: DataFrame, event_type: str, prefix: str, key: str, payload: list[Column], now: Column, stored: DataFrame | None = None) -> DataFrame:
+    """Events to append to the outbox (idempotency_key, user_hash, event_type, payload,
+    created_at): one for each idempotency key, and none that is stored already. The key
+    is the request's, where ``rows`` has a request_id, else the subject's."""
+    name = F.coalesce(F.col("request_id"), key_of(prefix, key)) if "request_id" in rows.columns else key_of(prefix, key)
+    own = F.concat(F.lit(f"{prefix.split(':')[0]}:"), name)
+    out = rows.select(own.alias("idempotency_key"), "user_hash", F.lit(event_type).alias("event_type"), canonical_json(F.to_json(F.struct(*payload))).alias("payload"), now.alias("created_at")).dropDuplicates(["idempotency_key"])
+    return out if stored is None else out.join(stored.select("idempotency_key"), "idempotency_key", "left_anti")
+
+
+def key_of(prefix: str, key: str) -> Column:
+    """A subject's place (schema, table and id column behind the prefix's first colon) and id."""
+    return F.concat(F.lit(prefix.split(":", 1)[1] + ":"), F.col(key).cast("string"))
+
+
+def vaulted_events(plan: DataFrame, key: str, schema: str, table: str, dependents: int, now: Column, stored: DataFrame | None = None) -> DataFrame:
+    """USER_VAULTED for the subjects of a plan (``subjects.plan_batch``) that went to
+    the vault."""
+    payload = [F.col("rule_name").alias("applied_rule_name"), F.lit(dependents).alias("dependency_count"), iso_timestamp(now).alias("event_timestamp"), iso_timestamp(F.col("notification_due_at")).alias("notification_due_at"), iso_timestamp(F.col("retention_expiry")).alias("retention_expiry"), F.col("retention_years"), F.col(key).cast("string").alias("root_id"), F.lit(table).alias("root_table")]
+    return outbox_rows(plan.where("action = 'vault'"), "USER_VAULTED", f"vault:{schema}:{table}:{key}", key, payload, now, stored)
+
+
+def hard_deleted_events(plan: DataFrame, key: str, schema: str, table: str, now: Column, stored: DataFrame | None = None) -> DataFrame:
+    """USER_HARD_DELETED for the subjects of a plan that were deleted outright."""
+    payload = [iso_timestamp(now).alias("deleted_at"), F.lit(0).alias("dependency_count"), iso_timestamp(now).alias("event_timestamp"), F.col(key).cast("string").alias("root_id"), F.lit(table).alias("root_table")]
+    return outbox_rows(plan.where("action = 'hard_delete'"), "USER_HARD_DELETED", f"hard-delete:{schema}:{table}:{key}", key, payload, now, stored)
+
+
+def sent_notices(messages: DataFrame, sent: DataFrame, schema: str, table: str, key: str, now: Column, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Receipts (idempotency_key, user_hash, sent_at) and NOTIFICATION_SENT rows for the
+    messages (user_hash, the subject's key, idempotency_key) that a mail sender confirms
+    (idempotency_key)."""
+    done = messages.join(sent.select("idempotency_key").distinct(), "idempotency_key", "left_semi")
+    receipts = done.select("idempotency_key", "user_hash", now.alias("sent_at"))
+    payload = [iso_timestamp(now).alias("event_timestamp"), F.col(key).cast("string").alias("root_id"), F.lit(table).alias("root_table"), iso_timestamp(now).alias("sent_at")]
+    return receipts, outbox_rows(done, "NOTIFICATION_SENT", f"notice:{schema}:{table}", key, payload, now, stored)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.crypto import decrypt, encrypt, mask_value, pseudonym, user_hash
+from ..functions.crypto import decrypt, encrypt, mask_value, pseudonym, unwrap_key, user_hash
 from ..functions.text import blob_mask, object_ref_hash
 from ..operators import cascade as ops
 from ..operators import subjects, vault
@@ -166,28 +166,87 @@ def evidence_semi(spark, sf_dir):
     return load(spark, sf_dir, "customer").join(load(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-_PLAN_SQL = """SELECT u.user_id AS c_custkey, CASE WHEN u.user_id IN (SELECT user_id FROM events WHERE event_type = 'view') THEN 'already_vaulted'
+def _plan_sql(rest: str, years: int) -> str:
+    """A subject's action; hash, rule and times of those that go to the vault."""
+    user = hmac_sql("'app:customer::' || CAST(c_custkey AS VARCHAR)", TEXT_KEY)
+    action = f"""CASE WHEN u.user_id IN (SELECT user_id FROM events WHERE event_type = 'view') THEN 'already_vaulted'
     WHEN u.user_id IN (SELECT user_id FROM events WHERE event_type = 'error') THEN 'already_hard_deleted'
-    WHEN u.user_id NOT IN (SELECT c_custkey FROM customer) THEN 'missing' ELSE '{rest}' END AS action
-    FROM (SELECT DISTINCT user_id FROM (SELECT user_id FROM events UNION ALL SELECT c_custkey * 3 FROM customer) x) u"""
-
-
-def _planned(spark, sf_dir, dependents):
-    events = load(spark, sf_dir, "events")
-    asked = events.select(F.col("user_id").alias("c_custkey")).unionAll(load(spark, sf_dir, "customer").select(F.col("c_custkey") * 3))
+    WHEN u.user_id NOT IN (SELECT c_custkey FROM customer) THEN 'missing' ELSE '{rest}' END"""
+    longest = f"CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) AND 8 > {years} THEN 8 ELSE {years} END"
+    return f"""SELECT c_custkey, action, user_hash, CASE WHEN action = 'vault' THEN CAST(years AS INTEGER) END AS retention_years, CASE WHEN action = 'vault' THEN CASE WHEN years > {years} THEN 'TAX' ELSE 'DEFAULT' END END AS rule_name,
+    CASE WHEN action = 'vault' THEN TIMESTAMP '{NOW}' + to_years(CAST(years AS INTEGER)) END AS retention_expiry, CASE WHEN action = 'vault' THEN greatest(TIMESTAMP '{NOW}', TIMESTAMP '{NOW}' + to_years(CAST(years AS INTEGER)) - INTERVAL 48 HOUR) END AS notification_due_at
+    FROM (SELECT *, {user} AS user_hash, {longest} AS years FROM (SELECT u.user_id AS c_custkey, {action} AS action
+    FROM (SELECT DISTINCT user_id FROM (SELECT user_id FROM events UNION ALL SELECT c_custkey * 3 FROM customer) x) u) y) z"""
+
+
+def _planned(spark, sf_dir, dependents, years):
+    """Users of events and a third of the customers are asked for; orders are evidence
+    of a rule of eight years."""
+    events, orders = load(spark, sf_dir, "events"), load(spark, sf_dir, "orders")
+    asked = events.select(F.col("user_id").alias("c_custkey")).unionAll(load(spark, sf_dir, "customer").select(F.col("c_custkey") * 3)).distinct()
     of = lambda kind: events.where(F.col("event_type") == kind).select(F.col("user_id").alias("c_custkey"))
-    return subjects.erasure_plan(asked, "c_custkey", load(spark, sf_dir, "customer"), of("view"), of("error"), dependents)
+    actions = subjects.erasure_plan(asked, "c_custkey", load(spark, sf_dir, "customer"), of("view"), of("error"), dependents)
+    kept = subjects.retention_pick(asked, "c_custkey", [subjects.Rule("TAX", 8, "orders", "o_custkey")], {"orders": orders}, years)
+    return subjects.plan_batch(actions, "c_custkey", kept, _now(), SCHEMA, "customer", HMAC_KEY)
 
 
-@R.add(_PLAN_SQL.format(rest="vault"))
+@R.add(_plan_sql("vault", 3))
 def erasure_plan_batch(spark, sf_dir):
-    return _planned(spark, sf_dir, ops.dependency_count(PLAN))
+    return _planned(spark, sf_dir, ops.dependency_count(PLAN), 3)
 
 
-@R.add(_PLAN_SQL.format(rest="hard_delete"))
+@R.add(_plan_sql("hard_delete", 0))
 def dry_run(spark, sf_dir):
     """The plan of a batch without dependents; nothing is written."""
-    return _planned(spark, sf_dir, 0)
+    return _planned(spark, sf_dir, 0, 0)
+
+
+_ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S.000Z')"
+_AT = _ISO.format(f"TIMESTAMP '{NOW}'")
+
+
+@R.add(f"""SELECT 'vault:app:customer:c_custkey:' || CAST(c_custkey AS VARCHAR) AS idempotency_key, user_hash, 'USER_VAULTED' AS event_type, '{{"applied_rule_name":"' || rule_name || '","dependency_count":2,"event_timestamp":"' || {_AT} || '","notification_due_at":"' || {_ISO.format('notification_due_at')}
+    || '","retention_expiry":"' || {_ISO.format('retention_expiry')} || '","retention_years":' || CAST(retention_years AS VARCHAR) || ',"root_id":"' || CAST(c_custkey AS VARCHAR) || '","root_table":"customer"}}' AS payload, TIMESTAMP '{NOW}' AS created_at
+    FROM ({_plan_sql("vault", 3)}) p WHERE action = 'vault' AND c_custkey % 5 <> 0""")
+def vault_events(spark, sf_dir):
+    """Events of a batch; every fifth subject's is stored from an earlier run."""
+    plan = erasure_plan_batch(spark, sf_dir)
+    events = lambda rows, stored=None: vault.vaulted_events(rows, "c_custkey", SCHEMA, "customer", ops.dependency_count(PLAN), _now(), stored)
+    return events(plan, events(plan.where("c_custkey % 5 = 0")))
+
+
+_DELETED_PLAN = _plan_sql("hard_delete", 0)
+
+
+@R.add(f"""SELECT 'hard-delete:app:customer:c_custkey:' || CAST(c_custkey AS VARCHAR) AS idempotency_key, user_hash, 'USER_HARD_DELETED' AS event_type,
+    '{{"deleted_at":"' || {_AT} || '","dependency_count":0,"event_timestamp":"' || {_AT} || '","root_id":"' || CAST(c_custkey AS VARCHAR) || '","root_table":"customer"}}' AS payload, TIMESTAMP '{NOW}' AS created_at
+    FROM ({_DELETED_PLAN}) p WHERE action = 'hard_delete'""")
+def hard_delete_events(spark, sf_dir):
+    return vault.hard_deleted_events(dry_run(spark, sf_dir), "c_custkey", SCHEMA, "customer", _now())
+
+
+def _messages(spark, sf_dir):
+    own = load(spark, sf_dir, "customer").select("c_custkey", user_hash(SCHEMA, "customer", F.col("c_custkey"), HMAC_KEY).alias("user_hash"))
+    return own.withColumn("idempotency_key", F.concat(F.lit("notice:"), "user_hash"))
+
+
+_USER = hmac_sql("'app:customer::' || CAST(c_custkey AS VARCHAR)", TEXT_KEY)
+
+
+@R.add(f"""SELECT 'notice:app:customer:' || CAST(c_custkey AS VARCHAR) AS idempotency_key, {_USER} AS user_hash, 'NOTIFICATION_SENT' AS event_type,
+    '{{"event_timestamp":"' || {_AT} || '","root_id":"' || CAST(c_custkey AS VARCHAR) || '","root_table":"customer","sent_at":"' || {_AT} || '"}}' AS payload, TIMESTAMP '{NOW}' AS created_at FROM customer WHERE c_mktsegment = 'MACHINERY'""")
+def notice_events(spark, sf_dir):
+    """The mail sender confirms the messages of one segment, some of them twice."""
+    m = _messages(spark, sf_dir)
+    sent = m.join(load(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY'"), "c_custkey", "left_semi")
+    return vault.sent_notices(m, sent.unionAll(sent), SCHEMA, "customer", "c_custkey", _now())[1]
+
+
+@R.add(f"SELECT 'notice:' || {_USER} AS idempotency_key, {_USER} AS user_hash, TIMESTAMP '{NOW}' AS sent_at FROM customer WHERE c_mktsegment = 'MACHINERY'")
+def notice_receipts(spark, sf_dir):
+    m = _messages(spark, sf_dir)
+    sent = m.join(load(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY'"), "c_custkey", "left_semi")
+    return vault.sent_notices(m, sent, SCHEMA, "customer", "c_custkey", _now())[0]
 
 
 @R.add(f"""SELECT 'customer' AS table_name, count(*) AS rows_after FROM customer
@@ -244,20 +303,26 @@ def aes_gcm_round_trip(spark, sf_dir):
 
 
 def _stored_keys(spark, sf_dir):
-    """Random keys are written to the shared folder and read back before use."""
+    """Random keys are written to the shared folder and read back before use. The file
+    holds wrapped keys alone; deleting it is the caller's."""
     import uuid
 
     drawn = vault.draw_keys(load(spark, sf_dir, "customer").where(_BATCH), "c_custkey", SCHEMA, "customer", HMAC_KEY, KEK)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="lethe-keys-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/keys"
     at = f"{base.rstrip('/')}/keys-{uuid.uuid4().hex}"
     drawn.write.parquet(at)
     return spark.read.schema(drawn.schema).parquet(at)
 
 
+@R.add(f"SELECT {_USER} AS user_hash, true AS fresh, true AS unwraps, true AS wrong_key_fails FROM customer WHERE {_BATCH}")
+def wrap_unwrap_dek(spark, sf_dir):
+    """Random keys of 32 bytes and salts of 16, each its own, wrapped and unwrapped."""
+    keys = _stored_keys(spark, sf_dir)
+    counts = keys.agg(F.count_distinct("wrapped_dek").alias("deks"), F.count_distinct("salt").alias("salts"), F.count("*").alias("n")).withColumn("one", F.lit(1))
+    rows = keys.withColumn("one", F.lit(1)).join(counts, "one")
+    return rows.select("user_hash", ((F.col("deks") == F.col("n")) & (F.col("salts") == F.col("n")) & (F.length("salt") == 32)).alias("fresh"), (F.octet_length(unwrap_key(F.col("wrapped_dek"), KEK)) == 32).alias("unwraps"), unwrap_key(F.col("wrapped_dek"), HMAC_KEY).isNull().alias("wrong_key_fails"))
+
+
 _PERSONAL = ["c_name", "c_mktsegment"]
 
 
@@ -334,9 +399,11 @@ def blob_mask_refs(spark, sf_dir):
     return rows.select("c_custkey", blob_mask(F.trim("url"), SCHEMA, "customer", "url", HMAC_KEY).alias("masked"), object_ref_hash(F.lit("kyc"), F.concat(F.lit("k"), F.col("c_custkey").cast("string")), F.lit("v1"), HMAC_KEY).alias("ref_hash"))
 
 
-@R.add(f"""SELECT 'customer' AS table_name, CAST(0 AS BIGINT) AS leaks UNION ALL SELECT 'orders', CAST(0 AS BIGINT)""")
+@R.add(f"""SELECT 'customer' AS table_name, count(*) FILTER (after LIKE 'Customer#%') AS leaks FROM (SELECT CASE WHEN {_BATCH} THEN {hmac_sql("'app:customer:c_name:' || c_name", HMAC_KEY)} ELSE c_name END AS after FROM customer WHERE {_BATCH}) c
+    UNION ALL SELECT 'orders', count(*) FILTER (after <> '[REDACTED]') FROM (SELECT CASE WHEN o_custkey IN ({_SUBJECTS}) THEN '[REDACTED]' ELSE o_orderpriority END AS after FROM orders WHERE o_custkey IN ({_SUBJECTS})) o
+    UNION ALL SELECT 'customer before', count(*) FILTER (c_name LIKE 'Customer#%') FROM customer WHERE {_BATCH}""")
 def leak_invariants(spark, sf_dir):
-    """After a batch no row of its subjects may hold a raw value."""
+    """After a batch no row of its subjects may hold a raw value; before it, all do."""
     from ..operators.discovery import leak_invariants as leaks
 
     t = _tables(spark, sf_dir)
@@ -344,7 +411,9 @@ def leak_invariants(spark, sf_dir):
     batch = _subjects(spark, sf_dir)
     own = after["customer"].join(batch, "c_custkey", "left_semi")
     orders = after["orders"].join(batch, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
-    return leaks({"customer": (own, F.col("c_name").startswith("Customer#")), "orders": (orders, F.col("o_orderpriority") != "[REDACTED]")})
+    before = t["customer"].join(batch, "c_custkey", "left_semi")
+    raw = F.col("c_name").startswith("Customer#")
+    return leaks({"customer": (own, raw), "customer before": (before, raw), "orders": (orders, F.col("o_orderpriority") != "[REDACTED]")})
 
 
 R.part("mask_values", mask_value=["c_custkey", "hashed", "masked", "nulled"])

@@ -80,9 +80,11 @@ def ledger_export(spark, sf_dir):
     return ledger.ledger_export(_ledger(spark, sf_dir).where("event_type <> 'HEARTBEAT'"), chain=4, after_seq=100).select("seq", "current_hash")
 
 
-@R.add("SELECT event_type, count(*) AS n FROM events WHERE user_id < 10 GROUP BY 1")
+@R.add("SELECT event_type, count(*) AS n FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY') GROUP BY 1")
 def event_type_counts(spark, sf_dir):
-    return report.group_counts(load(spark, sf_dir, "events").where("user_id < 10"), ["event_type"])
+    """Of the subjects of one segment."""
+    own = load(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("user_id"))
+    return report.group_counts(load(spark, sf_dir, "events").join(own, "user_id", "left_semi"), ["event_type"])
 
 
 @R.add("SELECT event_id FROM events WHERE regexp_matches(props, '\"k\": 8[0-9]')")
@@ -134,9 +136,17 @@ _FOLD = f"""WITH RECURSIVE e AS (SELECT user_id * 1000000 + (n - 1) // 10 AS job
         f.applied + CASE WHEN {_FITS} THEN 1 ELSE 0 END, f.refused + CASE WHEN {_FITS} THEN 0 ELSE 1 END, CASE WHEN {_FITS} THEN NULL ELSE 'API_OUTBOX_EVENT_OUT_OF_ORDER' END, e.seq FROM f JOIN e ON e.job_id = f.job_id AND e.i = f.i + 1)"""
 
 
-@R.add(_FOLD + " SELECT job_id, arg_max(status, i) AS status, arg_max(applied, i) AS applied, arg_max(refused, i) AS refused FROM f GROUP BY 1")
+_RULE = "'rule ' || CAST(seq % 3 AS VARCHAR)"
+_FOLDED = _FOLD.replace("CAST(NULL AS BIGINT) AS seq FROM (SELECT DISTINCT", "CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS kind FROM (SELECT DISTINCT").replace("e.seq FROM f JOIN e", "e.seq, e.ev FROM f JOIN e")
+
+
+@R.add(_FOLDED + f""", last AS (SELECT job_id, arg_max(status, i) AS status, arg_max(applied, i) AS applied, arg_max(refused, i) AS refused, max(CASE WHEN code IS NULL AND kind = 'USER_VAULTED' THEN seq END) AS vaulted, max(CASE WHEN code IS NULL AND kind IN ('SHRED_SUCCESS', 'USER_HARD_DELETED') THEN seq END) AS ended FROM f GROUP BY 1)
+    SELECT job_id, status, applied, refused, {_RULE.replace('seq', 'vaulted')} AS rule, v.ts + INTERVAL 5 DAY AS notice_due, v.ts + INTERVAL 7 DAY AS shred_due, x.ts AS shredded_at
+    FROM last LEFT JOIN events v ON v.event_id = vaulted LEFT JOIN events x ON x.event_id = ended""")
 def job_state_fold(spark, sf_dir):
-    return lifecycle.job_state_fold(_job_events(spark, sf_dir))
+    times = load(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("ts").alias("at"))
+    rows = _job_events(spark, sf_dir).join(times, "seq").withColumn("rule", F.concat(F.lit("rule "), (F.col("seq") % 3).cast("string")))
+    return lifecycle.job_state_fold(rows.withColumn("notice_due", F.col("at") + F.make_dt_interval(F.lit(5))).withColumn("shred_due", F.col("at") + F.make_dt_interval(F.lit(7))))
 
 
 @R.add(f"""SELECT s AS status, ev AS event_type, CASE WHEN s IN ('CANCELLED', 'FAILED') THEN 'API_OUTBOX_JOB_TERMINAL' WHEN (s = 'EXECUTING' AND ev IN ('USER_VAULTED', 'USER_HARD_DELETED')) OR (s = 'VAULTED' AND ev = 'NOTIFICATION_SENT')
@@ -247,27 +257,39 @@ def outbox_lag(spark, sf_dir):
     return report.outbox_lag(load(spark, sf_dir, "events").select(F.when(kind == "purchase", "PROCESSED").otherwise("PENDING").alias("status"), F.when(kind != "error", "h").alias("current_hash")))
 
 
-@R.add(f"SELECT job_id, CASE WHEN status <> 'WAITING_COOLDOWN' THEN 'API_JOB_NOT_CANCELLABLE_' || status END AS code FROM {_JOBS} j")
+@R.add(f"""SELECT j.job_id, task_id, CASE WHEN j.status <> 'WAITING_COOLDOWN' THEN 'API_JOB_NOT_CANCELLABLE_' || j.status END AS code, CASE WHEN j.status = 'WAITING_COOLDOWN' THEN 'CANCELLED' ELSE j.status END AS status,
+    CASE WHEN j.status = 'WAITING_COOLDOWN' AND t.status IN ('QUEUED', 'DISPATCHED') THEN 'FAILED' ELSE t.status END AS task_status
+    FROM {_JOBS} j LEFT JOIN (SELECT l_orderkey AS job_id, l_orderkey * 10 + l_linenumber AS task_id, ['QUEUED', 'DISPATCHED', 'COMPLETED'][l_linenumber % 3 + 1] AS status FROM lineitem) t ON t.job_id = j.job_id""")
 def cancel_requests(spark, sf_dir):
-    return _jobs(spark, sf_dir).select("job_id", lifecycle.cancel_code(F.col("status")).alias("code"))
+    """Orders as jobs, their lines as tasks."""
+    states = F.array(*[F.lit(s) for s in ("QUEUED", "DISPATCHED", "COMPLETED")])
+    tasks = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("task_id"), F.get(states, F.col("l_linenumber") % 3).alias("status"))
+    return lifecycle.cancel_jobs(_jobs(spark, sf_dir), tasks)
 
 
-_REQ = "(SELECT event_id AS request_id, 'r' || CAST(user_id AS VARCHAR) || event_type AS idempotency_key, CAST(event_id % 3 = 0 AS VARCHAR) AS body, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n, first_value(event_id % 3 = 0) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS f FROM events)"
+_URLS = ["https://hooks.example/x", "http://hooks.example/x", "https://10.0.0.8/x"]
+_CODED = """(SELECT event_id AS request_id, 'r' || CAST(user_id AS VARCHAR) || event_type AS idempotency_key, CAST(event_id % 3 = 0 AS VARCHAR) AS body, CASE WHEN user_id % 11 = 10 OR user_id % 11 = 0 THEN 'API_CLIENT_INACTIVE' WHEN user_id % 11 IN (3, 4) AND event_id % 2 = 1 THEN 'API_BURN_IN_REQUIRED'
+    WHEN event_id % 7 = 1 THEN 'API_WEBHOOK_URL_PROTOCOL_INVALID' WHEN event_id % 7 = 2 THEN 'API_WEBHOOK_URL_HOST_FORBIDDEN' END AS code, event_type, user_id FROM events)"""
 
 
-@R.add(f"""SELECT request_id, idempotency_key, CASE WHEN held IS NULL THEN 'created' WHEN held = body THEN 'replayed' ELSE 'conflict' END AS outcome FROM (
-    SELECT r.*, CASE WHEN ends_with(idempotency_key, 'click') THEN 'true' WHEN n > 1 THEN CAST(f AS VARCHAR) END AS held FROM {_REQ} r) x""")
+@R.add(f"""SELECT request_id, idempotency_key, CASE WHEN code IS NOT NULL THEN 'refused' WHEN held IS NULL THEN 'created' WHEN held = body THEN 'replayed' ELSE 'conflict' END AS outcome, code FROM (
+    SELECT *, CASE WHEN ends_with(idempotency_key, 'click') THEN 'true' WHEN row_number() OVER w > 1 THEN first_value(body) OVER w END AS held FROM {_CODED} r WINDOW w AS (PARTITION BY user_id, event_type, code IS NULL ORDER BY request_id)) x""")
 def create_request(spark, sf_dir):
-    rows = load(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.concat(F.lit("r"), F.col("user_id").cast("string"), "event_type").alias("idempotency_key"), (F.col("event_id") % 3 == 0).cast("string").alias("body"), "event_type")
+    """Clients by user; some unknown, inactive or not live yet, some callbacks unsafe."""
+    client = F.col("user_id") % 11
+    rows = load(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.concat(F.lit("r"), F.col("user_id").cast("string"), "event_type").alias("idempotency_key"), (F.col("event_id") % 3 == 0).cast("string").alias("body"), "event_type", client.alias("client_id"), (F.col("event_id") % 2 == 0).alias("shadow"), F.get(F.array(*[F.lit(u) for u in _URLS]), (F.col("event_id") % 7).cast("int")).alias("callback_url"))
+    clients = rows.select("client_id").distinct().where("client_id <> 10").select("client_id", (F.col("client_id") != 0).alias("active"), F.when(~F.col("client_id").isin(3, 4), _now()).alias("live_since"))
     stored = rows.where("event_type = 'click'").select("idempotency_key", F.lit("true").alias("body")).distinct()
-    return lifecycle.create_requests(rows, stored)
+    return lifecycle.create_requests(rows, stored, clients)
 
 
-@R.add("SELECT subject_id, CASE WHEN n > 1 OR subject_id % 4 = 0 THEN 'duplicate' ELSE 'inserted' END AS outcome FROM (SELECT o_custkey AS subject_id, row_number() OVER (PARTITION BY o_custkey) AS n FROM orders) t")
+@R.add("""SELECT batch, subject_id, outcome, CASE WHEN outcome = 'inserted' THEN 'VAULT' END AS task_type FROM (SELECT batch, subject_id, CASE WHEN size > 100 THEN 'refused' WHEN subject_id % 4 = 0 OR row_number() OVER (PARTITION BY subject_id, size > 100 ORDER BY batch) > 1 THEN 'duplicate' ELSE 'inserted' END AS outcome
+    FROM (SELECT o_orderpriority AS batch, o_custkey AS subject_id FROM orders) o JOIN (SELECT o_orderpriority AS batch, count(DISTINCT o_custkey) AS size FROM orders GROUP BY 1) s USING (batch)) t""")
 def bulk_purge(spark, sf_dir):
-    ids = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject_id"))
-    stored = lifecycle.bulk_purge(ids.where("subject_id % 4 = 0").distinct(), spark.createDataFrame([], "idempotency_key string"), "run")
-    return lifecycle.bulk_purge(ids, stored, "run").select("subject_id", "outcome")
+    """A batch for each priority of orders; those of more than a hundred ids are refused."""
+    ids = load(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("batch"), F.col("o_custkey").alias("subject_id"))
+    stored = lifecycle.bulk_purge(ids.where("subject_id % 4 = 0").select("subject_id").distinct(), spark.createDataFrame([], "idempotency_key string"), "run", limit=1 << 40)
+    return lifecycle.bulk_purge(ids, stored, "run", "batch", 100).select("batch", "subject_id", "outcome", "task_type")
 
 
 def _finished(spark, sf_dir):
@@ -285,6 +307,14 @@ def certificate_mint(spark, sf_dir):
     return lifecycle.certificates(_finished(spark, sf_dir))
 
 
+@R.add(f"SELECT job_id, method, sha256(payload) AS payload_hash, CASE job_id % 3 WHEN 0 THEN 'conflict' WHEN 1 THEN 'existing' ELSE 'minted' END AS outcome FROM ({_CERTS}) c")
+def certificate_conflicts(spark, sf_dir):
+    """A third of the jobs have a certificate of another payload, a third of this one."""
+    c = lifecycle.certificates(_finished(spark, sf_dir))
+    stored = c.where("job_id % 3 <= 1").select("job_id", F.when(F.col("job_id") % 3 == 0, sha256_hex("payload_hash")).otherwise(F.col("payload_hash")).alias("payload_hash"))
+    return lifecycle.mint_certificates(c, stored).select("job_id", "method", "payload_hash", "outcome")
+
+
 @R.add(f"SELECT job_id, job_id % 3 <> 0 AS ok FROM ({_CERTS}) c")
 def certificate_payload_check(spark, sf_dir):
     c = lifecycle.certificates(_finished(spark, sf_dir))
@@ -355,11 +385,15 @@ def subject_map_join(spark, sf_dir):
     return ingest.mapped(rows, mapping).select("event_id", "subject_opaque_id", "code")
 
 
-@R.add(f"""SELECT event_id, CASE WHEN n = 1 THEN 'new' WHEN subject_key = f THEN 'duplicate' ELSE 'conflict' END AS outcome FROM (
-    SELECT *, row_number() OVER (PARTITION BY provider, reference ORDER BY event_id) AS n, first_value(subject_key) OVER (PARTITION BY provider, reference ORDER BY event_id) AS f FROM {_HOOKS} h) x""")
+@R.add(f"""SELECT event_id, CASE WHEN held IS NULL THEN 'new' WHEN subject_key = held THEN 'duplicate' ELSE 'conflict' END AS outcome FROM (
+    SELECT event_id, h.subject_key, coalesce(s.subject_key, CASE WHEN row_number() OVER w > 1 THEN first_value(h.subject_key) OVER w END) AS held
+    FROM (SELECT * FROM {_HOOKS} a WHERE event_id % 5 <> 0) h LEFT JOIN (SELECT provider, reference, arg_min(subject_key, event_id) AS subject_key FROM {_HOOKS} b WHERE event_id % 5 = 0 GROUP BY 1, 2) s ON s.provider = h.provider AND s.reference = h.reference
+    WINDOW w AS (PARTITION BY h.provider, h.reference ORDER BY event_id)) x""")
 def replay_lookup_left(spark, sf_dir):
+    """Every fifth event is stored from earlier."""
     rows = ingest.parsed(_hooks(spark, sf_dir))
-    return ingest.replay_lookup(rows, rows.limit(0).select("idempotency_key", "subject_hash")).select("event_id", "outcome")
+    stored = rows.where("event_id % 5 = 0").groupBy("idempotency_key").agg(F.min_by("subject_hash", "event_id").alias("subject_hash"))
+    return ingest.replay_lookup(rows.where("event_id % 5 <> 0"), stored).select("event_id", "outcome")
 
 
 @R.add("""SELECT event_id, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)) <= 3600000000, false) AS replayed FROM events""")
@@ -369,30 +403,42 @@ def replay_guard(spark, sf_dir):
 
 @R.add("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
 def subject_mapping_upsert(spark, sf_dir):
+    """Later events of each user against a table of the earlier ones'."""
     rows = load(spark, sf_dir, "events").select("user_id", "event_id")
-    return tables.upsert_latest(rows.limit(0), rows, ["user_id"], F.col("event_id"))
+    stored = rows.where("event_id % 2 = 0").groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+    return tables.upsert_latest(stored, rows.where("event_id % 2 = 1"), ["user_id"], F.col("event_id"))
 
 
-@R.add("SELECT user_id AS chain, config AS key FROM (SELECT DISTINCT user_id, json_extract_string(props, '$.k') AS config FROM events) t")
+@R.add("""SELECT user_id AS chain, config AS key FROM (SELECT user_id, json_extract_string(props, '$.k') AS config, min(event_id % 7) AS stored FROM events GROUP BY 1, 2) t WHERE stored <> 0""")
 def config_heartbeat(spark, sf_dir):
-    """One marker for each client and configuration hash, with two equal hashes."""
+    """One marker for each client and configuration hash that none is stored for, with
+    two equal hashes."""
     beats = load(spark, sf_dir, "events").select(F.col("user_id").alias("chain"), F.get_json_object("props", "$.k").alias("key"), "event_id")
-    return tables.append_once(beats.limit(0), beats, ["chain", "key"], [F.col("event_id")]).select("chain", "key")
+    return tables.append_once(beats.where("event_id % 7 = 0"), beats, ["chain", "key"], [F.col("event_id")]).select("chain", "key")
+
+
+_SENT = "(SELECT user_id AS chain, event_id AS id, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS payload, 'k:' || CAST(event_id AS VARCHAR) AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_id % 6 = 2)"
 
 
-@R.add(_CHAIN.replace("@", "") + " SELECT c.chain, c.id, c.current_hash, c.id % 6 = 0 AS replayed FROM c WHERE c.id % 6 <> 1")
+@R.add("WITH RECURSIVE " + _CHAIN.replace("@", " WHERE event_id % 6 NOT IN (2, 3, 4)").split("WITH RECURSIVE ")[1] + f""", heads AS (SELECT chain, arg_max(current_hash, n) AS head FROM c GROUP BY 1), s AS (SELECT * FROM {_SENT} t),
+    a AS (SELECT s.chain, id, n, coalesce(head, 'GENESIS') AS previous_hash, sha256(coalesce(head, 'GENESIS') || payload || key) AS current_hash FROM s LEFT JOIN heads h ON h.chain = s.chain WHERE n = 1
+        UNION ALL SELECT s.chain, s.id, s.n, a.current_hash, sha256(a.current_hash || s.payload || s.key) FROM a JOIN s ON s.chain = a.chain AND s.n = a.n + 1)
+    SELECT chain, id, 'ACCEPTED' AS code, previous_hash, current_hash FROM a UNION ALL SELECT user_id, event_id, ['REPLAY', 'CONFLICT', NULL, 'BAD_HASH', 'OUT_OF_ORDER'][event_id % 6 + 1], NULL, NULL FROM events WHERE event_id % 6 NOT IN (2, 5)""")
 def ledger_ingest(spark, sf_dir):
-    """A batch with replays (every sixth) and bad hashes (the ones after) against the
-    rest of the ledger; replays keep the stored hash."""
-    built = ledger.chain_finalize(_pending(spark, sf_dir))
-    full = built.join(_pending(spark, sf_dir), ["chain", "id"])
-    stored = full.withColumn("seq", F.col("id"))
-    sent = full.where("id % 6 <= 1").withColumn("current_hash", F.when(F.col("id") % 6 == 1, "bad").otherwise(F.col("current_hash")))
+    """A worker's batch against the rest of the ledger, by event number modulo 6: known
+    entries (0), known keys with other payloads (1), new entries (2; rebased onto the
+    head of their chain), wrong hashes (3), events no job of that state allows (4)."""
     from ..streaming.streams import ledger_ingest as put
 
-    rejects = put(sent, stored.where("id % 6 <> 1"))[1]
-    marked = stored.join(rejects.select("chain", "id", "code"), ["chain", "id"], "left").where("code is null or code <> 'BAD_HASH'")
-    return marked.select("chain", "id", "current_hash", F.coalesce(F.col("code") == "REPLAY", F.lit(False)).alias("replayed"))
+    rows = _pending(spark, sf_dir).select("chain", "created_at", "id", "payload", "key")
+    stored = ledger.chain_finalize(rows.where("id % 6 not in (2, 3, 4)")).join(rows, ["chain", "id"]).withColumn("seq", F.struct("created_at", "id")).withColumn("event_type", F.lit("DONE"))
+    n = F.col("id") % 6
+    sent = rows.where("id % 6 <> 5").withColumn("payload", F.when(n == 1, F.concat("payload", F.lit(" "))).otherwise(F.col("payload"))).withColumn("previous_hash", F.lit("worker"))
+    sent = sent.withColumn("current_hash", F.when(n == 3, "bad").otherwise(ledger.link_hash(F.col("previous_hash"), F.col("payload"), F.col("key"))))
+    sent = sent.withColumn("status", F.lit("EXECUTING")).withColumn("event_type", F.when(n == 4, "SHRED_SUCCESS").otherwise("USER_VAULTED"))
+    accepted, rejects = put(sent, stored)
+    kept = accepted.select("chain", "id", F.lit("ACCEPTED").alias("code"), "previous_hash", "current_hash")
+    return kept.unionByName(rejects.select("chain", "id", "code", F.lit(None).cast("string").alias("previous_hash"), F.lit(None).cast("string").alias("current_hash")))
 
 
 @R.add("SELECT event_id, n_name, r_name FROM events JOIN customer ON c_custkey = user_id JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")

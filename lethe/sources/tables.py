@@ -36,9 +36,11 @@ def dedupe_first(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame
 
 
 class Versions:
-    """Versioned Parquet tables under one folder. A run writes all its tables under
-    an id and then replaces the manifest, which is what readers follow: either all
-    of a run is seen or nothing. One writer at a time."""
+    """Versioned Parquet tables under one folder. A run writes all its tables under an
+    id and then adds a numbered manifest, of which the highest counts: either all of a
+    run is seen or nothing, and no reader finds a moment without a manifest. A manifest
+    is complete before its name appears (a rename that never overwrites); who comes
+    second to a number fails. One writer at a time."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -46,11 +48,17 @@ class Versions:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _latest(self) -> int:
+        """The number of the manifest that counts, 0 before the first."""
+        at = self._path(f"{self.root}/manifests")
+        names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return max((int(n.removesuffix(".json")) for n in names if n.endswith(".json")), default=0)
+
     def manifest(self) -> dict[str, str]:
-        at = f"{self.root}/manifest.json"
-        if not self._fs.exists(self._path(at)):
+        number = self._latest()
+        if not number:
             return {}
-        return json.loads("".join(r.value for r in self.spark.read.text(at).collect()))
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/manifests/{number:012d}.json").collect()))
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{self.manifest()[name]}")
@@ -58,20 +66,27 @@ class Versions:
     def commit(self, tables: dict[str, DataFrame]) -> str:
         """Write tables, then switch to them. Returns the run id."""
         run = uuid.uuid4().hex
+        number = self._latest() + 1
         for name, df in tables.items():
             df.write.parquet(f"{self.root}/{name}/{run}")
         now = self.manifest() | {name: f"{name}/{run}" for name in tables}
-        staged, final = self._path(f"{self.root}/manifest.{run}"), self._path(f"{self.root}/manifest.json")
+        self._fs.mkdirs(self._path(f"{self.root}/manifests"))
+        staged, final = self._path(f"{self.root}/manifests/{run}.staged"), self._path(f"{self.root}/manifests/{number:012d}.json")
         out = self._fs.create(staged, True)
         out.write(bytearray(json.dumps(now).encode()))
         out.close()
-        self._fs.delete(final, False)
-        self._fs.rename(staged, final)
+        if self._fs.exists(final) or not self._fs.rename(staged, final):
+            self._fs.delete(staged, False)
+            raise RuntimeError("another run has committed in the meantime")
         return run
 
     def forget(self, name: str) -> None:
         """Delete all superseded versions of a table for good (destroyed keys)."""
-        live = self.manifest().get(name)
+        live, number = self.manifest().get(name), self._latest()
+        old = self._path(f"{self.root}/manifests")
+        for status in self._fs.listStatus(old) if self._fs.exists(old) else []:
+            if status.getPath().getName() != f"{number:012d}.json":
+                self._fs.delete(status.getPath(), False)
         at = self._path(f"{self.root}/{name}")
         for status in self._fs.listStatus(at) if self._fs.exists(at) else []:
             if f"{name}/{status.getPath().getName()}" != live:

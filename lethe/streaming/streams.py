@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ledger import link_hash
-from ..operators.lifecycle import LEADS_TO, PREDECESSOR, TERMINAL
+from ..operators.lifecycle import LEADS_TO, PREDECESSOR, TERMINAL, transition_code
 
 
 def ingest_requests(events: DataFrame, mapping: DataFrame, watermark: str = "1 hour") -> DataFrame:
@@ -72,34 +72,43 @@ def budget_stream(requests: DataFrame, window_s: int, most: int) -> DataFrame:
 
 def ledger_ingest(batch: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries of one micro-batch (chain, created_at, id, payload, key, previous_hash,
-    current_hash) against the ledger: rows to append and rejects. Known keys are
-    replays (equal payload) or conflicts; wrong hashes are refused; the rest is
+    current_hash, and maybe event_type and status of the job) against the ledger: rows
+    to append and rejects (code). Known keys are replays (equal payload) or conflicts;
+    wrong hashes and events that the job's state does not allow are refused; the rest is
     rebased onto the head of its chain. For use in ``foreachBatch``."""
     from ..operators.ledger import chain_finalize, chain_head
 
     known = ledger.select("chain", "key", F.col("payload").alias("_old"))
     joined = batch.join(known, ["chain", "key"], "left")
     right = F.col("current_hash") == link_hash(F.col("previous_hash"), F.col("payload"), F.col("key"))
-    code = F.when(F.col("_old").isNotNull() & (F.col("_old") == F.col("payload")), "REPLAY").when(F.col("_old").isNotNull(), "CONFLICT").when(~right, "BAD_HASH")
+    code = F.when(F.col("_old").isNotNull() & (F.col("_old") == F.col("payload")), "REPLAY").when(F.col("_old").isNotNull(), "CONFLICT").when(~F.coalesce(right, F.lit(False)), "BAD_HASH")
+    if "status" in batch.columns:
+        refused = transition_code(F.col("status"), F.col("event_type"))
+        code = F.coalesce(code, F.when(refused == "API_OUTBOX_JOB_TERMINAL", "TERMINAL").when(refused.isNotNull(), "OUT_OF_ORDER"))
     coded = joined.withColumn("code", code)
     fresh = coded.where("code is null").select("chain", "created_at", "id", "payload", "key", F.col("current_hash").alias("worker_hash"))
     heads = chain_head(ledger).select("chain", F.col("head").alias("tail"))
     return chain_finalize(fresh, heads).join(fresh, ["chain", "id"]), coded.where("code is not null").select("chain", "id", "code")
 
 
-def append_batches(stream: DataFrame, path: str, key: list[str], checkpoint: str):
-    """Start a query that appends each key once to a Parquet table, over all batches."""
+def append_batches(stream: DataFrame, path: str, key: list[str], checkpoint: str, buckets: int = 64):
+    """Start a query that appends each key once to a Parquet table, over all batches.
+
+    The table is partitioned by buckets of the key's hash. A micro-batch is joined to
+    the buckets that it touches alone (dynamic partition pruning by its own, few bucket
+    numbers), and of these only the key columns are read."""
     from ..sources.tables import append_once
 
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+
     def put(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            target = spark.read.schema(batch.schema).parquet(path)
-            target.limit(1).count()
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            target = batch.limit(0)
-        append_once(target, batch, key, [F.col(batch.columns[0])]).write.mode("append").parquet(path)
+        rows = batch.withColumn("_bucket", bucket).persist()
+        touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        exists = there.getFileSystem(spark._jsc.sparkContext().hadoopConfiguration()).exists(there)
+        target = spark.read.schema(rows.schema).parquet(path).where(F.col("_bucket").isin(touched)) if exists else rows.limit(0)
+        append_once(target, rows, key, [F.col(batch.columns[0])]).write.mode("append").partitionBy("_bucket").parquet(path)
+        rows.unpersist()
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
