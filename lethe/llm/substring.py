@@ -16,8 +16,11 @@ corpus: a block has about eight words. All grouping is by partial aggregation,
 so a passage in a third of all documents costs one row for each task.
 
 Edge cases: null and blank texts have no words and lose none; documents of less
-than ``window`` words are kept whole; in repeated rows of one doc_id each row
-gets the result of the document. Other columns are ignored.
+than ``window`` words are kept whole; repeated rows of one doc_id are one document, and
+each row gets its result (doc_ids are taken to name one text); rows without a doc_id
+have no place in the order, lose nothing and take nothing from others; an empty table
+gives an empty result; other columns are ignored. Texts of any length are parsed whole;
+a task holds some hundred bytes for each word of one text at a time.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from .common import Windows, materialise, mix, release, signed, slices, texts, w
 
 _BLOCKS = "anchor long, body long, doc_id long, at int"
 _WINDOWS = "w1 long, w2 long, doc_id long, at int"
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>"
 
 
@@ -138,12 +142,21 @@ def _factor(window: int, anchor: int):
                         gone[s:e] = True
                     kept = words if not spans else [x for x, g in zip(words, gone, strict=True) if not g]
                     rows.append((doc, len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest(), [{"start": s, "end": e} for s, e in spans]))
-                schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+                schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", _SPANS)])
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The result of documents that keep all their words."""
+    for batch in batches:
+        words = [(t or b"").split() for t in texts(batch.column("text"))]
+        shas = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
+        n = pa.array([len(w) for w in words], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, pa.array([0] * len(words), pa.int64()), pa.array(shas, pa.string()), pa.array([[] for _ in words], _SPANS)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans"])
+
+
 def _spans(repeated: np.ndarray, window: int) -> list[tuple[int, int]]:
     """Word spans that runs of repeated windows cover, joined where they touch."""
     edge = np.flatnonzero(np.diff(np.concatenate(([False], repeated, [False])).astype(np.int8)))
@@ -166,6 +179,7 @@ def duplicate_spans(docs: DataFrame, window: int = 20, anchor: int = 6) -> DataF
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    nameless, docs = docs.where("doc_id is null"), docs.where("doc_id is not null")
     blocks = docs.mapInArrow(_blocks(window, anchor), _BLOCKS)
     # one row for each document and block, so that min_by has no ties
     first = materialise(blocks.groupBy("anchor", "body").agg(F.min("doc_id").alias("doc_id"), F.min_by("at", "doc_id").alias("at")), "blocks")
@@ -179,4 +193,5 @@ def duplicate_spans(docs: DataFrame, window: int = 20, anchor: int = 6) -> DataF
     fresh = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("doc_id"), F.min_by("at", "doc_id").alias("at"))
     fresh = materialise(fresh.groupBy("doc_id").agg(F.collect_list("at").alias("fresh")), "fresh")
     release(spark)
-    return docs.join(firsts.join(fresh, "doc_id", "left"), "doc_id", "left").mapInArrow(_factor(window, anchor), _RESULT)
+    found = docs.join(firsts.join(fresh, "doc_id", "left"), "doc_id", "left").mapInArrow(_factor(window, anchor), _RESULT)
+    return found.unionAll(nameless.mapInArrow(_whole, _RESULT))
