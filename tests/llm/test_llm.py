@@ -8,8 +8,11 @@ from collections import defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+import plain_pii
+from lethe.functions import classify
 from lethe.llm import chat, decontam, exact, pii, quality, sharding, simhash, spm, substring, toxicity
 
 DIR = "/root/testdata/sf0.001"
@@ -85,6 +88,37 @@ def test_exact(docs, rows, empty, bits):
     assert exact.exact_groups(empty).count() == 0
 
 
+@pytest.mark.parametrize("bits", [64, 3])
+def test_exact_with_repeated_and_null_ids(spark, docs, rows, bits):
+    """Rows count one by one, whatever ids they have."""
+    text = dict(rows)
+    own = [(0, text[20]), (0, text[20]), (100, text[20]), (None, text[20]), (None, text[21]), (None, text[21]), (5, text[22]), (5, text[23]), (3, text[23]), (7, ""), (None, None)]
+    table = spark.createDataFrame(own, "doc_id long, text string").repartition(3)
+    groups = defaultdict(list)
+    for i, t in own:
+        groups[re.sub("[\x20\x09-\x0d]+", " ", t or "")].append(i)
+    want = []
+    for t, g in groups.items():
+        least = min((i for i in g if i is not None), default=None)
+        want += [(i, least, len(g), i == least, hashlib.sha256(t.encode()).hexdigest()) for i in g]
+    key = lambda r: tuple(map(str, r))
+    assert sorted((tuple(r) for r in exact.exact_groups(table, print_bits=bits).collect()), key=key) == sorted(want, key=key)
+    left = sorted(map(tuple, exact.drop_copies(table, print_bits=bits).collect()), key=key)
+    assert left == sorted([(0, text[20]), (None, text[20]), (None, text[21]), (None, text[21]), (5, text[22]), (3, text[23]), (7, ""), (None, None)], key=key)
+
+
+def test_decontamination_of_a_long_item(spark, monkeypatch):
+    """An item is cut into pieces that go to different slices."""
+    monkeypatch.setattr(decontam, "_PIECE", 50)
+    item = [f"x{k}" for k in range(700)]
+    bench = spark.createDataFrame([("long", " ".join(item))], "item_id string, text string")
+    texts = [" ".join(item[at : at + 10 + at % 7]) for at in range(0, 690, 13)] + [" ".join(item), "x1 x2 x3"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size in (64 << 20, 4000):
+        got = {r.doc_id: (r.n_hit, r.n_items) for r in decontam.contamination(docs, bench, broadcast_bytes=size).collect()}
+        assert got == {i: (len(t.split()), 1) if len(t.split()) >= 10 else (0, 0) for i, t in enumerate(texts)}
+
+
 def test_chunks():
     r = random.Random(2)
     text = bytes(r.randrange(256) for _ in range(60_000)) + b"z" * 70_000
@@ -100,7 +134,7 @@ def test_drop_copies_of_repeated_rows(docs):
     assert left.count() == exact.exact_groups(docs).where("kept").count()
 
 
-@pytest.mark.parametrize("size", [64 << 20, 40])
+@pytest.mark.parametrize("size", [64 << 20, 800])
 def test_decontamination(spark, docs, rows, empty, size):
     items = [(1, "W1 w2, w3"), (2, rows[20][1]), (10, " ".join(f"w{i}" for i in range(30))), (3, None), (4, "?!"), (10, "One"), (None, "w5 w6 w7 w8 w9")]
     bench = spark.createDataFrame([(i, t, 1.0) for i, t in items], "item_id long, text string, score double")
@@ -122,6 +156,10 @@ def test_decontamination(spark, docs, rows, empty, size):
         want[i] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
     got = {r.doc_id: tuple(r)[1:] for r in decontam.contamination(docs, bench, broadcast_bytes=size).collect()}
     assert got == want
+    again = docs.where("doc_id in (4, 20, 21)")
+    nameless = again.withColumn("doc_id", F.lit(None).cast("long"))
+    got = sorted(map(str, decontam.contamination(again.unionAll(again).unionAll(nameless).unionAll(nameless), bench, broadcast_bytes=size).collect()))
+    assert got == sorted(str(Row(doc_id=i, n_words=w[0], n_hit=w[1], n_items=w[2], items_sha256=w[3], contaminated=w[4])) for k in (4, 20, 21) for w in [want[k]] for i in (k, k, None, None))
     kept = {r.doc_id for r in decontam.drop_contaminated(docs, bench, broadcast_bytes=size).collect()}
     assert kept == {i for i, v in want.items() if not v[4]}
     assert decontam.contamination(empty, bench).count() == 0
@@ -227,6 +265,8 @@ def test_spm(spark, docs, rows, empty):
     letters = "abcdeth  inogs\n\t.é漢字かな中国的и не한😀\u0000▁190"
     texts = ["".join(r.choice(letters) for _ in range(r.randrange(0, 60))) for _ in range(1500)] + ["a" * 999, " " * 40, "".join(r.choice("aeinst") for _ in range(3000))]
     assert encoder.encode(texts) == library.encode(texts)
+    for other in (spm.Encoder(encoder.v, remember=50), spm.Encoder(encoder.v, hash_bits=6)):  # words forgotten, hashes that clash
+        assert other.encode(texts) == library.encode(texts)
     got = spm.encode_documents(docs)
     ids = {r.doc_id: r.ids for r in got.collect()}
     assert ids == {i: library.encode(t or "") for i, t in rows}
@@ -255,7 +295,7 @@ def test_spm_unigram_is_the_best_path():
 
     for n in (1, 2, 5, 7):
         own = ["".join(p) for p in itertools.product("abc", repeat=n)][:300]
-        for w, ids in zip(own, encoder.viterbi(own)):
+        for w, ids in zip(own, encoder.encode(own)):
             assert "".join(pieces[i] for i in ids) == w
             assert abs(sum(scores[i] for i in ids) - best(w)) < 1e-9
 
@@ -308,12 +348,61 @@ def test_surrogates_of_more_values_than_a_pool_first_has(spark):
 
     values = [f"192.168.{i // 254 + 1}.{i % 254 + 1}" for i in range(33_000)]
     held = spark.createDataFrame([("ip", v) for v in values], "kind string, value string")
-    attempt = F.coalesce("attempt", F.lit(0))
-    drawn = held.join(pii.settled(held, b"k"), ["kind", "value"], "left").select(pii.surrogate(F.col("kind"), F.col("value"), attempt, b"k").alias("new"))
+    held = held.withColumn("gender", F.lit("n"))
+    drawn = pii.settled(held, b"k").select(pii.surrogate(F.col("kind"), F.col("value"), F.col("gender"), F.col("attempt"), b"k").alias("new"))
     new = {r.new for r in drawn.collect()}
     assert len(new) == len(values) and not new & set(values) and all(n.startswith(("192.168.", "10.")) for n in new)
 
 
+def test_surrogates_of_one_entity_in_all_its_forms(spark):
+    """Coreference over titles, spellings and scripts; genders, formats and checks that stay."""
+    texts = [
+        "Dr. John Smith met Mr. John Smith and John Smith; Ms John Smith? no", "Mr. Γιώργος Παπαδόπουλος, κα Ελένη Νικολάου, Prof. Παπαδόπουλος", "Mrs Andrea Jones and Mr Andrea Jones",
+        "ip 2001:db8::1 2001:DB8::FF fe80::1 at 12:30:45 in std::vector", "+44 20 7946 0958, +919876543210 9876543210 +91 98765 43210",
+        "PAN ABCPE1234F GSTIN 27ABCPE1234F1Z5 IFSC HDFC0001234 pass K1234567 voter ABC1234567 joe@okbank", "2345 6789 0124, 2345-6789-0123 AA-BB-CC-DD-EE-FF", "Mr. Հայկ Սարգսյան 张三@例子.cn",
+        "Frau Anna Marie Schmidt", "John Smith", "Dr. Zbigniew Smith and Mr Zbigniew Smith",
+    ]
+    rows = spark.createDataFrame([*enumerate(texts), (None, texts[10]), (None, "John Smith")], "doc_id long, text string")
+    out = pii.surrogate_texts(rows, b"k", given_names={"m": ["Zbigniew"]}).collect()
+    got = {r.doc_id: r.text for r in out if r.doc_id is not None}
+    assert sorted(r.text for r in out if r.doc_id is None) == sorted([got[10], got[9]])
+    john, smith = got[9].split()
+    assert got[0] == f"Dr. {john} {smith} met Mr. {john} {smith} and {john} {smith}; Ms {john} {smith}? no" and "Smith" not in got[0]
+    greek = re.fullmatch(r"Mr\. ([Ͱ-ϿΆ-ώ]+) ([Ͱ-Ͽ]+), κα ([Ͱ-Ͽ]+) ([Ͱ-Ͽ]+), Prof\. ([Ͱ-Ͽ]+)", got[1])
+    assert greek[1] in pii._GIVEN["greek_m"].split() and greek[3] in pii._GIVEN["greek_f"].split() and greek[2] == greek[5] != "Παπαδόπουλος"
+    andrea = re.fullmatch(r"Mrs (\w+) (\w+) and Mr (\w+) (\w+)", got[2])
+    assert andrea[1] == andrea[3] and andrea[2] == andrea[4] and any(andrea[1].startswith(n) for n in pii._GIVEN["latin_n"].split())
+    assert re.fullmatch(r"ip [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f] [0-9A-F]{4}:[0-9A-F]{3}::[0-9A-F]{2} fe80::[0-9a-f] at 12:30:45 in std::vector", got[3]) and "db8" not in got[3].lower()
+    phone = re.fullmatch(r"\+44 (\d\d \d{4} \d{4}), \+91(\d{10}) (\d{10}) \+91 (\d{5} \d{5})", got[4])
+    assert phone[2] == phone[3] == phone[4].replace(" ", "") != "9876543210" and phone[2][0] in "6789" and phone[1] != "20 7946 0958"
+    assert re.fullmatch(r"PAN [A-Z]{3}P[A-Z]\d{4}[A-Z] GSTIN \d\d[A-Z]{3}P[A-Z]\d{4}[A-Z]1Z\d IFSC [A-Z]{4}0\d{6} pass [A-Z]\d{7} voter [A-Z]{3}\d{7} [a-z]{3}@okbank", got[5])
+    assert not any(x in got[5] for x in ("ABCPE1234F", "HDFC", "K1234567", "ABC1234567", "joe"))
+    assert re.fullmatch(r"[2-9]\d{3} \d{4} \d{4}, [2-9]\d{3}-\d{4}-\d{4} (?:[0-9A-F]{2}-){5}[0-9A-F]{2}", got[6]) and "AA-BB" not in got[6]
+    valid = lambda t: [r.v for r in spark.createDataFrame([(x,) for x in t], "t string").select(classify.valid_aadhaar(F.col("t")).alias("v")).collect()]
+    assert valid(re.findall(r"\d{4}[ -]\d{4}[ -]\d{4}", got[6])) == valid(["2345 6789 0124", "2345-6789-0123"])
+    assert re.fullmatch(r"Mr\. [Ա-Ֆ][ա-և]{3} [Ա-Ֆ][ա-և]{7} [一-鿿]{2}@[一-鿿]{2}\.cn", got[7]) and "Հայկ" not in got[7] and "张" not in got[7]
+    assert re.fullmatch(r"Frau \w+ \w+ \w+", got[8]) and not {"Marie", "Schmidt"} & set(got[8].split())
+    assert got[10].split()[1] == got[10].split()[5] and any(got[10].split()[1].startswith(n) for n in pii._GIVEN["latin_m"].split())
+
+
+def test_surrogates_of_a_hundred_thousand_names(spark):
+    """Distinct names of one kind keep distinct surrogates."""
+    name = F.concat(F.lit("Q"), F.translate(F.lpad(F.col("id").cast("string"), 6, "0"), "0123456789", "aeioubdfgk"))
+    held = spark.range(100_000).select(F.lit("given_latin").alias("kind"), F.lower(name).alias("value"), F.lit("m").alias("gender"))
+    drawn = pii.settled(held, b"k").select("value", pii.surrogate(F.col("kind"), F.col("value"), F.col("gender"), F.col("attempt"), b"k").alias("new"))
+    assert drawn.select("new").distinct().count() == 100_000 and drawn.join(drawn.select(F.col("new").alias("value")), "value").isEmpty()
+
+
+def test_surrogates_against_plain_python(spark):
+    """All rows of the smallest documents table, and some with every kind."""
+    more = [(-1, "Dr. John Smith and Mrs Anna Berg, Mr Anna Berg; Joe.B@x.org, 192.168.0.1 10.1.2.3 8.8.4.4"), (-2, "4111 1111 1111 1111 and 017-555-7713, 123-45-6789, AB:CD:EF:01:23:45, joe@okbank, 2345 6789 0123"), (-3, "2001:db8::1, fe80::7, ABCPE1234F 27ABCPE1234F1Z5 HDFC0001234 K1234567 ABC1234567 deadbeefdeadbeefdeadbeefdeadbee1, г-жа Вера Иванова, John Smith"), (-4, None), (-4, ""), (-1, "John Smith")]
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = sorted((r.doc_id, str(r.text), r.n_entities, tuple(r.kinds)) for r in pii.surrogate_texts(docs, b"k").collect())
+    assert got == sorted((i, str(t), n, k) for (i, _), (t, n, k) in zip(rows, plain_pii.surrogates([t for _, t in rows], b"k"), strict=True))
+    assert len({k for *_, ks in got for k in ks}) == 16
+
+
 def test_models_without_labels(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1, None)], "doc_id long, quality int, toxic int")
     for table in (labels, labels.limit(0)):
