@@ -28,9 +28,12 @@ def held_out(doc_id="doc_id"):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is set."""
+    """The folder that all executors share. A local folder serves only where all
+    executors are threads of this process."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         at = tempfile.mkdtemp(prefix="lethe-checkpoint-")
@@ -41,13 +44,16 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete the intermediate tables that this process has written. Results that
     were not written themselves can't be read any more."""
-    jvm = spark.sparkContext._jvm
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
@@ -60,15 +66,22 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     at = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     _written.append(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.written_at = at
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs before the next large one."""
+def release(spark: SparkSession, *done: DataFrame) -> None:
+    """Let Spark drop the shuffle files of finished jobs before the next large one, and
+    delete written tables that nothing reads any more."""
     import gc
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    for df in done:
+        if df.written_at in _written:
+            _written.remove(df.written_at)
+            _delete(spark, df.written_at)
 
 
 def texts(column: pa.Array) -> list[bytes | None]:

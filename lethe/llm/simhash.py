@@ -13,9 +13,11 @@ which never gather a node's neighbours in one task; each step's table is written
 to the shared folder.
 
 Edge cases: null and blank texts have fingerprint zero and link like any other;
-texts of fewer words than a shingle have one shingle of all their words;
-repeated rows of one doc_id with one text give one row each; other columns are
-ignored.
+texts of fewer words than a shingle have one shingle of all their words; repeated
+rows give one row each; rows without a doc_id link nothing and get the component of
+the rows with their very fingerprint, or null if there are none; an empty table gives
+an empty result; other columns are ignored. Texts of any length are hashed whole; a task holds some hundred
+bytes for each word of one text at a time.
 """
 
 from __future__ import annotations
@@ -107,7 +109,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         pairs = materialise(small.where("u <> v").distinct(), "edges")
-    release(spark)
+        release(spark)
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
@@ -155,7 +157,7 @@ def _sets(shingle: int):
     return run
 
 
-def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 3, views: int = 12) -> DataFrame:
+def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 3, views: int = 12, exact: bool = False) -> DataFrame:
     """doc_id and component_id (its least doc_id) over links between documents whose
     shingle sets have a Jaccard similarity of ``similarity`` or more.
 
@@ -164,8 +166,13 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     fingerprints of ``views`` min-wise samples of three shingles: two texts of
     similarity s agree in one with a chance of about s**3. Texts that agree are each
     compared with one of them, another for each view; all pairs of a group never are.
-    Groups of three or more that this leaves in parts are then joined exactly, all
-    at once (``_across``). Every candidate is verified by the exact similarity.
+    Groups of three or more that this leaves in parts are then dealt anew by their
+    rare shingles (``_across``), with two texts of each shingle to compare with.
+    Every candidate is verified by the exact similarity.
+
+    ``exact`` compares all pairs that agree in a rare shingle instead: then no link of
+    texts that agree in a fingerprint is missed, but the pairs of a large group whose
+    texts are nearly as similar grow with its square.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prints = materialise(docs.mapInArrow(_views(shingle, views), "doc_id long, print long, keys array<long>"), "views")
@@ -174,16 +181,19 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     seen = prints.select("doc_id", F.posexplode("keys").alias("view", "key"))
     chosen = materialise(seen.groupBy("view", "key").agg(F.min_by("doc_id", F.xxhash64("doc_id", "view")).alias("v"), F.count("*").alias("n")).where("n > 1").drop("n"), "chosen")
     pairs = whole.unionAll(seen.join(chosen, ["view", "key"]).select(F.col("doc_id").alias("u"), "v"))
-    pairs = materialise(_ordered(pairs), "pairs")
+    pairs = materialise(pairs.where("u <> v").distinct(), "pairs")
     nodes = materialise(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "nodes")
     sets = materialise(by_id(docs, nodes, "left_semi").mapInArrow(_sets(shingle), "doc_id long, shingles array<long>"), "sets")
+    release(docs.sparkSession, chosen)
     found = components(_verified(pairs, sets, similarity))
     part = materialise(nodes.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("part")), "part")
     # pairs of two that agree were compared, and larger groups of one part are joined already
     groups = seen.unionAll(prints.select("doc_id", F.lit(-1).alias("view"), F.col("print").alias("key"))).join(part, "doc_id")
     mixed = materialise(groups.groupBy("view", "key").agg(F.count("*").alias("n"), F.min("part").alias("a"), F.max("part").alias("b")).where("n > 2 and a < b").select("view", "key"), "mixed")
     rest = materialise(groups.join(mixed, ["view", "key"]).select("doc_id", "part").distinct(), "rest")
-    pairs = materialise(_across(sets.join(rest, "doc_id").select("doc_id", "part", "shingles"), similarity), "pairs")
+    release(docs.sparkSession, pairs, mixed)
+    pairs = _across(sets.join(rest, "doc_id").select("doc_id", "part", "shingles"), similarity, exact)
+    release(docs.sparkSession, rest)
     near = _verified(pairs, sets, similarity)
     ends = lambda name: part.select(F.col("doc_id").alias(name), F.col("part").alias(f"{name}_part"))
     joined = components(near.join(ends("u"), "u").join(ends("v"), "v").select(F.col("u_part").alias("u"), F.col("v_part").alias("v")))
@@ -191,21 +201,24 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     return prints.select("doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+#: Rows into which the set of a text is dealt that very many others are compared with.
+_SALTS = 64
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sets are as similar."""
+    """The pairs (u, v) whose sets are as similar. Many u may share a v: its set is
+    dealt by salts, of which only those that occur get a copy."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(_SALTS)))
     side = lambda name: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"{name}_set"))
-    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    sought = salted.select("v", "salt").distinct().join(side("v"), "v")
+    both = salted.join(side("u"), "u").join(sought, ["v", "salt"])
     common = F.size(F.array_intersect("u_set", "v_set"))
     # by counts, so that no rounding decides: common / (all - common) >= similarity
     return both.where(common * (1 + similarity) >= (F.size("u_set") + F.size("v_set")) * similarity - 1e-9).select("u", "v")
 
 
-def _across(parts: DataFrame, similarity: float) -> DataFrame:
-    """Candidate pairs (u, v) of different parts; no pair as similar is left out.
+def _across(parts: DataFrame, similarity: float, exact: bool) -> DataFrame:
+    """Candidate pairs (u, v) of different parts.
 
     A prefix filter: shingles are put in one order, those of a single part first (no
     pair sought shares them), then the rarest. Before their first common shingle, at
@@ -213,7 +226,10 @@ def _across(parts: DataFrame, similarity: float) -> DataFrame:
     i + j <= (a + b) * (1 - similarity) / (1 + similarity). Hence one of them has it
     in that share of its own shingles, and either in its first 1 - similarity. Texts
     that only share a passage have their own shingles first, so they meet nowhere.
-    Pairs inside the largest part that has a shingle are never made.
+
+    Of all texts that meet in a shingle, each is compared with two (so that of three
+    every pair is); many shingles have the same two, so that few pairs come from
+    many. ``exact`` takes all pairs but those inside the largest part.
     """
     most = (1 - similarity) / (1 + similarity)
     rows = parts.select("doc_id", "part", F.size("shingles").alias("size"), F.explode("shingles").alias("token"))
@@ -222,14 +238,23 @@ def _across(parts: DataFrame, similarity: float) -> DataFrame:
     own = Window.partitionBy("doc_id")
     placed = rows.join(shared, "token").withColumn("at", F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "token")) - 1)
     first = materialise(placed.where(F.col("at") <= F.col("size") * (1 - similarity) + 1e-6).select("token", "doc_id", "part", "size", (F.col("at") - F.col("size") * most).alias("over"), (F.col("part") == F.col("major")).alias("inside")), "first")
-    one = first.where("over <= 1e-6").select("token", F.col("doc_id").alias("u"), F.col("part").alias("u_part"), F.col("size").alias("u_size"), F.col("over").alias("u_over"), F.col("inside").alias("u_inside"))
-    fits = (F.col("u_part") != F.col("part")) & (F.col("u_over") + F.col("over") <= 1e-6) & (F.least("u_size", "size") >= F.greatest("u_size", "size") * similarity - 1e-6)
-    met = lambda a, b: a.join(b, "token").where(fits).select("u", F.col("doc_id").alias("v"))
-    return _ordered(met(one.where("not u_inside"), first).unionAll(met(one.where("u_inside"), first.where("not inside"))))
+    one = first.where("over <= 1e-6").select("token", F.col("doc_id").alias("v"), F.col("part").alias("v_part"), F.col("size").alias("v_size"), F.col("over").alias("v_over"), F.col("inside").alias("v_inside"))
+    fits = (F.col("v_part") != F.col("part")) & (F.col("v_over") + F.col("over") <= 1e-6) & (F.least("v_size", "size") >= F.greatest("v_size", "size") * similarity - 1e-6)
+    met = lambda a, b: a.join(b, "token").where(fits).select(F.col("doc_id").alias("u"), "v")
+    if exact:
+        out = met(one.where("not v_inside"), first).unionAll(met(one.where("v_inside"), first.where("not inside")))
+        return materialise(out.distinct(), "pairs")
+    order = F.xxhash64("v", F.pmod("token", F.lit(4)))
+    text = F.struct("v", "v_part", "v_size", "v_over")
+    two = one.groupBy("token").agg(F.min_by(text, order).alias("a"), F.max_by(text, order).alias("b"))
+    out = materialise(met(two.select("token", F.explode(F.array("a", "b")).alias("t")).select("token", "t.*"), first).distinct(), "pairs")
+    release(parts.sparkSession, shared, first)
+    return out
 
 
 def drop_near_copies(docs: DataFrame, **more) -> DataFrame:
-    """The document of smallest doc_id of each component, with all its columns."""
-    found = similar_components(docs, **more)
+    """The document of smallest doc_id of each component, with all its columns. Rows
+    without a doc_id stay as they are."""
+    found = similar_components(docs.where("doc_id is not null"), **more)
     dropped = materialise(found.where("doc_id <> component_id").select("doc_id"), "near")
     return by_id(docs, dropped, "left_anti")
