@@ -56,39 +56,72 @@ def chain_head(ledger: DataFrame) -> DataFrame:
     return ledger.where("event_type <> 'HEARTBEAT'").groupBy("chain").agg(F.max_by("current_hash", "seq").alias("head"))
 
 
-def _links(ledger: DataFrame) -> DataFrame:
-    """Each row with the hash it should follow; row-parallel but for one lag."""
+#: Sequence numbers that a range of a chain spans.
+RANGE = 1 << 16
+
+
+def _ranged(rows: DataFrame) -> DataFrame:
+    """Rows dealt by chain and range of sequence numbers, so that no task holds a whole
+    chain."""
+    return rows.withColumn("range", F.floor(F.col("seq") / RANGE)).repartition("chain", "range")
+
+
+def _before(rows: DataFrame, beat: Column, first: Column | None = None) -> Column:
+    """For rows dealt by ranges and joined with ``tail`` (``_tails``): the hash before."""
+    inside = F.lag("current_hash").over(Window.partitionBy("chain", "range", beat).orderBy("seq"))
+    return F.coalesce(inside, F.col("tail"), *([first] if first is not None else []), F.lit(GENESIS))
+
+
+def _tails(rows: DataFrame) -> DataFrame:
+    """chain, range and the last hash of the ranges before: one row for each range."""
+    ends = rows.groupBy("chain", "range").agg(F.max_by("current_hash", "seq").alias("end"))
+    return ends.withColumn("tail", F.lag("end").over(Window.partitionBy("chain").orderBy("range"))).drop("end")
+
+
+def chain_verify(ledger: DataFrame) -> DataFrame:
+    """For each chain: rows checked (up to and with the first violation), the first
+    violation's sequence and reason, and the last valid hash before it.
+
+    Ranges of a chain are verified in parallel, each from the last hash of the range
+    before, and then summed up: a row for each range goes to the chain's task."""
     beat = F.col("event_type") == "HEARTBEAT"
-    order = Window.partitionBy("chain", beat).orderBy("seq")
-    before = F.coalesce(F.lag("current_hash").over(order), F.lit(GENESIS))
+    dealt = _ranged(ledger)
+    rows = dealt.join(_tails(dealt.where(~beat)), ["chain", "range"], "left")
+    before = _before(rows, beat)
     wrong = (
         F.when(beat & (F.col("previous_hash") != F.col("current_hash")), "heartbeat_mismatch")
         .when(~beat & (F.col("previous_hash") != before), "previous_hash_mismatch")
         .when(~beat & (F.col("current_hash") != link_hash(F.col("previous_hash"), F.col("payload"), F.col("key"))), "current_hash_mismatch")
     )
-    return ledger.withColumn("reason", wrong)
-
-
-def chain_verify(ledger: DataFrame) -> DataFrame:
-    """For each chain: rows checked (up to and with the first violation), the first
-    violation's sequence and reason, and the last valid hash before it."""
-    rows = _links(ledger)
-    first = F.min(F.when(F.col("reason").isNotNull(), F.col("seq"))).over(Window.partitionBy("chain"))
+    rows = rows.withColumn("reason", wrong)
+    first = F.min(F.when(F.col("reason").isNotNull(), F.col("seq"))).over(Window.partitionBy("chain", "range"))
     rows = rows.withColumn("first", first).where("first is null or seq <= first")
-    good = (F.col("event_type") != "HEARTBEAT") & F.col("reason").isNull()
-    return rows.groupBy("chain").agg(F.count("*").alias("checked"), F.min("first").alias("first_bad_seq"), F.min_by(F.col("reason"), F.when(F.col("reason").isNotNull(), F.col("seq"))).alias("reason"), F.max_by("current_hash", F.when(good, F.col("seq"))).alias("head"))
+    good = ~beat & F.col("reason").isNull()
+    parts = rows.groupBy("chain", "range").agg(F.count("*").alias("checked"), F.min("first").alias("first"), F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("seq"))).alias("reason"), F.max_by("current_hash", F.when(good, F.col("seq"))).alias("head"))
+    bad = F.min(F.when(F.col("first").isNotNull(), F.col("range"))).over(Window.partitionBy("chain"))
+    parts = parts.withColumn("bad", bad).where("bad is null or range <= bad")
+    return parts.groupBy("chain").agg(F.sum("checked").alias("checked"), F.min("first").alias("first_bad_seq"), F.max("reason").alias("reason"), F.max_by("head", F.when(F.col("head").isNotNull(), F.col("range"))).alias("head"))
 
 
 def contiguous_batch(pending: DataFrame, last: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
     """From each chain's last delivered hash, the longest run of entries that link on
-    and are due."""
-    order = Window.partitionBy("chain").orderBy("seq")
-    rows = pending.join(last, "chain", "left")
-    before = F.coalesce(F.lag("current_hash").over(order), F.col("last_hash"), F.lit(GENESIS))
+    and are due. Ranges of a chain are compared in parallel; where the run ends, and how
+    many rows come before each range, is found from a row for each range."""
+    dealt = _ranged(pending)
+    rows = dealt.join(_tails(dealt), ["chain", "range"], "left")
+    rows = rows.join(last.select("chain", "last_hash"), "chain", "left")
+    before = _before(rows, F.lit(False), F.col("last_hash"))
     fits = (F.col("previous_hash") == before) & (F.col("next_attempt_at") <= now)
-    run = F.min(fits.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    out = rows.withColumn("_ok", run).withColumn("_n", F.row_number().over(order)).where("_ok = 1")
-    return (out.where(F.col("_n") <= limit) if limit else out).select(*pending.columns)
+    rows = rows.withColumn("_stop", F.when(~F.coalesce(fits, F.lit(False)), F.col("seq")))
+    ranges = rows.groupBy("chain", "range").agg(F.min("_stop").alias("stop"), F.count("*").alias("n"))
+    chain = Window.partitionBy("chain")
+    upto = F.sum("n").over(chain.orderBy("range")) - F.col("n")
+    ranges = ranges.select("chain", "range", F.min("stop").over(chain).alias("stop"), upto.alias("upto"))
+    out = rows.drop("_stop").join(ranges, ["chain", "range"]).where("stop is null or seq < stop")
+    if limit:
+        n = F.row_number().over(Window.partitionBy("chain", "range").orderBy("seq")) + F.col("upto")
+        out = out.withColumn("_n", n).where(F.col("_n") <= limit)
+    return out.select(*pending.columns)
 
 
 def ledger_export(ledger: DataFrame, chain=None, after_seq: int | None = None) -> DataFrame:

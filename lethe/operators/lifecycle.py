@@ -28,13 +28,13 @@ def transition_code(status: Column, event: Column) -> Column:
 
 
 def job_state_fold(events: DataFrame) -> DataFrame:
-    """Each job after its ordered events (job_id, seq, event_type, at, rule, notice_due,
-    shred_due): job_id, status, applied, refused, the due times and rule that the vault
-    event set, and shredded_at. Refused events change nothing.
+    """Each job after its ordered events (job_id, seq, event_type): job_id, status,
+    applied and refused; and where events carry rule, notice_due, shred_due (set by the
+    vault event) or at (shredded_at), these. Refused events change nothing.
 
-    A job goes through few states, so only events that may matter are gathered: the
-    first of each kind after the one it needs, found by windows over the job's rows; a
-    job with very many refused events costs no more memory than any other."""
+    A job goes through few states, so only events that may matter count: the first of
+    each kind after the one it needs, found by windows over the job's rows (they spill);
+    a job with very many refused events gathers nothing."""
     c, w = F.col, Window.partitionBy("job_id")
     first = lambda cond: F.min(F.when(cond, c("seq"))).over(w)
     rows = events.withColumn("_open", first(c("event_type").isin("USER_VAULTED", "USER_HARD_DELETED")))
@@ -43,10 +43,11 @@ def job_state_fold(events: DataFrame) -> DataFrame:
     rows = rows.withColumn("_shred", first((c("event_type") == "SHRED_SUCCESS") & (c("seq") > c("_notice"))))
     of = lambda name, cond: F.max(F.when(cond, c(name)))
     is_vault, is_end = c("seq") == c("_vault"), (c("seq") == c("_shred")) | ((c("seq") == c("_open")) & c("_vault").isNull())
+    more = (("rule", is_vault, "rule"), ("notice_due", is_vault, "notice_due"), ("shred_due", is_vault, "shred_due"), ("at", is_end, "shredded_at"))
     steps = lambda name: (F.max(name).isNotNull()).cast("int")
     applied = steps("_open") + steps("_notice") + steps("_shred")
     status = F.when(F.max("_shred").isNotNull(), "SHREDDED").when(F.max("_notice").isNotNull(), "NOTICE_SENT").when(F.max("_vault").isNotNull(), "VAULTED").when(F.max("_open").isNotNull(), "SHREDDED").otherwise("EXECUTING")
-    return rows.groupBy("job_id").agg(status.alias("status"), applied.alias("applied"), (F.count("*").cast("int") - applied).alias("refused"), of("rule", is_vault).alias("rule"), of("notice_due", is_vault).alias("notice_due"), of("shred_due", is_vault).alias("shred_due"), of("at", is_end).alias("shredded_at"))
+    return rows.groupBy("job_id").agg(status.alias("status"), applied.alias("applied"), (F.count("*").cast("int") - applied).alias("refused"), *[of(name, cond).alias(out) for name, cond, out in more if name in events.columns])
 
 
 def envelope_code(pairs: list[tuple[Column, Column, str]]) -> Column:

@@ -248,10 +248,10 @@ def column_sample(spark, sf_dir):
 
 
 def object_sample(spark, sf_dir):
-    """The table files as objects: format and whether they are scanned as text."""
+    """The table files as objects: format, type, and whether they are scanned as text."""
     from ..sources.catalog import object_sample as objects
 
-    return objects(spark, f"{sf_dir}/*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "format", "scanned")
+    return objects(spark, f"{sf_dir}/*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "format", "content_type", "scanned", "warning")
 
 
 R.queries |= {f.__name__: f for f in (column_sample, object_sample)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.crypto import sha256_hex
@@ -19,22 +19,69 @@ def catalog_scan(spark: SparkSession, tables: dict[str, DataFrame], schema: str
 
 
 def column_sample(df: DataFrame, percent: float = 1.0, limit: int = 100, seed: int = 7) -> DataFrame:
-    """A Bernoulli sample of a table, all columns in one pass, at most ``limit``
-    rows; the table's first rows if the sample is empty."""
+    """column_name and value: of each column, at most ``limit`` of the non-null values in
+    a Bernoulli sample of the rows; for columns that have none there, the values of the
+    table's first rows.
+
+    One pass for all columns: the sampled cells are put below each other, and each task
+    passes on at most ``limit`` of a column (a group limit before the shuffle)."""
     if not 0 < percent <= 100 or not 1 <= limit <= 1000:
         raise ValueError("percent must be in (0, 100] and limit in [1, 1000]")
-    sampled = (df if percent == 100 else df.sample(percent / 100, seed=seed)).limit(limit)
-    return df.limit(limit) if sampled.isEmpty() else sampled
-
-
-def object_sample(spark: SparkSession, path: str, most_bytes: int = 1 << 20) -> DataFrame:
-    """Prefix of each object, its format by extension and magic bytes, and whether
-    its content is to be scanned as text (columnar and packed formats aren't)."""
-    raw = spark.read.format("binaryFile").load(path)
-    head = F.hex(F.substring("content", 1, 4))
-    name = F.lower(F.col("path"))
+    cells = lambda rows: rows.withColumn("_drawn", F.rand(seed)).select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in df.columns])).alias("c"), "_drawn").select("c.*", "_drawn").where("value is not null")
+    sampled = cells(df if percent == 100 else df.sample(percent / 100, seed=seed))
+    first = F.row_number().over(Window.partitionBy("column_name").orderBy("_drawn"))
+    some = sampled.withColumn("_n", first).where(F.col("_n") <= limit).select("column_name", "value")
+    return some.unionAll(cells(df.limit(limit)).select("column_name", "value").join(some.select("column_name").distinct(), "column_name", "left_anti"))
+
+
+def _unpacked(most_bytes: int):
+    """Prefixes of objects (content, kind), gzip unpacked, with a warning where an
+    object can't be read."""
+    import zlib
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads, warnings = [], []
+            for raw, kind in zip(batch.column("content").to_pylist(), batch.column("format").to_pylist(), strict=True):
+                head, warning = None, None
+                if raw is not None and kind == "gzip":
+                    try:
+                        head = zlib.decompressobj(31).decompress(raw, most_bytes)
+                    except zlib.error:
+                        warning = "UNREADABLE_GZIP"
+                elif raw is not None and kind == "text":
+                    head = raw[:most_bytes]
+                heads.append(None if head is None else head.decode("utf-8", "replace"))
+                warnings.append(warning)
+            own = [batch.column(c) for c in ("path", "length", "format", "content_type")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(heads, pa.string()), pa.array(warnings, pa.string())], names=["path", "length", "format", "content_type", "prefix", "warning"])
+
+    return run
+
+
+#: Media types by format.
+_MEDIA = {"parquet": "application/vnd.apache.parquet", "avro": "application/avro", "gzip": "application/gzip", "json": "application/json", "csv": "text/csv", "text": "text/plain"}
+
+
+def object_sample(spark: SparkSession, path: str, most_bytes: int = 1 << 20, largest: int = 256 << 20) -> DataFrame:
+    """Each object with its format (by extension and first bytes), content type, the
+    prefix of its text (gzip unpacked), whether it is scanned, and a warning.
+
+    Columnar objects are not scanned as text. The content of objects beyond ``largest``
+    bytes is never loaded (the reader filters by length): they carry OBJECT_TOO_LARGE."""
+    listed = spark.read.format("binaryFile").load(path)
+    small = listed.where(F.col("length") <= largest)
+    head, name = F.hex(F.substring("content", 1, 4)), F.lower(F.col("path"))
     kind = F.when(name.endswith(".parquet") | (head == "50415231"), "parquet").when(name.endswith(".avro") | (head == "4F626A01"), "avro").when(name.endswith(".gz") | head.startswith("1F8B"), "gzip").otherwise("text")
-    return raw.select("path", "length", kind.alias("format"), F.when(kind == "text", F.substring("content", 1, most_bytes).cast("string")).alias("prefix"), kind.isin("text", "gzip").alias("scanned"))
+    media = lambda kind: F.coalesce(*[F.when(name.rlike(rf"\.{e}(\.gz)?$"), m) for e, m in _MEDIA.items() if e in ("json", "csv")], *[F.when(kind == k, m) for k, m in _MEDIA.items()])
+    typed = small.withColumn("format", kind).withColumn("content_type", media(F.col("format")))
+    read = typed.select("path", "length", "format", "content_type", F.when(F.col("format").isin("text", "gzip"), F.col("content")).alias("content")).mapInArrow(_unpacked(most_bytes), "path string, length long, format string, content_type string, prefix string, warning string")
+    by_name = F.when(name.endswith(".parquet"), "parquet").when(name.endswith(".avro"), "avro").when(name.endswith(".gz"), "gzip").otherwise("text")
+    large = listed.where(F.col("length") > largest).select("path", "length", by_name.alias("format"), media(by_name).alias("content_type"), F.lit(None).cast("string").alias("prefix"), F.lit("OBJECT_TOO_LARGE").alias("warning"))
+    return read.unionByName(large).withColumn("scanned", F.col("format").isin("text", "gzip") & F.col("warning").isNull())
 
 
 def schema_fingerprint(catalog: DataFrame, separators: bool = False) -> DataFrame:

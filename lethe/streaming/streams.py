@@ -106,7 +106,7 @@ def append_batches(stream: DataFrame, path: str, key: list[str], checkpoint: str
         rows = batch.withColumn("_bucket", bucket).persist()
         touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
         there = spark._jvm.org.apache.hadoop.fs.Path(path)
-        exists = there.getFileSystem(spark._jsc.sparkContext().hadoopConfiguration()).exists(there)
+        exists = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
         target = spark.read.schema(rows.schema).parquet(path).where(F.col("_bucket").isin(touched)) if exists else rows.limit(0)
         append_once(target, rows, key, [F.col(batch.columns[0])]).write.mode("append").partitionBy("_bucket").parquet(path)
         rows.unpersist()

@@ -146,6 +146,63 @@ def test_versions_and_upsert(spark, tmp_path):
     assert {tuple(r) for r in store.read("t").collect()} == {(1, 2, "b"), (2, 1, "done"), (3, 1, "d")}
 
 
+def test_a_crash_before_the_switch_loses_nothing(spark, tmp_path, monkeypatch):
+    """Readers follow the old manifest until the new one has its name."""
+    store = tables.Versions(spark, str(tmp_path / "s"))
+    store.commit({"t": spark.range(3), "u": spark.range(1)})
+    before = store.manifest()
+
+    class Broken:
+        def __getattr__(self, name):
+            if name == "rename":
+                raise OSError("crash")
+            return getattr(fs, name)
+
+    fs = store._fs
+    monkeypatch.setattr(store, "_fs", Broken())
+    with pytest.raises(OSError):
+        store.commit({"t": spark.range(5)})
+    again = tables.Versions(spark, str(tmp_path / "s"))
+    assert again.manifest() == before and again.read("t").count() == 3
+    again.commit({"t": spark.range(7)})
+    assert again.read("t").count() == 7 and again.read("u").count() == 1
+    monkeypatch.setattr(again, "_latest", lambda: 1)  # a second writer that started from the first manifest
+    with pytest.raises(RuntimeError):
+        again.commit({"t": spark.range(9)})
+    assert tables.Versions(spark, str(tmp_path / "s")).read("t").count() == 7
+
+
+def test_samples_by_column_and_packed_objects(spark, tmp_path):
+    import gzip
+
+    rows = spark.createDataFrame([(i, None if i % 50 else f"v{i}", None) for i in range(1000)], "a int, b string, c string").repartition(4)
+    got = {r.column_name: r.n for r in catalog.column_sample(rows, 20, 10).groupBy("column_name").agg(F.count("*").alias("n")).collect()}
+    assert got["a"] == 10 and 0 < got["b"] <= 10 and "c" not in got
+    assert catalog.column_sample(rows, 100, 10).where("column_name = 'b'").count() == 10
+    (tmp_path / "a.json.gz").write_bytes(gzip.compress(b'{"k": 1}' * 1000))
+    (tmp_path / "b.gz").write_bytes(b"\x1f\x8bbroken")
+    (tmp_path / "c.csv").write_text("x,y" * 100)
+    got = {r.path.rsplit("/", 1)[1]: (r.format, r.content_type, r.scanned, r.prefix, r.warning) for r in catalog.object_sample(spark, str(tmp_path), 8, 200).collect()}
+    assert got == {"a.json.gz": ("gzip", "application/json", True, '{"k": 1}', None), "b.gz": ("gzip", "application/gzip", False, None, "UNREADABLE_GZIP"), "c.csv": ("text", "text/csv", False, None, "OBJECT_TOO_LARGE")}
+
+
+def test_verification_over_ranges(spark, monkeypatch):
+    """Chains of several ranges, with a fault in each place in turn."""
+    monkeypatch.setattr(ledger, "RANGE", 8)
+    rows = spark.createDataFrame([(c, i, i, "{}", f"k{i}") for c in range(6) for i in range(c, 40 + c, 1 + c)], "chain int, created_at int, id int, payload string, key string")
+    good = ledger.chain_finalize(rows).join(rows, ["chain", "id"]).withColumn("seq", F.col("id").cast("long")).withColumn("event_type", F.lit("E"))
+    assert {(r.chain, r.checked, r.first_bad_seq) for r in ledger.chain_verify(good).collect()} == {(c, len(range(c, 40 + c, 1 + c)), None) for c in range(6)}
+    for at in (0, 7, 8, 17, 39):
+        bad = good.withColumn("previous_hash", F.when((F.col("chain") == 0) & (F.col("seq") == at), "x").otherwise(F.col("previous_hash")))
+        r = ledger.chain_verify(bad).where("chain = 0").first()
+        head = good.where(f"chain = 0 and seq = {at - 1}").first()
+        assert (r.checked, r.first_bad_seq, r.reason, r["head"]) == (at + 1, at, "previous_hash_mismatch", head.current_hash if head else None)
+        pending = bad.withColumn("next_attempt_at", F.lit(0))
+        none = spark.createDataFrame([], "chain int, last_hash string")
+        run = ledger.contiguous_batch(pending, none, F.lit(1)).where("chain = 0")
+        assert {x.seq for x in run.collect()} == set(range(at)) and ledger.contiguous_batch(pending, none, F.lit(1), 12).where("chain = 0").count() == min(at, 12)
+
+
 def test_fingerprint_and_sample(spark, tmp_path):
     t = {"a": spark.createDataFrame([(1,)], "bc int")}
     c = catalog.catalog_scan(spark, t)

@@ -50,3 +50,48 @@ def test_append_batches(spark, events, tmp_path):
         streams.append_batches(streamed(spark, rows, tmp_path / f"s{k}", 3), str(tmp_path / "out"), ["user_id", "event_type"], str(tmp_path / f"cp{k}")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == rows.distinct().count() == out.distinct().count()
+
+
+def test_ingest_requests(spark, events, tmp_path):
+    """Each key once, although every request is sent three times; mapped to its subject."""
+    from lethe.operators import ingest
+
+    body = F.concat(F.lit('{"request_id":"r'), F.col("event_id").cast("string"), F.lit('","subject":"u'), F.col("user_id").cast("string"), F.lit('"}'))
+    sent = events.select("event_id", F.lit("generic").alias("provider"), body.alias("body"), F.to_timestamp(F.lit("2024-01-01")).alias("received_at"))
+    mapping = ingest.parsed(sent).where("event_id % 2 = 0").select("provider", "subject_hash", F.concat(F.lit("o-"), "subject_key").alias("subject_opaque_id")).distinct()
+    got = run(streams.ingest_requests(streamed(spark, sent.unionAll(sent).unionAll(sent), tmp_path, 3), mapping), "append", tmp_path, "requests")
+    want = ingest.mapped(ingest.parsed(sent), mapping).select("idempotency_key", "subject_opaque_id", "code")
+    assert sorted(map(str, got.select("idempotency_key", "subject_opaque_id", "code").collect())) == sorted(map(str, want.collect()))
+
+
+def test_ledger_ingest_by_batches(spark, events, tmp_path):
+    """Entries in three micro-batches give the ledger that one chain over all would have;
+    what is sent again is a replay."""
+    from lethe.operators import ledger
+
+    rows = events.where("user_id < 3").select(F.col("user_id").alias("chain"), F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.lit("{}").alias("payload"), F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("key"))
+    sent = rows.withColumn("created_at", F.timestamp_seconds(F.col("id") % 3 * 1_000_000 + F.col("id"))).withColumn("previous_hash", F.lit("w"))
+    sent = sent.withColumn("current_hash", ledger.link_hash(F.col("previous_hash"), F.col("payload"), F.col("key")))
+    stored, refused = str(tmp_path / "ledger"), str(tmp_path / "refused")
+    empty = "chain long, seq long, id long, payload string, key string, event_type string, previous_hash string, current_hash string"
+    spark.createDataFrame([], empty).write.parquet(stored)
+
+    def put(batch, number):
+        accepted, rejects = streams.ledger_ingest(batch, spark.read.schema(empty).parquet(stored))
+        place = F.unix_seconds("created_at").alias("seq")
+        accepted = accepted.select("chain", place, "id", "payload", "key", F.lit("DONE").alias("event_type"), "previous_hash", "current_hash")
+        rejects.withColumn("number", F.lit(number)).write.mode("append").parquet(refused)
+        accepted.write.mode("append").parquet(stored)
+
+    for again in range(2):
+        (tmp_path / f"s{again}").mkdir()
+        stream = streamed(spark, sent.select("id", *[c for c in sent.columns if c != "id"]), tmp_path / f"s{again}", 3)
+        stream.writeStream.foreachBatch(put).option("checkpointLocation", str(tmp_path / f"cp{again}")).option("maxFilesPerTrigger", 1).trigger(availableNow=True).start().awaitTermination()
+    got = {(r.chain, r.id): r.current_hash for r in spark.read.schema(empty).parquet(stored).collect()}
+    assert len(got) == rows.count() == spark.read.parquet(refused).where("code = 'REPLAY'").count()
+    # batches come in the order of their files, entries within one by time: heads link on without a gap
+    kept = spark.read.schema(empty).parquet(stored)
+    heads = kept.join(kept.select("chain", F.col("previous_hash").alias("current_hash")), ["chain", "current_hash"], "left_anti")
+    assert heads.count() == kept.select("chain").distinct().count() and kept.where(F.col("previous_hash") == ledger.GENESIS).count() == heads.count()
+    assert kept.select("chain", "previous_hash").distinct().count() == kept.count()
+    assert kept.where(F.col("current_hash") != ledger.link_hash(F.col("previous_hash"), F.col("payload"), F.col("key"))).isEmpty()
