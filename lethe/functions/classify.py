@@ -154,9 +154,14 @@ def signature_hits(value: Column, column_name: Column | str = "") -> dict[str, C
     return out
 
 
+def text_trim(value: Column) -> Column:
+    """A text without blanks at its edges, Unicode's included."""
+    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+
+
 def candidates(value: Column) -> Column:
     """The trimmed value and its tokens without punctuation at the edges, each once."""
-    whole = F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    whole = text_trim(value)
     tokens = F.transform(F.split(whole, r"(?U)\s+"), lambda t: F.regexp_replace(t, r"^[^\w+]+|\W+$", ""))
     return F.filter(F.array_distinct(F.concat(F.array(whole), tokens)), lambda t: t != "")
 

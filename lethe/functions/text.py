@@ -149,3 +149,20 @@ def object_ref_hash(bucket: Column, key_name: Column, version: Column, key: byte
     from .crypto import hmac_sha256_hex
 
     return hmac_sha256_hex(F.concat(F.lit("s3-object-ref:"), bucket, F.lit("\n"), key_name, F.lit("\n"), F.coalesce(version, F.lit(""))), base64.b64encode(key))
+
+
+def score_text(score: Column) -> Column:
+    """A score with three decimals, halves rounded up."""
+    return F.format_string("%.3f", score)
+
+
+def rule_columns(rules: Column) -> tuple[Column, Column]:
+    """Of a map of mutation rules by column: the columns that get a new value and those
+    that are blanked, in order."""
+    of = lambda blank: F.array_sort(F.map_keys(F.map_filter(rules, lambda _, rule: (rule == "NULLIFY") == blank)))
+    return of(F.lit(False)), of(F.lit(True))
+
+
+def path_with(path: Column, step: Column) -> Column:
+    """A path with one more step, or null if it has been there."""
+    return F.when(~F.array_contains(path, step), F.array_append(path, step))

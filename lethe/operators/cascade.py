@@ -29,18 +29,23 @@ class Target:
     rules: dict[str, str] = field(default_factory=dict)
 
 
-def cascade_rows(tables: dict[str, DataFrame], plan: list[Target], subjects: DataFrame, key: str, tenant: str | None = None) -> dict[str, DataFrame]:
-    """For each target (parents first), its rows that belong to the subjects."""
+def cascade_rows(tables: dict[str, DataFrame], plan: list[Target], subjects: DataFrame, key: str, tenant: str | None = None, keep=None) -> dict[str, DataFrame]:
+    """For each target (parents first), its rows that belong to the subjects.
+
+    ``keep`` (say ``sources.tables.stored``) writes the key set of every parent once, so
+    that neither a deeper level nor a later use of the rows evaluates the levels above
+    it again; without it all is one plan."""
     out: dict[str, DataFrame] = {}
     for t in plan:
         rows = tables[t.table]
         if t.parent is None:
             rows = rows.where(F.col("tenant_id") == tenant) if tenant is not None else rows
-            out[t.table] = rows.join(subjects.select(key), key, "left_semi")
+            batch = subjects.select(key).distinct()
+            out[t.table] = rows.join(keep(batch) if keep else batch, key, "left_semi")
         else:
             keys = out[t.parent].select(*[F.col(p).alias(f"_{c}") for c, p in zip(t.child_columns, t.parent_columns, strict=True)]).distinct()
             on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in t.child_columns])
-            out[t.table] = rows.join(keys, on, "left_semi")
+            out[t.table] = rows.join(keep(keys) if keep else keys, on, "left_semi")
     return out
 
 
@@ -89,10 +94,10 @@ def mutation_summary(hits: dict[str, DataFrame], plan: list[Target]) -> DataFram
     return reduce(DataFrame.unionAll, rows)
 
 
-def erase_batch(tables: dict[str, DataFrame], plan: list[Target], subjects: DataFrame, key: str, schema: str, secret: bytes) -> dict[str, DataFrame]:
+def erase_batch(tables: dict[str, DataFrame], plan: list[Target], subjects: DataFrame, key: str, schema: str, secret: bytes, keep=None) -> dict[str, DataFrame]:
     """All tables of the plan after the batch. Nothing is written: a shadow run
     evaluates the frames, a real one commits them together (``sources.tables``)."""
-    hits = cascade_rows(tables, plan, subjects, key)
+    hits = cascade_rows(tables, plan, subjects, key, keep=keep)
     out = {}
     for t in plan:
         if t.action == "delete":

@@ -49,14 +49,18 @@ def replay_lookup(requests: DataFrame, stored: DataFrame) -> DataFrame:
     return out.withColumn("outcome", F.when(held.isNull(), "new").when(held.eqNullSafe(F.col("subject_hash")), "duplicate").otherwise("conflict")).drop("_first", "_n", "_old")
 
 
+def in_grace(received_at: Column, rotated_at: Column, grace_h: int = 24) -> Column:
+    """Whether the secret before a rotation still holds."""
+    return F.coalesce(received_at <= rotated_at + F.make_dt_interval(F.lit(0), F.lit(grace_h)), F.lit(False))
+
+
 def signature_code(body: Column, signature: Column, sent_at: Column, received_at: Column, secret: Column, previous: Column, rotated_at: Column, skew_s: int = 300, grace_h: int = 24) -> Column:
     """Null for a fresh request signed with the secret, or with the previous one while
     its grace lasts."""
     stale = F.abs(F.unix_timestamp(received_at) - F.unix_timestamp(sent_at)) > skew_s
     given = F.lower(F.regexp_replace(signature, "^sha256=", ""))
     now = given == hmac_row_sha256_hex(body, secret)
-    grace = received_at <= rotated_at + F.make_dt_interval(F.lit(0), F.lit(grace_h))
-    old = F.coalesce(grace & (given == hmac_row_sha256_hex(body, previous)), F.lit(False))
+    old = F.coalesce(in_grace(received_at, rotated_at, grace_h) & (given == hmac_row_sha256_hex(body, previous)), F.lit(False))
     return F.when(stale, "API_SIGNATURE_STALE").when(~(now | old), "API_SIGNATURE_INVALID")
 
 

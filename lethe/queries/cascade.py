@@ -9,6 +9,7 @@ from ..functions.crypto import decrypt, encrypt, mask_value, pseudonym, unwrap_k
 from ..functions.text import blob_mask, object_ref_hash
 from ..operators import cascade as ops
 from ..operators import subjects, vault
+from ..sources.tables import stored
 from .base import HMAC_KEY, KEK, NOW, SCHEMA, TEXT_KEY, Registry, hmac_sql, load
 
 R = Registry()
@@ -80,7 +81,7 @@ def hard_delete_target(spark, sf_dir):
     UNION ALL SELECT 'orders', 'redact', count(*) FROM orders WHERE o_custkey IN ({_SUBJECTS})
     UNION ALL SELECT 'lineitem', 'delete', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey IN ({_SUBJECTS})""")
 def mutation_summary(spark, sf_dir):
-    hits = ops.cascade_rows(_tables(spark, sf_dir), PLAN, _subjects(spark, sf_dir), "c_custkey")
+    hits = ops.cascade_rows(_tables(spark, sf_dir), PLAN, _subjects(spark, sf_dir), "c_custkey", keep=stored)
     return ops.mutation_summary(hits, PLAN)
 
 
@@ -254,7 +255,7 @@ def notice_receipts(spark, sf_dir):
     UNION ALL SELECT 'lineitem', count(*) FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_custkey IN ({_SUBJECTS}))""")
 def shadow_run(spark, sf_dir):
     """All frames of a batch evaluated, none kept."""
-    after = ops.erase_batch(_tables(spark, sf_dir), PLAN, _subjects(spark, sf_dir), "c_custkey", SCHEMA, HMAC_KEY)
+    after = ops.erase_batch(_tables(spark, sf_dir), PLAN, _subjects(spark, sf_dir), "c_custkey", SCHEMA, HMAC_KEY, keep=stored)
     from functools import reduce
 
     return reduce(DataFrame.unionAll, [df.agg(F.count("*").alias("rows_after")).select(F.lit(n).alias("table_name"), "rows_after") for n, df in after.items()])
@@ -305,13 +306,7 @@ def aes_gcm_round_trip(spark, sf_dir):
 def _stored_keys(spark, sf_dir):
     """Random keys are written to the shared folder and read back before use. The file
     holds wrapped keys alone; deleting it is the caller's."""
-    import uuid
-
-    drawn = vault.draw_keys(load(spark, sf_dir, "customer").where(_BATCH), "c_custkey", SCHEMA, "customer", HMAC_KEY, KEK)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/keys"
-    at = f"{base.rstrip('/')}/keys-{uuid.uuid4().hex}"
-    drawn.write.parquet(at)
-    return spark.read.schema(drawn.schema).parquet(at)
+    return stored(vault.draw_keys(load(spark, sf_dir, "customer").where(_BATCH), "c_custkey", SCHEMA, "customer", HMAC_KEY, KEK), "keys")
 
 
 @R.add(f"SELECT {_USER} AS user_hash, true AS fresh, true AS unwraps, true AS wrong_key_fails FROM customer WHERE {_BATCH}")
@@ -407,7 +402,7 @@ def leak_invariants(spark, sf_dir):
     from ..operators.discovery import leak_invariants as leaks
 
     t = _tables(spark, sf_dir)
-    after = ops.erase_batch(t, PLAN, _subjects(spark, sf_dir), "c_custkey", SCHEMA, HMAC_KEY)
+    after = ops.erase_batch(t, PLAN, _subjects(spark, sf_dir), "c_custkey", SCHEMA, HMAC_KEY, keep=stored)
     batch = _subjects(spark, sf_dir)
     own = after["customer"].join(batch, "c_custkey", "left_semi")
     orders = after["orders"].join(batch, F.col("o_custkey") == F.col("c_custkey"), "left_semi")

@@ -171,11 +171,11 @@ _DUE = "1997-06-01 00:00:00"
 
 @R.add(f"""SELECT job_id, client_id, task_type, due_at FROM (SELECT *, row_number() OVER (PARTITION BY client_id, task_type ORDER BY due_at, job_id) AS n FROM (
     SELECT job_id, client_id, CASE WHEN status = 'VAULTED' THEN 'NOTIFY' ELSE 'SHRED' END AS task_type, CASE WHEN status = 'VAULTED' THEN notification_due_at ELSE shred_due_at END AS due_at
-    FROM {_JOBS} j WHERE status IN ('VAULTED', 'NOTICE_SENT')) d WHERE due_at <= TIMESTAMP '{_DUE}' AND job_id % 10 <> 0) t WHERE n <= 25""")
+    FROM {_JOBS} j WHERE status IN ('VAULTED', 'NOTICE_SENT')) d WHERE due_at <= TIMESTAMP '{_DUE}' AND job_id % 10 <> 0) t WHERE n <= 1000""")
 def materialize_due(spark, sf_dir):
     jobs = _jobs(spark, sf_dir)
     have = jobs.where("job_id % 10 = 0").select("job_id", F.explode(F.array(F.lit("NOTIFY"), F.lit("SHRED"))).alias("task_type"))
-    return lifecycle.materialize_due(jobs, have, F.to_timestamp(F.lit(_DUE)), 25)
+    return lifecycle.materialize_due(jobs, have, F.to_timestamp(F.lit(_DUE)))
 
 
 def _tasks(spark, sf_dir):
@@ -449,6 +449,35 @@ def dimension_joins(spark, sf_dir):
     return e.join(c, F.col("c_custkey") == F.col("user_id")).join(n, F.col("n_nationkey") == F.col("c_nationkey")).join(r, F.col("r_regionkey") == F.col("n_regionkey")).select("event_id", "n_name", "r_name")
 
 
+@R.add("SELECT event_id AS seq, user_id AS chain, c_name AS client FROM events JOIN customer ON c_custkey = user_id")
+def ledger_client_join(spark, sf_dir):
+    """Ledger rows with the client whose chain they are of."""
+    clients = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chain"), F.col("c_name").alias("client"))
+    return load(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("chain")).join(clients, "chain")
+
+
+@R.add(f"SELECT job_id, method, n_name AS organisation FROM ({_CERTS}) c JOIN nation ON n_nationkey = job_id % 25")
+def cert_org_join(spark, sf_dir):
+    """Certificates with their organisation."""
+    orgs = load(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("org_id"), F.col("n_name").alias("organisation"))
+    return lifecycle.certificates(_finished(spark, sf_dir)).withColumn("org_id", F.col("job_id") % 25).join(orgs, "org_id").select("job_id", "method", "organisation")
+
+
+@R.add(f"SELECT t.task_id, t.job_id, t.task_type, j.status AS job_status, j.subject_id FROM {_TASKS} t JOIN {_JOBS} j ON j.job_id = t.job_id")
+def task_job_join(spark, sf_dir):
+    """Tasks with the state and subject of their job."""
+    jobs = _jobs(spark, sf_dir).select("job_id", F.col("status").alias("job_status"), "subject_id")
+    return _tasks(spark, sf_dir).select("task_id", "job_id", "task_type").join(jobs, "job_id")
+
+
+@R.add("SELECT o_orderkey AS release_id, c_name AS client, o_orderstatus AS status FROM orders JOIN customer ON c_custkey = o_custkey")
+def release_client_join(spark, sf_dir):
+    """Releases of configurations with the client that they are for."""
+    releases = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("release_id"), F.col("o_custkey").alias("client_id"), F.col("o_orderstatus").alias("status"))
+    clients = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("client_id"), F.col("c_name").alias("client"))
+    return releases.join(clients, "client_id").select("release_id", "client", "status")
+
+
 R.part("materialize_due", due_topk=["job_id", "client_id", "task_type", "due_at"], due_join=["job_id", "task_type"])
 
 

@@ -143,6 +143,46 @@ def signature_filter(spark, sf_dir):
     return rows.select("event_id", signature_code(F.col("props"), F.col("sig"), F.col("sent"), ts, F.lit("new"), F.lit("old"), F.col("rotated")).alias("code"))
 
 
+@R.add("SELECT event_id, event_id % 48 <= 24 AS in_grace FROM events")
+def secret_grace(spark, sf_dir):
+    """Secrets rotated up to two days before each event."""
+    from ..operators.ingest import in_grace
+
+    rotated = F.col("ts") - F.make_dt_interval(F.lit(0), (F.col("event_id") % 48).cast("int"))
+    return load(spark, sf_dir, "events").select("event_id", in_grace(F.col("ts"), rotated).alias("in_grace"))
+
+
+@R.add("SELECT event_id, event_type || ' ' || event_type AS trimmed FROM events")
+def text_trim(spark, sf_dir):
+    from ..functions.classify import text_trim as trim
+
+    padded = F.concat(F.lit("\u00a0\u2003\n "), "event_type", F.lit(" "), "event_type", F.lit("\t\u3000\u2028"))
+    return load(spark, sf_dir, "events").select("event_id", trim(padded).alias("trimmed"))
+
+
+@R.add("SELECT event_id, printf('%.3f', floor(event_id % 33 / 16.0 * 1000 + 0.5) / 1000) AS score FROM events")
+def number_format(spark, sf_dir):
+    """Sixteenths, half of which lie between two texts."""
+    return load(spark, sf_dir, "events").select("event_id", text.score_text(F.col("event_id") % 33 / 16).alias("score"))
+
+
+@R.add("""SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR), '>' ORDER BY l_suppkey, l_linenumber) AS path, count(*) FILTER (l_linenumber = 2) > 0 AS visited,
+    CASE WHEN count(*) FILTER (l_linenumber = 2) = 0 THEN string_agg(CAST(l_linenumber AS VARCHAR), '>' ORDER BY l_suppkey, l_linenumber) || '>2' END AS longer FROM lineitem GROUP BY 1""")
+def array_ops(spark, sf_dir):
+    """Ordered aggregation (an order has few lines), membership, and paths that never
+    visit twice."""
+    lines = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_suppkey", "l_linenumber"))).alias("l"))
+    lines = lines.select("l_orderkey", F.transform("l", lambda x: x["l_linenumber"].cast("string")).alias("path"))
+    return lines.select("l_orderkey", F.array_join("path", ">").alias("path"), F.array_contains("path", "2").alias("visited"), F.array_join(text.path_with(F.col("path"), F.lit("2")), ">").alias("longer"))
+
+
+@R.add("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'o_clerk,o_comment' ELSE 'o_clerk' END AS changed, CASE WHEN o_orderkey % 2 = 0 THEN 'o_custkey' ELSE 'o_comment,o_custkey' END AS blanked FROM orders""")
+def map_ops(spark, sf_dir):
+    rules = F.create_map(F.lit("o_custkey"), F.lit("NULLIFY"), F.lit("o_comment"), F.when(F.col("o_orderkey") % 2 == 0, "STATIC_MASK").otherwise("NULLIFY"), F.lit("o_clerk"), F.lit("HMAC"))
+    changed, blanked = text.rule_columns(rules)
+    return load(spark, sf_dir, "orders").select("o_orderkey", F.array_join(changed, ",").alias("changed"), F.array_join(blanked, ",").alias("blanked"))
+
+
 @R.add("SELECT event_id, 3 AS objects, CAST(user_id + 3 AS BIGINT) AS versions, 's3' AS provider FROM events")
 def blob_receipt_summary(spark, sf_dir):
     from ..operators.report import receipt_summary

@@ -35,6 +35,16 @@ def dedupe_first(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def stored(df: DataFrame, what: str = "stored") -> DataFrame:
+    """``df`` written once under the shared checkpoint folder and read back: for frames
+    that several others are made from. Where no folder is set, one of the warehouse."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/stored"
+    at = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 class Versions:
     """Versioned Parquet tables under one folder. A run writes all its tables under an
     id and then adds a numbered manifest, of which the highest counts: either all of a
