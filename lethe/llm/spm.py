@@ -42,7 +42,7 @@ _SPACE = "▁"
 _NONE = np.iinfo(np.int64).max
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: Code points that are cut and hashed at once.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 19
 
 
 def _codes(text: str) -> np.ndarray:
@@ -232,7 +232,7 @@ class _Memory:
 class Encoder:
     """Encodes texts; words met before are remembered, up to a bound."""
 
-    def __init__(self, vocabulary: Vocabulary, remember: int = 300_000, hash_bits: int = 64):
+    def __init__(self, vocabulary: Vocabulary, remember: int = 250_000, hash_bits: int = 64):
         self.v, self.memory = vocabulary, _Memory(remember)
         self.shift = np.uint64(64 - hash_bits)  # fewer bits, to test what happens when hashes clash
         # pairs of pieces that were decided before: one place for each hash
@@ -470,7 +470,7 @@ def _encode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 own, broken = _readable(part.column("text"))
                 codes, text_ends = encoder.laid_out(own)
                 ids, ends = encoder.ids_of(codes, text_ends)
