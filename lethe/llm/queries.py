@@ -17,8 +17,11 @@ from .quality import quality_scores
 from .sharding import jump_shards
 from .simhash import simhash_components
 from .spm import encode_documents
+from .spelling import spelling_variants
 from .substring import duplicate_spans
 from .toxicity import toxicity_scores
+from .trie import trie_nodes
+from .weighted import edited_fingerprints
 
 #: For the registered query only; real keys are the caller's.
 DEMO_KEY = b"lethe demonstration key"
@@ -67,7 +70,19 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_quality, op4_exact_dedup, op5_pii_surrogates, op6_decontamination, op7_sentencepiece, op8_chat_format, op9_simhash, op10_jump_sharding)}
+def op11_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_nodes(table(spark, sf_dir, "conversations"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_quality, op4_exact_dedup, op5_pii_surrogates, op6_decontamination, op7_sentencepiece, op8_chat_format, op9_simhash, op10_jump_sharding, op11_weighted_fingerprints, op12_prefix_trie, op13_spelling_variants)}
 
 _ESCAPED = "replace({0}, '\\', '\\\\')"
 for _c in ("<|", "<s>", "</s>", "[INST]", "[/INST]"):
@@ -94,8 +109,41 @@ def _crc_sql(hexed: str) -> str:
     table_ = "[" + ", ".join(map(str, _CRC)) + "]"
     return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes_}), lambda c, x: xor(c >> 8, CAST({table_}[(xor(c, x) & 255) + 1] AS BIGINT))), 4294967295)"
 
+#: The letters from U+00C0 to U+00FF, and as many ASCII characters that no word has, for functions on bytes.
+_LETTERS = "".join(map(chr, range(0xC0, 0x100)))
+_STAND_INS = "".join(chr(c) for c in range(33, 127) if not chr(c).islower() and chr(c) not in "'\\")[: len(_LETTERS)]
 
 ORACLE_SQL = {
+    "op12_prefix_trie": rf"""
+        WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text)) AS p
+                   FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) x),
+        c AS (SELECT conv_id, {_crc_sql('h')} % 4 AS h FROM (SELECT DISTINCT conv_id, hex(CAST(conv_id AS VARCHAR)) AS h FROM t) x),
+        r AS (SELECT c.conv_id, 0 AS own, p, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND p <= h
+              UNION ALL SELECT c.conv_id, 1, p, role, text FROM c JOIN t ON t.conv_id = c.conv_id WHERE p > h),
+        k AS (SELECT conv_id, row_number() OVER one AS depth, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER one) AS node, text
+              FROM r WINDOW one AS (PARTITION BY conv_id ORDER BY own, p)
+              UNION ALL SELECT conv_id, 0, 'root', NULL FROM c),
+        l AS (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM k),
+        n AS (SELECT node, min(depth) AS depth, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends) AS ids,
+                     len(list_filter(string_split_regex(coalesce(min(text), ''), '[ 	-]+'), lambda x: x <> '')) AS words FROM l GROUP BY node),
+        kids AS (SELECT parent AS node, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY 1),
+        v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf, (n_convs - 1) * words AS saved FROM n LEFT JOIN kids USING (node)),
+        below AS (SELECT l.node, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM v JOIN l ON l.conv_id = v.conv_id AND l.depth <= v.depth GROUP BY 1)
+        SELECT v.conv_id, v.depth, up.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(v.ids, '')) AS ends_sha256
+        FROM v JOIN below ON below.node = v.node LEFT JOIN v up ON up.node = v.parent""",
+    "op13_spelling_variants": f"""
+        WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents),
+        one AS (SELECT doc_id, w, count(*) AS n, hex(CAST(doc_id AS VARCHAR) || ':' || w) AS x FROM runs WHERE length(w) >= 7 GROUP BY ALL),
+        hashed AS (SELECT w, n, {_crc_sql('x')} AS h FROM one),
+        words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n, translate(word, '{_LETTERS}', '{_STAND_INS}') AS plain
+                  FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM hashed) x
+                  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+        pairs AS (SELECT a.word, b.word AS other, b.n AS other_n FROM words a JOIN words b ON left(a.plain, 3) = left(b.plain, 3) AND abs(length(a.plain) - length(b.plain)) <= 1 AND levenshtein(a.plain, b.plain) = 1
+                  UNION SELECT a.word, b.word, b.n FROM words a JOIN words b ON right(a.plain, 3) = right(b.plain, 3) AND abs(length(a.plain) - length(b.plain)) <= 1 AND levenshtein(a.plain, b.plain) = 1),
+        near AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM pairs GROUP BY word),
+        forms AS (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n FROM words LEFT JOIN near USING (word)),
+        steps AS (SELECT word, word AS root, form FROM forms UNION ALL SELECT steps.word, steps.form, forms.form FROM steps JOIN forms ON forms.word = steps.form)
+        SELECT forms.word, forms.form, steps.root, n, n_near, form_n FROM forms JOIN steps ON steps.word = forms.word AND steps.form IS NULL""",
     "op10_jump_sharding": f"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text, hex(coalesce(text, '')) AS h, hex(CAST(doc_id AS VARCHAR)) AS ih FROM documents),
         r AS (SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS size, {_crc_sql('h')} AS text_crc32, {_crc_sql('ih')} % 4096 AS block FROM d)
