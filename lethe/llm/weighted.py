@@ -20,7 +20,7 @@ other; rows of one doc_id follow each other by a hash of their texts (equal text
 without a doc_id come last; a single row is followed by itself; repeated rows give one
 row each; an empty table gives an empty result; other columns are ignored. Texts of any
 length are read whole, words of more than ``_LONG`` bytes in pieces of ``_PIECE``; a task holds two texts
-and one text's draws for 2,048 words at a time.
+and one text's draws for ``_PART`` words at a time.
 """
 
 from __future__ import annotations
@@ -39,9 +39,10 @@ from pyspark.sql import functions as F
 from .common import mix, slices, word_hashes
 
 SAMPLES = 128
-_BITS = 18
+_BITS = 16
 _LONG, _PIECE = 24, 12
-_CACHE = 1 << 14
+_CACHE = 1 << 13
+_PART = 2048
 
 
 @cache
@@ -65,35 +66,51 @@ def terms(text: bytes) -> Counter:
     return Counter(words)
 
 
+def _mix32(x: np.ndarray) -> np.ndarray:
+    """A bijection on 32-bit words (two rounds of shift and odd multiplier)."""
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x7FEB352D)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x846CA68B)
+    x ^= x >> np.uint32(16)
+    return x
+
+
 class Sampler:
-    """Draws of a task; what frequent words draw at weight one is kept."""
+    """Draws of a task; the variables of words seen lately are kept."""
 
     def __init__(self, samples: int = SAMPLES):
-        self.salts = mix(np.arange(samples, dtype=np.uint64))
-        self.samples = samples
-        self.r, self.ln_c = _gamma()
+        salts = mix(np.arange(samples, dtype=np.uint64))
+        self.low, self.high = salts.astype(np.uint32), (salts >> np.uint64(32)).astype(np.uint32)
+        self.samples, self.draw = samples, np.arange(samples)
+        self.gamma, self.ln_gamma = _gamma()
         self.places: dict[bytes, int] = {}
+        self.hashes = np.empty(_CACHE, np.uint64)
         self.once = np.empty((_CACHE, samples), np.float32)
 
     def variables(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        bits = mix(h[:, None] ^ self.salts)
-        low = np.uint64((1 << _BITS) - 1)
-        r = self.r[(bits & low).astype(np.int64)]
-        ln_c = self.ln_c[(bits >> np.uint64(_BITS) & low).astype(np.int64)]
-        b = (bits >> np.uint64(64 - 24)).astype(np.float32) * np.float32(2.0**-24)
-        return r, ln_c, b
-
-    def _at_one(self, words: list[bytes], h: np.ndarray) -> np.ndarray:
-        """Values of words at weight one, where t is 0."""
-        new = [k for k, w in enumerate(words) if w not in self.places]
+        """r, ln c and 1 - b for words with the hashes ``h``, a column for each draw."""
+        two = _mix32(h.astype(np.uint32)[:, None] ^ self.low)
+        r = self.gamma.take((two & np.uint32(0xFFFF)).astype(np.intp), mode="clip")
+        ln_c = self.ln_gamma.take((two >> np.uint32(16)).astype(np.intp), mode="clip")
+        rest = _mix32((h >> np.uint64(32)).astype(np.uint32)[:, None] ^ self.high)
+        rest >>= np.uint32(8)
+        return r, ln_c, rest.astype(np.float32) * np.float32(2.0**-24)
+
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        """Where each word's values at weight one (t is 0) are; those of new words are drawn."""
+        new = [w for w in words if w not in self.places]
         if len(self.places) + len(new) > _CACHE:
             self.places.clear()
-            new = list(range(len(words)))
-        r, ln_c, b = self.variables(h[new])
-        first = len(self.places)
-        self.once[first : first + len(new)] = ln_c - r * (np.float32(1) - b)
-        self.places.update((words[k], first + i) for i, k in enumerate(new))
-        return self.once[[self.places[w] for w in words]]
+            new = words
+        if new:
+            at = slice(len(self.places), len(self.places) + len(new))
+            self.places.update(zip(new, range(at.start, at.stop), strict=True))
+            self.hashes[at] = h = word_hashes(new)
+            r, ln_c, less = self.variables(h)
+            less *= r
+            np.subtract(ln_c, less, out=self.once[at])
+        return np.array([self.places[w] for w in words])
 
     def __call__(self, text: bytes) -> np.ndarray:
         """The samples of a text, 16 bits each and never 0 (all 0 without words)."""
@@ -103,23 +120,25 @@ class Sampler:
         words, n = list(bag), np.fromiter(bag.values(), np.int64, len(bag))
         least = np.full(self.samples, np.inf, np.float32)
         out = np.zeros(self.samples, np.uint64)
-        for at in range(0, len(words), 2048):
-            own, w = words[at : at + 2048], n[at : at + 2048]
-            h = word_hashes(own)
-            value = self._at_one(own, h)
-            t = np.zeros(value.shape, np.int32)
-            if len(more := np.flatnonzero(w > 1)):
-                r, ln_c, b = self.variables(h[more])
-                ln_w = np.log(w[more].astype(np.float64)).astype(np.float32)[:, None]
-                k = np.floor(ln_w / r + b)
-                value[more] = ln_c - r * (k - b + np.float32(1))
-                t[more] = k
+        for at in range(0, len(words), _PART):
+            place, w = self._places(words[at : at + _PART]), n[at : at + _PART]
+            value, t = self.once[place], None
+            more = np.flatnonzero(w > 1)
+            if len(more):
+                r, ln_c, less = self.variables(self.hashes[place[more]])
+                t = np.floor(np.log(w[more].astype(np.float64)).astype(np.float32)[:, None] / r + (np.float32(1) - less))
+                value[more] = ln_c - r * (t + less)
             first = value.argmin(axis=0)
-            draw = np.arange(self.samples)
-            better = value[first, draw] < least
-            least = np.where(better, value[first, draw], least)
-            found = mix(h[first] ^ mix(t[first, draw].astype(np.uint64)))
-            out = np.where(better, found, out)
+            lowest = value[first, self.draw]
+            found = self.hashes[place[first]]
+            if len(more):
+                row = np.full(len(w), -1)
+                row[more] = np.arange(len(more))
+                found = found ^ mix(np.where(row[first] >= 0, t[row[first], self.draw], 0).astype(np.uint64))
+            else:
+                found = found ^ mix(np.zeros(1, np.uint64))
+            out = np.where(lowest < least, mix(found), out)
+            least = np.minimum(least, lowest)
         return (out % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
 
 
