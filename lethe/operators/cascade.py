@@ -2,7 +2,8 @@
 
 A plan is a list of targets. Key sets of all targets are found before anything is
 masked, as chains of semi joins from the root downward: only keys travel, and the
-batch narrows each level. Every affected table is rewritten once for the batch.
+batch narrows each level. Frames are changed as a whole, once for the batch; tables
+of a store file by file (``erase_files``).
 """
 
 from __future__ import annotations
@@ -10,10 +11,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.crypto import mask_value
+from ..sources.tables import Change, stored
 
 
 @dataclass(frozen=True)
@@ -107,6 +109,83 @@ def erase_batch(tables: dict[str, DataFrame], plan: list[Target], subjects: Data
     return out
 
 
+def _masked(target: Target, columns: list[str], kinds: dict[str, str], schema: str, key: bytes) -> list[Column]:
+    """The columns of rows marked by ``_hit``, masked where they are hit. Types stay, as
+    other files of the table have them: what is not text can only be nullified."""
+    wrong = [c for c, rule in target.rules.items() if rule != "NULLIFY" and kinds.get(c) not in ("string", None)]
+    if wrong or set(target.rules) - set(columns):
+        raise ValueError(f"{target.table}: no text column {sorted([*wrong, *(set(target.rules) - set(columns))])}")
+    rule = lambda c: F.when(F.col("_hit"), mask_value(target.rules[c], F.col(c), schema, target.table, c, key).cast(kinds[c])).otherwise(F.col(c)).alias(c)
+    return [rule(c) if c in target.rules else F.col(c) for c in columns]
+
+
+def _observed(rows: DataFrame) -> tuple[DataFrame, Observation]:
+    """Rows marked by ``_hit`` that are counted as they pass by."""
+    seen = Observation()
+    return rows.observe(seen, F.count("*").alias("rows"), F.count_if(F.coalesce("_hit", F.lit(False))).alias("hits")), seen
+
+
+def erase_files(store, plan: list[Target], subjects: DataFrame, key: str, schema: str, secret: bytes) -> list[dict]:
+    """Erase a batch from the tables of a ``sources.tables.Versions``, by file.
+
+    The key sets of all targets are found first, with the file of every hit row; only
+    keys are read for that. Then each file with a hit is read and written anew, all
+    others stay as they are, and one manifest switches to the result. Counts are taken
+    while rows are written, so that nothing is read for them again. Of each target:
+    target, action, affected_rows, rows_read, files and files_rewritten. With nothing
+    to change, no run is committed."""
+    hits = cascade_rows({t.table: store.rows(t.table) for t in plan}, plan, subjects, key, keep=stored)
+    changes, out = {}, []
+    for t in plan:
+        files, row = store.files(t.table), {"target": t.table, "action": t.action, "affected_rows": 0, "rows_read": 0}
+        touched, seen = [], None
+        if t.action in ("delete", "redact"):
+            marks = stored(hits[t.table].select(*t.primary_key, "_file").distinct())
+            touched = [r[0] for r in marks.select("_file").distinct().collect()]  # no more than the manifest has
+        if touched:
+            part = store.read(t.table, touched)
+            marked, seen = _observed(part.join(marks.drop("_file").withColumn("_hit", F.lit(True)), list(t.primary_key), "left"))
+            kept = marked.where("_hit is null").select(*part.columns) if t.action == "delete" else marked.select(*_masked(t, part.columns, dict(part.dtypes), schema, secret))
+            changes[t.table] = Change(kept, touched)
+        out.append((row | {"files": len(files), "files_rewritten": len(touched)}, seen))
+    if changes:
+        store.commit(changes=changes)
+    return [row | ({"affected_rows": seen.get["hits"], "rows_read": seen.get["rows"]} if seen else {}) for row, seen in out]
+
+
+def erase_satellite_files(store, name: str, lookup: str, roots: DataFrame, root_column: str, schema: str, secret: bytes, rules: dict[str, str] | None = None, delete: bool = False) -> dict:
+    """The same for a table whose ``lookup`` column has a root row's value: rows are
+    deleted, or their lookup column hashed (with ``rules``, others masked too)."""
+    keys = stored(roots.where(F.col(root_column).isNotNull()).select(F.col(root_column).alias("_value")).distinct())
+    rows = store.rows(name)
+    on = F.col(lookup) == F.col("_value")
+    touched = [r[0] for r in rows.join(keys, on, "left_semi").select("_file").distinct().collect()]  # no more than the manifest has
+    out = {"target": name, "action": "delete" if delete else "redact", "affected_rows": 0, "rows_read": 0, "files": len(store.files(name)), "files_rewritten": len(touched)}
+    if not touched:
+        return out
+    part = store.read(name, touched)
+    marked, seen = _observed(part.join(keys.withColumn("_hit", F.lit(True)), on, "left"))
+    target = Target(name, None, rules={lookup: "HMAC"} | (rules or {}))
+    kept = marked.where("_hit is null").select(*part.columns) if delete else marked.select(*_masked(target, part.columns, dict(part.dtypes), schema, secret))
+    store.commit(changes={name: Change(kept, touched)})
+    return out | {"affected_rows": seen.get["hits"], "rows_read": seen.get["rows"]}
+
+
+def shadow_counts(tables: dict[str, DataFrame], plan: list[Target], subjects: DataFrame, key: str, schema: str, secret: bytes) -> list[dict]:
+    """What a batch would do, from one pass over each table: all result rows are made,
+    counted on their way (hits, and rows left) and thrown away."""
+    hits, out = cascade_rows(tables, plan, subjects, key, keep=stored), []
+    for t in plan:
+        rows = tables[t.table]
+        marks = hits[t.table].select(*t.primary_key).distinct().withColumn("_hit", F.lit(True))
+        marked, seen = _observed(rows.join(marks, list(t.primary_key), "left"))
+        kept = marked.where("_hit is null").select(*rows.columns) if t.action == "delete" else marked.select(*_masked(t, rows.columns, dict(rows.dtypes), schema, secret)) if t.action == "redact" else marked.select(*rows.columns)
+        kept.write.format("noop").mode("overwrite").save()
+        n = seen.get
+        out.append({"target": t.table, "action": t.action, "affected_rows": n["hits"], "rows_after": n["rows"] - (n["hits"] if t.action == "delete" else 0)})
+    return out
+
+
 def dependency_count(plan: list[Target]) -> int:
     return len({t.table for t in plan if t.parent is not None})
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.crypto import canonical_json, decrypt, encrypt, pseudonym, random_bytes, unwrap_key, user_hash, wrap_key
 from ..functions.text import iso_timestamp
+from ..sources.tables import Change, stored
 from .subjects import retention_window
 
 #: What stands in place of a ciphertext whose key is destroyed.
@@ -67,6 +68,36 @@ def shred(vault: DataFrame, keys: DataFrame, now: Column, require_notice: bool =
     return after_, left, marked.select("user_hash", "outcome")
 
 
+def shred_files(store, now: Column, require_notice: bool = True, keys: str = "keys", vault: str = "vault") -> DataFrame:
+    """Shred what is due in a store (``sources.tables.Versions``): only files of the key
+    and vault tables with a row to destroy are written anew, one manifest switches both,
+    and superseded files of the keys are deleted. Returns the outcome of each vault row."""
+    own = store.rows(keys)
+    marked = store.rows(vault).join(own.select("user_hash").distinct().withColumn("_key", F.lit(True)), "user_hash", "left")
+    outcome = stored(marked.select("user_hash", "_file", shred_state(now, F.col("_key").isNotNull(), require_notice).alias("outcome")))
+    gone = outcome.where("outcome = 'shred'").select("user_hash").distinct().withColumn("_gone", F.lit(True))
+    # the names of files, no more than the manifest has
+    old_keys = [r[0] for r in own.join(gone, "user_hash", "left_semi").select("_file").distinct().collect()]
+    old_vault = [r[0] for r in outcome.where("outcome = 'shred'").select("_file").distinct().collect()]
+    if old_vault:
+        part = store.read(vault, old_vault)
+        new = {"encrypted_pii": F.lit(DESTROYED), "shredded_at": now}
+        rows = part.join(gone, "user_hash", "left").select(*[F.when(F.col("_gone"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in part.columns])
+        left = store.read(keys, old_keys)
+        store.commit(changes={vault: Change(rows, old_vault), keys: Change(left.join(gone, "user_hash", "left_anti").select(*left.columns), old_keys)})
+        store.forget(keys)
+    return outcome.drop("_file")
+
+
+def shredded_events(rows: DataFrame, key: str, schema: str, table: str, now: Column, stored: DataFrame | None = None) -> DataFrame:
+    """SHRED_SUCCESS for vault rows (user_hash, the subject's ``key`` and, where they are
+    known, the fields of the request) that were shredded."""
+    request = [c for c in ("request_id", "tenant_id", "trigger_source", "legal_framework", "actor_opaque_id", "applied_rule_name", "applied_rule_citation") if c in rows.columns]
+    root = F.col(key).cast("string")
+    payload = [*map(F.col, request), root.alias("subject_opaque_id"), iso_timestamp(now).alias("event_timestamp"), F.lit(schema).alias("root_schema"), F.lit(table).alias("root_table"), root.alias("root_id"), iso_timestamp(now).alias("shredded_at")]
+    return outbox_rows(rows, "SHRED_SUCCESS", f"shred:{schema}:{table}", key, payload, now, stored)
+
+
 def phase(now: Column) -> Column:
     """A vault row's phase, from its times."""
     c = F.col

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from ..functions.crypto import decrypt, encrypt, mask_value, pseudonym, unwrap_k
 from ..functions.text import blob_mask, object_ref_hash
 from ..operators import cascade as ops
 from ..operators import subjects, vault
-from ..sources.tables import stored
+from ..sources.tables import Versions, shared_folder, stored
 from .base import HMAC_KEY, KEK, NOW, SCHEMA, TEXT_KEY, Registry, hmac_sql, load
 
 R = Registry()
@@ -85,6 +88,37 @@ def mutation_summary(spark, sf_dir):
     return ops.mutation_summary(hits, PLAN)
 
 
+_COUNTS = f"""SELECT 'customer' AS target, 'redact' AS action, count(*) FILTER (WHERE {_BATCH}) AS affected_rows, count(*) AS rows_after FROM customer
+    UNION ALL SELECT 'orders', 'redact', count(*) FILTER (WHERE o_custkey IN ({_SUBJECTS})), count(*) FROM orders
+    UNION ALL SELECT 'lineitem', 'delete', count(*) FILTER (WHERE hit), count(*) FILTER (WHERE NOT hit) FROM (
+        SELECT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_custkey IN ({_SUBJECTS})) AS hit FROM lineitem) l"""
+
+
+def _store(spark, tables, **more):
+    """A new store under the shared folder with these tables."""
+    out = Versions(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    out.commit(tables, **more)
+    return out
+
+
+@R.add(f"SELECT c.*, CASE target WHEN 'lineitem' THEN 0 ELSE affected_rows END AS rows_masked FROM ({_COUNTS}) c")
+def erase_by_file(spark, sf_dir):
+    """The batch erased in a store, by file: what was counted on the way, and what the
+    store then holds."""
+    store = _store(spark, _tables(spark, sf_dir), cluster={"customer": ["c_custkey"], "orders": ["o_custkey"], "lineitem": ["l_orderkey"]})
+    done = spark.createDataFrame([(r["target"], r["action"], r["affected_rows"]) for r in ops.erase_files(store, PLAN, _subjects(spark, sf_dir), "c_custkey", SCHEMA, HMAC_KEY)], "target string, action string, affected_rows long")
+    masked = {"customer": F.length("c_name") == 64, "orders": F.col("o_orderpriority") == "[REDACTED]", "lineitem": F.lit(False)}
+    left = [store.read(t).agg(F.count("*").alias("rows_after"), F.count_if(m).alias("rows_masked")).select(F.lit(t).alias("target"), "rows_after", "rows_masked") for t, m in masked.items()]
+    return done.join(reduce(DataFrame.unionAll, left), "target")
+
+
+@R.add(f"SELECT * FROM ({_COUNTS}) c")
+def shadow_by_observation(spark, sf_dir):
+    """A shadow run in one pass over each table, counted as the rows go by."""
+    done = ops.shadow_counts(_tables(spark, sf_dir), PLAN, _subjects(spark, sf_dir), "c_custkey", SCHEMA, HMAC_KEY)
+    return spark.createDataFrame([tuple(r.values()) for r in done], "target string, action string, affected_rows long, rows_after long")
+
+
 @R.add(f"""SELECT o_orderkey FROM orders WHERE o_custkey IN ({_SUBJECTS}) AND o_orderstatus <> 'F'""")
 def not_processed_anti(spark, sf_dir):
     rows = ops.cascade_rows(_tables(spark, sf_dir), PLAN[:2], _subjects(spark, sf_dir), "c_custkey")["orders"]
@@ -256,8 +290,6 @@ def notice_receipts(spark, sf_dir):
 def shadow_run(spark, sf_dir):
     """All frames of a batch evaluated, none kept."""
     after = ops.erase_batch(_tables(spark, sf_dir), PLAN, _subjects(spark, sf_dir), "c_custkey", SCHEMA, HMAC_KEY, keep=stored)
-    from functools import reduce
-
     return reduce(DataFrame.unionAll, [df.agg(F.count("*").alias("rows_after")).select(F.lit(n).alias("table_name"), "rows_after") for n, df in after.items()])
 
 
@@ -291,6 +323,32 @@ def shred_subjects(spark, sf_dir):
     return vault.shred(v, v.where(F.col("user_hash").cast("long") % 17 != 0).select("user_hash"), _now())[2]
 
 
+_SHREDS = "NOT shredded AND expiry <= now AND sent AND has_key"
+
+
+@R.add(f"""SELECT user_hash, CASE WHEN shredded THEN 'already_shredded' WHEN expiry > now THEN 'SHREDDER_RETENTION_NOT_REACHED'
+           WHEN NOT sent THEN 'SHREDDER_NOTICE_MISSING' WHEN NOT has_key THEN 'SHREDDER_KEY_MISSING' ELSE 'shred' END AS outcome,
+           has_key AND NOT ({_SHREDS}) AS has_key, CASE WHEN {_SHREDS} THEN '{vault.DESTROYED}' ELSE '{{}}' END AS encrypted_pii FROM {_VAULT}""")
+def shred_by_file(spark, sf_dir):
+    """What is due shredded in a store: each row's outcome, what is left of its key and its ciphertext."""
+    v = _vaulted(spark, sf_dir)
+    store = _store(spark, {"vault": v, "keys": v.where(F.col("user_hash").cast("long") % 17 != 0).select("user_hash", F.lit("k").alias("wrapped_dek"))}, cluster={"vault": ["user_hash"], "keys": ["user_hash"]})
+    outcome = vault.shred_files(store, _now())
+    left = store.read("keys").select("user_hash", F.lit(True).alias("_key"))
+    return outcome.join(store.read("vault").select("user_hash", "encrypted_pii"), "user_hash").join(left, "user_hash", "left").select("user_hash", "outcome", F.col("_key").isNotNull().alias("has_key"), "encrypted_pii")
+
+
+@R.add(f"""SELECT 'shred:app:customer:' || user_hash AS idempotency_key, user_hash, 'SHRED_SUCCESS' AS event_type, '{{"event_timestamp":"' || {_AT} || '","root_id":"' || user_hash || '","root_schema":"app","root_table":"customer","shredded_at":"' || {_AT}
+    || '","subject_opaque_id":"' || user_hash || '"}}' AS payload, TIMESTAMP '{NOW}' AS created_at FROM {_VAULT} WHERE {_SHREDS} AND c_custkey % 4 <> 0""")
+def shred_events(spark, sf_dir):
+    """Events of what was shredded; every fourth subject's is stored from an earlier run."""
+    v = _vaulted(spark, sf_dir)
+    outcome = vault.shred(v, v.where(F.col("user_hash").cast("long") % 17 != 0).select("user_hash"), _now())[2]
+    done = outcome.where("outcome = 'shred'").withColumn("c_custkey", F.col("user_hash"))
+    events = lambda rows, stored=None: vault.shredded_events(rows, "c_custkey", SCHEMA, "customer", _now(), stored)
+    return events(done, events(done.where("c_custkey % 4 = 0")))
+
+
 @R.add(f"""SELECT user_hash, CASE WHEN shredded THEN 'shredded' WHEN expiry <= now THEN 'expired' WHEN sent THEN 'notified'
            WHEN due <= now THEN 'notice_due' ELSE 'vaulted' END AS phase FROM {_VAULT}""")
 def vault_state_view(spark, sf_dir):
