@@ -1,16 +1,19 @@
-"""Hash chains: build, verify, export."""
+"""Hash chains: build, take in, verify, export, search."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.crypto import sha256_hex
+from .lifecycle import LEADS_TO, PREDECESSOR, TERMINAL
 
 GENESIS = "GENESIS"
 
@@ -20,17 +23,25 @@ def link_hash(previous: Column, payload: Column, key: Column) -> Column:
     return sha256_hex(F.concat(previous, payload, key))
 
 
+def entry_hash(previous: str, payload: str, key: str) -> str:
+    """``link_hash`` of one entry."""
+    return hashlib.sha256(f"{previous}{payload}{key}".encode()).hexdigest()
+
+
 def _hash_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hash rows that come sorted by chain and order; only the last hash is held. A
-    row without payload or key has no hash, and the next starts from the tail."""
+    row without payload or key gets no hash, and the next goes on from the one before."""
     chain, last = object(), None
     for rows in batches:
         before, now = [], []
         for c, tail, payload, key in zip(*(rows.column(k).to_pylist() for k in ("chain", "tail", "payload", "key")), strict=True):
-            if c != chain or last is None:
+            if c != chain:
                 chain, last = c, tail
             before.append(last)
-            last = None if payload is None or key is None else hashlib.sha256(f"{last}{payload}{key}".encode()).hexdigest()
+            if payload is None or key is None:
+                now.append(None)
+                continue
+            last = entry_hash(last, payload, key)
             now.append(last)
         yield pa.RecordBatch.from_arrays([rows.column("chain"), rows.column("id"), pa.array(before, pa.string()), pa.array(now, pa.string())], names=["chain", "id", "previous_hash", "current_hash"])
 
@@ -47,10 +58,6 @@ def chain_finalize(pending: DataFrame, tails: DataFrame | None = None) -> DataFr
     return ordered.mapInArrow(_hash_on, kinds)
 
 
-#: The same; its name from when the other gathered arrays.
-chain_finalize_long = chain_finalize
-
-
 def chain_head(ledger: DataFrame) -> DataFrame:
     """The last hash of each chain, heartbeats aside."""
     return ledger.where("event_type <> 'HEARTBEAT'").groupBy("chain").agg(F.max_by("current_hash", "seq").alias("head"))
@@ -133,6 +140,170 @@ def ledger_export(ledger: DataFrame, chain=None, after_seq: int | None = None) -
     return ledger.orderBy("seq")
 
 
-def leak_scan(ledger: DataFrame, markers: list[str]) -> DataFrame:
-    """Entries whose payload holds a raw marker of personal data."""
-    return ledger.where(F.col("payload").rlike("|".join(markers)))
+def _markers(values: list[bytes]) -> tuple[int, np.ndarray, list[list[int]], frozenset[bytes]]:
+    """Markers by their first bytes: how many bytes (at most eight) all have, the
+    distinct numbers these bytes make in order, the lengths of each one's markers, markers."""
+    width = min(8, min(map(len, values)))
+    lengths: dict[int, set[int]] = {}
+    for v in values:
+        lengths.setdefault(int.from_bytes(v[:width], "big"), set()).add(len(v))
+    heads = sorted(lengths)
+    return width, np.array(heads, np.uint64), [sorted(lengths[h]) for h in heads], frozenset(values)
+
+
+def _found(payload: list[bytes], index) -> Iterator[tuple[int, bytes]]:
+    """Each payload's number with each marker in it, once. All places of all payloads
+    are compared by their first bytes at once, and what agrees by all bytes."""
+    width, heads, lengths, values = index
+    ends = np.cumsum([len(p) + 1 for p in payload])
+    joined = b"\0".join(payload) + b"\0"
+    raw = np.frombuffer(joined, np.uint8).astype(np.uint64)
+    if len(raw) < width:
+        return
+    here = np.zeros(len(raw) - width + 1, np.uint64)
+    for k in range(width):
+        here = (here << np.uint64(8)) | raw[k : k + len(here)]
+    at = np.minimum(np.searchsorted(heads, here), len(heads) - 1)
+    seen = set()
+    for place in np.flatnonzero(heads[at] == here).tolist():
+        row = int(np.searchsorted(ends, place, side="right"))
+        for size in lengths[at[place]]:
+            value = joined[place : place + size]
+            if value in values and place + size < ends[row] and (row, value) not in seen:
+                seen.add((row, value))
+                yield row, value
+
+
+def leak_matches(ledger: DataFrame, markers: DataFrame, key: list[str], most_bytes: int = 32 << 20) -> DataFrame:
+    """Rows (``key``, marker) of the ledger whose payload holds a raw value of ``markers``
+    (its column ``marker``), letter for letter, once each. Empty and null markers find nothing.
+
+    The values' bytes are summed before anything is gathered. Up to ``most_bytes`` they
+    are one index that every task gets; more go in slices by hash, one pass over the
+    payloads for each, so that no index outgrows the bound."""
+    spark = ledger.sparkSession
+    values = markers.select(F.col("marker").cast("string").alias("marker")).where("marker <> ''").distinct()
+    total = values.agg(F.sum(F.octet_length("marker") + 64)).first()[0] or 0
+    slices = max(1, -(-total // most_bytes))
+    rows = ledger.select(*key, "payload").where("payload is not null")
+    schema = StructType([*(rows.schema[k] for k in key), StructField("marker", StringType())])
+    out = []
+    for k in range(slices):
+        own = [r.marker.encode() for r in values.where(F.pmod(F.xxhash64("marker"), F.lit(slices)) == k).toLocalIterator()]  # within the bound
+        if own:
+            index = spark.sparkContext.broadcast(_markers(own))
+
+            def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for at in range(0, batch.num_rows, 512):
+                        part = batch.slice(at, 512)
+                        hits = list(_found([p.encode() for p in part.column("payload").to_pylist()], index.value))
+                        if hits:
+                            n, found = zip(*hits, strict=True)
+                            own = [part.column(c).take(pa.array(n)) for c in key]
+                            yield pa.RecordBatch.from_arrays([*own, pa.array([v.decode() for v in found], pa.string())], names=[*key, "marker"])
+
+            out.append(rows.mapInArrow(scan, schema))
+    return reduce(DataFrame.unionAll, out) if out else spark.createDataFrame([], schema)
+
+
+def leak_scan(ledger: DataFrame, markers: list[str] = (), patterns: list[str] = ()) -> DataFrame:
+    """Entries whose payload holds one of a few raw markers, letter for letter, or
+    matches a regular expression. For the values of a whole batch see ``leak_matches``."""
+    tests = [F.contains("payload", F.lit(m)) for m in markers] + [F.col("payload").rlike(p) for p in patterns]
+    return ledger.where(reduce(lambda a, b: a | b, tests, F.lit(False)))
+
+
+class Intake:
+    """What becomes of the entries of one chain, in order.
+
+    ``head`` is the chain's last hash; ``keys`` maps a known key to its (event type,
+    payload) digest and ``jobs`` a job to its state: dictionaries, or state of a stream.
+    The tests go as follows: a known key is a replay if event and payload are equal, else a conflict;
+    the job's state must allow the event; the payload must not be too large; the
+    sender's own hash must be right. What passes is linked to the head, whatever
+    head the sender knew."""
+
+    def __init__(self, head: str, keys, jobs, most_bytes: int | None = None):
+        self.head, self.keys, self.jobs, self.most_bytes = head, keys, jobs, most_bytes
+
+    def take(self, payload, key, event, previous, current, job=None, status=None, known: bytes | None = None) -> tuple[str | None, str | None, str | None]:
+        """code (None: accepted), previous_hash and current_hash in the ledger."""
+        if payload is None or key is None:
+            return "INCOMPLETE", None, None
+        own = same(event, payload)
+        known = known or self.keys.get(key)
+        if known is not None:
+            return ("REPLAY" if known == own else "CONFLICT"), None, None
+        if event is not None and (job is not None or status is not None):
+            state = self.jobs.get(job) if job is not None else None
+            state = status if state is None else state
+            if state in TERMINAL:
+                return "TERMINAL", None, None
+            if state is None or PREDECESSOR.get(event) != state:
+                return "OUT_OF_ORDER", None, None
+        if self.most_bytes is not None and len(payload.encode()) > self.most_bytes:
+            return "TOO_LARGE", None, None
+        if previous is None or current != entry_hash(previous, payload, key):
+            return "BAD_HASH", None, None
+        before, self.head = self.head, current if previous == self.head else entry_hash(self.head, payload, key)
+        self.keys[key] = own
+        if job is not None and event is not None:
+            self.jobs[job] = LEADS_TO[event]
+        return None, before, self.head
+
+
+def same(event: str | None, payload: str) -> bytes:
+    """Equal for entries that count as one."""
+    return hashlib.sha256(f"{event or ''}\n{payload}".encode()).digest()[:16]
+
+
+_TAKEN = ("chain", "id", "code", "previous_hash", "current_hash")
+
+
+def _take_in(most_bytes: int | None):
+    """Rows sorted by chain and order. A key or job is held from its first row to its
+    last in the batch, so a task holds those that are open at one time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, intake = object(), None
+        for rows in batches:
+            out = []
+            columns = [rows.column(c).to_pylist() for c in ("chain", "tail", "payload", "key", "event_type", "previous_hash", "current_hash", "job_id", "status", "known", "keys_left", "jobs_left")]
+            for c, tail, payload, key, event, previous, current, job, status, known, keys_left, jobs_left in zip(*columns, strict=True):
+                if c != chain:
+                    chain, intake = c, Intake(tail, {}, {}, most_bytes)
+                out.append(intake.take(payload, key, event, previous, current, job, status, known))
+                if not keys_left:
+                    intake.keys.pop(key, None)
+                if not jobs_left:
+                    intake.jobs.pop(job, None)
+            code, before, now = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([rows.column("chain"), rows.column("id"), pa.array(code, pa.string()), pa.array(before, pa.string()), pa.array(now, pa.string())], names=list(_TAKEN))
+
+    return run
+
+
+def take_in(batch: DataFrame, ledger: DataFrame, most_bytes: int | None = None) -> DataFrame:
+    """What becomes of each entry of a batch: chain, id, code (null: accepted),
+    previous_hash and current_hash (as the ledger links it).
+
+    The batch has chain, created_at, id, payload, key, previous_hash, current_hash, and
+    maybe event_type, job_id and status (of the job before the batch); the ledger has
+    chain, seq, key, payload, current_hash, and maybe event_type. A chain's entries are
+    taken one after the other by created_at and id, as ``Intake`` says: a key repeated in the
+    batch is a replay or a conflict of the one accepted, and each event finds its job
+    as the events before it have left it. A chain is sorted in one partition (with
+    spill) and streams by; entries without payload or key are refused."""
+    optional = [F.col(c) if c in batch.columns else F.lit(None).cast("string").alias(c) for c in ("event_type", "job_id", "status")]
+    rows = batch.select("chain", "created_at", "id", "payload", "key", "previous_hash", "current_hash", *optional)
+    kind = F.coalesce("event_type", F.lit("")) if "event_type" in ledger.columns and "event_type" in batch.columns else F.lit("")
+    digest = F.substring(F.unhex(F.sha2(F.concat(kind, F.lit("\n"), "payload"), 256)), 1, 16)
+    rows = rows.join(ledger.select("chain", "key", digest.alias("known")).dropDuplicates(["chain", "key"]), ["chain", "key"], "left")
+    rows = rows.join(chain_head(ledger).select("chain", F.col("head").alias("tail")), "chain", "left").withColumn("tail", F.coalesce("tail", F.lit(GENESIS)))
+    order = [F.desc(c) for c in ("created_at", "id", "payload")]
+    later = lambda by: F.row_number().over(Window.partitionBy("chain", by).orderBy(*order)) - 1
+    rows = rows.withColumn("keys_left", later("key")).withColumn("jobs_left", later("job_id"))
+    ordered = rows.repartition("chain").sortWithinPartitions("chain", "created_at", "id", "payload")
+    kinds = StructType([ordered.schema["chain"], ordered.schema["id"], *(StructField(n, StringType()) for n in _TAKEN[2:])])
+    return ordered.mapInArrow(_take_in(most_bytes), kinds)

@@ -44,11 +44,6 @@ def chain_finalize(spark, sf_dir):
     return ledger.chain_finalize(_pending(spark, sf_dir))
 
 
-@R.add(_CHAIN.replace("@", "") + " SELECT chain, id, previous_hash, current_hash FROM c")
-def chain_finalize_long(spark, sf_dir):
-    return ledger.chain_finalize_long(_pending(spark, sf_dir))
-
-
 _QUIET = _CHAIN.replace("@", " WHERE event_type <> 'error'")
 
 
@@ -89,7 +84,20 @@ def event_type_counts(spark, sf_dir):
 
 @R.add("SELECT event_id FROM events WHERE regexp_matches(props, '\"k\": 8[0-9]')")
 def leak_scan(spark, sf_dir):
-    return ledger.leak_scan(load(spark, sf_dir, "events").withColumn("payload", F.col("props")), ['"k": 8[0-9]']).select("event_id")
+    return ledger.leak_scan(load(spark, sf_dir, "events").withColumn("payload", F.col("props")), patterns=['"k": 8[0-9]']).select("event_id")
+
+
+_PAYLOADS = "(SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '{\"name\":\"' || c_name || '\"}' WHEN event_id % 4 = 1 THEN '{\"a.b\":\"' || replace(c_name, '#', 'x') || '\"}' ELSE props END AS payload FROM events LEFT JOIN customer ON c_custkey = user_id) p"
+
+
+@R.add(f"SELECT event_id, c_name AS marker FROM {_PAYLOADS} JOIN customer ON contains(payload, c_name) WHERE c_mktsegment IN ('MACHINERY', 'FURNITURE')")
+def leak_matches(spark, sf_dir):
+    """Payloads of which some hold names, searched for the raw names of two segments."""
+    c = load(spark, sf_dir, "customer")
+    n = F.col("event_id") % 4
+    rows = load(spark, sf_dir, "events").join(c.select(F.col("c_custkey").alias("user_id"), "c_name"), "user_id", "left")
+    payload = F.when(n == 0, F.concat(F.lit('{"name":"'), "c_name", F.lit('"}'))).when(n == 1, F.concat(F.lit('{"a.b":"'), F.replace("c_name", F.lit("#"), F.lit("x")), F.lit('"}'))).otherwise(F.col("props"))
+    return ledger.leak_matches(rows.select("event_id", payload.alias("payload")), c.where(F.col("c_mktsegment").isin("MACHINERY", "FURNITURE")).select(F.col("c_name").alias("marker")), ["event_id"])
 
 
 @R.add("""SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) t
@@ -417,28 +425,35 @@ def config_heartbeat(spark, sf_dir):
     return tables.append_once(beats.where("event_id % 7 = 0"), beats, ["chain", "key"], [F.col("event_id")]).select("chain", "key")
 
 
-_SENT = "(SELECT user_id AS chain, event_id AS id, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS payload, 'k:' || CAST(event_id AS VARCHAR) AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_id % 6 = 2)"
+#: What a worker sends of new entries (event number 2 modulo 6): copies numbered from 0 to 4.
+_SENT = """(SELECT user_id AS chain, event_id + m * CAST(1000000000 AS BIGINT) AS id, m, '{"k":' || json_extract_string(props, '$.k') || '}' AS payload, CASE m WHEN 3 THEN 'n:' ELSE 'k:' END || CAST(event_id AS VARCHAR) AS key,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id + m * CAST(1000000000 AS BIGINT)) AS n FROM events, (SELECT unnest([0, 3]) AS m) c WHERE event_id % 6 = 2)"""
 
 
 @R.add("WITH RECURSIVE " + _CHAIN.replace("@", " WHERE event_id % 6 NOT IN (2, 3, 4)").split("WITH RECURSIVE ")[1] + f""", heads AS (SELECT chain, arg_max(current_hash, n) AS head FROM c GROUP BY 1), s AS (SELECT * FROM {_SENT} t),
     a AS (SELECT s.chain, id, n, coalesce(head, 'GENESIS') AS previous_hash, sha256(coalesce(head, 'GENESIS') || payload || key) AS current_hash FROM s LEFT JOIN heads h ON h.chain = s.chain WHERE n = 1
         UNION ALL SELECT s.chain, s.id, s.n, a.current_hash, sha256(a.current_hash || s.payload || s.key) FROM a JOIN s ON s.chain = a.chain AND s.n = a.n + 1)
-    SELECT chain, id, 'ACCEPTED' AS code, previous_hash, current_hash FROM a UNION ALL SELECT user_id, event_id, ['REPLAY', 'CONFLICT', NULL, 'BAD_HASH', 'OUT_OF_ORDER'][event_id % 6 + 1], NULL, NULL FROM events WHERE event_id % 6 NOT IN (2, 5)""")
+    SELECT chain, id, 'ACCEPTED' AS code, previous_hash, current_hash FROM a UNION ALL SELECT user_id, event_id, ['REPLAY', 'CONFLICT', NULL, 'BAD_HASH', 'OUT_OF_ORDER'][event_id % 6 + 1], NULL, NULL FROM events WHERE event_id % 6 NOT IN (2, 5)
+    UNION ALL SELECT user_id, event_id + m * CAST(1000000000 AS BIGINT), ['REPLAY', 'CONFLICT', NULL, 'OUT_OF_ORDER'][m], NULL, NULL FROM events, (SELECT unnest([1, 2, 4]) AS m) x WHERE event_id % 6 = 2""")
 def ledger_ingest(spark, sf_dir):
     """A worker's batch against the rest of the ledger, by event number modulo 6: known
     entries (0), known keys with other payloads (1), new entries (2; rebased onto the
-    head of their chain), wrong hashes (3), events no job of that state allows (4)."""
-    from ..streaming.streams import ledger_ingest as put
-
+    head of their chain), wrong hashes (3), events no job of that state allows (4). Each
+    new entry is sent again (1), with another payload (2), and its job goes on: a notice
+    (3), which the vault event before it allows, and a second vault event (4), which it doesn't."""
     rows = _pending(spark, sf_dir).select("chain", "created_at", "id", "payload", "key")
-    stored = ledger.chain_finalize(rows.where("id % 6 not in (2, 3, 4)")).join(rows, ["chain", "id"]).withColumn("seq", F.struct("created_at", "id")).withColumn("event_type", F.lit("DONE"))
+    stored = ledger.chain_finalize(rows.where("id % 6 not in (2, 3, 4)")).join(rows, ["chain", "id"]).withColumn("seq", F.struct("created_at", "id"))
     n = F.col("id") % 6
-    sent = rows.where("id % 6 <> 5").withColumn("payload", F.when(n == 1, F.concat("payload", F.lit(" "))).otherwise(F.col("payload"))).withColumn("previous_hash", F.lit("worker"))
+    copies = F.explode(F.when(n == 2, F.array(*map(F.lit, range(5)))).otherwise(F.array(F.lit(0)))).alias("m")
+    sent = rows.where("id % 6 <> 5").withColumn("job_id", F.col("id").cast("string")).select("*", copies)
+    m = F.col("m").cast("long")
+    sent = sent.withColumn("payload", F.when((n == 1) | (m == 2), F.concat("payload", F.lit(" "))).otherwise(F.col("payload"))).withColumn("previous_hash", F.lit("worker"))
+    sent = sent.withColumn("key", F.when(m == 3, F.replace("key", F.lit("k:"), F.lit("n:"))).when(m == 4, F.replace("key", F.lit("k:"), F.lit("v:"))).otherwise(F.col("key")))
     sent = sent.withColumn("current_hash", F.when(n == 3, "bad").otherwise(ledger.link_hash(F.col("previous_hash"), F.col("payload"), F.col("key"))))
-    sent = sent.withColumn("status", F.lit("EXECUTING")).withColumn("event_type", F.when(n == 4, "SHRED_SUCCESS").otherwise("USER_VAULTED"))
-    accepted, rejects = put(sent, stored)
-    kept = accepted.select("chain", "id", F.lit("ACCEPTED").alias("code"), "previous_hash", "current_hash")
-    return kept.unionByName(rejects.select("chain", "id", "code", F.lit(None).cast("string").alias("previous_hash"), F.lit(None).cast("string").alias("current_hash")))
+    sent = sent.withColumn("status", F.lit("EXECUTING")).withColumn("event_type", F.when(n == 4, "SHRED_SUCCESS").when(m == 3, "NOTIFICATION_SENT").otherwise("USER_VAULTED"))
+    sent = sent.withColumn("id", F.col("id") + m * 1_000_000_000).drop("m")
+    stored = stored.withColumn("event_type", F.lit("USER_VAULTED"))
+    return ledger.take_in(sent, stored).withColumn("code", F.coalesce("code", F.lit("ACCEPTED")))
 
 
 @R.add("SELECT event_id, n_name, r_name FROM events JOIN customer ON c_custkey = user_id JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")

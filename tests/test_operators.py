@@ -104,8 +104,9 @@ def test_long_chain_and_window_of_one_key(spark):
     assert budget.count() == n and budget.where("allowed").count() == n // 100 * 3
     gap = spark.createDataFrame([("c", 1, 1, "a", "k"), ("c", 2, 2, None, "k"), ("c", 3, 3, "b", "k")], "chain string, created_at int, id int, payload string, key string")
     got = {r.id: (r.previous_hash, r.current_hash) for r in ledger.chain_finalize(gap, spark.createDataFrame([("c", "tail")], "chain string, tail string")).collect()}
-    first, third = (hashlib.sha256(f"tail{x}k".encode()).hexdigest() for x in "ab")
-    assert got == {1: ("tail", first), 2: (first, None), 3: ("tail", third)}
+    first = hashlib.sha256(b"tailak").hexdigest()
+    third = hashlib.sha256(f"{first}bk".encode()).hexdigest()  # goes on from the last good hash
+    assert got == {1: ("tail", first), 2: (first, None), 3: (first, third)}
 
 
 def test_shredding_leaves_no_key(spark, tmp_path):
