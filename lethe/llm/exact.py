@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -133,6 +134,7 @@ def drop_copies(docs: DataFrame, **more) -> DataFrame:
         return left
     # repeated rows of one doc_id, each looked up by its own text
     text = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), _WHITE, " "), 256)
-    rows = by_id(left, twice, "left_semi").withColumn("text_sha256", text).dropDuplicates(["doc_id", "text_sha256"])
-    rows = rows.join(found.where("kept").select("doc_id", "text_sha256").distinct(), ["doc_id", "text_sha256"], "left_semi").select(*docs.columns)
+    own = next(n for k in count() if (n := f"sha256_{k}") not in {c.lower() for c in docs.columns})  # a name that no column has
+    rows = by_id(left, twice, "left_semi").withColumn(own, text).dropDuplicates(["doc_id", own])
+    rows = rows.join(found.where("kept").select("doc_id", F.col("text_sha256").alias(own)).distinct(), ["doc_id", own], "left_semi").select(*docs.columns)
     return by_id(left, twice, "left_anti").unionByName(rows)

@@ -8,10 +8,11 @@ country codes stay; names become names of the same gender and script.
 
 Found are: mail and payment addresses, hexadecimal secrets, network (IPv4, IPv6,
 MAC) addresses, social security, phone (international, 3-3-4, or ten digits from 6
-up), card, Aadhaar (in groups), PAN, GSTIN, IFSC, passport and voter numbers, and
-names after a title or with a known given name (``GIVEN_NAMES``, to which the caller
-may add). Not found are names with neither, street addresses, dates, bare numbers of
-other lengths, and numbers that only a column's name explains.
+up, in one or as 5-5), card, Aadhaar (in groups), PAN, GSTIN, IFSC, passport and voter
+numbers, and names after a title or with a known given name (``GIVEN_NAMES``, to which the
+caller may add), capitalised or in capitals. Not found are names with neither (also where
+a title tells them elsewhere in the corpus), names after a title in capitals, street addresses,
+dates, bare numbers of other lengths, and numbers that only a column's name explains.
 
 A surrogate depends on the key, the kind and the normalised entity alone, so one
 entity gets one surrogate in all documents, spellings and titles. A given name's
@@ -19,9 +20,10 @@ gender is the one its titles (or the list of known names) say anywhere in the co
 where they differ it gets a name of either gender. All entities of the corpus are
 checked for collisions: where two would share a surrogate, or one would get what is
 another's real value, all but the first draw anew, until none is left. With each draw
-names get a syllable and mail addresses a letter more, and private addresses whose
-range is full go to 10/8, so no corpus is too large for names; formats of a fixed
-number of digits end with an error once no values are free.
+names get a syllable and mail addresses a letter more, private addresses whose
+range is full go to 10/8, and short IPv6 addresses are written in full, so no corpus is too
+large for these. In formats of a fixed number of digits, an entity that finds no free value in
+twelve draws gets a mark like ``[ssn 5f0c...]`` instead, with 64 bits of its own.
 
 Only entities that drew again or changed gender are joined to their documents, by a
 salted key; all other surrogates are computed in place, without a shuffle of texts.
@@ -91,7 +93,7 @@ def kinds(names: dict[str, str]) -> dict[str, str]:
         "mac": rf"(?<![\p{{L}}\p{{N}}:-])(?:[0-9A-Fa-f]{{2}}:){{5}}[0-9A-Fa-f]{{2}}(?![\p{{L}}\p{{N}}:-])|(?<![\p{{L}}\p{{N}}:-])(?:[0-9A-Fa-f]{{2}}-){{5}}[0-9A-Fa-f]{{2}}(?![\p{{L}}\p{{N}}:-])",
         "ipv6": rf"(?<![\p{{L}}\p{{N}}:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)(?=[A-Fa-f:]*[0-9])(?:{IPV6[4:-3]})(?![\p{{L}}\p{{N}}:]|\.\d)",
         "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-        "phone": r"(?<![\p{L}\d+])\+\d{8,15}(?!\d)|(?<![\p{L}\d+])\+(?=(?:[ .()-]{0,2}\d){8})\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,5}){1,3}(?!\d)|(?<![\d.])(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\p{L}\d.,+-])[6-9]\d{9}(?![\p{L}\d-]|[.,]\d)",
+        "phone": r"(?<![\p{L}\d+])\+\d{8,15}(?!\d)|(?<![\p{L}\d+])\+(?=(?:[ .()-]{0,2}\d){8})\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,5}){1,3}(?!\d)|(?<![\d.])(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\p{L}\d.,+-])[6-9]\d{4}[ -]?\d{5}(?![\p{L}\d-]|[.,]\d)",
         "card": r"(?<![\d.-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d-])",
         "aadhaar": r"(?<![\d.-])[2-9]\d{3}(?: \d{4} \d{4}|-\d{4}-\d{4})(?![\d-])",
         "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
@@ -100,7 +102,7 @@ def kinds(names: dict[str, str]) -> dict[str, str]:
         "ifsc": rf"{_LATIN_START}[A-Z]{{4}}0[A-Z0-9]{{6}}{_FREE}",
         "voter": rf"{_LATIN_START}[A-Z]{{3}}\d{{7}}{_FREE}",
         "passport": rf"{_LATIN_START}[A-Z]\d{{7}}{_FREE}",
-        "name": rf"(?<![\p{{L}}])(?:(?:{_TITLE})\.? {_WORD}(?: {_WORD}){{0,2}}|(?:{'|'.join(sorted(names))}) {_WORD}(?: {_WORD})?)",
+        "name": rf"(?<![\p{{L}}])(?:(?:{_TITLE})\.? {_WORD}(?: {_WORD}){{0,2}}|(?:{'|'.join(sorted({*names, *map(str.upper, names)}))}) {_WORD}(?: {_WORD})?)",
     }
 
 
@@ -222,6 +224,25 @@ def _address(value: Column, seed: Column, attempt: Column) -> Column:
     return F.coalesce(private, F.concat_ws(".", first, free(2), free(3), free(4)))
 
 
+#: Draws at an IPv6 address's own length, before it is written in full.
+_OWN_LENGTH = 2
+#: Draws after which a format counts as full and a mark takes the surrogate's place.
+_MARKED = 12
+
+
+def _address6(value: Column, seed: Column, attempt: Column) -> Column:
+    """Of the same length and range, and from the third draw on all eight groups, in the
+    range of the private or of the documentation addresses, which no corpus fills. A
+    dotted end is an IPv4 address of its own."""
+    groups = lambda start, first: F.concat_ws(":", start, *[F.substring(seed, F.lit(first + 4 * k), F.lit(4)) for k in range(6)])
+    whole = F.when(value.rlike("^(?:fe[89ab]|f[cd])"), groups(F.concat(F.lit("fd"), F.substring(seed, 1, 2), F.lit(":"), F.substring(seed, 3, 4)), 7)).otherwise(groups(F.lit("2001:db8"), 7))
+    local = "^(?:fe[89ab]|f[cd])[^:]{0,2}"
+    hexes = F.concat(F.regexp_extract(value, f"({local}|)", 1), _letters(F.regexp_replace(value, local, ""), seed, True))
+    front = F.regexp_extract(value, "^(.*:)[^:]*$", 1)
+    mapped = F.concat(F.when(front.rlike("^::(ffff:(0:)?)?$|^64:ff9b:"), front).otherwise(_letters(front, seed, True)), _address(F.substring_index(value, ":", -1), seed, attempt))
+    return F.when(F.contains(value, F.lit(".")), mapped).when(attempt >= _OWN_LENGTH, whole).otherwise(hexes)
+
+
 def _checked(value: Column, seed: Column, head: Column, valid) -> Column:
     """``head`` with a last digit that makes it valid just where the value is."""
     was = valid(value)
@@ -256,25 +277,30 @@ def surrogate(kind: Column, value: Column, gender: Column, attempt: Column, key:
 
 def _drawn(kind: Column, value: Column, gender: Column, attempt: Column, seed: Column) -> Column:
     # names grow by a syllable with each attempt, and mail addresses by a letter, so that no pool has an end
-    more = {script: _more(syllables, seed, attempt) for script, syllables in _SYLLABLES.items()}
-    letters = _letters(value, seed)
+    once = F.struct(_letters(value, seed).alias("letters"), _more(" ".join(_ALPHABETS[0]), seed, attempt).alias("grown"), *[_more(w, seed, attempt).alias(script) for script, w in _SYLLABLES.items()])
+    return _let(once, lambda bound: _by_kind(kind, value, gender, attempt, seed, bound))
+
+
+def _by_kind(kind: Column, value: Column, gender: Column, attempt: Column, seed: Column, bound: Column) -> Column:
+    letters, grown = bound["letters"], bound["grown"]
     kept = lambda *places: F.concat(*[F.substring(value if old else letters, F.lit(a), F.lit(b - a + 1)) for a, b, old in places])
-    grown = _more(" ".join(_ALPHABETS[0]), seed, attempt)
-    out = F.when(kind == "ip", _address(value, seed, attempt)).when(kind.isin("secret", "mac"), _letters(value, seed, True))
-    out = out.when(kind == "ipv6", F.concat(F.regexp_extract(value, "^((?:fe[89ab]|f[cd])[^:]{0,2}|)", 1), _letters(F.regexp_replace(value, "^(?:fe[89ab]|f[cd])[^:]{0,2}", ""), seed, True)))
+    endless = kind.isin("email", "upi", "ipv6") | F.startswith(kind, F.lit("given_")) | F.startswith(kind, F.lit("family_"))
+    out = F.when((attempt >= _MARKED) & (~endless | F.contains(value, F.lit(".")) & (kind == "ipv6")), F.concat(F.lit("["), kind, F.lit(" "), F.substring(seed, 1, 16), F.lit("]")))
+    out = out.when(kind == "ip", _address(value, seed, attempt)).when(kind.isin("secret", "mac"), _letters(value, seed, True)).when(kind == "ipv6", _address6(value, seed, attempt))
     out = out.when(kind == "card", _checked(value, seed, F.substring(letters, F.lit(1), F.length(value) - 1), lambda v: F.call_function("luhn_check", v)))
     out = out.when(kind == "aadhaar", _checked(value, seed, F.concat(_first_digit(value, seed, "23456789"), F.substring(letters, 2, 10)), valid_aadhaar))
     out = out.when(kind == "phone", F.concat(_first_digit(value, seed, "6789", "2345", "01"), F.substring(letters, F.lit(2), F.length(value))))
     # what is fixed in a format, or tells the kind of holder, stays
     out = out.when(kind == "pan", kept((1, 3, False), (4, 4, True), (5, 10, False))).when(kind == "gstin", kept((1, 5, False), (6, 6, True), (7, 12, False), (13, 14, True), (15, 15, False))).when(kind == "ifsc", kept((1, 4, False), (5, 5, True), (6, 11, False)))
-    out = out.when(kind == "upi", F.concat(grown, _letters(F.substring_index(value, "@", 1), seed), F.regexp_extract(value, "(@.*)$", 1)))
+    out = out.when(kind == "upi", F.concat(grown, F.substring_index(letters, "@", 1), F.regexp_extract(value, "(@.*)$", 1)))
     # the last label of a mail domain stays
-    out = out.when(kind == "email", F.concat(grown, _letters(F.regexp_extract(value, r"^(.*)\.[^.]+$", 1), seed), F.regexp_extract(value, r"(\.[^.]+)$", 1)))
+    ending = F.regexp_extract(value, r"(\.[^.]+)$", 1)
+    out = out.when(kind == "email", F.concat(grown, F.substring(letters, F.lit(1), F.length(value) - F.length(ending)), ending))
     for which, words in _GIVEN.items():
         script, own = which.split("_")
-        out = out.when((kind == f"given_{script}") & (gender == own), F.lower(F.concat(_pick(words, seed, 1), more[script])))
+        out = out.when((kind == f"given_{script}") & (gender == own), F.lower(F.concat(_pick(words, seed, 1), bound[script])))
     for script, syllables in _SYLLABLES.items():
-        out = out.when(kind == f"family_{script}", F.concat(*[_pick(syllables, seed, i) for i in range(1, 5)], more[script]))
+        out = out.when(kind == f"family_{script}", F.concat(*[_pick(syllables, seed, i) for i in range(1, 5)], bound[script]))
     return out.when(kind.isin("given_other", "family_other"), F.concat(letters, F.repeat(F.substring(letters, 1, 1), attempt))).otherwise(letters)
 
 
@@ -287,8 +313,8 @@ def _dressed(mention: Column, kind: Column, new: Column) -> Column:
     longer = F.greatest(F.length(new) - F.length(mention), F.lit(0))
     letter = lambda i: F.substring(new, longer + i + 1, F.lit(1))
     cased = F.concat(F.substring(new, F.lit(1), longer), F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike(r"\p{Lu}"), F.upper(letter(i))).otherwise(letter(i))), ""))
-    whole = F.when(mention == F.upper(mention), F.upper(new)).otherwise(new)
-    return F.when(kind.isin("phone", "card", "ssn", "aadhaar"), digits).when(kind == "ip", new).when(kind.isin("secret", "mac", "ipv6", "pan", "gstin", "ifsc", "voter", "passport"), whole).otherwise(cased)
+    whole = F.when((mention == F.upper(mention)) & (mention != F.lower(mention)), F.upper(new)).otherwise(new)
+    return F.when(F.startswith(new, F.lit("[")), new).when(kind.isin("phone", "card", "ssn", "aadhaar"), digits).when(kind == "ip", new).when(kind.isin("secret", "mac", "ipv6", "pan", "gstin", "ifsc", "voter", "passport"), whole).otherwise(cased)
 
 
 def _named(mention: Column, news: Column) -> Column:
@@ -298,32 +324,24 @@ def _named(mention: Column, news: Column) -> Column:
     return F.concat_ws(" ", F.when(_titled(mention), F.substring_index(mention, " ", 1)), F.zip_with(news, _name_words(mention), fit))
 
 
-#: Rounds that leave as many collisions as before, after which a format counts as full.
-_PATIENCE = 16
-
-
 def settled(entities: DataFrame, key: bytes) -> DataFrame:
     """The attempt (kind, value, gender, attempt) at which none of the entities (kind,
     value, gender) shares a surrogate with another and none has another's real value.
-    All draw once; then only those that lost draw, against all."""
-    draw = lambda attempt: surrogate(F.col("kind"), F.col("value"), F.col("gender"), attempt, key)
-    state = materialise(entities.withColumn("attempt", F.lit(0)).withColumn("new", draw(F.lit(0))), "surrogates")
+    All draw once; then only those that lost draw, against all. Names and mail addresses
+    have no end of values, and what has draws marks at last, so the rounds end."""
+    draw = surrogate(F.col("kind"), F.col("value"), F.col("gender"), F.col("attempt"), key)  # built once: it is a large expression
+    state = materialise(entities.withColumn("attempt", F.lit(0)).withColumn("new", draw), "surrogates")
     real = state.select("kind", F.col("value").alias("new"), F.lit(True).alias("real"))
-    least, waited = None, 0
     while True:
         owner = state.groupBy("kind", "new").agg(F.min(F.struct("attempt", "value")).alias("owner"), F.count("*").alias("n"))
         lost = owner.join(real, ["kind", "new"], "left").where("n > 1 or real").select("kind", "new", F.when(F.col("real"), F.lit(None)).otherwise(F.col("owner.value")).alias("keeps"), F.lit(True).alias("lost"))
         lost = materialise(lost, "lost")
-        n = lost.count()
-        if not n:
+        if lost.isEmpty():
             return state.select("kind", "value", "gender", "attempt")
-        least, waited = (n, 0) if least is None or n < least else (least, waited + 1)
-        if waited > _PATIENCE:
-            raise RuntimeError("surrogates still collide; a kind has more entities than its format has values")
         again = F.col("lost") & (F.col("keeps").isNull() | (F.col("keeps") != F.col("value")))
         marked = state.join(lost, ["kind", "new"], "left").withColumn("again", F.coalesce(again, F.lit(False)))
         moved = marked.withColumn("attempt", F.col("attempt") + F.col("again").cast("int"))
-        state = materialise(moved.withColumn("new", F.when(F.col("again"), draw(F.col("attempt"))).otherwise(F.col("new"))).select("kind", "value", "gender", "attempt", "new"), "surrogates")
+        state = materialise(moved.withColumn("new", F.when(F.col("again"), draw).otherwise(F.col("new"))).select("kind", "value", "gender", "attempt", "new"), "surrogates")
 
 
 #: Rows into which an entity that very many documents have is dealt.
@@ -340,16 +358,18 @@ def surrogate_texts(docs: DataFrame, key: bytes, given_names: dict[str, list[str
     names = _names(given_names)
     every = pattern(names)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # rows without a doc_id are known by their text, so that they don't gather in one place
+    place = (F.coalesce("doc_id", F.xxhash64("text")).alias("at"), F.isnull("doc_id").alias("nameless"))
     found = docs.withColumn("mentions", F.coalesce(F.regexp_extract_all("text", F.lit(every), F.lit(0)), F.array().cast("array<string>")))
-    held = materialise(found.where(F.size("mentions") > 0).select("doc_id", F.explode(F.array_distinct(F.flatten(F.transform(F.array_distinct("mentions"), lambda m: units(m, names))))).alias("u")).select("doc_id", "u.*"), "entities")
+    held = materialise(found.select("*", *place).where(F.size("mentions") > 0).select("at", "nameless", F.explode(F.array_distinct(F.flatten(F.transform(F.array_distinct("mentions"), lambda m: units(m, names))))).alias("u")).select("at", "nameless", "u.*"), "entities")
     says = lambda g: F.bool_or(F.col("gender") == g)
     entities = held.groupBy("kind", "value").agg(F.when(says("m") & ~says("f"), "m").when(says("f") & ~says("m"), "f").otherwise("n").alias("gender"), (F.min("gender") != F.max("gender")).alias("varies"))
     entities = materialise(entities, "entities")
     changed = settled(entities.drop("varies"), key).join(entities.select("kind", "value", "varies"), ["kind", "value"]).where("varies or attempt > 0")
     dealt = changed.select("kind", "value", F.col("gender").alias("own"), "attempt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
     name = F.concat_ws("|", "kind", "value")
-    redrawn = held.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int")).join(dealt, ["kind", "value", "salt"])
-    redrawn = redrawn.groupBy(F.coalesce("doc_id", F.lit(0)).alias("at"), F.isnull("doc_id").alias("nameless")).agg(F.map_from_entries(F.collect_set(F.struct(name.alias("entity"), F.struct(F.col("own").alias("gender"), "attempt")))).alias("again"))
+    redrawn = held.withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(_SALTS)).cast("int")).join(dealt, ["kind", "value", "salt"])
+    redrawn = redrawn.groupBy("at", "nameless").agg(F.map_from_entries(F.collect_set(F.struct(name.alias("entity"), F.struct(F.col("own").alias("gender"), "attempt")))).alias("again"))
     redrawn = materialise(redrawn, "redrawn")
     size = redrawn.agg(F.sum(F.aggregate(F.map_keys("again"), F.lit(32).cast("long"), lambda n, k: n + F.octet_length(k) + 32))).first()[0] or 0
     none = F.lit(None).cast("map<string,struct<gender:string,attempt:int>>")
@@ -357,7 +377,7 @@ def surrogate_texts(docs: DataFrame, key: bytes, given_names: dict[str, list[str
         found = found.withColumn("again", none)
     else:
         side = F.broadcast(redrawn) if size <= broadcast_bytes else redrawn.hint("merge")
-        found = found.join(side, (F.coalesce("doc_id", F.lit(0)) == F.col("at")) & (F.isnull("doc_id") == F.col("nameless")), "left")
+        found = found.join(side, (F.coalesce("doc_id", F.xxhash64("text")) == F.col("at")) & (F.isnull("doc_id") == F.col("nameless")), "left")
 
     def new(u: Column) -> Column:
         return _let(F.try_element_at(F.col("again"), F.concat_ws("|", u["kind"], u["value"])), lambda a: surrogate(u["kind"], u["value"], F.coalesce(a["gender"], u["gender"]), F.coalesce(a["attempt"], F.lit(0)), key))
