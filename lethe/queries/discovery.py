@@ -8,7 +8,7 @@ from ..functions import classify
 from ..operators import discovery as ops
 from ..plans import graph
 from ..sources.catalog import column_sample as sample
-from .base import Registry, load
+from .base import TABLES, Registry, load
 from .plans import _CATALOG_SQL, _CLOSURE, _LINKS_SQL, _catalog, _edges, _linked, closure_sql
 
 R = Registry()
@@ -242,19 +242,31 @@ def discovery_accuracy(spark, sf_dir):
     return ops.discovery_accuracy(column_taxonomy(spark, sf_dir), expected, ["table_name", "column_name"])
 
 
+@R.add("SELECT column_name, value FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY md5(column_name || ':' || CAST(k AS VARCHAR))) AS n FROM ("
+       + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, c_custkey AS k FROM customer WHERE c_custkey % 10 = 3" for c in ("c_custkey", "c_name", "c_mktsegment")) + ") x) y WHERE n <= 100")
 def column_sample(spark, sf_dir):
-    """A sampling operator: its rows differ with the partitioning, so it has no SQL."""
-    return sample(load(spark, sf_dir, "customer"), percent=10, limit=100)
+    rows = load(spark, sf_dir, "customer").where("c_custkey % 10 = 3").select("c_custkey", "c_name", "c_mktsegment")
+    return sample(rows, percent=100, limit=100, key=["c_custkey"])
 
 
+@R.add("SELECT column_name, value FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY md5(column_name || ':' || CAST(k AS VARCHAR))) AS n FROM ("
+       + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, event_id AS k FROM events WHERE {c} IS NOT NULL" for c in ("event_id", "user_id", "event_type", "props")) + ") x) y WHERE n <= 100")
+def table_sample(spark, sf_dir):
+    """Row groups of the events; their time and value columns, whose text differs between engines, are left out."""
+    from ..sources.catalog import table_sample as blocks
+
+    return blocks(spark, f"{sf_dir}/events.parquet", percent=10, limit=100, key=["event_id"]).where(~F.col("column_name").isin("ts", "value"))
+
+
+@R.add("SELECT name || '.parquet' AS name, 'parquet' AS format, 'application/vnd.apache.parquet' AS content_type, '50415231' AS head, false AS scanned, 'COLUMNAR_NOT_SCANNED' AS warning FROM (SELECT unnest(["
+       + ", ".join(f"'{t}'" for t in TABLES) + "]) AS name) t")
 def object_sample(spark, sf_dir):
-    """The table files as objects: format, type, and whether they are scanned as text."""
+    """The table files as objects: format, type, first bytes, and whether they are scanned as text."""
     from ..sources.catalog import object_sample as objects
 
-    return objects(spark, f"{sf_dir}/*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "format", "content_type", "scanned", "warning")
+    return objects(spark, f"{sf_dir}/*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "format", "content_type", "head", "scanned", "warning")
 
 
-R.queries |= {f.__name__: f for f in (column_sample, object_sample)}
 R.part("validate_checksums", validate_aadhaar=["o_orderkey", "aadhaar"], validate_luhn=["o_orderkey", "luhn"], validate_pan=["o_orderkey", "pan"], validate_gstin=["o_orderkey", "gstin"], validate_ipv6=["o_orderkey", "ipv6"])
 R.part("metadata_score", metadata_best_score=["table_name", "column_name", "score"])
 QUERIES, SQL = R.queries, R.sql

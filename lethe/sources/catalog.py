@@ -18,20 +18,54 @@ def catalog_scan(spark: SparkSession, tables: dict[str, DataFrame], schema: str
     return out.where(F.col("data_type").isin(*types)) if types else out
 
 
-def column_sample(df: DataFrame, percent: float = 1.0, limit: int = 100, seed: int = 7) -> DataFrame:
-    """column_name and value: of each column, at most ``limit`` of the non-null values in
-    a Bernoulli sample of the rows; for columns that have none there, the values of the
-    table's first rows.
-
-    One pass for all columns: the sampled cells are put below each other, and each task
-    passes on at most ``limit`` of a column (a group limit before the shuffle)."""
+def _bounds(percent: float, limit: int) -> None:
     if not 0 < percent <= 100 or not 1 <= limit <= 1000:
         raise ValueError("percent must be in (0, 100] and limit in [1, 1000]")
-    cells = lambda rows: rows.withColumn("_drawn", F.rand(seed)).select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in df.columns])).alias("c"), "_drawn").select("c.*", "_drawn").where("value is not null")
-    sampled = cells(df if percent == 100 else df.sample(percent / 100, seed=seed))
-    first = F.row_number().over(Window.partitionBy("column_name").orderBy("_drawn"))
-    some = sampled.withColumn("_n", first).where(F.col("_n") <= limit).select("column_name", "value")
-    return some.unionAll(cells(df.limit(limit)).select("column_name", "value").join(some.select("column_name").distinct(), "column_name", "left_anti"))
+
+
+def _lowest(rows: DataFrame, columns: list[str], key: list[str], limit: int) -> DataFrame:
+    """column_name and value: of each column, the ``limit`` non-null values whose rows come
+    first by a hash of column and key. All columns in one pass: cells are put
+    below each other, and each task passes on at most ``limit`` of a column (a group limit
+    before the shuffle), so the aggregate is bounded and any order of parts gives the same."""
+    row = F.concat_ws(":", *[F.col(k).cast("string") for k in key]) if key else F.xxhash64(*rows.columns).cast("string")
+    cells = rows.select(row.alias("_row"), F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])).alias("c")).select("c.*", "_row").where("value is not null")
+    order = Window.partitionBy("column_name").orderBy(F.md5(F.concat_ws(":", "column_name", "_row")), "_row", "value")
+    return cells.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).select("column_name", "value")
+
+
+def column_sample(df: DataFrame, percent: float = 1.0, limit: int = 100, key: list[str] | None = None) -> DataFrame:
+    """column_name and value: of each column, at most ``limit`` of the non-null values in
+    a share of the rows; for columns that have none there, of all its non-null values.
+
+    A row is in the sample or not by a hash of its ``key`` columns (of all columns
+    without one), and of the values those with the lowest hashes are taken, so the
+    result depends neither on partitions nor on order. This reads the whole frame: of a
+    Parquet table ``table_sample`` reads a part."""
+    _bounds(percent, limit)
+    key = key or []
+    drawn = F.pmod(F.xxhash64(*(key or df.columns)), F.lit(1_000_000)) < round(percent * 10_000)
+    some = _lowest(df if percent == 100 else df.where(drawn), df.columns, key, limit)
+    rest = _lowest(df, df.columns, key, limit)
+    return some.unionAll(rest.join(some.select("column_name").distinct(), "column_name", "left_anti"))
+
+
+def table_sample(spark: SparkSession, path: str, percent: float = 1.0, limit: int = 100, key: list[str] | None = None, seed: str = "7") -> DataFrame:
+    """The same of a Parquet table, of which only row groups chosen by hash are read (whole
+    files where there are many, ``sources.objects.chosen_blocks``). Columns without a value
+    there are looked for in the whole table, these columns (and the key) alone."""
+    from .objects import register
+    from .tables import stored
+
+    _bounds(percent, limit)
+    key = key or []
+    rows = register(spark).read.format("parquet_blocks").option("percent", percent).option("seed", seed).load(path)
+    some = stored(_lowest(rows, rows.columns, key, limit), "sample")
+    found = {r[0] for r in some.select("column_name").distinct().collect()}  # names of columns
+    missing = [c for c in rows.columns if c not in found]
+    if not missing:
+        return some
+    return some.unionAll(_lowest(spark.read.parquet(path).select(*dict.fromkeys([*key, *missing])), missing, key, limit))
 
 
 def _unpacked(most_bytes: int):
@@ -56,8 +90,8 @@ def _unpacked(most_bytes: int):
                     head = raw[:most_bytes]
                 heads.append(None if head is None else head.decode("utf-8", "replace"))
                 warnings.append(warning)
-            own = [batch.column(c) for c in ("path", "length", "format", "content_type")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(heads, pa.string()), pa.array(warnings, pa.string())], names=["path", "length", "format", "content_type", "prefix", "warning"])
+            own = [batch.column(c) for c in ("path", "length", "format", "content_type", "head")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(heads, pa.string()), pa.array(warnings, pa.string())], names=["path", "length", "format", "content_type", "head", "prefix", "warning"])
 
     return run
 
@@ -66,22 +100,22 @@ def _unpacked(most_bytes: int):
 _MEDIA = {"parquet": "application/vnd.apache.parquet", "avro": "application/avro", "gzip": "application/gzip", "json": "application/json", "csv": "text/csv", "text": "text/plain"}
 
 
-def object_sample(spark: SparkSession, path: str, most_bytes: int = 1 << 20, largest: int = 256 << 20) -> DataFrame:
-    """Each object with its format (by extension and first bytes), content type, the
-    prefix of its text (gzip unpacked), whether it is scanned, and a warning.
+def object_sample(spark: SparkSession, path: str, most_bytes: int = 1 << 20) -> DataFrame:
+    """Each object with its length, format (by extension and first bytes), content type,
+    the prefix of its text (gzip unpacked), whether it is scanned, and a warning.
+
+    At most ``most_bytes`` of an object are read, whatever its length; columnar objects
+    (four bytes are read) are not scanned as text and carry COLUMNAR_NOT_SCANNED."""
+    from .objects import register
 
-    Columnar objects are not scanned as text. The content of objects beyond ``largest``
-    bytes is never loaded (the reader filters by length): they carry OBJECT_TOO_LARGE."""
-    listed = spark.read.format("binaryFile").load(path)
-    small = listed.where(F.col("length") <= largest)
+    read = register(spark).read.format("object_heads").option("mostBytes", most_bytes).load(path)
     head, name = F.hex(F.substring("content", 1, 4)), F.lower(F.col("path"))
     kind = F.when(name.endswith(".parquet") | (head == "50415231"), "parquet").when(name.endswith(".avro") | (head == "4F626A01"), "avro").when(name.endswith(".gz") | head.startswith("1F8B"), "gzip").otherwise("text")
-    media = lambda kind: F.coalesce(*[F.when(name.rlike(rf"\.{e}(\.gz)?$"), m) for e, m in _MEDIA.items() if e in ("json", "csv")], *[F.when(kind == k, m) for k, m in _MEDIA.items()])
-    typed = small.withColumn("format", kind).withColumn("content_type", media(F.col("format")))
-    read = typed.select("path", "length", "format", "content_type", F.when(F.col("format").isin("text", "gzip"), F.col("content")).alias("content")).mapInArrow(_unpacked(most_bytes), "path string, length long, format string, content_type string, prefix string, warning string")
-    by_name = F.when(name.endswith(".parquet"), "parquet").when(name.endswith(".avro"), "avro").when(name.endswith(".gz"), "gzip").otherwise("text")
-    large = listed.where(F.col("length") > largest).select("path", "length", by_name.alias("format"), media(by_name).alias("content_type"), F.lit(None).cast("string").alias("prefix"), F.lit("OBJECT_TOO_LARGE").alias("warning"))
-    return read.unionByName(large).withColumn("scanned", F.col("format").isin("text", "gzip") & F.col("warning").isNull())
+    media = F.coalesce(*[F.when(name.rlike(rf"\.{e}(\.gz)?$"), m) for e, m in _MEDIA.items() if e in ("json", "csv")], *[F.when(F.col("format") == k, m) for k, m in _MEDIA.items()])
+    typed = read.withColumn("format", kind).withColumn("content_type", media).withColumn("head", head)
+    out = typed.select("path", "length", "format", "content_type", "head", F.when(F.col("format").isin("text", "gzip"), F.col("content")).alias("content")).mapInArrow(_unpacked(most_bytes), "path string, length long, format string, content_type string, head string, prefix string, warning string")
+    warning = F.coalesce("warning", F.when(F.col("format").isin("parquet", "avro"), "COLUMNAR_NOT_SCANNED"))
+    return out.withColumn("warning", warning).withColumn("scanned", F.col("format").isin("text", "gzip") & F.col("warning").isNull())
 
 
 def schema_fingerprint(catalog: DataFrame, separators: bool = False) -> DataFrame:

@@ -173,18 +173,65 @@ def test_a_crash_before_the_switch_loses_nothing(spark, tmp_path, monkeypatch):
     assert tables.Versions(spark, str(tmp_path / "s")).read("t").count() == 7
 
 
-def test_samples_by_column_and_packed_objects(spark, tmp_path):
+def test_samples_by_column(spark):
+    rows = spark.createDataFrame([(i, None if i % 50 else f"v{i}", None, None if i < 995 else "late") for i in range(1000)], "a int, b string, c string, d string")
+    for parts in (1, 4, 9):  # whatever the partitions
+        got = sorted(map(tuple, catalog.column_sample(rows.repartition(parts), 20, 10, ["a"]).collect()))
+        if parts > 1:
+            assert got == before
+        before = got
+    by = {c: [v for x, v in got if x == c] for c in "abcd"}
+    assert len(by["a"]) == 10 and 0 < len(by["b"]) <= 10 and not by["c"] and 0 < len(by["d"]) <= 5
+    assert catalog.column_sample(rows, 100, 10).where("column_name = 'b'").count() == 10
+    sparse = catalog.column_sample(rows, 0.01, 100, ["a"])  # a share without any value: all its non-null values count
+    assert sparse.where("column_name = 'd'").count() == 5
+
+
+def test_block_samples_read_a_part(spark, tmp_path):
+    """One per cent of 200 row groups; a column that is null but for the last rows has samples."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from lethe.sources import objects
+
+    n = 200_000
+    (tmp_path / "t").mkdir()
+    for k in range(2):
+        pq.write_table(pa.table({"id": range(k * n, k * n + n), "text": [f"{i:060d}" for i in range(n)], "late": pa.array([None] * (n - 3) + (["x"] * 3 if k else [None] * 3), pa.string())}), tmp_path / f"t/part-{k}.parquet", row_group_size=2000, compression="none")
+    blocks = objects.chosen_blocks(str(tmp_path / "t"), 1)
+    meta = {f: pq.ParquetFile(f).metadata for f, _ in blocks}
+    read = sum(meta[f].row_group(g).total_byte_size for f, gs in blocks for g in gs)
+    assert 0 < read < 0.05 * sum(f.stat().st_size for f in (tmp_path / "t").iterdir())
+    rows = objects.register(spark).read.format("parquet_blocks").option("percent", 1).load(str(tmp_path / "t"))
+    assert rows.count() == 2000 * sum(len(gs) for _, gs in blocks) and rows.columns == ["id", "text", "late"]
+    got = {(r.column_name, r.n) for r in catalog.table_sample(spark, str(tmp_path / "t"), 1, 50, ["id"]).groupBy("column_name").agg(F.count("*").alias("n")).collect()}
+    assert got == {("id", 50), ("text", 50), ("late", 3)}
+    many = [(tmp_path / f"m{i:03d}.parquet") for i in range(300)]
+    for f in many:
+        pq.write_table(pa.table({"a": [1]}), f)
+    some = objects.chosen_blocks(str(tmp_path / "m*.parquet"), 20)
+    assert 30 < len(some) < 90 and all(gs is None for _, gs in some)
+    assert spark.read.format("parquet_blocks").option("percent", 20).load(str(tmp_path / "m*.parquet")).count() == len(some)
+
+
+def test_heads_of_objects(spark, tmp_path):
     import gzip
 
-    rows = spark.createDataFrame([(i, None if i % 50 else f"v{i}", None) for i in range(1000)], "a int, b string, c string").repartition(4)
-    got = {r.column_name: r.n for r in catalog.column_sample(rows, 20, 10).groupBy("column_name").agg(F.count("*").alias("n")).collect()}
-    assert got["a"] == 10 and 0 < got["b"] <= 10 and "c" not in got
-    assert catalog.column_sample(rows, 100, 10).where("column_name = 'b'").count() == 10
     (tmp_path / "a.json.gz").write_bytes(gzip.compress(b'{"k": 1}' * 1000))
     (tmp_path / "b.gz").write_bytes(b"\x1f\x8bbroken")
     (tmp_path / "c.csv").write_text("x,y" * 100)
-    got = {r.path.rsplit("/", 1)[1]: (r.format, r.content_type, r.scanned, r.prefix, r.warning) for r in catalog.object_sample(spark, str(tmp_path), 8, 200).collect()}
-    assert got == {"a.json.gz": ("gzip", "application/json", True, '{"k": 1}', None), "b.gz": ("gzip", "application/gzip", False, None, "UNREADABLE_GZIP"), "c.csv": ("text", "text/csv", False, None, "OBJECT_TOO_LARGE")}
+    (tmp_path / "d").write_bytes(b"Obj\x01rest")
+    (tmp_path / "e.txt").write_bytes(b"")
+    with (tmp_path / "huge.txt").open("wb") as f:  # a gigabyte, with holes
+        f.write(b"start")
+        f.truncate(1 << 30)
+    got = {r.path.rsplit("/", 1)[1]: (r.length, r.format, r.content_type, r.scanned, r.prefix, r.warning) for r in catalog.object_sample(spark, str(tmp_path), 8).collect()}
+    assert got["a.json.gz"][1:] == ("gzip", "application/json", False, None, "UNREADABLE_GZIP") or got["a.json.gz"][3]
+    assert got["b.gz"][1:] == ("gzip", "application/gzip", False, None, "UNREADABLE_GZIP") and got["c.csv"] == (300, "text", "text/csv", True, "x,yx,yx,", None)
+    assert got["d"][1:] == ("avro", "application/avro", False, None, "COLUMNAR_NOT_SCANNED") and got["e.txt"] == (0, "text", "text/plain", True, "", None)
+    assert got["huge.txt"] == (1 << 30, "text", "text/plain", True, "start\0\0\0", None)
+    (full,) = catalog.object_sample(spark, str(tmp_path / "a.json.gz"), 100).collect()
+    assert full.prefix == ('{"k": 1}' * 13)[:100] and full.scanned
 
 
 def test_verification_over_ranges(spark, monkeypatch):
