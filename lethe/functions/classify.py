@@ -173,13 +173,15 @@ LIKELY = "[0-9@:]|(?:[A-Fa-f]{2}-){5}[A-Fa-f]{2}"
 
 def classify_leaf(value: Column, column_name: Column | str = "") -> Column:
     """Signatures that a value or one of its tokens has, in their fixed order."""
+    place = {n: i for i, (n, *_) in enumerate(SIGNATURES)}
+
     def named(c: Column) -> Column:
-        return F.filter(F.array(*[F.when(hit, F.lit(n)) for n, hit in signature_hits(c, column_name).items()]), lambda x: x.isNotNull())
+        hits = [F.when(hit, F.struct(F.lit(place[n]).alias("place"), F.lit(n).alias("name"))) for n, hit in signature_hits(c, column_name).items()]
+        return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
     likely = F.filter(candidates(value), lambda c: c.rlike(LIKELY))
-    found = F.flatten(F.transform(likely, named))
-    order = F.array(*[F.lit(n) for n, *_ in SIGNATURES])
-    return F.filter(order, lambda n: F.array_contains(found, n))
+    # sorted and read off once: nothing above is evaluated again for each signature
+    return F.transform(F.array_sort(F.array_distinct(F.flatten(F.transform(likely, named)))), lambda x: x["name"])
 
 
 def weight_of(signatures: Column) -> Column:

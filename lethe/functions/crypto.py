@@ -1,6 +1,6 @@
 """Hashes, keyed hashes, encryption and identifiers as Spark expressions.
 
-All are built-in expressions, so they stay in the JVM. Keys appear as literals
+All but random bytes and ``canonical_json_js`` are built-in expressions. Keys appear as literals
 in query plans; set ``spark.redaction.regex`` for event logs, or pass per-row
 keys from a joined one-row frame.
 """
@@ -9,12 +9,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import os
+import re
+import unicodedata
+from decimal import Decimal
+from functools import cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, StringType
 
 
 def _col(c: Column | str) -> Column:
@@ -90,6 +96,101 @@ def canonical_json(text: Column) -> Column:
     return F.to_json(F.try_parse_json(text))
 
 
+def js_number(x: int | float) -> str:
+    """A number as JavaScript writes it: the shortest text that reads back as the same
+    double, plain from 1e-6 to 1e21."""
+    x = float(x)
+    if x == 0 or x != x or x in (float("inf"), float("-inf")):
+        return "0" if x == 0 else "null"
+    sign, digits, exponent = Decimal(repr(x)).as_tuple()
+    text = "".join(map(str, digits)).rstrip("0")
+    point = len(digits) + exponent  # places before the decimal point
+    if len(text) <= point <= 21:
+        out = text + "0" * (point - len(text))
+    elif 0 < point <= 21:
+        out = f"{text[:point]}.{text[point:]}"
+    elif -6 < point <= 0:
+        out = f"0.{'0' * -point}{text}"
+    else:
+        e = point - 1
+        out = f"{text[0]}{'.' + text[1:] if len(text) > 1 else ''}e{'+' if e > 0 else '-'}{abs(e)}"
+    return "-" * sign + out
+
+
+#: The order of ASCII characters in the root collation, letters aside.
+_ROOT_ORDER = "\t\n\v\f\r _-,;:!?.'\"()[]{}@*/\\&#%`^+<=>|~$0123456789"
+
+
+@cache
+def _weights(c: str) -> list[tuple]:
+    """A character's weights in the root collation: base, accents, case. Letters go by
+    base letter first, then by accents, then small before capital; a sharp s is two s."""
+    base, *marks = unicodedata.normalize("NFD", c)
+    at = _ROOT_ORDER.find(base)
+    small = base.casefold()
+    of = lambda s: (0, at, "") if at >= 0 else (2, 0, s) if s.isalpha() else (1, 0, s)
+    return [(of(s), tuple(marks), base != small) for s in small]
+
+
+def _root_order(key: str) -> tuple:
+    own = [w for c in key for w in _weights(c)]
+    return [w[0] for w in own], [w[1] for w in own], [w[2] for w in own], key
+
+
+def _index_like(key: str) -> bool:
+    return key.isascii() and key.isdigit() and (key == "0" or key[0] != "0") and int(key) < 2**32 - 1
+
+
+def _ordered(pairs: list[tuple[str, object]]) -> dict:
+    """Of repeated keys the last value; keys that are array indexes first, by number,
+    then the others by the root collation."""
+    own = dict(pairs)
+    index = sorted((k for k in own if _index_like(k)), key=int)
+    return {k: own[k] for k in [*index, *sorted((k for k in own if not _index_like(k)), key=_root_order)]}
+
+
+def js_canonical(text: str | None) -> str | None:
+    """Canonical JSON of one text, None where it is no JSON."""
+    if text is None:
+        return None
+
+    def refuse(word: str):
+        raise ValueError(word)
+
+    def out(v) -> str:
+        if isinstance(v, dict):
+            return "{" + ",".join(f"{_quoted(k)}:{out(x)}" for k, x in v.items()) + "}"
+        if isinstance(v, list):
+            return "[" + ",".join(map(out, v)) + "]"
+        if isinstance(v, bool) or v is None:
+            return {True: "true", False: "false", None: "null"}[v]
+        return js_number(v) if isinstance(v, float) else _quoted(v)
+
+    try:
+        return out(json.loads(text, object_pairs_hook=_ordered, parse_int=float, parse_constant=refuse))
+    except (ValueError, RecursionError):
+        return None
+
+
+def _quoted(text: str) -> str:
+    """Quoted as JavaScript does: characters beyond ASCII stay, but for halves of pairs."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", json.dumps(text, ensure_ascii=False))
+
+
+@F.arrow_udf(StringType())
+def _canonical_js(texts: pa.Array) -> pa.Array:
+    return pa.array(map(js_canonical, texts.to_pylist()), pa.string())
+
+
+def canonical_json_js(text: Column) -> Column:
+    """JSON as a JavaScript service serialises it canonically, for hashes that such a
+    service must be able to verify: numbers in their shortest form (``1e3`` is 1000), the
+    last of repeated keys, keys that are array indexes in front, others in the order of
+    the root collation. Null where the text is no JSON. ``canonical_json`` stays inside
+    the JVM and gives the same for objects with keys in byte order and plain integers."""
+    return _canonical_js(text)
+
+
 def _uuid(digest: Column, version: str) -> Column:
     variant = F.lower(F.hex(F.conv(F.substring(digest, 17, 1), 16, 10).cast("int").bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8))))
     return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit(version), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))

@@ -99,8 +99,11 @@ def burn_in(tasks: DataFrame, needed: int = 100) -> DataFrame:
     """For each client: distinct completed shadow tasks, whether it may go live, and
     when it reached the number."""
     done = tasks.where("shadow and task_type = 'VAULT' and status = 'COMPLETED'").groupBy("client_id", "task_id").agg(F.min("completed_at").alias("completed_at"))
-    done = done.withColumn("n", F.row_number().over(Window.partitionBy("client_id").orderBy("completed_at", "task_id")))
-    return done.groupBy("client_id").agg(F.count("*").alias("successes"), (F.count("*") >= needed).alias("live"), F.min(F.when(F.col("n") == needed, F.col("completed_at"))).alias("live_since"))
+    counts = done.groupBy("client_id").agg(F.count("*").alias("successes"))
+    # a client's first tasks alone are ranked: Spark limits each group before the shuffle
+    first = done.withColumn("n", F.row_number().over(Window.partitionBy("client_id").orderBy("completed_at", "task_id"))).where(F.col("n") <= needed)
+    since = first.where(F.col("n") == needed).select("client_id", F.col("completed_at").alias("live_since"))
+    return counts.join(since, "client_id", "left").select("client_id", "successes", (F.col("successes") >= needed).alias("live"), "live_since")
 
 
 def refusal_code(client_active: Column, live_since: Column, shadow: Column, callback_url: Column) -> Column:

@@ -79,15 +79,48 @@ def fk_closure(edges: DataFrame, root: str, max_depth: int = MAX_DEPTH) -> DataF
     return out
 
 
-def dependency_tree(edges: DataFrame, root: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def subtree(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Rows that hang off some rows by references of any number (child, parent), such as
+    a self-reference of accounts: node and depth, the least number of steps from a root
+    (``roots`` has node), which has 0.
+
+    For graphs as large as tables: each level is a join of the last one with the edges,
+    without what was visited before (so cycles end), and is written; the walk ends where a
+    level is empty or at ``max_depth``."""
+    from ..sources.tables import stored
+
+    edges = edges.where("parent is not null and child is not null and parent <> child").select("child", "parent")
+    frontier = stored(roots.where("node is not null").select("node").distinct(), "level")
+    levels, visited = [frontier.withColumn("depth", F.lit(0))], frontier
+    for depth in range(1, max_depth + 1):
+        below = frontier.join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct()
+        frontier = stored(below.join(visited, "node", "left_anti"), "level")
+        if frontier.isEmpty():
+            break
+        levels.append(frontier.withColumn("depth", F.lit(depth)))
+        visited = visited.unionAll(frontier)
+    return reduce(DataFrame.unionAll, levels)
+
+
+def dependency_tree(edges: DataFrame, root: str, max_depth: int = MAX_DEPTH, tables: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """Each dependent table once, at its least depth, with the delete action
     (``delete_code`` of the edge) and a violation: actions that change rows by
-    themselves, and tables at the depth limit."""
+    themselves, and tables at the depth limit. Where ``tables`` (table_name) are given
+    and the root is none of them, one row says so (ROOT_MISSING). ``strict`` makes the
+    first violation an error of the job that reads the result."""
     walk = fk_closure(edges, root, max_depth).where("depth > 0").join(edges.select("constraint_name", "child_table", "delete_code").withColumnRenamed("child_table", "table_name"), ["constraint_name", "table_name"])
     best = walk.withColumn("_n", F.row_number().over(Window.partitionBy("table_name").orderBy("depth", "constraint_name"))).where("_n = 1")
     action = F.element_at(F.create_map(*[F.lit(x) for kv in DELETE_ACTIONS.items() for x in kv]), F.col("delete_code"))
     wrong = F.when(action.isin("CASCADE", "SET NULL", "SET DEFAULT"), "UNSAFE_DELETE_ACTION").when(F.col("depth") >= max_depth, "DEPTH_LIMIT")
-    return best.select("table_name", "parent_table", "depth", action.alias("delete_action"), wrong.alias("violation"))
+    out = best.select("table_name", "parent_table", "depth", action.alias("delete_action"), wrong.alias("violation"))
+    if tables is not None:
+        none = F.lit(None).cast("string")
+        there = tables.where(F.col("table_name") == root).agg(F.count("*").alias("n"))
+        out = out.unionByName(there.where("n = 0").select(F.lit(root).alias("table_name"), none.alias("parent_table"), F.lit(0).alias("depth"), none.alias("delete_action"), F.lit("ROOT_MISSING").alias("violation")))
+    if strict:
+        stop = F.raise_error(F.concat_ws(" ", "violation", "table_name")).cast("string")
+        out = out.withColumn("violation", F.when(F.col("violation").isNotNull(), stop))
+    return out
 
 
 def logical_link_pairs(catalog: DataFrame, edges: DataFrame) -> DataFrame:

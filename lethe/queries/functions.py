@@ -36,6 +36,14 @@ def canonical_json(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", crypto.canonical_json(doc).alias("canonical"))
 
 
+@R.add("""SELECT event_id, '{"9":2,"10":1,"a":2,"a_b":' || CAST(event_id * 100 AS VARCHAR) || ',"B":[1000,0.5],"z":' || CAST(event_id AS VARCHAR) || '.5}' AS canonical FROM events""")
+def canonical_json_js(spark, sf_dir):
+    """Numbers in several spellings, a repeated key, keys that are indexes, capitals."""
+    n = F.col("event_id").cast("string")
+    doc = F.concat(F.lit('{"z": '), n, F.lit('.50, "10": 1, "9": 2.0, "a_b": '), n, F.lit('e2, "B": [1e3, 5E-1], "a": 1, "a": 2}'))
+    return load(spark, sf_dir, "events").select("event_id", crypto.canonical_json_js(doc).alias("canonical"))
+
+
 def _uuid_sql(digest: str) -> str:
     nibble = f"substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr({digest}, 17, 1)), 1)"
     return f"substr({digest}, 1, 8) || '-' || substr({digest}, 9, 4) || '-5' || substr({digest}, 14, 3) || '-' || {nibble} || substr({digest}, 18, 3) || '-' || substr({digest}, 21, 12)"

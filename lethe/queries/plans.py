@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.crypto import mask_value
 from ..plans import graph
 from ..sources import catalog
-from .base import DELETE_CODES, TABLES, Registry, load
+from .base import DELETE_CODES, HMAC_KEY, SCHEMA, TABLES, Registry, hmac_sql, load
 
 R = Registry()
 
@@ -103,6 +104,33 @@ def dependency_tree(spark, sf_dir):
     return graph.dependency_tree(_edges(spark, sf_dir), "region")
 
 
+@R.add(_CLOSURE + """ SELECT table_name, parent_table, CAST(depth AS INTEGER) AS depth, CAST(NULL AS VARCHAR) AS violation FROM (
+    SELECT w.*, row_number() OVER (PARTITION BY table_name ORDER BY depth, w.constraint_name) AS n FROM walk w WHERE depth > 0) x WHERE n = 1
+    UNION ALL SELECT 'accounts', NULL, 0, 'ROOT_MISSING'""")
+def dependency_tree_missing_root(spark, sf_dir):
+    """The trees of a root that is there and of one that is not, over edges without an action of their own."""
+    edges = _edges(spark, sf_dir).withColumn("delete_code", F.lit("a"))
+    tables = _catalog(spark, sf_dir).select("table_name").distinct()
+    trees = [graph.dependency_tree(edges, root, tables=tables) for root in ("region", "accounts")]
+    return trees[0].unionByName(trees[1]).select("table_name", "parent_table", "depth", "violation")
+
+
+#: Customers as accounts that refer to others: five to a parent, and pairs that refer to each other.
+_PARENT_SQL = "CASE c_custkey % 50 WHEN 1 THEN c_custkey + 1 WHEN 2 THEN c_custkey - 1 ELSE c_custkey // 5 END"
+_ROOTS = "c_custkey % 40 = 7 OR c_custkey % 500 = 1"
+
+
+@R.add(f"""WITH RECURSIVE e AS (SELECT c_custkey AS child, {_PARENT_SQL} AS parent FROM customer), walk AS (
+    SELECT c_custkey AS node, 0 AS depth FROM customer WHERE {_ROOTS} UNION SELECT child, depth + 1 FROM walk JOIN e ON parent = node AND child <> parent WHERE depth < 32)
+    SELECT node AS c_custkey, CAST(min(depth) AS INTEGER) AS depth, {hmac_sql("'app:customer:c_name:' || any_value(c_name)", HMAC_KEY)} AS c_name FROM walk JOIN customer ON c_custkey = node GROUP BY node""")
+def subtree_erasure(spark, sf_dir):
+    """Subjects with all accounts below them by a self-reference, their names masked."""
+    c, n = load(spark, sf_dir, "customer"), F.col("c_custkey")
+    parent = F.when(n % 50 == 1, n + 1).when(n % 50 == 2, n - 1).otherwise((n / 5).cast("long"))
+    tree = graph.subtree(c.select(n.alias("child"), parent.alias("parent")), c.where(_ROOTS).select(n.alias("node")))
+    return c.join(tree, n == F.col("node")).select("c_custkey", "depth", mask_value("HMAC", F.col("c_name"), SCHEMA, "customer", "c_name", HMAC_KEY).alias("c_name"))
+
+
 def _linked(spark, sf_dir):
     """The catalog, with customer's key under the name that others use for it."""
     return _catalog(spark, sf_dir).withColumn("column_name", F.when(F.col("column_name").isin("c_custkey", "o_custkey", "conv_id"), "user_id").otherwise(F.col("column_name")))

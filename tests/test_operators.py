@@ -273,3 +273,45 @@ def test_json_leaves(spark):
         deep = f'{{"d":{deep}}}'
     rows = spark.createDataFrame([(1, '{"a":[1,{"b":"x"}],"n":null}'), (2, "no json"), (3, None), (4, deep)], "id int, j string")
     assert {tuple(r) for r in json_leaves(rows, ["id"], "j").collect()} == {(1, ".a[0]", "1"), (1, ".a[1].b", "x"), (2, "", "no json")}
+
+
+def test_subtrees_end_at_cycles_and_depth(spark):
+    from lethe.plans.graph import subtree
+
+    edges = spark.createDataFrame([(2, 1), (3, 2), (1, 3), (4, 3), (4, 2), (5, 5), (6, None), (8, 7)], "child int, parent int")
+    got = lambda *roots, **more: {tuple(r) for r in subtree(edges, spark.createDataFrame([(r,) for r in roots], "node int"), **more).collect()}
+    assert got(1) == {(1, 0), (2, 1), (3, 2), (4, 2)}
+    assert got(3, 5, 9) == {(3, 0), (5, 0), (9, 0), (1, 1), (4, 1), (2, 2)}
+    assert got(1, max_depth=1) == {(1, 0), (2, 1)} and got() == set()
+    chain = spark.range(40).select((F.col("id") + 1).alias("child"), F.col("id").alias("parent"))
+    assert subtree(chain, spark.range(1).select(F.col("id").alias("node"))).count() == 33
+
+
+def test_a_missing_root_and_strict_trees(spark):
+    from lethe.plans.graph import dependency_tree
+
+    edges = spark.createDataFrame([("k", "orders", "users", ["u"], ["id"], "c")], "constraint_name string, child_table string, parent_table string, child_columns array<string>, parent_columns array<string>, delete_code string")
+    tables = spark.createDataFrame([("users",), ("orders",)], "table_name string")
+    assert [r.violation for r in dependency_tree(edges, "nobody", tables=tables).collect()] == ["ROOT_MISSING"]
+    assert [r.violation for r in dependency_tree(edges, "users", tables=tables).collect()] == ["UNSAFE_DELETE_ACTION"]
+    with pytest.raises(Exception, match="UNSAFE_DELETE_ACTION orders"):
+        dependency_tree(edges, "users", strict=True).collect()
+
+
+def test_burn_in(spark):
+    tasks = spark.createDataFrame([(c, t, t * 10 + k, True, "VAULT", "COMPLETED") for c in (1, 2) for t in range(c * 4) for k in (0, 1)], "client_id int, task_id int, completed_at int, shadow boolean, task_type string, status string")
+    assert {tuple(r) for r in lifecycle.burn_in(tasks, 5).collect()} == {(1, 4, False, None), (2, 8, True, 40)}
+
+
+def test_markers_are_found_letter_for_letter(spark):
+    rows = spark.createDataFrame([(1, "call +919876543210 now"), (2, "aXb@c.de"), (3, "x a.b@c.de, Customer#01 Customer#012"), (4, None), (5, ""), (6, "+91")], "id int, payload string")
+    assert [r.id for r in ledger.leak_scan(rows, ["+919876543210", "a.b@c.de"]).orderBy("id").collect()] == [1, 3]
+    assert [r.id for r in ledger.leak_scan(rows, patterns=["[+]91$"]).collect()] == [6] and ledger.leak_scan(rows).count() == 0
+    markers = spark.createDataFrame([(m,) for m in ("+919876543210", "a.b@c.de", "Customer#01", "Customer#012", "Customer#0123", "", None, "none of these")], "marker string")
+    want = {(1, "+919876543210"), (3, "a.b@c.de"), (3, "Customer#01"), (3, "Customer#012")}
+    for bound in (1 << 20, 150):  # one index, and slices
+        found = ledger.leak_matches(rows, markers, ["id"], bound).collect()
+        assert {tuple(r) for r in found} == want and len(found) == 4
+    many = spark.range(100_000).select(F.concat(F.lit("m-"), F.col("id").cast("string"), F.lit(";")).alias("marker"))
+    text = spark.createDataFrame([(1, "m-5; m-99999; m-100000; m-7")], "id int, payload string")
+    assert {r.marker for r in ledger.leak_matches(text, many, ["id"]).collect()} == {"m-5;", "m-99999;"}
