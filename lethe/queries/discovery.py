@@ -51,12 +51,9 @@ def _ipv6_sql(t: str) -> str:
         AND NOT contains(substr({h}, strpos({h}, '::') + 2), '::'))""".replace("{0}", f"= CASE WHEN {gap} THEN least(length({groups}), 7) ELSE 8 END")
 
 
-#: What the signatures without a hint are, in SQL of its own.
-_SHAPES = {
-    "aadhaar": r"[2-9]\d{3}[\s-]?\d{4}[\s-]?\d{4}", "pan": r"[A-Z]{3}[ABCFGHJLPT][A-Z]\d{4}[A-Z]", "gstin": r"\d\d[A-Z]{3}[ABCFGHJLPT][A-Z]\d{4}[A-Z][1-9A-Z]Z[0-9A-Z]", "credit_card": r"(\d[ -]?){13,19}",
-    "email": r"[^\s@]+@[^\s@]+\.[^\s@]+", "upi": r"[\w.-]{2,256}@[a-zA-Z]{2,64}", "ifsc": r"[A-Z]{4}0[A-Z0-9]{6}", "indian_mobile": r"((\+|00?)?91(\s*-\s*)?|0)?[6-9]\d{9}", "indian_passport": r"[A-Z]\d{7}", "voter_epic": r"[A-Z]{3}\d{7}",
-    "ipv4": r"((\d|[1-9]\d|1\d\d|2[0-4]\d|25[0-5])\.){3}(\d|[1-9]\d|1\d\d|2[0-4]\d|25[0-5])", "ipv6": None, "mac_address": r"([0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}",
-}
+#: The patterns of the signatures without a hint, as they stand among the fixed values; check
+#: digits, holders' letters and IPv6 addresses are tested in SQL of their own.
+_SHAPES = {name: pattern.removeprefix("^").removesuffix("$") for name, pattern, _, hint in classify.SIGNATURES if not hint}
 
 
 def _hit_sql(name: str, t: str) -> str:
@@ -67,6 +64,8 @@ def _hit_sql(name: str, t: str) -> str:
         return f"({out} AND NOT {_ALL_SAME.format(d)} AND CASE WHEN length({d}) = 12 THEN {_VERHOEFF.format(d)} ELSE false END)"
     if name == "credit_card":
         return f"({out} AND NOT {_ALL_SAME.format(d)} AND CASE WHEN length({d}) BETWEEN 13 AND 19 THEN {_LUHN.format(d)} ELSE false END)"
+    if name in ("pan", "gstin"):
+        return f"({out} AND contains('{classify.PAN_STATUS}', substr({t}, {4 if name == 'pan' else 6}, 1)))"
     return out
 
 
@@ -153,8 +152,8 @@ def _leaf_sql() -> str:
     return f"SELECT o_orderkey, concat_ws(',', {flags}) AS signatures FROM {_candidates_sql(note, 'o_orderkey')} c GROUP BY 1"
 
 
-#: The order in which signatures are reported.
-classify_order = ["aadhaar", "pan", "gstin", "credit_card", "email", "upi", "ifsc", "indian_mobile", "indian_passport", "voter_epic", "ipv4", "ipv6", "mac_address", "bank_account"]
+#: The signatures of the notes, in the order in which they are reported.
+classify_order = [name for name, *_, hint in classify.SIGNATURES if not hint or name == "bank_account"]
 _NOTE = "concat(' card: ', " + _value("card", "o_orderkey") + ", ', (', " + _value("pan", "o_orderkey") + ", ') at ', " + _value("ip", "o_orderkey") + ", ' mac ', " + _spaced("mac") + ", '; ', " + _value("ip6", "o_orderkey") + ", ' ')"
 
 
