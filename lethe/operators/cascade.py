@@ -8,6 +8,7 @@ of a store file by file (``erase_files``).
 
 from __future__ import annotations
 
+import base64
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -15,12 +16,14 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.crypto import mask_value
+from ..functions.text import blob_mask
 from ..sources.tables import Change, stored
 
 
 @dataclass(frozen=True)
 class Target:
-    """A table of the plan: how it joins its parent and what happens to its rows."""
+    """A table of the plan: how it joins its parent and what happens to its rows.
+    ``blobs`` are columns with object URLs, which are masked by a hash of their own."""
 
     table: str
     parent: str | None
@@ -29,6 +32,7 @@ class Target:
     primary_key: tuple[str, ...] = ()
     action: str = "redact"
     rules: dict[str, str] = field(default_factory=dict)
+    blobs: tuple[str, ...] = ()
 
 
 def cascade_rows(tables: dict[str, DataFrame], plan: list[Target], subjects: DataFrame, key: str, tenant: str | None = None, keep=None) -> dict[str, DataFrame]:
@@ -58,14 +62,24 @@ def not_processed(rows: DataFrame, primary_key: tuple[str, ...], processed: Data
     return rows.withColumn("row_key", own).join(processed.where(F.col("target") == target).select("row_key"), "row_key", "left_anti").drop("row_key")
 
 
+def _mask(target: Target, c: str, schema: str, key: bytes) -> Column:
+    """What a hit row has in a column: its rule's value, or where the cell is an object's
+    URL the hash that stands for it (keyed by the key's base64 text)."""
+    own = mask_value(target.rules[c], F.col(c), schema, target.table, c, key) if c in target.rules else F.col(c)
+    url = F.trim(F.col(c).cast("string"))
+    return F.when(url != "", blob_mask(url, schema, target.table, c, base64.b64encode(key))).otherwise(own) if c in target.blobs else own
+
+
 def redact_target(table: DataFrame, hit: DataFrame, target: Target, schema: str, key: bytes) -> DataFrame:
-    """The table with the rule columns of the hit rows masked, others untouched."""
-    missing = set(target.rules) - set(table.columns)
+    """The table with the rule columns and object URLs of the hit rows masked, others
+    untouched."""
+    changed = {*target.rules, *target.blobs}
+    missing = changed - set(table.columns)
     if missing:
         raise ValueError(f"{target.table} has no column {sorted(missing)}")
     marks = hit.select(*target.primary_key).distinct().withColumn("_hit", F.lit(True))
     joined = table.join(marks, list(target.primary_key), "left")
-    masked = [F.when(F.col("_hit"), mask_value(target.rules[c], F.col(c), schema, target.table, c, key)).otherwise(F.col(c).cast("string")).alias(c) if c in target.rules else F.col(c) for c in table.columns]
+    masked = [F.when(F.col("_hit"), _mask(target, c, schema, key)).otherwise(F.col(c).cast("string")).alias(c) if c in changed else F.col(c) for c in table.columns]
     return joined.select(*masked)
 
 
@@ -112,11 +126,12 @@ def erase_batch(tables: dict[str, DataFrame], plan: list[Target], subjects: Data
 def _masked(target: Target, columns: list[str], kinds: dict[str, str], schema: str, key: bytes) -> list[Column]:
     """The columns of rows marked by ``_hit``, masked where they are hit. Types stay, as
     other files of the table have them: what is not text can only be nullified."""
-    wrong = [c for c, rule in target.rules.items() if rule != "NULLIFY" and kinds.get(c) not in ("string", None)]
-    if wrong or set(target.rules) - set(columns):
-        raise ValueError(f"{target.table}: no text column {sorted([*wrong, *(set(target.rules) - set(columns))])}")
-    rule = lambda c: F.when(F.col("_hit"), mask_value(target.rules[c], F.col(c), schema, target.table, c, key).cast(kinds[c])).otherwise(F.col(c)).alias(c)
-    return [rule(c) if c in target.rules else F.col(c) for c in columns]
+    changed = {*target.rules, *target.blobs}
+    wrong = [c for c in changed if (target.rules.get(c) != "NULLIFY" or c in target.blobs) and kinds.get(c) != "string"]
+    if wrong or changed - set(columns):
+        raise ValueError(f"{target.table}: no text column {sorted({*wrong, *(changed - set(columns))})}")
+    rule = lambda c: F.when(F.col("_hit"), _mask(target, c, schema, key).cast(kinds[c])).otherwise(F.col(c)).alias(c)
+    return [rule(c) if c in changed else F.col(c) for c in columns]
 
 
 def _observed(rows: DataFrame) -> tuple[DataFrame, Observation]:

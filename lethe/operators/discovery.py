@@ -110,14 +110,19 @@ def draft_rules(findings: DataFrame, root: str) -> DataFrame:
 
 def introspect(catalog: DataFrame, edges: DataFrame, findings: DataFrame, root: str) -> DataFrame:
     """Targets of a draft plan: the closure of the root, tables grafted by logical
-    links, each one's findings, and the fingerprint of the schema they hold for."""
-    from ..plans.graph import fk_closure, graft_links, logical_link_pairs
-
-    closure = fk_closure(edges, root).select("table_name", "parent_table", "depth", F.lit("foreign_key").alias("found_by"))
-    grafted = graft_links(closure, logical_link_pairs(catalog, edges), root).select("table_name", "parent_table", F.lit(1).alias("depth"), F.lit("logical_link").alias("found_by"))
+    links (at the depth limit, so that they are erased first), the columns and the condition by
+    which each joins its parent, its findings, and the fingerprint of the schema they hold for."""
+    from ..plans.graph import MAX_DEPTH, fk_closure, graft_links, logical_link_pairs
+
+    named = lambda c: F.array_join(c, ",")
+    keys = edges.select("constraint_name", named("child_columns").alias("child_columns"), named("parent_columns").alias("parent_columns"))
+    closure = fk_closure(edges, root).join(keys, "constraint_name", "left").select("table_name", "parent_table", "depth", F.lit("foreign_key").alias("found_by"), "child_columns", "parent_columns")
+    grafted = graft_links(closure, logical_link_pairs(catalog, edges), root).select("table_name", "parent_table", F.lit(MAX_DEPTH).alias("depth"), F.lit("logical_link").alias("found_by"), F.col("column_name").alias("child_columns"), F.col("parent_column").alias("parent_columns"))
+    pair = lambda p, c: F.concat("parent_table", F.lit("."), p, F.lit(" = "), "table_name", F.lit("."), c)
+    condition = F.when(F.col("parent_table").isNotNull(), F.array_join(F.zip_with(F.split("parent_columns", ","), F.split("child_columns", ","), pair), " AND "))
     per_table = findings.groupBy("table_name").agg(F.array_join(F.array_sort(F.collect_set("column_name")), ",").alias("pii_columns"))
     print_ = schema_fingerprint(catalog).withColumn("one", F.lit(1))
-    return closure.unionByName(grafted).join(per_table, "table_name", "left").withColumn("one", F.lit(1)).join(print_, "one").drop("one")
+    return closure.unionByName(grafted).withColumn("condition", condition).join(per_table, "table_name", "left").withColumn("one", F.lit(1)).join(print_, "one").drop("one")
 
 
 def discovery_accuracy(found: DataFrame, expected: DataFrame, key: list[str]) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql.types import IntegralType
 
 #: Column names that identify a subject.
 IDENTIFIER = r"^(?:user_id|account_id|customer_id|client_id|actor_id|user_uuid|member_id|subject_id|.*_user_id|target_email|user_email)$"
+#: Link columns that hold a root's e-mail address.
+MAIL_LINKS = ("target_email", "user_email", "email_address")
 DELETE_ACTIONS = {"a": "NO ACTION", "r": "RESTRICT", "c": "CASCADE", "n": "SET NULL", "d": "SET DEFAULT"}
 MAX_DEPTH = 32
 
@@ -136,11 +138,10 @@ def logical_link_pairs(catalog: DataFrame, edges: DataFrame) -> DataFrame:
 def plan_check(plan: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Violations of an erasure plan (target, parent, action, rules map, pii_columns,
     child_columns, parent_columns, primary_key): target, code."""
-    edges = plan.where("parent is not null").select(F.col("target").alias("child_table"), F.col("parent").alias("parent_table"), F.col("target").alias("constraint_name"))
-    roots = [r.target for r in plan.where("parent is null").select("target").collect()]  # a plan has tens of rows
-    reached = plan.where("parent is null").select("target")
-    for root in roots:
-        reached = reached.unionByName(fk_closure(edges, root, max_depth).where("depth > 0").select(F.col("table_name").alias("target")))
+    from ..sources.tables import stored
+
+    plan = stored(plan, "plan")
+    reached = subtree(plan.select(F.col("target").alias("child"), "parent"), plan.where("parent is null").select(F.col("target").alias("node")), max_depth).select(F.col("node").alias("target"))
     known = plan.select(F.col("target").alias("parent"))
     bad = lambda where, code: plan.where(where).select("target", F.lit(code).alias("code"))
     orphan = plan.where("parent is not null").join(known, "parent", "left_anti").select("target", F.lit("MISSING_PARENT").alias("code"))
@@ -157,9 +158,11 @@ def plan_check(plan: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
 
 def graft_links(targets: DataFrame, links: DataFrame, root: str) -> DataFrame:
     """Tables that only a logical link ties to a known target, the first link (by
-    column) of each: table_name, parent_table, column_name."""
+    column) of each: table_name, parent_table, column_name and parent_column. A root's
+    column is not the one of the link: it is its e-mail where the link is one, else its id."""
     known = targets.select("table_name").distinct()
     sides = links.select(F.col("left_table").alias("table_name"), F.col("right_table").alias("parent_table"), "column_name").unionByName(links.select(F.col("right_table").alias("table_name"), F.col("left_table").alias("parent_table"), "column_name"))
     fresh = sides.join(known, "table_name", "left_anti").join(known.withColumnRenamed("table_name", "parent_table"), "parent_table", "left_semi")
     first = F.row_number().over(Window.partitionBy("table_name").orderBy(F.desc(F.col("parent_table") == root), "column_name", "parent_table"))
-    return fresh.withColumn("_n", first).where("_n = 1").select("table_name", "parent_table", "column_name")
+    own = F.when(F.col("parent_table") != root, F.col("column_name")).when(F.col("column_name").isin(*MAIL_LINKS), "email").otherwise("id")
+    return fresh.withColumn("_n", first).where("_n = 1").select("table_name", "parent_table", "column_name", own.alias("parent_column"))

@@ -68,6 +68,19 @@ def root_redact(spark, sf_dir):
     return ops.redact_target(t["customer"], t["customer"].where(_BATCH), PLAN[0], SCHEMA, HMAC_KEY)
 
 
+_KYC_URL = "CASE WHEN c_custkey % 2 = 0 THEN 's3://kyc-bucket/' || CAST(c_custkey AS {0}) WHEN c_custkey % 3 = 0 THEN ' ' END"
+
+
+@R.add(f"""SELECT c_custkey, CASE WHEN {_BATCH} THEN {hmac_sql("'app:customer:c_name:' || c_name", HMAC_KEY)} ELSE c_name END AS c_name,
+           CASE WHEN {_BATCH} AND trim(url) <> '' THEN {hmac_sql("'blob-url:app:customer:kyc_url:' || url", TEXT_KEY)} ELSE url END AS kyc_url
+           FROM (SELECT *, {_KYC_URL.format('VARCHAR')} AS url FROM customer) c""")
+def root_redact_blobs(spark, sf_dir):
+    """The root's redaction with the URLs of its objects masked."""
+    c = load(spark, sf_dir, "customer").withColumn("kyc_url", F.expr(_KYC_URL.format("STRING")))
+    target = ops.Target("customer", None, primary_key=("c_custkey",), rules={"c_name": "HMAC"}, blobs=("kyc_url",))
+    return ops.redact_target(c, c.where(_BATCH), target, SCHEMA, HMAC_KEY).select("c_custkey", "c_name", "kyc_url")
+
+
 @R.add(f"""SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate,
            CASE WHEN o_custkey IN ({_SUBJECTS}) THEN '[REDACTED]' ELSE o_orderpriority END AS o_orderpriority FROM orders""")
 def redact_target(spark, sf_dir):

@@ -9,7 +9,7 @@ from ..operators import discovery as ops
 from ..plans import graph
 from ..sources.catalog import column_sample as sample
 from .base import TABLES, Registry, load
-from .plans import _CATALOG_SQL, _CLOSURE, _LINKS_SQL, _catalog, _edges, _linked, closure_sql
+from .plans import _CATALOG_SQL, _EDGES, _CLOSURE, _LINKS_SQL, _catalog, _edges, _linked, closure_sql
 
 R = Registry()
 _SCORE = "greatest(0.0, " + ", ".join(f"CASE WHEN regexp_matches(lower({{0}}), '{p}') THEN CAST({s} AS DOUBLE) ELSE 0.0 END" for p, s in classify.NAME_PATTERNS) + ")"
@@ -219,12 +219,13 @@ def draft_rules(spark, sf_dir):
     return out.select("table_name", "action", F.array_join(F.transform(F.array_sort(F.map_entries("rules")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("rules"))
 
 
-_INTROSPECT_SQL = f"""WITH fk AS ({closure_sql("customer")} SELECT table_name, parent_table, CAST(min(depth) AS INTEGER) AS depth, 'foreign_key' AS found_by FROM walk GROUP BY 1, 2, constraint_name),
+_INTROSPECT_SQL = f"""WITH fk AS ({closure_sql("customer")} SELECT table_name, parent_table, constraint_name, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY 1, 2, 3),
     sides AS (SELECT left_table AS table_name, right_table AS parent_table, column_name FROM ({_LINKS_SQL}) l UNION ALL SELECT right_table, left_table, column_name FROM ({_LINKS_SQL}) l),
-    grafted AS (SELECT table_name, parent_table FROM (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY parent_table <> 'customer', column_name, parent_table) AS n FROM sides
+    grafted AS (SELECT table_name, parent_table, column_name, CASE WHEN parent_table <> 'customer' THEN column_name WHEN column_name IN ('target_email', 'user_email', 'email_address') THEN 'email' ELSE 'id' END AS parent_column FROM (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY parent_table <> 'customer', column_name, parent_table) AS n FROM sides
         WHERE table_name NOT IN (SELECT table_name FROM fk) AND parent_table IN (SELECT table_name FROM fk)) s WHERE n = 1),
-    every AS (SELECT * FROM fk UNION ALL SELECT table_name, parent_table, 1, 'logical_link' FROM grafted)
-    SELECT e.*, pii_columns, (SELECT sha256(string_agg(table_name || column_name || data_type, '' ORDER BY table_name, ordinal_position)) FROM (SELECT table_name, CASE WHEN column_name IN ('c_custkey', 'o_custkey', 'conv_id') THEN 'user_id' ELSE column_name END AS column_name, data_type, ordinal_position FROM {_CATALOG_SQL}) k) AS fingerprint
+    every AS (SELECT fk.table_name, fk.parent_table, depth, 'foreign_key' AS found_by, child_column AS child_columns, parent_column AS parent_columns FROM fk LEFT JOIN (SELECT constraint_name, child_column, parent_column FROM {_EDGES}) keys ON keys.constraint_name = fk.constraint_name
+        UNION ALL SELECT table_name, parent_table, 32, 'logical_link', column_name, parent_column FROM grafted)
+    SELECT e.*, CASE WHEN parent_table IS NOT NULL THEN parent_table || '.' || parent_columns || ' = ' || e.table_name || '.' || child_columns END AS condition, pii_columns, (SELECT sha256(string_agg(table_name || column_name || data_type, '' ORDER BY table_name, ordinal_position)) FROM (SELECT table_name, CASE WHEN column_name IN ('c_custkey', 'o_custkey', 'conv_id') THEN 'user_id' ELSE column_name END AS column_name, data_type, ordinal_position FROM {_CATALOG_SQL}) k) AS fingerprint
     FROM every e LEFT JOIN (SELECT table_name, string_agg(column_name, ',' ORDER BY column_name) AS pii_columns FROM ({_taxonomy_sql(_THRESHOLD)}) f GROUP BY 1) p ON p.table_name = e.table_name"""
 
 

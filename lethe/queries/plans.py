@@ -147,14 +147,33 @@ def logical_link_pairs(spark, sf_dir):
     return graph.logical_link_pairs(_linked(spark, sf_dir), _edges(spark, sf_dir))
 
 
-@R.add("""SELECT 'a' AS target, 'REDACT_WITHOUT_RULES' AS code UNION ALL SELECT 'b', 'MISSING_PARENT' UNION ALL SELECT 'c', 'UNREACHABLE' UNION ALL SELECT 'd', 'UNREACHABLE'
-    UNION ALL SELECT 'e', 'PII_WITHOUT_ACTION' UNION ALL SELECT 'e', 'KEY_SIZES_DIFFER' UNION ALL SELECT 'e', 'NO_PRIMARY_KEY'""")
+@R.add(f"""WITH RECURSIVE keys AS (SELECT * FROM {_EDGES}),
+    picked AS (SELECT child_table AS target, parent_table AS parent FROM (SELECT *, row_number() OVER (PARTITION BY child_table ORDER BY constraint_name) AS n FROM keys) k WHERE n = 1 AND child_table <> 'nation'),
+    plan AS (SELECT * FROM picked UNION ALL SELECT DISTINCT parent_table, NULL FROM keys WHERE parent_table NOT IN (SELECT child_table FROM keys)),
+    about AS (SELECT table_name AS target, count(*) FILTER (WHERE data_type = 'string') AS texts, count(*) FILTER (WHERE data_type LIKE 'timestamp%') AS times FROM {_CATALOG_SQL} GROUP BY 1),
+    reached AS (SELECT target FROM plan WHERE parent IS NULL UNION SELECT plan.target FROM plan JOIN reached ON plan.parent = reached.target),
+    full_plan AS (SELECT plan.*, texts, times FROM plan JOIN about ON about.target = plan.target)
+    SELECT target, 'MISSING_PARENT' AS code FROM full_plan WHERE parent IS NOT NULL AND parent NOT IN (SELECT target FROM plan)
+    UNION ALL SELECT target, 'UNREACHABLE' FROM full_plan WHERE parent IN (SELECT target FROM plan) AND target NOT IN (SELECT target FROM reached)
+    UNION ALL SELECT target, 'PII_WITHOUT_ACTION' FROM full_plan WHERE texts > 0 AND times = 0
+    UNION ALL SELECT target, 'REDACT_WITHOUT_RULES' FROM full_plan WHERE times > 0 AND texts < 3
+    UNION ALL SELECT target, 'KEY_SIZES_DIFFER' FROM full_plan WHERE parent = 'customer'
+    UNION ALL SELECT target, 'NO_PRIMARY_KEY' FROM full_plan WHERE target NOT IN (SELECT parent_table FROM keys)""")
 def plan_check(spark, sf_dir):
-    """A plan over the catalog's tables, with one fault of each kind added."""
-    none: dict = {}
-    good = _catalog(spark, sf_dir).select("table_name").distinct().select(F.col("table_name").alias("target"), F.when(F.col("table_name") != "customer", "customer").alias("parent"), F.lit("redact").alias("action"), F.create_map(F.lit("x"), F.lit("HMAC")).alias("rules"), F.array(F.lit("x")).alias("pii_columns"), F.array(F.lit("k")).alias("child_columns"), F.array(F.lit("k")).alias("parent_columns"), F.array(F.lit("id")).alias("primary_key"))
-    rows = [("a", "customer", "redact", none, ["x"], ["k"], ["k"], ["id"]), ("b", "nowhere", "delete", none, [], ["k"], ["k"], ["id"]), ("c", "d", "delete", none, [], ["k"], ["k"], ["id"]), ("d", "c", "delete", none, [], ["k"], ["k"], ["id"]), ("e", "customer", None, none, ["x"], ["k", "l"], ["k"], [])]
-    return graph.plan_check(good.unionByName(spark.createDataFrame(rows, "target string, parent string, action string, rules map<string,string>, pii_columns array<string>, child_columns array<string>, parent_columns array<string>, primary_key array<string>")))
+    """A plan made from the keys that the data bear out, one table left out: tables with
+    times are redacted (by rules, where they have three text columns), others have no
+    action, and only keys that others refer to are primary ones."""
+    edges, cat = _edges(spark, sf_dir), _catalog(spark, sf_dir)
+    first = edges.groupBy(F.col("child_table").alias("target")).agg(F.min_by(F.struct("parent_table", "child_columns", "parent_columns"), "constraint_name").alias("e")).where("target <> 'nation'")
+    more = F.when(F.col("e.parent_table") == "customer", F.concat("e.parent_columns", F.array(F.lit("c_nationkey")))).otherwise(F.col("e.parent_columns"))
+    targets = first.select("target", F.col("e.parent_table").alias("parent"), F.col("e.child_columns").alias("child_columns"), more.alias("parent_columns"))
+    none = F.lit(None).cast("array<string>")
+    roots = edges.select(F.col("parent_table").alias("target")).distinct().join(edges.select(F.col("child_table").alias("target")), "target", "left_anti")
+    targets = targets.unionByName(roots.select("target", F.lit(None).cast("string").alias("parent"), none.alias("child_columns"), none.alias("parent_columns")))
+    about = cat.groupBy(F.col("table_name").alias("target")).agg(F.collect_list(F.when(F.col("data_type") == "string", F.col("column_name"))).alias("pii_columns"), F.count_if(F.col("data_type").startswith("timestamp")).alias("times"))
+    keys = edges.groupBy(F.col("parent_table").alias("target")).agg(F.min("parent_columns").alias("primary_key"))
+    rules = F.when(F.size("pii_columns") >= 3, F.map_from_arrays("pii_columns", F.array_repeat(F.lit("HMAC"), F.size("pii_columns"))))
+    return graph.plan_check(targets.join(about, "target").join(keys, "target", "left").withColumn("action", F.when(F.col("times") > 0, "redact")).withColumn("rules", rules))
 
 
 @R.add(f"SELECT count(*) AS targets, CAST(count(*) AS BIGINT) AS rules, CAST(sum(n) AS BIGINT) AS pii_columns FROM (SELECT table_name, count(*) AS n FROM {_CATALOG_SQL} GROUP BY 1) t")
