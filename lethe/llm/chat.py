@@ -13,7 +13,9 @@ text back exactly.
 
 Edge cases: null texts and roles count as empty; ties of turn are ordered by
 role, then text; repeated rows are turns of their own; null turns come first;
-other columns are ignored.
+rows without a conv_id are one conversation of their own; an empty table gives an empty
+result; other columns are ignored. Texts of any length are escaped whole, inside expressions; a
+conversation's texts are one row, so a task holds one conversation at a time.
 """
 
 from __future__ import annotations

@@ -13,7 +13,11 @@ size; the descent takes at most ``sample`` rows, chosen by hash of doc_id.
 
 Edge cases: null texts count as empty, and an empty text has no indicators: its
 score is the one of the intercept. Without labels of both classes all scores
-are the share of label 1 (a half without any). Other columns are ignored.
+are the share of label 1 (a half without any). Repeated rows get one score each, the
+same; rows without a doc_id are scored, their held_out is null, and none is learned from;
+features that share a place share its weight; an empty table gives an empty result. Texts of
+any length are read whole; a task holds one text's n-grams at a time besides the model.
+Other columns are ignored.
 """
 
 from __future__ import annotations
