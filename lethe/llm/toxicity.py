@@ -21,7 +21,7 @@ Edge cases: null counts as empty; texts without a match get the curve's value
 for zero; without labels of both classes the lexicon is empty and all scores
 are the share of label 1 (0 without any); repeated rows get one score each, the same;
 rows without a doc_id are scored, their held_out is null, and none is learned from; of several
-labels of one doc_id each pair counts as a row; terms of equal weight are all kept, and of a
+labels of one doc_id the largest counts; terms of equal weight are all kept, and of a
 word's matches of equal weight it doesn't matter which counts; an empty table gives an empty
 result. Texts of any length are folded and matched whole; a task holds one text's words and
 matches at a time besides the lexicon. Other columns are ignored.
