@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -69,6 +69,33 @@ def page(rows: DataFrame, order: list, limit: int = 50, offset: int = 0, where=N
     return (rows.where(where) if where is not None else rows).orderBy(*order).offset(offset).limit(limit)
 
 
+def by_names(*names: str, joined: str = ".") -> list[Column]:
+    """Sort keys that put names as readers of a report expect: joined with a dot, in the
+    root collation (letters before case, accents after letters, signs before digits),
+    not by bytes. Names that the collation holds equal go by bytes; a name with a null
+    part stands first."""
+    name = F.when(F.forall(F.array(*names), lambda n: n.isNotNull()), F.concat_ws(joined, *names))
+    return [F.collate(name, "UNICODE"), name]
+
+
+def findings_order(table: str = "table_name", column: str = "column_name", score: str = "confidence") -> list[Column]:
+    """Surest findings first, then by name."""
+    return [F.desc_nulls_last(score), *by_names(table, column)]
+
+
+def targets_order(table: str = "table_name", depth: str = "depth", deepest_first: bool = False) -> list[Column]:
+    """Targets from the root downward, as plans list them, or the deepest first, as they
+    are erased; then by name."""
+    return [F.desc(depth) if deepest_first else F.asc(depth), *by_names(table)]
+
+
+def in_order(rows: DataFrame, order: list[Column], within: list[str] | tuple[str, ...], position: str = "position") -> DataFrame:
+    """Rows with their place (from 1) in the order of their group. A group is sorted in
+    one task: reports and plans have as many rows as a catalog has columns; longer lists
+    need a finer ``within``, or ``orderBy`` alone, which sorts by ranges."""
+    return rows.withColumn(position, F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
+
+
 def plan_counts(plan: DataFrame) -> DataFrame:
     """Targets, rules and personal columns of a plan (target, rules, pii_columns)."""
     return plan.agg(F.count("*").alias("targets"), F.sum(F.coalesce(F.size(F.map_keys("rules")), F.lit(0))).alias("rules"), F.sum(F.size("pii_columns")).alias("pii_columns"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify
 from ..operators import discovery as ops
+from ..operators.report import findings_order, in_order
 from ..plans import graph
 from ..sources.catalog import column_sample as sample
 from .base import TABLES, Registry, load
@@ -219,6 +220,13 @@ def draft_rules(spark, sf_dir):
     return out.select("table_name", "action", F.array_join(F.transform(F.array_sort(F.map_entries("rules")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("rules"))
 
 
+@R.add(f"SELECT table_name, column_name, confidence, row_number() OVER (ORDER BY confidence DESC, icu_sort_key(table_name || '.' || column_name, 'en'), column_name) AS position FROM ({_taxonomy_sql(_THRESHOLD)}) f")
+def findings_in_order(spark, sf_dir):
+    """The findings of a table as its report lists them."""
+    found = column_taxonomy(spark, sf_dir).select("table_name", "column_name", "confidence")
+    return in_order(found, findings_order(), ["table_name"])
+
+
 _INTROSPECT_SQL = f"""WITH fk AS ({closure_sql("customer")} SELECT table_name, parent_table, constraint_name, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY 1, 2, 3),
     sides AS (SELECT left_table AS table_name, right_table AS parent_table, column_name FROM ({_LINKS_SQL}) l UNION ALL SELECT right_table, left_table, column_name FROM ({_LINKS_SQL}) l),
     grafted AS (SELECT table_name, parent_table, column_name, CASE WHEN parent_table <> 'customer' THEN column_name WHEN column_name IN ('target_email', 'user_email', 'email_address') THEN 'email' ELSE 'id' END AS parent_column FROM (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY parent_table <> 'customer', column_name, parent_table) AS n FROM sides

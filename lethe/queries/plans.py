@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.crypto import mask_value
+from ..operators.report import by_names, in_order, targets_order
 from ..plans import graph
 from ..sources import catalog
 from .base import DELETE_CODES, HMAC_KEY, SCHEMA, TABLES, Registry, hmac_sql, load
@@ -189,6 +190,30 @@ def dependency_count(spark, sf_dir):
     return graph.fk_closure(_edges(spark, sf_dir), "region").where("depth > 0").agg(F.count_distinct("table_name").alias("n"))
 
 
+@R.add(_CLOSURE + """, targets AS (SELECT table_name, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY 1)
+    SELECT table_name, depth, row_number() OVER (ORDER BY depth, icu_sort_key(table_name, 'en')) AS listed, row_number() OVER (ORDER BY depth DESC, icu_sort_key(table_name, 'en')) AS erased FROM targets""")
+def targets_in_order(spark, sf_dir):
+    """Targets as a plan lists them, and in the order in which they are erased."""
+    targets = graph.fk_closure(_edges(spark, sf_dir), "region").groupBy(F.lit("region").alias("root"), "table_name").agg(F.min("depth").alias("depth"))
+    both = in_order(in_order(targets, targets_order(), ["root"], "listed"), targets_order(deepest_first=True), ["root"], "erased")
+    return both.select("table_name", "depth", "listed", "erased")
+
+
+#: Names of mixed case and signs, which bytes would sort another way.
+_MIXED = ("a", "a_b", "a1", "aB", "b", "B")
+
+
+@R.add(f"""SELECT kind, name, row_number() OVER (PARTITION BY kind ORDER BY icu_sort_key(name, 'en'), name) AS position FROM (
+    SELECT 'column' AS kind, column_name AS name FROM {_CATALOG_SQL} UNION SELECT 'column', unnest([{", ".join(f"'{n}'" for n in _MIXED)}])
+    UNION SELECT 'word of ' || lang || ', ' || lower(left(w, 1)), w FROM (SELECT lang, regexp_extract(text, '[0-9A-Za-z\u00C0-\u00FF_]+') AS w FROM documents) d WHERE w <> '') n""")
+def names_in_order(spark, sf_dir):
+    """Columns of the catalog, names of mixed case and the first words of all documents, each list in the root collation."""
+    word = F.regexp_extract("text", "[0-9A-Za-z\u00C0-\u00FF_]+", 0)
+    words = load(spark, sf_dir, "documents").select("lang", word.alias("name")).where("name <> ''").select(F.concat(F.lit("word of "), "lang", F.lit(", "), F.lower(F.substring("name", 1, 1))).alias("kind"), "name")
+    columns = _catalog(spark, sf_dir).select("column_name").unionAll(spark.createDataFrame([(n,) for n in _MIXED], "column_name string"))
+    return in_order(columns.select(F.lit("column").alias("kind"), F.col("column_name").alias("name")).unionAll(words).distinct(), by_names("name"), ["kind"])
+
+
 R.part("fk_edges", fk_align=["constraint_name", "child_columns", "parent_columns"])
 R.part("fk_closure", fk_recursive=["table_name", "constraint_name", "depth"])
 R.part("dependency_tree", shortest_depth=["table_name", "depth"])

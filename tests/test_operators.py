@@ -315,3 +315,17 @@ def test_markers_are_found_letter_for_letter(spark):
     many = spark.range(100_000).select(F.concat(F.lit("m-"), F.col("id").cast("string"), F.lit(";")).alias("marker"))
     text = spark.createDataFrame([(1, "m-5; m-99999; m-100000; m-7")], "id int, payload string")
     assert {r.marker for r in ledger.leak_matches(text, many, ["id"]).collect()} == {"m-5;", "m-99999;"}
+
+
+def test_reports_are_listed_in_the_root_collation(spark):
+    from lethe.operators.report import by_names, findings_order, in_order, targets_order
+
+    names = spark.createDataFrame([(n,) for n in ("B", "b", "aB", "a1", "a_b", "a", None, "ä", "z")], "n string")
+    assert [r.n for r in names.orderBy(*by_names("n")).collect()] == [None, "a", "ä", "a_b", "a1", "aB", "b", "B", "z"]
+    found = spark.createDataFrame([("s", "t", "b", 0.9), ("s", "t", "a_b", 0.9), ("s", "t", "a", None), ("s", "T", "z", 1.0), ("s", "t", "a1", 0.9), ("s", "t", "a1", 0.9)], "schema string, table_name string, column_name string, confidence double")
+    placed = in_order(found, findings_order(), ["schema"])
+    assert [r.column_name for r in placed.orderBy("position").collect()] == ["z", "a_b", "a1", "a1", "b", "a"]
+    plan = spark.createDataFrame([("r", 0), ("order_lines", 2), ("Orders", 1), ("order2", 2)], "table_name string, depth int")
+    assert [r.table_name for r in plan.orderBy(*targets_order()).collect()] == ["r", "Orders", "order_lines", "order2"]
+    assert [r.table_name for r in plan.orderBy(*targets_order(deepest_first=True)).collect()] == ["order_lines", "order2", "Orders", "r"]
+    assert in_order(plan.limit(0), targets_order(), []).count() == 0
