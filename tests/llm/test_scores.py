@@ -58,7 +58,14 @@ def in_plain_python(texts, labels):
                 every[term] += 1
                 one[term] += y
     weight = {t: math.log((one[t] + 0.5) / (ones + 1)) - math.log((every[t] - one[t] + 0.5) / (n - ones + 1)) for t in every}
-    passed = {t for t in every if one[t] >= 5 and weight[t] >= 1.5}
+    sure = {}
+    for t in every:
+        if every[t] >= 5:
+            a, b, p = one[t], every[t] - one[t], ones / n
+            chance = [(a, a / (every[t] * p)), (b, b / (every[t] * (1 - p)))]
+            sure[t] = math.floor(20 * sum(k * math.log(x) for k, x in chance if k)) if a > every[t] * p else 0
+    cut = least_sure(list(sure.values()), lambda step: math.erfc(math.sqrt(step / 20)) / 2, len(sure))
+    passed = {t for t in sure if one[t] >= 5 and weight[t] >= 1.5 and sure[t] >= cut}
     general = {t for t in passed if not any(u != t and u.startswith(t) and one[u] >= 0.8 * one[t] for u in passed)}
     terms = {}
     for t in sorted(general, key=len):
@@ -67,6 +74,11 @@ def in_plain_python(texts, labels):
     return train, terms
 
 
+def least_sure(steps, tail, candidates):
+    """The least step at which chance gives at most 30 % of what is kept."""
+    return min((s for s in set(steps) if candidates * tail(s) <= 0.3 * sum(t >= s for t in steps)), default=math.inf)
+
+
 def matches(words, terms, phrases):
     best = {}
     for i, w in enumerate(words):
@@ -77,6 +89,24 @@ def matches(words, terms, phrases):
     return best
 
 
+def test_sliced_lexicon_scores_alike(spark, tables):
+    """A lexicon of several slices against the whole, with repeated rows and rows without ids."""
+    docs, labels = tables
+    more = docs.unionAll(docs.where("doc_id % 10 = 3")).unionAll(docs.where("doc_id % 10 = 4").selectExpr("null", "text"))
+    whole, sliced = toxicity.learn(docs, labels), toxicity.learn(docs, labels, memory=4_000)
+    assert isinstance(sliced, toxicity.Slices) and sliced.count > 2 and np.allclose(sliced.curve, whole.curve, atol=1e-6)
+    parts = [sliced.part(j) for j in range(sliced.count)]
+    assert sum(len(p.terms) for p in parts) == len(whole.terms) and set().union(*(p.phrases for p in parts)) == whole.phrases
+    rows = [sorted(((r.doc_id is None, r.doc_id, round(r.score, 6)) for r in toxicity.toxicity_scores(more, labels, lexicon=x).collect()), key=str) for x in (whole, sliced)]
+    assert len(rows[0]) == more.count() and rows[0] == rows[1]
+
+
+def test_discovery_cut():
+    assert toxicity.discovery_cut({}, 0, lambda s: 1.0, 0.05) is None and toxicity.discovery_cut({0: 100, 3: 2}, 102, lambda s: 0.5, 0.05) is None
+    # 10 rows at 30 against 102 * 0.001 by chance; at 20 still 12 rows against 0.5
+    assert toxicity.discovery_cut({0: 90, 20: 2, 30: 10}, 102, lambda s: {0: 0.5, 20: 0.005, 30: 0.001}[s], 0.05) == 20
+
+
 def test_toxicity_in_plain_python(tables, rows):
     docs, labels = tables
     texts, known = rows
@@ -88,7 +118,10 @@ def test_toxicity_in_plain_python(tables, rows):
         pairs = {p for i in matches(ws, terms, set()) for p in (tuple(ws[max(0, i - 1) : i + 1]), tuple(ws[i : i + 2])) if len(p) == 2}
         every.update(pairs)
         one.update(pairs if y else ())
-    phrases = {p for p in every if every[p] >= 5 and not one[p]}
+    often = [p for p in every if every[p] >= 5]
+    usual = sum(one[p] for p in often) / max(1, sum(every[p] for p in often))
+    enough = least_sure([every[p] for p in often if not one[p]], lambda k: (1 - usual) ** k, len(often))
+    phrases = {p for p in often if not one[p] and every[p] >= enough}
     assert lexicon.phrases == phrases
 
     def score(text):
