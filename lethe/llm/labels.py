@@ -23,13 +23,18 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, broadcast_rows: in
     return docs.select("doc_id", "text").where(~held_out()).join(own, "doc_id")
 
 
+def hashed_share(rows: DataFrame, n: int, limit: int) -> DataFrame:
+    """Of ``n`` rows those with hashes of doc_id in a share that holds somewhat more than
+    ``limit`` of them; all if there are no more."""
+    share = min(1 << 30, int(1.2 * limit / max(n, 1) * (1 << 30)) + 1)
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share) if n > limit else rows
+
+
 def bounded_sample(rows: DataFrame, n: int, limit: int) -> pa.Table:
     """At most ``limit`` of ``n`` rows, the same ones in every run. A share of the
     hashes is taken first, so that no task sends ``limit`` rows. As Arrow, so that
     the driver holds arrays and not an object for each number."""
-    share = min(1 << 30, int(1.2 * limit / max(n, 1) * (1 << 30)) + 1)
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share) if n > limit else rows
-    return some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).toArrow()
+    return hashed_share(rows, n, limit).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).toArrow()
 
 
 def lists(column: pa.ChunkedArray) -> list[np.ndarray]:

@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, materialise, slices
-from .labels import bounded_sample, labelled, logistic, sigmoid
+from .labels import bounded_sample, hashed_share, labelled, logistic, sigmoid
 
 #: Letters of other scripts that look like Latin ones, in two aligned rows.
 _LOOKS = "абвгеіјкмнорстухѕһԁԛԝαβγεικνορτυχωѵ"
@@ -73,10 +73,12 @@ _DIGIT = re.compile(r"[0-9@$]")
 
 def folded(text: str | None) -> list[str]:
     """The words of a text, folded. Words without a letter are left out."""
-    text = unicodedata.normalize("NFC", (text or "").lower()).translate(_TABLE)
+    text = (text or "").lower()
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text).translate(_TABLE)
     out = []
     for w in _WORDS.findall(text):
-        if _DIGIT.search(w):
+        if not w.isalpha() and _DIGIT.search(w):
             if not any(map(str.isalpha, w)):
                 continue
             w = "".join(_LEET.get(c, c) for c in w)
@@ -293,7 +295,7 @@ def learn(docs: DataFrame, labels: DataFrame, target: str = "toxic", support: in
     phrases = clean.where(F.col("every") >= (math.inf if enough is None else enough)).select("a", "b")
     lexicon = Slices(terms, phrases, given, length, memory)
     whole = lexicon.part(0) if lexicon.count == 1 else None
-    taken = bounded_sample(_sliced_sums(rows, lexicon).select("doc_id", "y", "top", "total", "n", "size"), n, sample)
+    taken = bounded_sample(_sliced_sums(hashed_share(rows, n, sample), lexicon).select("doc_id", "y", "top", "total", "n", "size"), n, sample)
     curve = logistic(traits(*(taken.column(c).to_numpy() for c in ("top", "total", "n", "size"))), taken.column("y").to_numpy())
     lexicon.curve = curve
     if whole:
