@@ -44,3 +44,8 @@ def rows_of(spark, at, name):
 def test_objects_of_tables_in_folders(spark, laid_out):
     got, want = rows_of(spark, laid_out, "object_sample")
     assert got == want and len(got) == len(TABLES)
+
+
+def test_samples_of_tables_with_many_row_groups(spark, laid_out):
+    got, want = rows_of(spark, laid_out, "table_sample")
+    assert got == want and len(got) > 200
