@@ -43,17 +43,18 @@ def hmac_sha256_hex(message: Column, key: bytes) -> Column:
 
 
 def _xored(block: Column, n: int) -> Column:
-    """Bytes of a 64-byte block, each combined with ``n``, through their hex digits."""
-    table = "".join(f"{b ^ n:02x}" for b in range(256))
-    byte = lambda i: F.conv(F.substring(F.hex(block), i * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.substring(F.lit(table), byte(i) * 2 + 1, F.lit(2))), ""))
+    """A 64-byte block (its hex digits), each byte combined with ``n``: eight bytes at a
+    time as a whole number, all in generated code."""
+    mask = F.lit(int.from_bytes(bytes([n]) * 8, "big", signed=True))
+    eight = lambda i: F.conv(F.substring(block, 16 * i + 1, 16), 16, -10).cast("long").bitwiseXOR(mask)
+    return F.unhex(F.concat(*[F.lpad(F.hex(eight(i)), 16, "0") for i in range(8)]))
 
 
 def hmac_row_sha256_hex(message: Column, key: Column) -> Column:
     """HMAC-SHA-256 under a key of each row (text or binary)."""
     raw = key.cast("binary")
     short = F.when(F.octet_length(raw) > 64, F.unhex(F.sha2(raw, 256))).otherwise(raw)
-    block = F.unhex(F.rpad(F.hex(short), 128, "0"))
+    block = F.rpad(F.hex(short), 128, "0")
     inner = F.unhex(F.sha2(F.concat(_xored(block, 0x36), F.encode(message, "UTF-8")), 256))
     return F.sha2(F.concat(_xored(block, 0x5C), inner), 256)
 

@@ -49,3 +49,18 @@ def test_objects_of_tables_in_folders(spark, laid_out):
 def test_samples_of_tables_with_many_row_groups(spark, laid_out):
     got, want = rows_of(spark, laid_out, "table_sample")
     assert got == want and len(got) > 200
+
+
+def test_row_keys_of_any_bytes(spark):
+    """Keys of every byte and of all lengths around a block; no function over arrays, which this Spark interprets."""
+    import hashlib
+    import hmac
+
+    from pyspark.sql import functions as F
+
+    from lethe.functions.crypto import hmac_row_sha256_hex
+
+    keys = [bytes(range(k, k + 64)) for k in (0, 64, 128, 192)] + [b"", b"\0", b"6" * 8, b"\xff" * 64, b"k" * 65, bytes(range(256))]
+    rows = spark.createDataFrame([(i, k, f"text \u00e4 {i}") for i, k in enumerate(keys)], "i int, k binary, m string").withColumn("mac", hmac_row_sha256_hex(F.col("m"), F.col("k")))
+    assert [r.mac for r in rows.orderBy("i").collect()] == [hmac.new(k, f"text \u00e4 {i}".encode(), hashlib.sha256).hexdigest() for i, k in enumerate(keys)]
+    assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
