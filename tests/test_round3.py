@@ -64,3 +64,26 @@ def test_row_keys_of_any_bytes(spark):
     rows = spark.createDataFrame([(i, k, f"text \u00e4 {i}") for i, k in enumerate(keys)], "i int, k binary, m string").withColumn("mac", hmac_row_sha256_hex(F.col("m"), F.col("k")))
     assert [r.mac for r in rows.orderBy("i").collect()] == [hmac.new(k, f"text \u00e4 {i}".encode(), hashlib.sha256).hexdigest() for i, k in enumerate(keys)]
     assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_cells_are_classified_once(spark):
+    """Counts are of cells all the same; the signatures are looked for after equal cells have met."""
+    from lethe.operators.discovery import column_taxonomy
+
+    rows = spark.createDataFrame([("a@example.com",)] * 3 + [("none",)] * 2 + [(None,)], "contact string")
+    found = column_taxonomy(rows, "t", ["contact"], 0.05)
+    assert [(r.sample_size, r.matches, r.signatures) for r in found.collect()] == [(5, 3, "email")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert [line for line in plan.splitlines() if "Aggregate" in line][-1].count("value") >= 1
+
+
+def test_keys_by_bitmaps(spark):
+    """Dense values take a row for 64; negative, sparse, repeated and null values count as before."""
+    from lethe.plans import graph
+
+    assert graph.value_blocks([(spark.range(64_000), "id")]).count() == 1000
+    frame = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name}_k long")
+    far = [-(2**62), -65, -64, -1, 0, 63, 64, 2**62]
+    tables = {"p": frame("p", far), "c": frame("c", [-65, -65, None, 2**62, 0]), "d": frame("d", [0, 1]), "q": frame("q", [*far, None]), "e": frame("e", far[::-1]), "n": frame("n", [None])}
+    got = {(r.child_table, r.parent_table) for r in graph.found_keys(tables).collect()}
+    assert got == {("c", "p"), ("c", "e"), ("p", "e"), ("q", "p"), ("q", "e")}
