@@ -23,6 +23,7 @@ bytes for each word of one text at a time.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -147,17 +148,25 @@ def _views(shingle: int, views: int):
     return run
 
 
+#: Bits of a text's marks.
+_MARKS = 256
+
+
 def _sets(shingle: int):
+    """The distinct shingles of each text, and marks: for each of 256 places whether an
+    odd number of them fall there. Two sets differ in at least as many shingles as their marks in bits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 own = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+                marks = [np.packbits(np.bincount(h & (_MARKS - 1), minlength=_MARKS).astype(np.uint8) & 1).view(np.int64) for h in own]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "shingles", "marks"])
 
     return run
 
 
-def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 3, views: int = 12, exact: bool = False) -> DataFrame:
+def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 3, views: int = 12, exact: bool = True) -> DataFrame:
     """doc_id and component_id (its least doc_id) over links between documents whose
     shingle sets have a Jaccard similarity of ``similarity`` or more.
 
@@ -167,38 +176,48 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     similarity s agree in one with a chance of about s**3. Texts that agree are each
     compared with one of them, another for each view; all pairs of a group never are.
     Groups of three or more that this leaves in parts are then dealt anew by their
-    rare shingles (``_across``), with two texts of each shingle to compare with.
-    Every candidate is verified by the exact similarity.
+    rare shingles (``_across``), with two texts of each shingle to compare with; what
+    is still in parts then is compared with all texts of a shingle, so that no link of
+    texts that agree in a fingerprint is missed. Every candidate is verified by the
+    exact similarity.
 
-    ``exact`` compares all pairs that agree in a rare shingle instead: then no link of
-    texts that agree in a fingerprint is missed, but the pairs of a large group whose
-    texts are nearly as similar grow with its square.
+    Without ``exact`` the last step is left out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prints = materialise(docs.mapInArrow(_views(shingle, views), "doc_id long, print long, keys array<long>"), "views")
     points = materialise(prints.groupBy("print").agg(F.min("doc_id").alias("node")), "points")
-    whole = links(points, distance).unionAll(prints.select(F.col("doc_id").alias("u"), "print").join(points, "print").select("u", F.col("node").alias("v")))
+    near = materialise(links(points, distance), "near")
+    whole = near.unionAll(prints.select(F.col("doc_id").alias("u"), "print").join(points, "print").select("u", F.col("node").alias("v")))
     seen = prints.select("doc_id", F.posexplode("keys").alias("view", "key"))
     chosen = materialise(seen.groupBy("view", "key").agg(F.min_by("doc_id", F.xxhash64("doc_id", "view")).alias("v"), F.count("*").alias("n")).where("n > 1").drop("n"), "chosen")
     pairs = whole.unionAll(seen.join(chosen, ["view", "key"]).select(F.col("doc_id").alias("u"), "v"))
     pairs = materialise(pairs.where("u <> v").distinct(), "pairs")
     nodes = materialise(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "nodes")
-    sets = materialise(by_id(docs, nodes, "left_semi").mapInArrow(_sets(shingle), "doc_id long, shingles array<long>"), "sets")
+    sets = materialise(by_id(docs, nodes, "left_semi").mapInArrow(_sets(shingle), "doc_id long, shingles array<long>, marks array<long>"), "sets")
     release(docs.sparkSession, chosen)
     found = components(_verified(pairs, sets, similarity))
     part = materialise(nodes.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("part")), "part")
-    # pairs of two that agree were compared, and larger groups of one part are joined already
-    groups = seen.unionAll(prints.select("doc_id", F.lit(-1).alias("view"), F.col("print").alias("key"))).join(part, "doc_id")
-    mixed = materialise(groups.groupBy("view", "key").agg(F.count("*").alias("n"), F.min("part").alias("a"), F.max("part").alias("b")).where("n > 2 and a < b").select("view", "key"), "mixed")
-    rest = materialise(groups.join(mixed, ["view", "key"]).select("doc_id", "part").distinct(), "rest")
-    release(docs.sparkSession, pairs, mixed)
-    pairs = _across(sets.join(rest, "doc_id").select("doc_id", "part", "shingles"), similarity, exact)
-    release(docs.sparkSession, rest)
-    near = _verified(pairs, sets, similarity)
+    # prints that links join are one group
+    tied = components(near)
+    groups = points.join(tied, "node", "left").select("print", F.coalesce("component", "node").alias("key"))
+    keys = seen.select("doc_id", F.col("view").cast("int").alias("view"), "key").unionAll(prints.select("doc_id", "print").join(groups, "print").select("doc_id", F.lit(-1).alias("view"), "key"))
+    release(docs.sparkSession, pairs)
+    for every in (False, True) if exact else (False,):
+        # pairs of two that agree were compared, and larger groups of one part are joined already
+        groups = keys.join(part, "doc_id")
+        mixed = materialise(groups.groupBy("view", "key").agg(F.count("*").alias("n"), F.min("part").alias("a"), F.max("part").alias("b")).where("n > 2 and a < b").select("view", "key"), "mixed")
+        rest = materialise(groups.join(mixed, ["view", "key"]).select("doc_id", "part").distinct(), "rest")
+        pairs = _across(sets.join(rest, "doc_id"), similarity, every)
+        joined = components(_between(_verified(pairs, sets, similarity), part))
+        release(docs.sparkSession, pairs, mixed, rest)
+        part = materialise(part.join(joined, F.col("part") == F.col("node"), "left").select("doc_id", F.coalesce("component", "part").alias("part")), "part")
+    return prints.select("doc_id").join(part, "doc_id", "left").select("doc_id", F.coalesce("part", "doc_id").alias("component_id"))
+
+
+def _between(pairs: DataFrame, part: DataFrame) -> DataFrame:
+    """Links (u, v) of parts, from links of their texts."""
     ends = lambda name: part.select(F.col("doc_id").alias(name), F.col("part").alias(f"{name}_part"))
-    joined = components(near.join(ends("u"), "u").join(ends("v"), "v").select(F.col("u_part").alias("u"), F.col("v_part").alias("v")))
-    found = part.join(joined, F.col("part") == F.col("node"), "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "part").alias("component"))
-    return prints.select("doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+    return pairs.join(ends("u"), "u").join(ends("v"), "v").select(F.col("u_part").alias("u"), F.col("v_part").alias("v"))
 
 
 #: Rows into which the set of a text is dealt that very many others are compared with.
@@ -229,23 +248,29 @@ def _across(parts: DataFrame, similarity: float, exact: bool) -> DataFrame:
 
     Of all texts that meet in a shingle, each is compared with two (so that of three
     every pair is); many shingles have the same two, so that few pairs come from
-    many. ``exact`` takes all pairs but those inside the largest part.
+    many. ``exact`` takes all pairs but those inside the largest part. Either way only
+    pairs are candidates whose marks differ in no more bits than the sets may in shingles.
     """
     most = (1 - similarity) / (1 + similarity)
     rows = parts.select("doc_id", "part", F.size("shingles").alias("size"), F.explode("shingles").alias("token"))
     held = rows.groupBy("token", "part").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.max_by("part", F.struct("n", "part")).alias("major"), F.count("*").alias("parts"))
     shared = materialise(held.where("parts > 1").drop("parts"), "shared")
+    marks = parts.select("doc_id", *[F.get("marks", F.lit(k)).alias(f"mark{k}") for k in range(_MARKS // 64)])
     own = Window.partitionBy("doc_id")
     placed = rows.join(shared, "token").withColumn("at", F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "token")) - 1)
-    first = materialise(placed.where(F.col("at") <= F.col("size") * (1 - similarity) + 1e-6).select("token", "doc_id", "part", "size", (F.col("at") - F.col("size") * most).alias("over"), (F.col("part") == F.col("major")).alias("inside")), "first")
-    one = first.where("over <= 1e-6").select("token", F.col("doc_id").alias("v"), F.col("part").alias("v_part"), F.col("size").alias("v_size"), F.col("over").alias("v_over"), F.col("inside").alias("v_inside"))
-    fits = (F.col("v_part") != F.col("part")) & (F.col("v_over") + F.col("over") <= 1e-6) & (F.least("v_size", "size") >= F.greatest("v_size", "size") * similarity - 1e-6)
+    first = materialise(placed.where(F.col("at") <= F.col("size") * (1 - similarity) + 1e-6).select("token", "doc_id", "part", "size", (F.col("at") - F.col("size") * most).alias("over"), (F.col("part") == F.col("major")).alias("inside")).join(marks, "doc_id"), "first")
+    marked = [f"mark{k}" for k in range(_MARKS // 64)]
+    one = first.where("over <= 1e-6").select("token", F.col("doc_id").alias("v"), F.col("part").alias("v_part"), F.col("size").alias("v_size"), F.col("over").alias("v_over"), F.col("inside").alias("v_inside"), *[F.col(m).alias(f"v_{m}") for m in marked])
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(m).bitwiseXOR(F.col(f"v_{m}"))) for m in marked])
+    fits = (apart <= (F.col("size") + F.col("v_size")) * most + 1e-6) & (F.col("v_part") != F.col("part")) & (F.col("v_over") + F.col("over") <= 1e-6) & (F.least("v_size", "size") >= F.greatest("v_size", "size") * similarity - 1e-6)
     met = lambda a, b: a.join(b, "token").where(fits).select(F.col("doc_id").alias("u"), "v")
     if exact:
         out = met(one.where("not v_inside"), first).unionAll(met(one.where("v_inside"), first.where("not inside")))
-        return materialise(out.distinct(), "pairs")
+        out = materialise(out.distinct(), "pairs")
+        release(parts.sparkSession, shared, first)
+        return out
     order = F.xxhash64("v", F.pmod("token", F.lit(4)))
-    text = F.struct("v", "v_part", "v_size", "v_over")
+    text = F.struct("v", "v_part", "v_size", "v_over", *[f"v_{m}" for m in marked])
     two = one.groupBy("token").agg(F.min_by(text, order).alias("a"), F.max_by(text, order).alias("b"))
     out = materialise(met(two.select("token", F.explode(F.array("a", "b")).alias("t")).select("token", "t.*"), first).distinct(), "pairs")
     release(parts.sparkSession, shared, first)

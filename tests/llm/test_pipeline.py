@@ -119,6 +119,23 @@ def test_similar_pairs_in_a_group_that_shares_a_passage(spark):
     assert {x.doc_id: x.component_id for x in simhash.similar_components(docs).collect()} == want
 
 
+def test_every_pair_of_a_large_group_is_compared(spark):
+    """300 texts with one passage and three of sixty blocks each: a block is in many texts, so that links (two blocks) often
+    are between texts that are the centre of no shingle they share."""
+    import random
+
+    r = random.Random(5)
+    passage, texts = [f"p{i}" for i in range(230)], {}
+    for i in range(300):
+        blocks = sorted(r.sample(range(60), 3))
+        texts[i] = " ".join(passage + [f"b{b}_{k}" for b in blocks for k in range(11)] + [f"own{i}_{k}" for k in range(14)])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = jaccard_roots(texts, 0.8)
+    found = lambda **more: {x.doc_id: x.component_id for x in simhash.similar_components(docs, **more).collect()}
+    assert 1 < len(set(want.values())) < 300 and found() == want
+    assert found(exact=False) != want, "too easy a case"
+
+
 def test_sweep(spark, tmp_path):
     from pathlib import Path
 
