@@ -176,12 +176,13 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     similarity s agree in one with a chance of about s**3. Texts that agree are each
     compared with one of them, another for each view; all pairs of a group never are.
     Groups of three or more that this leaves in parts are then dealt anew by their
-    rare shingles (``_across``), with two texts of each shingle to compare with; what
-    is still in parts then is compared with all texts of a shingle, so that no link of
+    rare shingles (``_across``), with two texts of each shingle to compare with, then
+    with about ``_CENTRES``, which joins most of what has links; what is still in parts
+    then is compared with all texts of a shingle in other parts, so that no link of
     texts that agree in a fingerprint is missed. Every candidate is verified by the
     exact similarity.
 
-    Without ``exact`` the last step is left out.
+    Without ``exact`` the last two steps are left out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prints = materialise(docs.mapInArrow(_views(shingle, views), "doc_id long, print long, keys array<long>"), "views")
@@ -202,15 +203,20 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     groups = points.join(tied, "node", "left").select("print", F.coalesce("component", "node").alias("key"))
     keys = seen.select("doc_id", F.col("view").cast("int").alias("view"), "key").unionAll(prints.select("doc_id", "print").join(groups, "print").select("doc_id", F.lit(-1).alias("view"), "key"))
     release(docs.sparkSession, pairs)
-    for every in (False, True) if exact else (False,):
+    done = []
+    for centres in (2, _CENTRES, None) if exact else (2,):
         # pairs of two that agree were compared, and larger groups of one part are joined already
         groups = keys.join(part, "doc_id")
         mixed = materialise(groups.groupBy("view", "key").agg(F.count("*").alias("n"), F.min("part").alias("a"), F.max("part").alias("b")).where("n > 2 and a < b").select("view", "key"), "mixed")
-        rest = materialise(groups.join(mixed, ["view", "key"]).select("doc_id", "part").distinct(), "rest")
-        pairs = _across(sets.join(rest, "doc_id"), similarity, every)
+        rest = materialise(groups.join(mixed, ["view", "key"]).select("doc_id", "view", "key", "part"), "rest")
+        if rest.isEmpty():
+            break
+        pairs = _across(sets.join(rest.select("doc_id", "part").distinct(), "doc_id"), similarity, centres)
         joined = components(_between(_verified(pairs, sets, similarity), part))
-        release(docs.sparkSession, pairs, mixed, rest)
+        release(docs.sparkSession, pairs, mixed, *done)
         part = materialise(part.join(joined, F.col("part") == F.col("node"), "left").select("doc_id", F.coalesce("component", "part").alias("part")), "part")
+        # groups only ever lose parts, so that the next round looks at these alone
+        keys, done = rest.drop("part"), [rest]
     return prints.select("doc_id").join(part, "doc_id", "left").select("doc_id", F.coalesce("part", "doc_id").alias("component_id"))
 
 
@@ -236,7 +242,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(common * (1 + similarity) >= (F.size("u_set") + F.size("v_set")) * similarity - 1e-9).select("u", "v")
 
 
-def _across(parts: DataFrame, similarity: float, exact: bool) -> DataFrame:
+#: Texts of a shingle that each other one is compared with, in the second of three rounds.
+_CENTRES = 128
+
+
+def _across(parts: DataFrame, similarity: float, centres: int | None) -> DataFrame:
     """Candidate pairs (u, v) of different parts.
 
     A prefix filter: shingles are put in one order, those of a single part first (no
@@ -248,8 +258,10 @@ def _across(parts: DataFrame, similarity: float, exact: bool) -> DataFrame:
 
     Of all texts that meet in a shingle, each is compared with two (so that of three
     every pair is); many shingles have the same two, so that few pairs come from
-    many. ``exact`` takes all pairs but those inside the largest part. Either way only
-    pairs are candidates whose marks differ in no more bits than the sets may in shingles.
+    many. More than two ``centres`` are chosen by a hash of the text, about as many of
+    each shingle; None takes all pairs but those inside the largest part, in one
+    direction where both may lead. In any case only pairs are candidates whose marks differ in no more bits
+    than the sets may in shingles.
     """
     most = (1 - similarity) / (1 + similarity)
     rows = parts.select("doc_id", "part", F.size("shingles").alias("size"), F.explode("shingles").alias("token"))
@@ -258,21 +270,27 @@ def _across(parts: DataFrame, similarity: float, exact: bool) -> DataFrame:
     marks = parts.select("doc_id", *[F.get("marks", F.lit(k)).alias(f"mark{k}") for k in range(_MARKS // 64)])
     own = Window.partitionBy("doc_id")
     placed = rows.join(shared, "token").withColumn("at", F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "token")) - 1)
-    first = materialise(placed.where(F.col("at") <= F.col("size") * (1 - similarity) + 1e-6).select("token", "doc_id", "part", "size", (F.col("at") - F.col("size") * most).alias("over"), (F.col("part") == F.col("major")).alias("inside")).join(marks, "doc_id"), "first")
+    leads = F.col("over") <= 1e-6
+    if centres and centres > 2:
+        leads &= F.pmod(F.xxhash64("doc_id", F.pmod("token", F.lit(8))), F.lit(1 << 20)) * F.col("n") < centres << 20
+    near = placed.where(F.col("at") <= F.col("size") * (1 - similarity) + 1e-6).withColumn("over", F.col("at") - F.col("size") * most)
+    first = materialise(near.select("token", "doc_id", "part", "size", "over", leads.alias("leads"), (F.col("part") == F.col("major")).alias("inside")).join(marks, "doc_id"), "first")
     marked = [f"mark{k}" for k in range(_MARKS // 64)]
-    one = first.where("over <= 1e-6").select("token", F.col("doc_id").alias("v"), F.col("part").alias("v_part"), F.col("size").alias("v_size"), F.col("over").alias("v_over"), F.col("inside").alias("v_inside"), *[F.col(m).alias(f"v_{m}") for m in marked])
+    one = first.where("leads").select("token", F.col("doc_id").alias("v"), F.col("part").alias("v_part"), F.col("size").alias("v_size"), F.col("over").alias("v_over"), F.col("inside").alias("v_inside"), *[F.col(m).alias(f"v_{m}") for m in marked])
     apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(m).bitwiseXOR(F.col(f"v_{m}"))) for m in marked])
     fits = (apart <= (F.col("size") + F.col("v_size")) * most + 1e-6) & (F.col("v_part") != F.col("part")) & (F.col("v_over") + F.col("over") <= 1e-6) & (F.least("v_size", "size") >= F.greatest("v_size", "size") * similarity - 1e-6)
-    met = lambda a, b: a.join(b, "token").where(fits).select(F.col("doc_id").alias("u"), "v")
-    if exact:
-        out = met(one.where("not v_inside"), first).unionAll(met(one.where("v_inside"), first.where("not inside")))
+    met = lambda a, b, on: a.join(b, "token").where(on).select(F.col("doc_id").alias("u"), "v")
+    if centres != 2:
+        # of two texts that lead in the shingle, one meets the other
+        once = fits & (~F.col("leads") | (F.col("v") < F.col("doc_id")))
+        out = met(one.where("not v_inside"), first, once).unionAll(met(one.where("v_inside"), first.where("not inside"), once))
         out = materialise(out.distinct(), "pairs")
         release(parts.sparkSession, shared, first)
         return out
     order = F.xxhash64("v", F.pmod("token", F.lit(4)))
     text = F.struct("v", "v_part", "v_size", "v_over", *[f"v_{m}" for m in marked])
     two = one.groupBy("token").agg(F.min_by(text, order).alias("a"), F.max_by(text, order).alias("b"))
-    out = materialise(met(two.select("token", F.explode(F.array("a", "b")).alias("t")).select("token", "t.*"), first).distinct(), "pairs")
+    out = materialise(met(two.select("token", F.explode(F.array("a", "b")).alias("t")).select("token", "t.*"), first, fits).distinct(), "pairs")
     release(parts.sparkSession, shared, first)
     return out
 

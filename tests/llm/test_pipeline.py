@@ -136,6 +136,21 @@ def test_every_pair_of_a_large_group_is_compared(spark):
     assert found(exact=False) != want, "too easy a case"
 
 
+def test_pairs_of_a_group(spark):
+    """60 texts that are a part each and near one another: every link is a candidate, and in
+    one direction; with centres a text meets some of the others only."""
+    texts = {i: " ".join(f"own{i}_{k}" if 40 <= k < 44 + i % 3 else f"w{k}" for k in range(160)) for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    parts = docs.mapInArrow(simhash._sets(5), "doc_id long, shingles array<long>, marks array<long>").withColumn("part", F.col("doc_id"))
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in texts.items()}
+    want = {(i, j) for i in texts for j in texts if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(want) == 60 * 59 // 2
+    every = [(r.u, r.v) for r in simhash._across(parts, 0.8, None).collect()]
+    assert len(every) == len(want) and {(min(p), max(p)) for p in every} == want
+    some = {(min(r), max(r)) for r in simhash._across(parts, 0.8, 3).collect()}
+    assert 0 < len(some) < len(want)
+
+
 def test_sweep(spark, tmp_path):
     from pathlib import Path
 
