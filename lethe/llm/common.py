@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -113,7 +114,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def word_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
     """XXH64 of each word."""
     one = xxhash.xxh64_intdigest
-    return np.fromiter((one(w, seed) for w in words), np.uint64, len(words))
+    return np.fromiter(map(one, words, repeat(seed)), np.uint64, len(words))
 
 
 class Windows:
