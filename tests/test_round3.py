@@ -51,6 +51,36 @@ def test_samples_of_tables_with_many_row_groups(spark, laid_out):
     assert got == want and len(got) > 200
 
 
+def test_samples_of_tables_are_of_all_rows(spark, laid_out):
+    """The hundred lowest hashes among all events, of the query and of its SQL; a part of the events has others."""
+    import hashlib
+
+    import pyarrow.parquet as pq
+
+    events = pq.read_table(laid_out / "events.parquet").to_pylist()
+    first = lambda c: sorted((hashlib.md5(f"{c}:{e['event_id']}".encode()).hexdigest(), str(e[c])) for e in events if e[c] is not None)[:100]
+    want = sorted(str((c, value)) for c in ("event_id", "user_id", "event_type", "props") for _, value in first(c))
+    assert rows_of(spark, laid_out, "table_sample") == (want, want) and len(want) == 400
+
+
+def test_samples_of_events_with_odd_ids(spark, tmp_path):
+    """Null, repeated, negative and far ids, a column with few values and one with none, in many files."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (tmp_path / "events.parquet").mkdir()
+    ids = [None, None, -(2**63), -1, 0, 2**63 - 1, *[5] * 200, *range(100)]
+    for k in range(30):
+        rows = {"event_id": ids, "ts": [None] * len(ids), "user_id": [k * 1000 + i for i in range(len(ids))], "event_type": [f"\u00e4{i % 7}" if k == 29 and i < 3 else None for i in range(len(ids))], "value": [1.5] * len(ids), "props": [None] * len(ids)}
+        types = {"event_id": pa.int64(), "ts": pa.timestamp("us"), "user_id": pa.int64(), "event_type": pa.string(), "value": pa.float64(), "props": pa.string()}
+        pq.write_table(pa.table({c: pa.array(v, types[c]) for c, v in rows.items()}), tmp_path / f"events.parquet/part-{k:02d}.parquet", row_group_size=50)
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = c.sql(library.oracle_sql()["table_sample"]).fetchall()
+    got = library.queries()["table_sample"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(got) == 100 + 100 + 3
+
+
 def test_row_keys_of_any_bytes(spark):
     """Keys of every byte and of all lengths around a block; no function over arrays, which this Spark interprets."""
     import hashlib
