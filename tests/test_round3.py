@@ -81,6 +81,21 @@ def test_samples_of_events_with_odd_ids(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want) and len(got) == 100 + 100 + 3
 
 
+def test_samples_sort_few_cells(spark, tmp_path):
+    """Cells are counted by the first digits of their hashes before they are sorted; the sample is that of all cells."""
+    from pyspark.sql import functions as F
+
+    from lethe.sources import catalog
+
+    rows = spark.range(50_000).select("id", (F.col("id") % 3).alias("few"), F.when(F.col("id") % 9_000 == 1, F.col("id")).alias("rare"), F.lit(None).cast("string").alias("none"))
+    rows.write.parquet(str(tmp_path / "t"))
+    whole = spark.read.parquet(str(tmp_path / "t"))
+    for key in (["id"], ["few"], []):
+        for limit in (1, 10, 1000):
+            got, want = (sorted(map(tuple, df.collect())) for df in (catalog.table_sample(spark, str(tmp_path / "t"), 100, limit, key), catalog.column_sample(whole, 100, limit, key)))
+            assert got == want and len(got) == 2 * limit + min(limit, 6)
+
+
 def test_row_keys_of_any_bytes(spark):
     """Keys of every byte and of all lengths around a block; no function over arrays, which this Spark interprets."""
     import hashlib
